@@ -4,25 +4,103 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, near_dedup
+from tidemark.llm import ann, bpe, chat_format, edit_fingerprint, html_extract, mixing, near_dedup, quality_crf, suffix_dedup, toxicity
 from tidemark.llm._spark import table
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
+#: Scores from which a document counts as good, and as toxic.
+THRESHOLD = 0.3
+#: The mixture: weights at each level of the tree.
+WEIGHTS = {"domain": {"web": 4, "reference": 3, "forum": 3}, "lang": {"en": 14, "de": 3, "fr": 3, "es": 2}, "source": {}}
+EPOCHS, SEED = 2, 17
+
+
+def mixture_levels() -> dict[str, Column]:
+    """Domain, language and source of a document; domains are declared by source."""
+    domain = F.when(F.col("source") == "src0", "web").when(F.col("source").rlike("^src[1-9]$"), "reference").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def learnable(labels: DataFrame, modulus: int, held: int) -> DataFrame:
+    """Labels that may be learned from: all but those of documents that are held out by a checksum of their id."""
+    return labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != held)
+
+
+def _judged(scores: DataFrame, modulus: int, held: int, *more: str) -> DataFrame:
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == held
+    return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *more)
+
+
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, numerator=85, denominator=100)
 
 
+def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word spans of repeated passages; ``later``: the parts that a document with a smaller id has too."""
+    spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select(F.col("id").alias("doc_id"), F.col("begin").alias("first_word"), F.col("finish").alias("end_word"), "later")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality_crf.fit(docs, learnable(table(spark, sf_dir, "labels"), 5, 0))
+    return _judged(quality_crf.score(docs, field), 5, 0)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    formatted = chat_format.format_chat(chat_format.canonical_turns(rows.unionByName(extra)))
+    back = chat_format.read_back(formatted)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels"), 4, 2))
+    return _judged(toxicity.score(docs, lexicon), 4, 2, "hits")
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), mixture_levels(), WEIGHTS, epochs=EPOCHS, seed=SEED)
+    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return own | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
