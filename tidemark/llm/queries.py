@@ -103,5 +103,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return own | {"pipeline": pipeline}
 
 
+#: All pairs that share a shingle, then the components of the links: too slow for large tables, exact for small ones.
+_OP2_SQL = r"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+b AS (SELECT x.doc_id AS p, y.doc_id AS q, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT p, q FROM b JOIN n x ON x.doc_id = p JOIN n y ON y.doc_id = q WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.q FROM r JOIN e ON e.p = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM documents d JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+_OP8_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+  CAST(sum(14 + length(role) + length(text) + length(role) - length(regexp_replace(role, '[\\<#:]', '', 'g')) + length(text) - length(regexp_replace(text, '[\\<#:]', '', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+
+def _level_sql(level: str, above: str, keys: str, weight: str) -> str:
+    """One level of the water filling, as a chain of CTEs from ``{above}`` (budget b of each parent) to ``{level}``."""
+    parent = keys.rpartition(", ")[0]
+    by = f"PARTITION BY {parent}" if parent else ""
+    on = f"USING ({parent})" if parent else "ON true"
+    last = keys.rpartition(", ")[2]
+    return f"""{level}0 AS (SELECT {keys}, CAST(sum(tokens * {EPOCHS}) AS BIGINT) AS c, {weight} AS w FROM leaf GROUP BY {keys}),
+{level}1 AS (SELECT x.*, p.b AS given, coalesce(sum(c) OVER (ORDERED ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(CASE WHEN c > 0 THEN w ELSE 0 END) OVER (ORDERED ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl
+  FROM {level}0 x JOIN {above} p {on}),
+{level}2 AS (SELECT *, c > 0 AND c * wl <= w * (given - before) AS f FROM {level}1),
+{level}3 AS (SELECT *, sum(CASE WHEN f THEN c ELSE 0 END) OVER ({by}) AS taken, sum(CASE WHEN f OR c = 0 THEN 0 ELSE w END) OVER ({by}) AS wo FROM {level}2),
+{level} AS (SELECT {keys}, CAST(CASE WHEN f THEN c WHEN c = 0 THEN 0 ELSE ((given - taken) * w) // wo END AS BIGINT) AS b FROM {level}3)""".replace("ORDERED", f"{by} ORDER BY CASE WHEN c > 0 THEN CAST(c AS DOUBLE) / w ELSE CAST('inf' AS DOUBLE) END, {last}")
+
+
+def _op10_sql() -> str:
+    def weight(name: str) -> str:
+        cases = " ".join(f"WHEN {name} = '{v}' THEN {w}" for v, w in WEIGHTS[name].items())
+        return f"CASE {cases} ELSE 1 END" if cases else "1"
+
+    levels = [_level_sql("l1", "root", "domain", weight("domain")), _level_sql("l2", "l1", "domain, lang", weight("lang")), _level_sql("l3", "l2", "domain, lang, source", weight("source"))]
+    return rf"""WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[1-9]$') THEN 'reference' ELSE 'forum' END AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS t FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(t) AS BIGINT) AS tokens FROM d GROUP BY ALL), root AS (SELECT CAST(sum(tokens) AS BIGINT) AS b FROM leaf),
+{", ".join(levels)},
+p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS full_passes, b - CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END * tokens AS rest FROM leaf JOIN l3 USING (domain, lang, source)),
+k AS (SELECT d.*, full_passes, rest, sum(t) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(full_passes + 1 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), t ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p USING (domain, lang, source)),
+z AS (SELECT *, unnest(range(1, CAST(full_passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END + 1 AS BIGINT))) AS epoch FROM k)
+SELECT doc_id, domain, lang, source, epoch, t AS n_tokens FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the tests hold the others against brute force."""
+    return {"op2_minhash_near_dedup": _OP2_SQL, "op8_chat_format": _OP8_SQL, "op10_source_mixing": _op10_sql()}
