@@ -14,7 +14,7 @@ from tidemark.llm._text import mix, slices, spans, word_hashes
 
 #: Labelled documents that the field is fitted on at most (half of each label), and lines of each of these.
 FIT_DOCUMENTS, FIT_LINES = 4_000, 200
-_BINS = 10
+_BINS = 16
 _FEATURES = 12
 
 
@@ -90,7 +90,7 @@ class Field:
     transitions: np.ndarray  # 2 x 2, from state to state; state 1 is good
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)], 1)
+        return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], 1)
 
     def emissions(self, bins: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log-odds of good over bad for each line from its own features and those of the lines beside it."""
@@ -140,9 +140,16 @@ def forward_backward(emission: np.ndarray, bounds: np.ndarray, transitions: np.n
     return both[:, 1], pair.sum(0)
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Upper bounds of a feature's bins: quantiles of all its values and, as most are 0 for many, of those above 0."""
+    some = x[x > 0]
+    high = np.quantile(some, (0.2, 0.5, 0.8)) if len(some) else np.zeros(0)
+    return np.unique(np.concatenate([np.quantile(x, np.linspace(0, 1, _BINS - 3)[1:-1]), high]))[: _BINS - 1]
+
+
 def fit_field(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, steps: int = 120, ridge: float = 2.0) -> Field:
     """Maximise the penalised conditional likelihood, every line taking its document's label, by Adam."""
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, _BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    edges = [_edges(x[:, f]) for f in range(x.shape[1])]
     field = Field(edges, np.zeros((3, x.shape[1], _BINS)), 0.0, np.zeros((2, 2)))
     bins = field.bins(x)
     size = np.diff(bounds)
