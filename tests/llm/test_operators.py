@@ -93,6 +93,16 @@ def test_edited_fingerprints(spark):
     assert {r.id: r.next_text for r in many} == {i: str((i + 1) % 1500) for i in range(1500)}
 
 
+def test_near_by_edits(spark):
+    rng = random.Random(3)
+    base = " ".join(prose(rng, 300))
+    other = " ".join(prose(rng, 300, 10**6))
+    texts = [base, base, base.replace("w1 ", "w1x "), base[:700] + "inserted " + base[700:], other, other[:-5], None, "", "short", "short", "x"]
+    got = {r.doc_id: r.component_id for r in edit_fingerprint.near_by_edits(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10}
+    assert edit_fingerprint.near_by_edits(docs(spark, [])).count() == 0
+
+
 def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), [float(v) for v in row] if row is not None else None) for i, row in zip(ids if ids is not None else range(len(x)), x, strict=True)], "vec_id long, embedding array<float>")
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm._spark import materialize
+from tidemark.llm.components import components
+
 
 #: Walk positions sampled in each octave [2^k, 2^(k+1)), below the first octave all are kept.
 SAMPLES, FIRST = 64, 64
@@ -183,3 +186,81 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = with_next(docs, id_col, text_col)
     return rows.mapInArrow(fingerprint, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+#: Bands drawn from an octave's samples, and samples of a band.
+_BANDS, _BITS = 24, 4
+_BAND_AT = np.stack([np.sort(_rng.choice(SAMPLES, _BITS, replace=False)) for _ in range(_BANDS)])
+
+
+def bands_of(fingerprint: str) -> list[str]:
+    """Keys of a fingerprint: octave, band, and what the walk reads at the band's sampled steps.
+
+    They come from the last whole octave of samples and the one before it, which stand for most of the walk, so texts
+    of somewhat different length still share an octave. Short fingerprints have one key, the whole of it.
+    """
+    whole = (len(fingerprint) - FIRST) // SAMPLES
+    if whole < 1:
+        return [f"-:{fingerprint}"]
+    out = []
+    for octave in range(max(0, whole - 2), whole):
+        part = fingerprint[FIRST + octave * SAMPLES : FIRST + (octave + 1) * SAMPLES]
+        out += [f"{octave}:{b}:" + "".join(part[i] for i in at) for b, at in enumerate(_BAND_AT)]
+    return out
+
+
+def near_by_edits(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id``: documents linked where their fingerprints' likeness is ``least`` or more.
+
+    Banding: documents that share a band's samples meet in a bucket. Two fingerprints of likeness 0.8 share one of an
+    octave's 24 bands of 4 with probability above 0.9999. Verification: the likeness over all samples. Equal texts are
+    one entry. In each bucket one member after another leads: it is compared with all that are in other components,
+    until the bucket is in one component or all have led; so groups of copies cost one round, and nothing is capped.
+    Null and empty texts, and null ids, are linked with nothing. Each row of ``docs`` gives one row.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = pa.schema([("id", pa.int64()), ("h", pa.string()), ("fingerprint", pa.string())])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                end, held = at, 0
+                while end < len(texts) and (held < _SLICE_CHARS or end == at):
+                    held, end = held + len(texts[end]), end + 1
+                hashes = [hashlib.md5(t.encode()).hexdigest() for t in texts[at:end]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(hashes, pa.string()), pa.array(embed(texts[at:end]), pa.string())], schema=schema)
+                at = end
+
+    found = materialize(rows.mapInArrow(prints, "id long, h string, fingerprint string"), "fingerprints")
+    reps = materialize(found.where("id is not null and fingerprint <> ''").groupBy("h").agg(F.min("id").alias("rep"), F.first("fingerprint").alias("fingerprint")), "representatives")
+
+    @F.pandas_udf("array<string>")
+    def keys(fingerprints):
+        return fingerprints.map(bands_of)
+
+    cells = reps.select("rep", F.explode(keys("fingerprint")).alias("key"))
+    many = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    cells = materialize(cells.join(many, "key"), "buckets")
+    alike = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
+    links = groups = led = None
+    while True:
+        own = cells.withColumn("own", F.col("rep")) if groups is None else cells.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("component", "rep").alias("own"))
+        mixed = own.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
+        own = materialize(own.join(mixed, "key", "left_semi"), "open")
+        waiting = own if led is None else own.join(led, ["key", "rep"], "left_anti")
+        heads = materialize(waiting.groupBy("key").agg(F.min(F.struct("rep", "own")).alias("head")), "heads")
+        if heads.isEmpty():
+            break
+        pairs = own.join(heads, "key").where("own <> head.own").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+        side = [reps.select(F.col("rep").alias(x), F.col("fingerprint").alias(f"f_{x}")) for x in ("a", "b")]
+        new = pairs.join(side[0], "a").join(side[1], "b").where(alike("f_a", "f_b") >= least).select("a", "b")
+        links = materialize(new if links is None else links.unionByName(new), "links")
+        done = heads.select("key", F.col("head.rep").alias("rep"))
+        led = done if led is None else led.unionByName(done)
+        groups = materialize(components(links), "components")
+    labels = reps.select("h", "rep") if groups is None else reps.join(groups, F.col("rep") == F.col("node"), "left").select("h", "rep", "component")
+    labels = labels.select("h", F.coalesce("component", "rep").alias("component_id")) if groups is not None else labels.select("h", F.col("rep").alias("component_id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return found.join(labels, "h", "left").select(F.col("id").alias("doc_id"), "fingerprint", component.alias("component_id"))
