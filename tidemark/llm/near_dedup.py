@@ -14,8 +14,9 @@ from tidemark.llm._spark import materialize, small
 from tidemark.llm._text import mix, ngrams, slices, spans, word_hashes
 from tidemark.llm.components import components
 
-#: Leaders that each bucket compares with all its members, by round; afterwards 32 times as many each round.
-LEADERS = (1, 32)
+#: Members of a bucket of which all pairs across groups are compared, and members of a led group that are compared
+#: with the rest of it before the remaining links are searched for.
+FEW, LEADERS = 32, 8
 
 
 def _sketcher(shingle: int, pieces: int, width: int):
@@ -50,20 +51,35 @@ def _sketcher(shingle: int, pieces: int, width: int):
     return sketch
 
 
+def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text."""
+    for lo, hi, data, off in slices(column):
+        start, end, bounds = spans(data, off)
+        grams, _, rows = ngrams(word_hashes(data, start, end), bounds, shingle)
+        for r in range(hi - lo):
+            yield np.unique(grams[rows[r] : rows[r + 1]])
+
+
+def _differences(shingle: int):
+    """(leader, x, shingles in one of the two texts only) of pairs (a = leader, b = x)."""
+    schema = pa.schema([("leader", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("own", pa.list_(pa.int64()))])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True))
+            own = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(y) for _, y in pairs], pa.int64()), pa.array(own, pa.list_(pa.int64()))], schema=schema)
+
+    return differ
+
+
 def _checker(shingle: int, numerator: int, denominator: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for lo, hi, data, off in slices(column):
-            start, end, bounds = spans(data, off)
-            grams, _, rows = ngrams(word_hashes(data, start, end), bounds, shingle)
-            for r in range(hi - lo):
-                yield np.unique(grams[rows[r] : rows[r + 1]])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
+            for i, (x, y) in enumerate(zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True)):
                 both = np.sort(np.concatenate([x, y]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 found[i] = common > 0 and denominator * common >= numerator * (len(both) - common)
@@ -81,6 +97,7 @@ def _candidates(reps: DataFrame, pieces: int) -> DataFrame:
     """
     cells = reps.select("rep", "n", F.posexplode("sketch").alias("p", "piece"))
     shared = cells.groupBy("p", "piece").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = materialize(shared, "shared")  # a join of two plain exchanges can be split where a piece is very common
     cells = cells.join(shared, ["p", "piece"]).groupBy("rep", "n")
     cells = cells.agg(F.collect_list(F.struct("p", "piece")).alias("cells"), F.sum("many").alias("weight"))  # at most 2 x pieces
     left = F.filter("cells", lambda c: c["p"] < pieces)
@@ -99,10 +116,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``pieces ** 2`` tables keyed by a pair of pieces, from ``2 * pieces * width`` min-wise values in all. With 8
     pieces of 2 values, a pair at similarity 0.85 shares a table with probability above 0.9999, at 0.8 above 0.9994.
     *Verification.* Every link is confirmed on the two full shingle sets, recomputed from the texts.
-    *Large groups.* Documents with equal sets are first collapsed to one representative. In every bucket a leader
-    (the member that shares most pieces with others) is compared with all members; buckets whose members are not in
-    one component by then get 32 leaders, then 1,024 and so on, until no bucket holds an unverified pair across
-    components. So a group of n copies costs about n comparisons, and nothing is capped.
+    *Large groups.* Documents with equal sets are first collapsed to one representative. Each document is compared
+    with one leader (the member of its buckets that shares most pieces with others), so a group of n copies costs n
+    comparisons. Where a bucket's members are not in one component by then, a few more members of the group are
+    compared, and at last the members' differences from their leader are joined by a prefix filter, which finds every
+    link that is left between members of a bucket. Nothing is capped.
 
     Nulls: a null or empty text has no shingles and no link. A null id takes no part and has a null component.
     Rows that repeat an id count as one document, linked by any of its texts. An empty table gives an empty result.
@@ -118,42 +136,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = cells.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     cells = materialize(cells.join(weights, "key"), "buckets")
 
-    links = checked = groups = None
-    leaders = list(LEADERS)
-    while True:
-        limit = leaders.pop(0)
-        leaders = leaders or [limit * 32]
-        open_cells = cells
-        if groups is not None:
-            open_cells = cells.join(groups, cells["rep"] == groups["node"], "left").select(cells["*"], F.coalesce("component", "rep").alias("own"))
-            mixed = open_cells.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
-            open_cells = materialize(open_cells.join(mixed, "key", "left_semi"), "open")
-            if open_cells.isEmpty():
-                break
-        else:
-            open_cells = open_cells.withColumn("own", F.col("rep"))
-        if limit == 1:
-            heads = open_cells.groupBy("key").agg(F.max_by(F.struct("rep", "n", "own"), F.struct("weight", -F.col("rep"))).alias("head"))
-        else:
-            best = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
-            heads = open_cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("key", F.struct("rep", "n", "own").alias("head"))
-        pairs = open_cells.join(heads, "key").where(
-            (F.col("head.own") != F.col("own")) & (F.least("n", "head.n") * denominator >= F.greatest("n", "head.n") * numerator)
-        ).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+    def with_texts(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = materialize(rows.join(small(wanted), "id", "left_semi"), "texts")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        done = both.select("a", "b", "x", "y").mapInArrow(_checker(shingle, numerator, denominator), "a long, b long, linked boolean")
-        done = materialize(done, "verified")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        return both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def near_in_size(n: str, m: str):
+        return F.least(n, m) * denominator >= F.greatest(n, m) * numerator
+
+    links = checked = groups = None
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal links, checked, groups
+        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        done = materialize(with_texts(pairs).mapInArrow(_checker(shingle, numerator, denominator), "a long, b long, linked boolean"), "verified")
         found = done.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         checked = done.select("a", "b") if checked is None else checked.unionByName(done.select("a", "b"))
         groups = materialize(components(links), "components")
-        if limit > 1 and not cells.where(F.col("many") > limit).limit(1).count():
-            break  # every bucket has compared all its members across components
+
+    def mixed() -> DataFrame:
+        """Rows of the buckets whose members are in several components, with their component ``own``."""
+        known = cells.join(groups, cells["rep"] == groups["node"], "left").select(cells["*"], F.coalesce("component", "rep").alias("own"))
+        several = known.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
+        return materialize(known.join(several, "key", "left_semi"), "open")
+
+    # First each document with its leader: of the heaviest members of its buckets the heaviest one.
+    first = cells.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("col2"), F.col("n").alias("head_n"))).alias("head"))
+    first = materialize(first.select("key", "head"), "leaders")
+    led = cells.join(first, "key").groupBy("rep", "n", "weight").agg(F.max("head").alias("head"))
+    led = materialize(led.select("rep", "n", "weight", (-F.col("head.col2")).alias("leader"), F.col("head.head_n").alias("leader_n")), "led")
+    verify(led.where((F.col("leader") != F.col("rep")) & near_in_size("n", "leader_n")).select(F.col("rep").alias("p"), F.col("leader").alias("q")))
+    rest = mixed()
+    if not rest.isEmpty():
+        # Then a few more members of each led group, the heaviest ones, with its documents in other components.
+        rest = materialize(rest.join(led.select("rep", "leader"), "rep"), "led-cells")
+        members = rest.groupBy("rep", "n", "leader", "weight", "own").agg(F.lit(1)).drop("1")
+        best = Window.partitionBy("leader").orderBy(F.desc("weight"), "rep")
+        heads = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS)
+        heads = heads.select("leader", F.col("rep").alias("q"), F.col("n").alias("q_n"), F.col("own").alias("q_own"))
+        met = members.join(heads, "leader").where((F.col("q_own") != F.col("own")) & near_in_size("n", "q_n"))
+        verify(met.select(F.col("rep").alias("p"), "q"))
+        rest = materialize(mixed().join(led.select("rep", "leader"), "rep"), "led-cells")
+    if not rest.isEmpty():
+        # What is left of links lies between documents of different groups in a small bucket: all these pairs;
+        several = rest.groupBy("key").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).where("x < y").select("key")
+        crossing = rest.join(several, "key")
+        few = crossing.where(F.col("many") <= FEW).select("key", F.col("rep").alias("p"), "n", "leader", "own")
+        other = few.select("key", F.col("p").alias("q"), F.col("n").alias("q_n"), F.col("leader").alias("q_leader"), F.col("own").alias("q_own"))
+        pairs = few.join(other, "key").where((F.col("p") < F.col("q")) & (F.col("leader") != F.col("q_leader")) & (F.col("own") != F.col("q_own")) & near_in_size("n", "q_n")).select("p", "q")
+        # or between documents of one group (those of a large bucket of several groups form one with its leader). Let
+        # D be what a document has that the leader hasn't, and the other way round. Of two linked documents in two
+        # components D is large against what they may differ in, so that their D must meet in their rarest elements.
+        large = crossing.where(F.col("many") > FEW).join(first, "key").select((-F.col("head.col2")).alias("a"), F.col("rep").alias("b"))
+        groups_of = rest.select(F.col("leader").alias("a"), F.col("rep").alias("b")).unionByName(large).where("a <> b").distinct()
+        own = with_texts(materialize(groups_of, "groups")).mapInArrow(_differences(shingle), "leader long, x long, n long, own array<long>")
+        slack = F.floor(F.col("n") * (denominator - numerator) / numerator).cast("long")  # most that a link's two sets differ in
+        own = materialize(own.select("leader", "x", "n", F.size("own").alias("size"), slack.alias("slack"), "own"), "differences")
+        each = own.select("leader", "x", "n", "size", "slack", F.explode("own").alias("e"))
+        often = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("often"))
+        rarest = Window.partitionBy("leader", "x").orderBy("often", "e")
+        each = each.join(often, ["leader", "e"]).withColumn("rank", F.row_number().over(rarest)).where("often > 1 and rank <= slack + 1")
+        each = each.join(groups.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("own", F.coalesce("component", "x"))
+        each = materialize(each.select("leader", "e", "x", "n", "size", "slack", "rank", "own"), "rarest")
+        held = each.select("leader", "e", F.col("x").alias("q"), F.col("n").alias("q_n"), F.col("size").alias("q_size"), F.col("own").alias("q_own"))
+        asked = each.where("rank <= slack div 2 + 1").select("leader", "e", F.col("x").alias("p"), "n", "size", "own")
+        met = asked.join(held, ["leader", "e"]).where((F.col("own") != F.col("q_own")) & (F.col("size") <= F.col("q_size")) & near_in_size("n", "q_n"))
+        verify(pairs.unionByName(met.select("p", "q")))
 
     labels = reps.join(groups, reps["rep"] == groups["node"], "left").select("k1", "k2", reps["n"].alias("n"), F.coalesce("component", "rep").alias("component_id"))
     found = sketches.join(labels, ["k1", "k2", "n"], "left")

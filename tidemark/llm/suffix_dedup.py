@@ -238,7 +238,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     anchors = materialize(rows.mapInArrow(_anchor_rows, "id long, pos int, h long, c long, left int, right int"), "anchors")
     grams = anchors.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("x < y")
-    shared = materialize(anchors.join(grams.select("h", (F.col("c1") < F.col("c2")).alias("several")), "h"), "shared")
+    # Written first: a join of two plain exchanges can be split where one gram is very common.
+    grams = materialize(grams.select("h", (F.col("c1") < F.col("c2")).alias("several")), "grams")
+    shared = materialize(anchors.join(grams, "h"), "shared")
     classes = shared.groupBy("h", "c", "several").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("y"))
     classes = materialize(classes.select("h", "c", "several", "first", (F.col("first.id") < F.col("y")).alias("common")), "classes")
     common = classes.where("common").select("h", "c", F.col("first.id").alias("first_id"))
