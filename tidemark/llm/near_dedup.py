@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = materialize(cells.join(weights, "key"), "buckets")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
         texts = materialize(rows.join(small(wanted), "id", "left_semi"), "texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
         return both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
@@ -201,10 +201,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each = each.join(often, ["leader", "e"]).withColumn("rank", F.row_number().over(rarest)).where("often > 1 and rank <= slack + 1")
         each = each.join(groups.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("own", F.coalesce("component", "x"))
         each = materialize(each.select("leader", "e", "x", "n", "size", "slack", "rank", "own"), "rarest")
-        held = each.select("leader", "e", F.col("x").alias("q"), F.col("n").alias("q_n"), F.col("size").alias("q_size"), F.col("own").alias("q_own"))
-        asked = each.where("rank <= slack div 2 + 1").select("leader", "e", F.col("x").alias("p"), "n", "size", "own")
-        met = asked.join(held, ["leader", "e"]).where((F.col("own") != F.col("q_own")) & (F.col("size") <= F.col("q_size")) & near_in_size("n", "q_n"))
-        verify(pairs.unionByName(met.select("p", "q")))
+        # Two linked documents' D differ in as much as the two do: in ``most`` elements at most. So they have
+        # (size + q_size - most) / 2 elements in common, and the first of these has a low rank in both.
+        held = each.select("leader", "e", F.col("x").alias("q"), F.col("n").alias("q_n"), F.col("size").alias("q_size"), F.col("rank").alias("q_rank"), F.col("own").alias("q_own"))
+        asked = each.where("rank <= slack div 2 + 1").select("leader", "e", F.col("x").alias("p"), "n", "size", "rank", "own")
+        most = F.floor((F.col("n") + F.col("q_n")) * (denominator - numerator) / (denominator + numerator))
+        early = (2 * F.col("rank") <= F.col("size") - F.col("q_size") + most + 2) & (2 * F.col("q_rank") <= F.col("q_size") - F.col("size") + most + 2)
+        met = asked.join(held, ["leader", "e"]).where((F.col("own") != F.col("q_own")) & (F.col("size") <= F.col("q_size")) & near_in_size("n", "q_n") & early)
+        met = materialize(met.select("leader", "p", "q").distinct(), "met")
+        # How much two D differ decides before the texts are read again.
+        for x in ("p", "q"):
+            met = met.join(own.select("leader", F.col("x").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own")), ["leader", x])
+        differ = F.size("p_own") + F.size("q_own") - 2 * F.size(F.array_intersect("p_own", "q_own"))
+        both = F.col("p_n") + F.col("q_n")
+        verify(pairs.unionByName(met.where((both - differ) * denominator >= (both + differ) * numerator).select("p", "q")))
 
     labels = reps.join(groups, reps["rep"] == groups["node"], "left").select("k1", "k2", reps["n"].alias("n"), F.coalesce("component", "rep").alias("component_id"))
     found = sketches.join(labels, ["k1", "k2", "n"], "left")
