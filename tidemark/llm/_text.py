@@ -1,6 +1,6 @@
 """Vectorised text kernels over Arrow string columns, used inside tasks.
 
-Texts are handled as UTF-8 bytes in slices of a few megabytes, so the memory of a task does not depend on the
+Texts are handled as UTF-8 bytes in slices of about a megabyte, so the memory of a task does not depend on the
 number of rows in a batch. White space is ASCII (0x20, 0x09-0x0D), letters A-Z are folded to lower case.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -66,9 +66,10 @@ def _differences(shingle: int):
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True))
-            own = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(y) for _, y in pairs], pa.int64()), pa.array(own, pa.list_(pa.int64()))], schema=schema)
+            sizes, own = [], []
+            for x, y in zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True):
+                sizes.append(len(y)), own.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64()))], schema=schema)
 
     return differ
 
