@@ -244,6 +244,26 @@ def test_site_style_tree(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_site_style_tree_in_declared_articles(spark):
+    """A site with noise of undeclared classes in and outside its articles, near copies of one page and undeclared pages."""
+    rng = random.Random(21)
+    note, share = "<p class=x1>Prices may change without warning</p>", "<div class=x2>Tell your friends</div>"
+
+    def story(paragraphs):
+        return "".join(f"<p>{p}</p>" for p in paragraphs)
+
+    own = [[" ".join(prose(rng, 30)) for _ in range(rng.randrange(2, 6))] for _ in range(200)]
+    pages = [f"<body><div class=x3>Our site</div><article><h1>title {i}</h1>{note}{story(p)}{share}</article></body>" for i, p in enumerate(own)]
+    copied = [" ".join(prose(rng, 30)) for _ in range(9)]
+    pages += [f"<body><div class=x3>Our site</div><article><h1>same</h1>{note}{story(copied)}<p>end {i % 2}</p>{share}</article></body>" for i in range(12)]
+    pages += [f"<body><div class=x3>Our site</div><div><p>plain {i}</p></div></body>" for i in range(2)]
+    df = spark.createDataFrame([(i, "http://hot.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_extract.main_text(df.repartition(4)).collect()}
+    assert all(got[i] == [f"title {i}", *p] for i, p in enumerate(own))
+    assert all(got[200 + i] == ["same", *copied, f"end {i % 2}"] for i in range(12))
+    assert [got[212], got[213]] == [["plain 0"], ["plain 1"]]
+
+
 def test_chat_layouts(spark):
     wanted = [("user", "hi"), ("assistant", "yo")]
     turns = lambda df: [[(t.role, t.text) for t in r.turns or []] for r in df.orderBy("conv_id").collect()]

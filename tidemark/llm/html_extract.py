@@ -11,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import materialize
+from tidemark.llm._spark import materialize, small
 
 #: Pages of a site that must have a node before it is judged, and the importance below which its branch goes.
 PAGES, IMPORTANCE = 4, 0.25
 #: Share of the presentation in a node's importance; the rest is its content's.
 PRESENTATION = 0.1
+#: In a declared article a repeated text goes if at least this share of the pages of its node have it, and if of these
+#: pages at least the second share have different sketches: near copies of one page repeat its text as well.
+SHARE, DIFFERENT = 0.05, 0.5
 #: Parts that the pages of one site are dealt to where they meet the site's noise.
 _SALTS = 64
 
@@ -66,15 +69,18 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-def parse(page: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
-    """Blocks of text (style-tree node, text) that may be the page's main text, and facts for the site's tree.
+def read(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, int]], bool]:
+    """Blocks of text (style-tree node, text, whether it may be the page's main text), facts for the site's tree, and
+    whether the page declares an article or a main part.
 
     Branches that the page declares as something else (menus, footers, forms, adverts, comments and the like, by
-    element, role, class or id) are left out. If the page declares an article, or else its main part, the blocks are
-    those in it, with node 0; else all others, with a node that is the same for pages of the site that are laid out alike so far: a hash of
-    its parent, its parent's children and its place among them. Facts are (node, presentation, content) of these.
+    element, role, class or id) are left out. If the page declares an article, or else its main part, only blocks in
+    it may be main text; else all. A node is the same for pages of the site that are laid out alike so far: a hash of
+    its parent, its kind (element, classes) and its place among the parent's children of this kind, where the last of
+    several counts as such. Facts are (node, presentation, content) of every block.
     """
-    tags, parents, noisy, within, styles, place = ["#"], [-1], [False], [0], [[]], [0]
+    tags, parents, noisy, within, styles, place = ["#"], [-1], [False], [0], [[]], [("", 0)]
+    like: dict[tuple[int, str], int] = {}  # children of a node by kind
     stack: list[int] = [0]
     runs: list[tuple[int, list[str]]] = []  # (node, texts) of each block
     fresh = True
@@ -127,7 +133,8 @@ def parse(page: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]
         noise, content, sign = _declared(tag, m[3] if m[2] else m[6], within[top] == 2)
         node = len(tags)
         tags.append(tag), parents.append(top), noisy.append(noise or noisy[top]), within.append(max(0 if noise else content, within[top]))
-        place.append(len(styles[top])), styles[top].append(sign), styles.append([])
+        place.append((sign, like.get((top, sign), 0))), styles[top].append(sign), styles.append([])
+        like[top, sign] = place[-1][1] + 1
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
@@ -138,9 +145,7 @@ def parse(page: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]
 
     texts = [(node, " ".join("".join(parts).split())) for node, parts in runs]
     texts = [(node, t) for node, t in texts if t]
-    for part in (2, 1):
-        if article := [(0, t) for node, t in texts if within[node] >= part]:
-            return article, []
+    part = max((within[node] for node, _ in texts), default=0)
     keys: dict[int, int] = {0: 1}
 
     def key(node: int) -> int:
@@ -149,16 +154,30 @@ def parse(page: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]
             path.append(node)
             node = parents[node]
         for x in reversed(path):
-            keys[x] = _hash(keys[parents[x]], "|".join(styles[parents[x]]), place[x])
+            sign, nth = place[x]
+            keys[x] = _hash(keys[parents[x]], sign, "last" if nth and nth == like[parents[x], sign] - 1 else nth)
         return keys[path[0]] if path else keys[node]
 
     blocks, facts, seen = [], [], {}
     for node, t in texts:
         k = seen[node] = seen.get(node, 0) + 1
         own = _hash(key(node), k)
-        blocks.append((own, t))
+        blocks.append((own, t, within[node] >= part))
         facts.append((own, _hash("|".join(styles[node])), _hash(t)))
-    return blocks, facts
+    return blocks, facts, part > 0
+
+
+def parse(page: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
+    """What the page alone tells: the blocks (node, text) that may be its main text, and, if it declares neither an
+    article nor a main part, the facts (see :func:`read`) that must decide on them."""
+    blocks, facts, declared = read(page)
+    return [(node, t) for node, t, may in blocks if may], [] if declared else facts
+
+
+def _sketch(blocks: list[tuple[int, str, bool]]) -> int:
+    """The least hash of three words in a row: mostly the same for near copies of a page, and only for these."""
+    words = " ".join(t for _, t, _ in blocks).split()
+    return min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) - (1 << 63)
 
 
 def _host(url: str | None) -> str:
@@ -172,51 +191,65 @@ def _entropy(kind: str) -> list:
 
 
 def site_noise(pages: DataFrame) -> DataFrame:
-    """``host, noise``: nodes of each site's style tree that are of low importance (``page_id, url, html`` pages).
+    """``host, noise``: marks of what is of low importance in each site's style tree (``page_id, url, html`` pages).
 
-    The pages of a host are merged: for each node, how many pages have it, and how its presentations (the children's
-    elements) and its contents spread over them. Importance is the entropy of each, to the base of the pages, so 1 if
-    all differ and 0 if all are the same.
+    The pages of a host are merged, those that declare an article too: for each node, how many pages have it, and how
+    its presentations (the children's elements) and its contents spread over them. Importance is the entropy of each,
+    to the base of the pages, so 1 if all differ and 0 if all are the same. Marks are nodes, for pages that declare
+    nothing, and hashes of node and content, for declared articles, of which only texts go that the site repeats.
     """
-    schema = pa.schema([("host", pa.string()), ("node", pa.int64()), ("style", pa.int64()), ("content", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("node", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("sketch", pa.int64())])
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(host, *f) for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for host in [_host(url)] for f in parse(page or "")[1]]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            out = []
+            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks, found, _ = read(page or "")
+                host, sketch = _host(url), _sketch(blocks)
+                out += [(host, *f, sketch) for f in found]
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    found = materialize(pages.select("url", "html").mapInArrow(facts, "host string, node long, style long, content long"), "facts")
+    found = materialize(pages.select("url", "html").mapInArrow(facts, "host string, node long, style long, content long, sketch long"), "facts")
     each = {}
     for kind in ("style", "content"):
         spread = found.groupBy("host", "node", kind).agg(F.count(F.lit(1)).alias("n")).groupBy("host", "node").agg(*_entropy("e"))
-        each[kind] = spread.where(F.col("m") >= PAGES).select("host", "node", (1 - F.col("e") / (F.col("m") * F.log("m"))).alias(kind))
+        each[kind] = spread.where(F.col("m") >= PAGES).select("host", "node", "m", (1 - F.col("e") / (F.col("m") * F.log("m"))).alias(kind))
     importance = PRESENTATION * F.col("style") + (1 - PRESENTATION) * F.col("content")
-    low = each["style"].join(each["content"], ["host", "node"]).where(importance < IMPORTANCE)
-    return low.groupBy("host").agg(F.collect_list("node").alias("noise"))  # as many as the site's templates have nodes
+    low = each["style"].join(each["content"].drop("m"), ["host", "node"]).where(importance < IMPORTANCE)
+    low = materialize(low.select("host", "node", "m"), "low")  # as many as the sites' templates have nodes
+    kinds = found.join(small(low), ["host", "node"]).groupBy("host", "node", "m", "content", "sketch").agg(F.count(F.lit(1)).alias("n"))
+    texts = kinds.groupBy("host", "node", "m", "content").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+    texts = texts.where((F.col("n") >= SHARE * F.col("m")) & (F.col("different") >= F.greatest(F.lit(PAGES), DIFFERENT * F.col("n"))))
+    marks = low.select("host", F.col("node").alias("mark")).unionByName(texts.select("host", F.xxhash64("node", "content").alias("mark")))
+    return marks.groupBy("host").agg(F.collect_list("mark").alias("noise"))  # at most 1 + 1 / SHARE a node
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of every page, its blocks joined by line breaks.
 
-    What a page declares decides first (see :func:`parse`); in pages that declare no article, branches go whose
-    importance in the style tree of their site is low. Character references are decoded, white space inside a block
+    What a page declares comes first (see :func:`read`): of an article or main part only texts go that the site repeats
+    at nodes of low importance in its style tree; of a page that declares none, all branches of such nodes. Character references are decoded, white space inside a block
     becomes one space. A null or empty page has an empty text; pages without an address form one site. Null ids and
     repeated rows are kept as they are; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     noise = materialize(site_noise(rows), "noise").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     kinds = rows.schema
-    block = pa.struct([("node", pa.int64()), ("text", pa.string())])
+    block = pa.struct([("node", pa.int64()), ("content", pa.int64()), ("declared", pa.bool_()), ("text", pa.string())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"node": k, "text": t} for k, t in parse(page or "")[0]] for page in batch.column(2).to_pylist()]
+            found = []
+            for page in batch.column(2).to_pylist():
+                all_blocks, facts, declared = read(page or "")
+                found.append([{"node": k, "content": f[2], "declared": declared, "text": t} for (k, t, may), f in zip(all_blocks, facts, strict=True) if may])
             hosts = [_host(u) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(found, pa.list_(block))], names=["page_id", "url", "host", "blocks"])
 
-    parsed = rows.mapInArrow(blocks, f"page_id {kinds['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<node:long,text:string>>")
+    parsed = rows.mapInArrow(blocks, f"page_id {kinds['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<node:long,content:long,declared:boolean,text:string>>")
     parsed = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")).join(noise, ["host", "salt"], "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("noise", b["node"]), F.lit(False)))
+    mark = lambda b: F.when(b["declared"], F.xxhash64(b["node"], b["content"])).otherwise(b["node"])
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("noise", mark(b)), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return parsed.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
