@@ -177,6 +177,17 @@ def test_repeated_passages_against_brute_force(spark):
             assert t.split() == [w for k, w in enumerate(texts[i].split()) if (i, k) not in mine]
 
 
+def test_repeats_among_shuffled_lines(spark):
+    """Documents of frequent 20-word lines in any order: neighbours in both sort orders share too little."""
+    rng = random.Random(5)
+    lines = [" ".join(prose(rng, 20, 10**5)) for _ in range(12)]
+    texts = [" ".join(rng.choice(lines) for _ in range(rng.randrange(3, 9))) for _ in range(500)]
+    rows = suffix_dedup.repeated_spans(docs(spark, texts)).collect()
+    every, later = repeated(texts)
+    assert {(r.id, w) for r in rows if not r.later for w in range(r.begin, r.finish)} == every
+    assert {(r.id, w) for r in rows if r.later for w in range(r.begin, r.finish)} == later
+
+
 def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.repeated_spans(docs(spark, [])).count() == 0
     assert suffix_dedup.cut_repeats(docs(spark, ["a b", None])).count() == 2

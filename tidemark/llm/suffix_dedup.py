@@ -105,6 +105,32 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash of LEAST words, class of the anchor that they hold, its places' least and largest id, place of the first
+    word against the anchor): at most WINDOW rows an anchor. Hashes depend on the words only."""
+    schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("at", pa.int32())])
+    for batch in batches:
+        for lo, hi, data, off in slices(batch.column(1)):
+            start, end, bounds = spans(data, off)
+            words = word_hashes(data, start, end, fold=False)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power_table(_BASE, len(words) + 1)[: len(words)])])
+            back = _power_table(_INVERSE, len(words) + 1)
+            wanted = batch.column(2).slice(lo, hi - lo)
+            flat, sizes = wanted.flatten(), np.diff(np.asarray(wanted.offsets))
+            row = np.repeat(np.arange(hi - lo), sizes)
+            place = bounds[row] + np.asarray(flat.field("pos")).astype(np.int64)
+            ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
+            for some in range(0, len(place), 4096):
+                part = slice(some, some + 4096)
+                first = place[part, None] - np.arange(WINDOW)
+                anchor, k = np.nonzero((first >= bounds[row[part], None]) & (first + LEAST <= bounds[row[part] + 1, None]))
+                first = first[anchor, k]
+                w = mix((total[first + LEAST] - total[first]) * back[first])
+                i = pa.array(anchor + some)
+                columns = [pa.array(w.view(np.int64)), flat.field("h").take(i), flat.field("c").take(i), ids.take(i), flat.field("y").take(i), pa.array(-k.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 class _Rows:
     """Columns of sorted anchors as arrays."""
 
@@ -233,7 +259,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at once, so the copies of a common passage are counted, not sorted. One anchor of each class goes to the suffix
     sort, if its gram has more than one class: sorted by what follows and again by what precedes, each is compared
     with its neighbours and with the first document of its run of matches. Sorting is by range over gram and context,
-    so a common gram is dealt to many tasks.
+    so a common gram is dealt to many tasks. What lies too far apart in both orders is found exactly: the windows of
+    LEAST words that hold the anchor of such a class (at most WINDOW of them) are grouped by their hash, and those that
+    several classes have are spans at every place of these classes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     anchors = materialize(rows.mapInArrow(_anchor_rows, "id long, pos int, h long, c long, left int, right int"), "anchors")
@@ -242,14 +270,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = materialize(grams.select("h", (F.col("c1") < F.col("c2")).alias("several")), "grams")
     shared = materialize(anchors.join(grams, "h"), "shared")
     classes = shared.groupBy("h", "c", "several").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("y"))
-    classes = materialize(classes.select("h", "c", "several", "first", (F.col("first.id") < F.col("y")).alias("common")), "classes")
+    classes = materialize(classes.select("h", "c", "several", "first", "y", (F.col("first.id") < F.col("y")).alias("common")), "classes")
     common = classes.where("common").select("h", "c", F.col("first.id").alias("first_id"))
     begin, finish = F.col("pos") - F.col("left"), F.col("pos") + GRAM + F.col("right")
     whole = shared.where(F.col("left") + F.col("right") + GRAM >= LEAST).join(common, ["h", "c"])
     whole = whole.select("id", begin.cast("long").alias("begin"), finish.cast("long").alias("finish"), (F.col("id") > F.col("first_id")).alias("later"))
     found = [whole]
 
-    wanted = classes.where("several").select(F.col("first.id").alias("id"), F.struct(F.col("first.pos").alias("pos"), "h").alias("a"))
+    wanted = classes.where("several").select(F.col("first.id").alias("id"), F.struct(F.col("first.pos").alias("pos"), "h", "c", "y").alias("a"))
     lists = materialize(wanted.groupBy("id").agg(F.collect_list("a").alias("anchors")), "wanted")  # of one document each
     texts = rows.join(small(lists.select("id")), "id", "left_semi").join(lists, "id").select("id", "text", "anchors")
     contexts = materialize(texts.mapInArrow(_contexts, "id long, pos int, h long, nl int, nr int, l binary, r binary"), "contexts")
@@ -260,6 +288,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         across = _across(matched)
         if across:
             found.append(docs.sparkSession.createDataFrame(across, "id long, begin long, finish long, later boolean"))
+    windows = materialize(texts.mapInArrow(_windows, "w long, h long, c long, x long, y long, at int"), "windows")
+    # Windows of one class only are spans already where the class is common.
+    hits = windows.groupBy("w").agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi and many > 1")
+    hits = materialize(hits.select("w", "lo"), "hits")
+    # All of them hold the anchor's gram, so those that are in the same documents first have no gap between them.
+    near = windows.join(small(hits), "w").groupBy("h", "c", "lo").agg(F.min("at").alias("from"), F.max("at").alias("to"))
+    near = materialize(near, "near")
+    exact = shared.join(near, ["h", "c"])
+    exact = exact.select("id", (F.col("pos") + F.col("from")).cast("long").alias("begin"), (F.col("pos") + F.col("to") + LEAST).cast("long").alias("finish"), (F.col("id") > F.col("lo")).alias("later"))
+    found.append(exact)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
