@@ -61,6 +61,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found) and len(found) == len(texts)
 
 
+def test_near_duplicates_of_overlapping_groups(spark, monkeypatch):
+    """Two groups of 60 near copies with bridges; every bucket goes by its head and the prefix filter."""
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    monkeypatch.setattr(near_dedup, "LEADERS", 0)
+    rng = random.Random(2)
+    a = prose(rng, 120)
+    b = edited(rng, a, 9)
+    texts = [" ".join(edited(rng, x, rng.randrange(1, 5))) for x in (a, b) for _ in range(60)]
+    texts += [" ".join(x if rng.random() < 0.5 else y for x, y in zip(a, b, strict=True)) for _ in range(8)]
+    rng.shuffle(texts)
+    found = near_dedup.near_duplicates(docs(spark, texts), shingle=3, numerator=85, denominator=100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(dict(enumerate(texts)), 3, 85, 100)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     same = docs(spark, ["a b c d e f", None]).unionByName(docs(spark, ["a b c d e f"])).unionByName(spark.createDataFrame([(None, "a b c d e f", "", "", 1, "", "")], DOCS))

@@ -192,6 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # D be what a document has that the leader hasn't, and the other way round. Of two linked documents in two
         # components D is large against what they may differ in, so that their D must meet in their rarest elements.
         large = crossing.where(F.col("many") > FEW).join(first, "key").select((-F.col("head.col2")).alias("a"), F.col("rep").alias("b"))
+        # This holds only if each member has been compared with that leader, also with the head of a bucket of several groups.
+        heads = materialize(large.where("a <> b").distinct(), "heads")
+        for x in ("a", "b"):
+            known = same.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n")).join(groups.select(F.col("node").alias(x), "component"), x, "left")
+            heads = heads.join(known.select(x, f"{x}_n", F.coalesce("component", x).alias(f"{x}_own")), x)
+        heads = heads.where((F.col("a_own") != F.col("b_own")) & near_in_size("a_n", "b_n"))
+        verify(pairs.unionByName(heads.select(F.col("a").alias("p"), F.col("b").alias("q"))))
         groups_of = rest.select(F.col("leader").alias("a"), F.col("rep").alias("b")).unionByName(large).where("a <> b").distinct()
         own = with_texts(materialize(groups_of, "groups")).mapInArrow(_differences(shingle), "leader long, x long, n long, own array<long>")
         slack = F.floor(F.col("n") * (denominator - numerator) / numerator).cast("long")  # most that a link's two sets differ in
@@ -215,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met = met.join(own.select("leader", F.col("x").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own")), ["leader", x])
         differ = F.size("p_own") + F.size("q_own") - 2 * F.size(F.array_intersect("p_own", "q_own"))
         both = F.col("p_n") + F.col("q_n")
-        verify(pairs.unionByName(met.where((both - differ) * denominator >= (both + differ) * numerator).select("p", "q")))
+        verify(met.where((both - differ) * denominator >= (both + differ) * numerator).select("p", "q"))
 
     labels = reps.join(groups, reps["rep"] == groups["node"], "left").select("k1", "k2", reps["n"].alias("n"), F.coalesce("component", "rep").alias("component_id"))
     found = sketches.join(labels, ["k1", "k2", "n"], "left")
