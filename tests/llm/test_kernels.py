@@ -131,7 +131,9 @@ def test_tree_of_equal_and_few_vectors():
     assert ann.fit_tree(np.ones((100, 3))).leaves == 1
     x = np.random.default_rng(4).normal(size=(900, 8))
     tree = ann.fit_tree(x)
-    leaf = tree.assign(x)
-    assert sorted(tree.order(x[0], tree.leaves)) == list(range(tree.leaves)) and tree.order(x[0], 1)[0] == leaf[0]
+    leaf, off = tree.assign(x)
+    order = tree.order(x[0], tree.leaves)
+    assert sorted(k for k, _ in order) == list(range(tree.leaves)) and tree.order(x[0], 1)[0][0] == leaf[0]
+    assert abs(order[0][1] - off[0] ** 2) < 1e-9
 
 

@@ -121,7 +121,11 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), [float(v) for v in row] if row is not None else None) for i, row in zip(ids if ids is not None else range(len(x)), x, strict=True)], "vec_id long, embedding array<float>")
 
 
-def test_nearest_recall(spark):
+@pytest.mark.parametrize("split", [4096, 60])
+def test_nearest_recall(spark, monkeypatch, split):
+    """With the root's tree alone, and with leaves that are clustered again; most vectors are loosely clustered."""
+    monkeypatch.setattr(ann, "SPLIT", split)
+    monkeypatch.setattr(ann, "FIT_BIN", min(ann.FIT_BIN, 4 * split))
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
@@ -141,6 +145,12 @@ def test_nearest_recall(spark):
         if 100 <= q < 900:
             assert [r.vec_id for r in sorted(own, key=lambda r: r.rank)] == [i for i in range(100, 107) if i != q][:5]
     assert hits / total >= 0.9
+    assert abs(ann.measured_recall(df, df.where("vec_id % 50 = 0"), spark.createDataFrame(found)) - hits / total) < 0.02
+
+
+def test_nearest_among_vectors_of_one_length(spark):
+    df = vectors(spark, [[1, 0], [1, 0.1], [1, 0, 0], [1, 0, 0.2], [0, 1, 0], [5]])
+    assert {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df).collect()} == {(0, 1, 1), (1, 1, 0), (2, 1, 3), (2, 2, 4), (3, 1, 2), (3, 2, 4), (4, 1, 2), (4, 2, 3)}
 
 
 def test_nearest_of_odd_vectors(spark):
@@ -371,3 +381,26 @@ def test_mixing_takes_prefixes_of_seeded_epochs(spark):
             assert epoch == last or len(got) == len(own)
     assert sum(r._tokens for r in rows) <= 6000 and {"doc_id", "text", "lang", "source"} <= set(rows[0].asDict())
     assert mixing.mix_sources(df.limit(0), {"lang": F.col("lang")}, {}).count() == 0
+
+
+def test_mixing_of_clashing_columns(spark):
+    """Levels and columns named like the operator's own columns, and its own output as input, give the same rows."""
+    rng = random.Random(19)
+    rows = [(i, " ".join(prose(rng, rng.randrange(1, 20))), rng.choice("pq"), rng.choice("rs")) for i in range(200)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    ids = lambda df: sorted((r.doc_id, r._epoch) for r in df.collect())
+    wanted = ids(mixing.mix_sources(plain, levels, {"lang": {"p": 3}}, budget=1500))
+    odd = plain.select("*", *[F.lit("z").alias(c) for c in ("_key", "_slice", "_full", "_rest", "_lang", "tokens", "level0", "x_0", "X_tokens", "share", "w.v")])
+    mixed = mixing.mix_sources(odd, levels, {"lang": {"p": 3}}, budget=1500)
+    assert ids(mixed) == wanted and {"_key", "w.v", "x_0"} <= set(mixed.columns) and {r._key for r in mixed.select("_key").collect()} == {"z"}
+    again = mixing.mix_sources(mixed, levels, {})
+    assert again.columns == mixed.columns and again.count() > 0
+    for names in (("share", "full"), ("b", "c"), ("given", "w"), ("most", "parent")):
+        leaves = plain.groupBy(F.col("lang").alias(names[0]), F.col("source").alias(names[1])).agg(F.count(F.lit(1)).alias("tokens"))
+        got = {tuple(r)[:2]: r.allotted for r in mixing.budgets(leaves, list(names), {}, 150).collect()}
+        assert len(got) == 4 and 146 <= sum(got.values()) <= 150
+    with pytest.raises(ValueError, match="tokens"):
+        mixing.budgets(leaves, ["tokens"], {})
+    nulls = spark.createDataFrame([(None, 5), ("k", None), ("l", 5)], "lang string, tokens long")
+    assert {r.lang: r.allotted for r in mixing.budgets(nulls, ["lang"], {}, 6).collect()} == {None: 3, "k": 0, "l": 3}

@@ -4,35 +4,77 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a two-column table of longs that may be broadcast (about 16 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch: what a task holds of its rows outside the JVM's heap and in its Python worker.
+BATCH_BYTES = 4 << 20
+_BATCHES = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate tables; a temporary one where none is named (tests)."""
+    """The folder that the cluster shares for intermediate tables.
+
+    A temporary one where none is named, which only a local session (as in tests) may do: on a cluster that would be
+    a folder of the driver's own machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes rather than only by rows, so that long texts don't fill a worker's memory.
+
+    A setting of the session; a smaller one that the user has made stays.
+    """
+    for name in _BATCHES:
+        now = spark.conf.get(name, None)
+        if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+            spark.conf.set(name, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`materialize` wrote and that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcasting if it is known to have at most ``rows`` rows; the count is taken first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(columns: Iterable[str]) -> str:
+    """A prefix that no column name begins with, for an operator's own columns beside its input's."""
+    taken, prefix = [c.lower() for c in columns], "x_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = "x" + prefix
+    return prefix

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import materialize
+from tidemark.llm._spark import materialize, small
 
-#: Vectors that the tree is fitted on at most, children of a node, sampled vectors of a leaf.
-FIT_VECTORS, BRANCHES, LEAF = 20_000, 8, 48
+#: Vectors that the root's tree is fitted on at most, children of a node, least sampled vectors of a leaf, and leaves
+#: of a tree, about.
+FIT_VECTORS, BRANCHES, LEAF, BINS = 8_192, 8, 16, 64
+#: Rows of a leaf above which it is clustered again, sampled rows for that, about, and levels of trees below the root.
+SPLIT, FIT_BIN, DEPTH = 4_096, 2_048, 5
 #: Queries whose exact neighbours calibrate the number of leaves to visit, and the recall asked of them.
 CALIBRATION, RECALL = 200, 0.97
+#: Leaves that are visited first.
+FIRST = 4
 #: Rows of a block and queries of a batch that are compared at once.
 BLOCK, BATCH = 2_048, 512
 
@@ -34,8 +40,9 @@ class Tree:
     def leaves(self) -> int:
         return max(self.leaf) + 1
 
-    def order(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves by best-bin-first: the nearest node in the queue is opened next."""
+    def order(self, q: np.ndarray, visits: int) -> list[tuple[int, float]]:
+        """The first ``visits`` leaves by best-bin-first, with the squared distance of their centres: the nearest node
+        in the queue is opened next."""
         queue, out = [(0.0, 0)], []
         while queue and len(out) < visits:
             _, node = heapq.heappop(queue)
@@ -47,12 +54,12 @@ class Tree:
                     if k != best:
                         heapq.heappush(queue, (d, own[k]))
                 node = own[best]
-            out.append(self.leaf[node])
+            out.append((self.leaf[node], float(((self.centres[node] - q) ** 2).sum())))
         return out
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: the nearest child at every level."""
-        at, out = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each vector, the nearest child at every level, and how far it is from the leaf's centre."""
+        at, out, off = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x))
         open_nodes = [0] if len(x) else []
         while open_nodes:
             node = open_nodes.pop()
@@ -60,13 +67,13 @@ class Tree:
             if not len(mine):
                 continue
             if not self.children[node]:
-                out[mine] = self.leaf[node]
+                out[mine], off[mine] = self.leaf[node], np.sqrt(((x[mine] - self.centres[node]) ** 2).sum(1))
                 continue
             own = np.array(self.children[node])
             c = self.centres[own]
             at[mine] = own[(-2 * x[mine] @ c.T + (c**2).sum(1)).argmin(1)]
             open_nodes += own.tolist()
-        return out
+        return out, off
 
 
 def fit_tree(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed: int = 5) -> Tree:
@@ -115,100 +122,257 @@ def _best(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarra
         yield i, rows, (q[i] * x[rows]).sum(1) / (nq[i] * nx[rows])
 
 
+def _record(names: str, *columns: tuple[Iterable, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], names=names.split())
+
+
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the rows that take part: id known, all components finite, not all zero, of the commonest length."""
+    """(id, v) of the rows that take part: id known, all components finite, not all zero."""
     v = F.col(vec_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (size[0]["n"] if size else 0))
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+_ENTRY = "v array<double>, ids array<long>, bin long, off double"
+_VISIT = "id long, v array<double>, bin long, far double"
+
+
+class Index:
+    """A hierarchical k-means tree over the rows of a DataFrame, which all lie in its leaves.
+
+    The root's tree is fitted in the driver on a bounded sample and shipped to all tasks. Leaves of more than SPLIT
+    rows are clustered again, each on its own sample in an executor, until none is left, so that the number of leaves
+    grows with the rows and their size doesn't. These trees are a table: they never meet in one place.
+    """
+
+    def __init__(self, entries: DataFrame):
+        """``entries``: ``v`` (vectors of one length, each once) and ``ids`` (those that have it, ascending)."""
+        self.spark = entries.sparkSession
+        picked = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(FIT_VECTORS).select("v").toPandas()["v"]
+        self.root = fit_tree(_unit(np.stack(picked.to_numpy()).astype(float)), leaf=max(LEAF, -(-len(picked) // BINS)))
+        shipped = self.shipped = self.spark.sparkContext.broadcast(self.root)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    leaf, off = shipped.value.assign(_unit(_matrix(batch.column(0))))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(off)], names=["v", "ids", "bin", "off"])
+
+        placed, settled, self.trees = materialize(entries.select("v", "ids").mapInArrow(place, _ENTRY), "placed"), [], []
+        while len(self.trees) < DEPTH:
+            large = materialize(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "large")
+            if large.isEmpty():
+                break
+            inner = placed.join(small(large), "bin")
+            number = F.xxhash64(F.col("ids")[0], F.lit(len(self.trees)))
+            sample = inner.where(F.pmod(number, F.col("n")) < FIT_BIN).groupBy("bin").agg(F.collect_list("v").alias("rows"))  # FIT_BIN in the mean
+            trees = materialize(sample.mapInArrow(_fit_bins, "bin long, tree binary"), "trees")
+            blocks = inner.withColumn("block", F.pmod(number, F.ceil(F.col("n") / BLOCK))).groupBy("bin", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
+            settled.append(placed.join(small(large), "bin", "left_anti").select("v", "ids", "bin", "off"))
+            placed = materialize(blocks.join(trees, "bin").select("bin", "tree", "rows").mapInArrow(_descend, _ENTRY), "placed")
+            self.trees.append(trees)
+        for more in settled:
+            placed = placed.unionByName(more)
+        self.placed = placed
+        self.leaves = materialize(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")), "leaves")
+        self.size = self.leaves.count()
+        self.blocks = materialize(
+            placed.join(small(self.leaves), "bin").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.ceil(F.col("n") / BLOCK))).groupBy("bin", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows")), "blocks"
+        )
+
+    def visits(self, asked: DataFrame, count: int) -> DataFrame:
+        """``id, v, bin, far``: the ``count`` leaves that best-bin-first traversal opens for each query, and how far
+        their centres are (squared). Each tree has a queue of its own; what they open is ordered by distance again."""
+        shipped = self.shipped
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield _opened(shipped.value, batch.column(0), batch.column(1), count, None)
+
+        found = _spread(asked, "id").mapInArrow(opened, _VISIT)
+        for trees in self.trees:
+            found = materialize(found, "visits")
+            sizes = found.groupBy("bin").agg(F.count(F.lit(1)).alias("askers")).join(trees.select("bin"), "bin")
+            batches_of = self._batches(found, sizes).join(trees, "bin")
+
+            def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for n in range(batch.num_rows):
+                        queries = batch.column(1)[n].values
+                        yield _opened(pickle.loads(batch.column(2)[n].as_py()), queries.field("id"), queries.field("v"), count, batch.column(0)[n].as_py())
+
+            deeper = batches_of.select("bin", "queries", "tree").mapInArrow(inner, _VISIT)
+            nearest_first = Window.partitionBy("id").orderBy("far", "bin")
+            every = found.join(small(trees.select("bin")), "bin", "left_anti").select("id", "v", "bin", "far").unionByName(deeper)
+            found = every.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= count).drop("n")
+        return found
+
+    @staticmethod
+    def _batches(visits: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The queries that visit a bin, in lists of about BATCH."""
+        dealt = visits.join(small(materialize(sizes, "sizes")), "bin").withColumn("batch", F.pmod(F.xxhash64("id"), F.ceil(F.col("askers") / BATCH)))
+        own = F.struct("id", "v", *[c for c in ("floor",) if c in visits.columns])
+        return dealt.groupBy("bin", "batch").agg(F.collect_list(own).alias("queries"))
+
+    def compare(self, visits: DataFrame, k: int) -> DataFrame:
+        """``query_id, vec_id, score``: of each block of each leaf that a query visits, its k nearest rows whose score
+        is not below its ``floor``."""
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for n in range(batch.num_rows):
+                    rows, queries = batch.column(0)[n].values, batch.column(1)[n].values
+                    ids, q_ids, floors = (c.to_pylist() for c in (rows.field("ids"), queries.field("id"), queries.field("floor")))
+                    found = []
+                    for i, at, scores in _best(_matrix(queries.field("v")), _matrix(rows.field("v")), k + 1):
+                        own = sorted((-s, x) for r, s in zip(at.tolist(), scores.tolist(), strict=True) if s >= floors[i] for x in ids[r] if x != q_ids[i])[:k]
+                        found += [(q_ids[i], x, -s) for s, x in own]
+                    if found:
+                        a, b, c = zip(*found, strict=True)
+                        yield _record("query_id vec_id score", (a, pa.int64()), (b, pa.int64()), (c, pa.float64()))
+
+        sizes = visits.groupBy("bin").agg(F.count(F.lit(1)).alias("askers"))
+        return self.blocks.join(self._batches(visits, sizes), "bin").select("rows", "queries").mapInArrow(met, "query_id long, vec_id long, score double")
+
+    def exact_leaves(self, trial: DataFrame, k: int) -> DataFrame:
+        """``id, bin, vec_id``: the leaves that hold the true k nearest rows of a bounded set of queries."""
+        asked = trial.toPandas()
+        q, q_ids = np.stack(asked["v"].to_numpy()).astype(float), asked["id"].tolist()
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple[float, int, int]]] = [[] for _ in q_ids]
+            for batch in batches:
+                if batch.num_rows:
+                    ids, bins = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                    for i, rows, scores in _best(q, _matrix(batch.column(0)), k + 1):
+                        best[i] = sorted(best[i] + [(-s, x, bins[r]) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for x in ids[r] if x != q_ids[i]])[:k]
+            found = [(q_ids[i], leaf, s, x) for i, own in enumerate(best) for s, x, leaf in own]
+            if found:
+                yield _record("id bin s vec_id", *zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True))
+
+        order = Window.partitionBy("id").orderBy("s", "vec_id")
+        near = self.placed.select("v", "ids", "bin").mapInArrow(scan, "id long, bin long, s double, vec_id long")
+        return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "bin", "vec_id")
+
+    def calibrated(self, asked: DataFrame, k: int, recall: float) -> int:
+        """Leaves to visit: widened until those visited hold ``recall`` of the true neighbours of CALIBRATION queries."""
+        trial = materialize(asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION), "trial")
+        if trial.isEmpty():
+            return 1
+        truth = materialize(self.exact_leaves(trial, k), "truth")
+        all_of, count = truth.count(), FIRST
+        while count < self.size and truth.join(self.visits(trial, count).select("id", "bin"), ["id", "bin"], "left_semi").count() < recall * all_of:
+            count = -(-count * 3 // 2)
+        return min(count, self.size)
+
+    def search(self, asked: DataFrame, k: int, recall: float) -> DataFrame:
+        """``query_id, rank, vec_id, score`` of the k nearest rows in the leaves visited.
+
+        First each query visits its FIRST nearest leaves. Of the others it needs only those that can hold a row nearer
+        than its k-th so far (by the distance of the centre and the radius), and of their rows only the nearer ones.
+        """
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+        def top(found: DataFrame) -> DataFrame:
+            found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+        count = self.calibrated(asked, k, recall)
+        order = Window.partitionBy("id").orderBy("far", "bin")
+        visits = materialize(self.visits(asked, count).withColumn("n", F.row_number().over(order)), "visits")
+        early = materialize(top(self.compare(visits.where(F.col("n") <= FIRST).withColumn("floor", F.lit(-2.0)), k)), "early")
+        floors = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        late = visits.where(F.col("n") > FIRST).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        reach = F.sqrt("far") - F.col("radius") <= F.sqrt(F.greatest(2 - 2 * F.col("floor"), F.lit(0.0))) + 1e-9
+        late = materialize(late.join(small(self.leaves.select("bin", "radius")), "bin").where(reach).select("id", "v", "bin", "floor"), "late")
+        found = early.select("query_id", "vec_id", "score").unionByName(self.compare(late, k))
+        return top(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _opened(tree: Tree, ids: pa.Array, vectors: pa.Array, count: int, above: int | None) -> pa.RecordBatch:
+    """The leaves of one tree that each query opens; leaves below a bin are numbered by it."""
+    opened = [tree.order(v, count) for v in _unit(_matrix(vectors))]
+    at = pa.array(np.repeat(np.arange(len(opened)), [len(o) for o in opened]))
+    leaf, far = np.array([x for o in opened for x, _ in o], np.int64), np.array([d for o in opened for _, d in o])
+    return pa.RecordBatch.from_arrays([ids.take(at), vectors.take(at), pa.array(leaf if above is None else _below(above, leaf)), pa.array(far)], names=["id", "v", "bin", "far"])
+
+
+def _below(bin_: int, leaf: np.ndarray) -> np.ndarray:
+    return (bin_ + 1) * 1024 + leaf  # a tree has fewer than 1,024 leaves
+
+
+def _fit_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n in range(batch.num_rows):
+            x = _unit(_matrix(batch.column(1)[n].values))
+            yield _record("bin tree", ([batch.column(0)[n].as_py()], pa.int64()), ([pickle.dumps(fit_tree(x, leaf=max(LEAF, -(-len(x) // BINS))))], pa.binary()))
+
+
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n in range(batch.num_rows):
+            rows = batch.column(2)[n].values
+            leaf, off = pickle.loads(batch.column(1)[n].as_py()).assign(_unit(_matrix(rows.field("v"))))
+            yield pa.RecordBatch.from_arrays([rows.field("v"), rows.field("ids"), pa.array(_below(batch.column(0)[n].as_py(), leaf)), pa.array(off)], names=["v", "ids", "bin", "off"])
 
 
 def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest rows of ``df`` by cosine that the search finds.
 
-    ``queries`` has the same columns. The tree is fitted on at most FIT_VECTORS rows (in the order of a hash of their
-    ids), every row is put into a leaf. At most CALIBRATION of the queries are first answered exactly over all rows;
-    leaf visits are widened until the leaves visited hold ``recall`` of their neighbours. All queries then visit that
-    many leaves, best bin first, and are compared with all rows in them, in blocks. Equal vectors are one entry with
-    its k + 1 smallest ids, so a vector that very many rows share costs no more than another. A row is never its own
-    query's neighbour; ties go to the smaller id. Null, zero, non-finite vectors and null ids take no part; rows that
-    repeat an id count once for each different vector. Fewer rows than ``k`` give as many ranks; none give no result.
+    ``queries`` has the same columns. Every row is put into a leaf of a hierarchical k-means tree (:class:`Index`).
+    At most CALIBRATION of the queries are first answered exactly over all rows; leaf visits are widened until the
+    leaves visited hold ``recall`` of their neighbours. All queries then visit that many leaves, best bin first, and
+    are compared with all rows in them, in blocks. Equal vectors are one entry with its k + 1 smallest ids, so a vector
+    that very many rows share costs no more than another. A row is never its own query's neighbour; ties go to the
+    smaller id. Null, zero, non-finite vectors and null ids take no part; rows that repeat an id count once for each
+    different vector, of a repeated query the least vector asks. Vectors are compared with those of their own length
+    only, each length is searched by itself. Fewer rows than ``k`` give as many ranks; none give no result.
     """
-    spark = df.sparkSession
-    rows = _vectors(df, id_col, vec_col).distinct()
+    every, asked = _vectors(df, id_col, vec_col), _vectors(queries, id_col, vec_col)
+    found = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = materialize(asked.groupBy("id").agg(F.min("v").alias("v")), "asked")
+    rows = every.distinct()
     few = Window.partitionBy("v").orderBy("id")
     rows = rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     entries = materialize(rows.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")  # k + 1 ids at most
-    asked = _vectors(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    out = "query_id long, rank int, vec_id long, score double"
-    picked = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(FIT_VECTORS).select("v").toPandas()["v"]
-    if not len(picked):
-        return spark.createDataFrame([], out)
-    tree = fit_tree(_unit(np.stack(picked.to_numpy()).astype(float)))
-    shipped = spark.sparkContext.broadcast(tree)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = shipped.value.assign(_unit(_matrix(batch.column(0)))) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], names=["v", "ids", "leaf"])
+    for r in sorted(entries.groupBy(F.size("v").alias("n")).count().collect()):  # one row a length
+        own = F.size("v") == r["n"]
+        found = found.unionByName(Index(entries.where(own)).search(asked.where(own), k, recall))
+    return found
 
-    placed = materialize(entries.mapInArrow(place, "v array<double>, ids array<long>, leaf int"), "leaves")
 
-    # Calibration: exact neighbours of a bounded set of queries, over all rows.
-    trial = asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toPandas()
-    visits = tree.leaves
-    if len(trial):
-        q, q_ids = np.stack(trial["v"].to_numpy()).astype(float), trial["id"].to_numpy()
-        if q.shape[1] != tree.centres.shape[1]:
-            return spark.createDataFrame([], out)
+def measured_recall(df: DataFrame, queries: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
+    """Share of the true neighbours for which ``found`` has rows as near as they, by brute force over all rows.
 
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    ids, leaf = batch.column(1).to_pylist(), np.asarray(batch.column(2))
-                    found = [(i, int(leaf[r]), s, x) for i, rows, scores in _best(q, _matrix(batch.column(0)), k + 1) for r, s in zip(rows, scores, strict=True) for x in ids[r] if x != q_ids[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)] if found else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.float64(), pa.int64())], names=["q", "leaf", "s", "id"])
-
-        near = placed.mapInArrow(exact, "q int, leaf int, s double, id long")
-        best = Window.partitionBy("q").orderBy(F.desc("s"), "id")
-        truth = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "leaf").collect()
-        ranks = {i: {leaf: r for r, leaf in enumerate(tree.order(v, tree.leaves))} for i, v in enumerate(_unit(q))}
-        needed = sorted(ranks[r["q"]][r["leaf"]] for r in truth)
-        visits = 1 + needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else tree.leaves
-
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row a leaf
-    parts = F.create_map(*[F.lit(x) for leaf, n in counts.items() for x in (leaf, 1 + n // BLOCK)])
-    blocks = placed.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), parts[F.col("leaf")])).groupBy("leaf", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                orders = [shipped.value.order(v, visits) for v in _unit(_matrix(batch.column(1)))]
-                at = np.repeat(np.arange(len(orders)), [len(o) for o in orders])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(orders).astype(np.int32))], names=["id", "v", "leaf"])
-
-    bins = materialize(asked.mapInArrow(visit, "id long, v array<double>, leaf int"), "visits")
-    sizes = {r["leaf"]: r["count"] for r in bins.groupBy("leaf").count().collect()}
-    if not sizes:
-        return spark.createDataFrame([], out)
-    parts = F.create_map(*[F.lit(x) for leaf, n in sizes.items() for x in (leaf, 1 + n // BATCH)])
-    batches_of = bins.withColumn("batch", F.pmod(F.xxhash64("id"), parts[F.col("leaf")])).groupBy("leaf", "batch").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    For a bounded set of queries (they are shipped to all tasks).
+    """
+    asked = _vectors(queries, id_col, vec_col).toPandas()
+    if not len(asked):
+        return 1.0
+    k = found.agg(F.max("rank")).first()[0] or 1
+    q, q_ids = [np.asarray(v, float) for v in asked["v"]], asked["id"].tolist()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                rows, queries = batch.column(0)[n].values, batch.column(1)[n].values
-                ids, q_ids = rows.field("ids").to_pylist(), queries.field("id").to_pylist()
-                found = []
-                for i, at, scores in _best(_matrix(queries.field("v")), _matrix(rows.field("v")), k + 1):
-                    own = sorted((-s, x) for r, s in zip(at, scores, strict=True) for x in ids[r] if x != q_ids[i])[:k]
-                    found += [(q_ids[i], x, -s) for s, x in own]
-                if found:
-                    a, b, c = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    met = blocks.join(batches_of, "leaf").select("rows", "queries").mapInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return met.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            ids = np.asarray(batch.column(0))
+            sizes = np.asarray(batch.column(1).value_lengths())
+            for n in np.unique(sizes):
+                mine = np.flatnonzero(sizes == n)
+                x = _matrix(batch.column(1).take(pa.array(mine)))
+                for i, v in zip(q_ids, q, strict=True):
+                    if len(v) == n:
+                        s = np.where(ids[mine] == i, -2, (x @ v) / (np.sqrt((x**2).sum(1)) * np.sqrt((v**2).sum())))
+                        s = np.sort(s[s > -1.5])[::-1][:k]
+                        yield _record("query_id score", (np.full(len(s), i), pa.int64()), (s, pa.float64()))
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    true = _vectors(df, id_col, vec_col).mapInArrow(scan, "query_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    true = true.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("wanted"))
+    as_near = F.sum((F.col("score") >= F.col("floor") - 1e-9).cast("int"))
+    got = true.join(found.select("query_id", "score"), "query_id", "left").groupBy("query_id").agg(F.first("wanted").alias("wanted"), F.coalesce(as_near, F.lit(0)).alias("got"))
+    return got.agg(F.sum(F.least("got", "wanted")) / F.sum("wanted")).first()[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import materialize, small
+from tidemark.llm._spark import fresh, materialize, small
 
 #: Slices of the order of a leaf's documents; only the slice in which the budget ends is sorted.
 _SLICES = 3  # hexadecimal digits of the order key
@@ -32,35 +32,41 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
     can give in ``epochs`` passes: what a child cannot take goes to its siblings, and only what no sibling can take is
     left with their parent's siblings, as the parent's own limit counts its descendants only. Whole tokens: rounding
     leaves less than one token for each child unspent. ``budget`` None: as many tokens as the leaves have.
+    Levels may have any names but ``tokens`` and ``allotted``; other columns of ``leaves`` are left out. Null values of
+    a level are a value like others; null tokens count as none.
     """
+    if {x.lower() for x in levels} & {"tokens", "allotted"}:
+        raise ValueError("a level can't be named tokens or allotted")
+    keys = [f"level{i}" for i in range(len(levels))]  # inside, only names of this function's own
+    nodes = leaves.select(*[F.col(f"`{x}`").alias(k) for k, x in zip(keys, levels, strict=True)], F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
     cap = F.col("tokens") * epochs
-    for level in levels:
+    for key, level in zip(keys, levels, strict=True):
         for value, w in weights.get(level, {}).items():
             if w == 0:
-                cap = F.when(F.col(level) == value, F.lit(0)).otherwise(cap)
-    nodes = leaves.withColumn("cap", cap.cast("long"))
-    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a leaf
-    nodes = nodes.withColumn("given", F.least(F.lit(budget).cast("long") if budget is not None else whole, F.sum("cap").over(Window.partitionBy(F.lit(0)))))
-    for depth, level in enumerate(levels, 1):
+                cap = F.when(F.col(key) == value, F.lit(0)).otherwise(cap)
+    nodes = nodes.withColumn("cap", cap.cast("long"))
+    whole = nodes.agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap")).first()
+    nodes = nodes.withColumn("given", F.lit(min(budget if budget is not None else whole["tokens"] or 0, whole["cap"] or 0)).cast("long"))
+    for depth, (key, level) in enumerate(zip(keys, levels, strict=True), 1):
         weight = F.lit(1)
         for value, w in weights.get(level, {}).items():
-            weight = F.when(F.col(level) == value, w).otherwise(weight)
-        above, here = levels[: depth - 1], levels[:depth]
-        level_nodes = nodes.groupBy(*here).agg(F.sum("cap").alias("c"), F.first("given").alias("b")).withColumn("w", F.when(F.col("c") > 0, weight).otherwise(0).cast("long"))
+            weight = F.when(F.col(key) == value, w).otherwise(weight)
+        above, here = keys[: depth - 1], keys[:depth]
+        children = nodes.groupBy(*here).agg(F.sum("cap").alias("most"), F.first("given").alias("parent")).withColumn("weight", F.when(F.col("most") > 0, weight).otherwise(0).cast("long"))
         beside = Window.partitionBy(*[F.col(x) for x in above] or [F.lit(0)])
         # Siblings in the order in which they run out; those before a node are full if the node itself is.
-        order = beside.orderBy(F.when(F.col("w") > 0, F.col("c") / F.col("w")).otherwise(F.lit(float("inf"))), level)
-        level_nodes = level_nodes.withColumn("full_before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        level_nodes = level_nodes.withColumn("weight_left", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        full = (F.col("w") > 0) & (F.col("c") * F.col("weight_left") <= F.col("w") * (F.col("b") - F.col("full_before")))
-        level_nodes = level_nodes.withColumn("full", full)
-        taken = F.sum(F.when(F.col("full"), F.col("c")).otherwise(0)).over(beside)
-        weight_open = F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).over(beside)
-        level_nodes = level_nodes.withColumn("taken", taken).withColumn("weight_open", weight_open)
-        share = F.when(F.col("full"), F.col("c")).when(F.col("w") == 0, 0).otherwise(F.expr("((b - taken) * w) div weight_open"))
-        level_nodes = level_nodes.select(*here, share.cast("long").alias("share"))
-        nodes = nodes.join(level_nodes, here).withColumn("given", F.col("share")).drop("share")
-    return nodes.select(*levels, "tokens", F.col("given").alias("allotted"))
+        order = beside.orderBy(F.when(F.col("weight") > 0, F.col("most") / F.col("weight")).otherwise(F.lit(float("inf"))), key)
+        children = children.withColumn("full_before", F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        children = children.withColumn("weight_left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        children = children.withColumn("full", (F.col("weight") > 0) & (F.col("most") * F.col("weight_left") <= F.col("weight") * (F.col("parent") - F.col("full_before"))))
+        taken = F.sum(F.when(F.col("full"), F.col("most")).otherwise(0)).over(beside)
+        weight_open = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0)).over(beside)
+        children = children.withColumn("taken", taken).withColumn("weight_open", weight_open)
+        share = F.when(F.col("full"), F.col("most")).when(F.col("weight") == 0, 0).otherwise(F.expr("((parent - taken) * weight) div weight_open"))
+        children = children.select(*[F.col(k).alias(f"its_{k}") for k in here], share.cast("long").alias("share"))
+        same = [F.col(k).eqNullSafe(F.col(f"its_{k}")) for k in here]
+        nodes = nodes.join(children, same).select(*keys, "tokens", "cap", F.col("share").alias("given"))
+    return nodes.select(*[F.col(k).alias(x) for k, x in zip(keys, levels, strict=True)], "tokens", F.col("given").alias("allotted"))
 
 
 def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], budget: int | None = None, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,35 +76,39 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[str, d
     are ``unknown``. A leaf that may spend as much as its documents hold once or more gives all of them in so many
     epochs; what remains of its budget takes the longest prefix of its documents that fits, in the seeded order of
     that epoch. A row is repeated once for each epoch. Rows that repeat an id are ordered beside each other.
-    Null texts hold no tokens. An empty table gives an empty result.
+    Null texts hold no tokens. An empty table gives an empty result. Columns of ``docs`` named like the new ones are
+    replaced by them (so the operator can run on its own output); all others may have any name.
 
     Sums by leaf and by slice of the order decide where a leaf's prefix ends, so documents are neither sorted nor
     moved, but for the one slice (1 / 4096) in which it ends.
     """
-    names = [f"_{x}" for x in levels]
-    rows = docs
-    for name, value in zip(names, levels.values(), strict=True):
-        rows = rows.withColumn(name, F.coalesce(value.cast("string"), F.lit("unknown")))
-    rows = rows.withColumn("_tokens", count_words(F.col(text_col)))
-    leaves = materialize(rows.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "leaves")
-    plan = budgets(leaves, names, {f"_{k}": v for k, v in weights.items()}, budget, epochs)
+    p = fresh(docs.columns)
+    names = [f"{p}{i}" for i in range(len(levels))]
+    tokens, full, rest, key, part, end, before, times, upto = (f"{p}{x}" for x in ("tokens", "full", "rest", "key", "slice", "end", "before", "times", "upto"))
+    added = {f"_{x}".lower() for x in levels} | {"_tokens", "_epoch"}
+    own = [c for c in docs.columns if c.lower() not in added]
+    rows = docs.select("*", *[F.coalesce(value.cast("string"), F.lit("unknown")).alias(name) for name, value in zip(names, levels.values(), strict=True)], count_words(F.col(text_col)).alias(tokens))
+    leaves = materialize(rows.groupBy(*names).agg(F.sum(tokens).alias("tokens")), "leaves")
+    plan = budgets(leaves, names, {name: weights.get(level, {}) for name, level in zip(names, levels, strict=True)}, budget, epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("allotted div tokens")).otherwise(0).cast("long")
-    plan = plan.withColumn("_full", whole).withColumn("_rest", F.col("allotted") - F.col("_full") * F.col("tokens")).select(*names, "_full", "_rest")
+    plan = plan.withColumn(full, whole).withColumn(rest, F.col("allotted") - F.col(full) * F.col("tokens")).select(*names, full, rest)
     plan = materialize(plan, "budgets")
-    leaf_plan = small(plan)
-    keyed = rows.join(leaf_plan, names).withColumn("_key", order_key(F.col(id_col), F.col("_full") + 1, seed)).withColumn("_slice", F.substring("_key", 1, _SLICES))
-    slices = keyed.groupBy(*names, "_rest", "_slice").agg(F.sum("_tokens").alias("t"))
-    running = Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.withColumn("upto", F.sum("t").over(running)).where("upto > _rest")
-    ends = slices.groupBy(*names).agg(F.min(F.struct("_slice", (F.col("upto") - F.col("t")).alias("_before"))).alias("e"))
-    ends = materialize(ends.select(*names, F.col("e._slice").alias("_end"), F.col("e._before").alias("_before")), "ends")
+    keyed = rows.join(small(plan), names).withColumn(key, order_key(F.col(id_col), F.col(full) + 1, seed)).withColumn(part, F.substring(key, 1, _SLICES))
+    slices = keyed.groupBy(*names, rest, part).agg(F.sum(tokens).alias("t"))
+    running = Window.partitionBy(*names).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = slices.withColumn(upto, F.sum("t").over(running)).where(F.col(upto) > F.col(rest))
+    ends = slices.groupBy(*names).agg(F.min(F.struct(F.col(part).alias("slice"), (F.col(upto) - F.col("t")).alias("before"))).alias("e"))
+    ends = materialize(ends.select(*names, F.col("e.slice").alias(end), F.col("e.before").alias(before)), "ends")
     keyed = keyed.join(small(ends), names, "left")
-    inside = (F.col("_end").isNull()) | (F.col("_slice") < F.col("_end"))
-    spare = F.when(inside & (F.col("_rest") > 0), 1).otherwise(0)
-    passes = keyed.withColumn("_times", F.col("_full") + spare)
-    chosen = passes.where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    last = keyed.where((F.col("_slice") == F.col("_end")) & (F.col("_rest") > 0))
-    within = Window.partitionBy(*names).orderBy("_key", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("_upto", F.col("_before") + F.sum("_tokens").over(within)).where("_upto <= _rest").withColumn("_epoch", F.col("_full") + 1)
-    out = [*docs.columns, *names, "_tokens", "_epoch"]
-    return chosen.select(*out).unionByName(last.select(*out))
+    inside = F.col(end).isNull() | (F.col(part) < F.col(end))
+    spare = F.when(inside & (F.col(rest) > 0), 1).otherwise(0)
+
+    def shaped(found: DataFrame, epoch: Column) -> DataFrame:
+        return found.select(*[F.col(f"`{c}`") for c in own], *[F.col(n).alias(f"_{x}") for n, x in zip(names, levels, strict=True)], F.col(tokens).alias("_tokens"), epoch.alias("_epoch"))
+
+    passes = keyed.withColumn(times, F.col(full) + spare).where(F.col(times) > 0)
+    chosen = shaped(passes, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    last = keyed.where((F.col(part) == F.col(end)) & (F.col(rest) > 0))
+    within = Window.partitionBy(*names).orderBy(key, tokens).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn(upto, F.col(before) + F.sum(tokens).over(within)).where(F.col(upto) <= F.col(rest))
+    return chosen.unionByName(shaped(last, F.col(full) + 1))
