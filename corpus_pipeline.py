@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, near_dedup, quality_crf, suffix_dedup
-from tidemark.llm._spark import materialize, table
-from tidemark.llm.queries import EPOCHS, SEED, THRESHOLD, TOKENIZERS, WEIGHTS, learnable, mixture_levels
+from tidemark.llm._spark import discard, materialize, table
+from tidemark.llm.queries import EPOCHS, SEED, THRESHOLD, WEIGHTS, learnable, mixture_levels, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "lang", "source", "n_tokens", "ids")
+    return bpe.encode(docs, tokenizer_path()).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("tokens", tokens)]
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs

@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,7 +52,7 @@ def test_every_window_holds_an_anchor():
 @pytest.fixture(scope="module")
 def tokenizers():
     tokenizers = pytest.importorskip("tokenizers")
-    path = "/opt/tokenizers/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     return tokenizers.Tokenizer.from_file(path), bpe.WordBpe(bpe.load_model(path))
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ def test_repeats_of_odd_tables(spark):
 
 
 def test_bpe_operators(spark):
-    path = "/opt/tokenizers/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     df = docs(spark, ["Hello world", None, "", "a " * 5000])
     coded = bpe.decode(bpe.encode(df, path), path)
     rows = {r.doc_id: r for r in coded.collect()}

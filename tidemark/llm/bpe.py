@@ -16,8 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each of a worker's caches of encoded words; twice as many at most are held.
-CACHE_ENTRIES = 200_000
+from tidemark.llm._spark import small_batches
+from tidemark.llm._text import lean
+
+#: Bytes of each of a worker's two caches of encoded words, about (twice as many at most are held), and characters of
+#: the longest word that is kept in one.
+CACHE_BYTES, CACHE_CHARS = 8 << 20, 64
+_ENTRY_BYTES = 220  # of an entry, besides its characters and ids
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _GAP = regex.compile(r"\p{White_Space}+")
@@ -45,14 +50,17 @@ class _Recent(dict):
     """Values by key, made when first asked for. When it is full, what it held is kept aside and moves back if asked for."""
 
     def __init__(self, make):
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, key: str):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
+        if len(key) > CACHE_CHARS:
+            return found
+        self.held += _ENTRY_BYTES + 2 * len(key) + len(found)
+        if self.held > CACHE_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[key] = found
         return found
@@ -159,6 +167,7 @@ def _worker(model) -> WordBpe:
 
 
 def _shipped(df: DataFrame, path: str):
+    small_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(load_model(path) | {"key": path})
 
 
@@ -216,4 +225,4 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

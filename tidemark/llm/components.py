@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import materialize
+from tidemark.llm._spark import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = materialize(edges, "links")
+        last, edges = edges, materialize(moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import materialize, small
-from tidemark.llm._text import mix, ngrams, slices, spans, word_hashes
+from tidemark.llm._spark import discard, materialize, small
+from tidemark.llm._text import lean, mix, ngrams, slices, spans, word_hashes
 from tidemark.llm.components import components
 
 #: Members of a bucket of which all pairs across groups are compared, and members of a led group that are compared
@@ -48,7 +48,7 @@ def _sketcher(shingle: int, pieces: int, width: int):
                 pieces_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n).cast(pa.int64()), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pieces_of], schema=schema)
 
-    return sketch
+    return lean(sketch)
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -71,7 +71,7 @@ def _differences(shingle: int):
                 sizes.append(len(y)), own.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64()))], schema=schema)
 
-    return differ
+    return lean(differ)
 
 
 def _checker(shingle: int, numerator: int, denominator: int):
@@ -86,10 +86,10 @@ def _checker(shingle: int, numerator: int, denominator: int):
                 found[i] = common > 0 and denominator * common >= numerator * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], schema=schema)
 
-    return check
+    return lean(check)
 
 
-def _candidates(reps: DataFrame, pieces: int) -> DataFrame:
+def _candidates(reps: DataFrame, pieces: int, put) -> DataFrame:
     """(key, rep, n, weight) of the tables' rows that share their key's two halves with another document.
 
     A table's key combines one piece of the left collection and one of the right one. Two documents that meet in a
@@ -98,7 +98,7 @@ def _candidates(reps: DataFrame, pieces: int) -> DataFrame:
     """
     cells = reps.select("rep", "n", F.posexplode("sketch").alias("p", "piece"))
     shared = cells.groupBy("p", "piece").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = materialize(shared, "shared")  # a join of two plain exchanges can be split where a piece is very common
+    shared = put(shared, "shared")  # a join of two plain exchanges can be split where a piece is very common
     cells = cells.join(shared, ["p", "piece"]).groupBy("rep", "n")
     cells = cells.agg(F.collect_list(F.struct("p", "piece")).alias("cells"), F.sum("many").alias("weight"))  # at most 2 x pieces
     left = F.filter("cells", lambda c: c["p"] < pieces)
@@ -127,19 +127,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id count as one document, linked by any of its texts. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    written: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialize(df, name))
+        return written[-1]
+
     sketch = _sketcher(shingle, pieces, width)
     sketches = materialize(rows.mapInArrow(sketch, "id long, n long, k1 long, k2 long, sketch array<long>"), "sketches")
     reps = sketches.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, "representatives")
     # One document may be several rows' smallest id (a repeated id); those sets belong together.
     same = reps.groupBy("rep").agg(F.min("n").alias("n"), F.first("sketch").alias("sketch"))
-    cells = materialize(_candidates(same, pieces), "candidates")
+    cells = put(_candidates(same, pieces, put), "candidates")
     weights = cells.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    cells = materialize(cells.join(weights, "key"), "buckets")
+    cells = put(cells.join(weights, "key"), "buckets")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-        texts = materialize(rows.join(small(wanted), "id", "left_semi"), "texts")
+        wanted = put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        texts = put(rows.join(small(wanted), "id", "left_semi"), "texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
         return both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -151,36 +157,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verify(pairs: DataFrame) -> None:
         nonlocal links, checked, groups
         pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        done = materialize(with_texts(pairs).mapInArrow(_checker(shingle, numerator, denominator), "a long, b long, linked boolean"), "verified")
+        pairs = put(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        done = put(with_texts(pairs).mapInArrow(_checker(shingle, numerator, denominator), "a long, b long, linked boolean"), "verified")
         found = done.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         checked = done.select("a", "b") if checked is None else checked.unionByName(done.select("a", "b"))
-        groups = materialize(components(links), "components")
+        groups = put(components(links), "components")
 
     def mixed() -> DataFrame:
         """Rows of the buckets whose members are in several components, with their component ``own``."""
         known = cells.join(groups, cells["rep"] == groups["node"], "left").select(cells["*"], F.coalesce("component", "rep").alias("own"))
         several = known.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
-        return materialize(known.join(several, "key", "left_semi"), "open")
+        return put(known.join(several, "key", "left_semi"), "open")
 
     # First each document with its leader: of the heaviest members of its buckets the heaviest one.
     first = cells.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("col2"), F.col("n").alias("head_n"))).alias("head"))
-    first = materialize(first.select("key", "head"), "leaders")
+    first = put(first.select("key", "head"), "leaders")
     led = cells.join(first, "key").groupBy("rep", "n", "weight").agg(F.max("head").alias("head"))
-    led = materialize(led.select("rep", "n", "weight", (-F.col("head.col2")).alias("leader"), F.col("head.head_n").alias("leader_n")), "led")
+    led = put(led.select("rep", "n", "weight", (-F.col("head.col2")).alias("leader"), F.col("head.head_n").alias("leader_n")), "led")
     verify(led.where((F.col("leader") != F.col("rep")) & near_in_size("n", "leader_n")).select(F.col("rep").alias("p"), F.col("leader").alias("q")))
     rest = mixed()
     if not rest.isEmpty():
         # Then a few more members of each led group, the heaviest ones, with its documents in other components.
-        rest = materialize(rest.join(led.select("rep", "leader"), "rep"), "led-cells")
+        rest = put(rest.join(led.select("rep", "leader"), "rep"), "led-cells")
         members = rest.groupBy("rep", "n", "leader", "weight", "own").agg(F.lit(1)).drop("1")
         best = Window.partitionBy("leader").orderBy(F.desc("weight"), "rep")
         heads = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS)
         heads = heads.select("leader", F.col("rep").alias("q"), F.col("n").alias("q_n"), F.col("own").alias("q_own"))
         met = members.join(heads, "leader").where((F.col("q_own") != F.col("own")) & near_in_size("n", "q_n"))
         verify(met.select(F.col("rep").alias("p"), "q"))
-        rest = materialize(mixed().join(led.select("rep", "leader"), "rep"), "led-cells")
+        rest = put(mixed().join(led.select("rep", "leader"), "rep"), "led-cells")
     if not rest.isEmpty():
         # What is left of links lies between documents of different groups in a small bucket: all these pairs;
         several = rest.groupBy("key").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).where("x < y").select("key")
@@ -193,22 +199,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # components D is large against what they may differ in, so that their D must meet in their rarest elements.
         large = crossing.where(F.col("many") > FEW).join(first, "key").select((-F.col("head.col2")).alias("a"), F.col("rep").alias("b"))
         # This holds only if each member has been compared with that leader, also with the head of a bucket of several groups.
-        heads = materialize(large.where("a <> b").distinct(), "heads")
+        heads = put(large.where("a <> b").distinct(), "heads")
         for x in ("a", "b"):
             known = same.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n")).join(groups.select(F.col("node").alias(x), "component"), x, "left")
             heads = heads.join(known.select(x, f"{x}_n", F.coalesce("component", x).alias(f"{x}_own")), x)
         heads = heads.where((F.col("a_own") != F.col("b_own")) & near_in_size("a_n", "b_n"))
         verify(pairs.unionByName(heads.select(F.col("a").alias("p"), F.col("b").alias("q"))))
         groups_of = rest.select(F.col("leader").alias("a"), F.col("rep").alias("b")).unionByName(large).where("a <> b").distinct()
-        own = with_texts(materialize(groups_of, "groups")).mapInArrow(_differences(shingle), "leader long, x long, n long, own array<long>")
+        own = with_texts(put(groups_of, "groups")).mapInArrow(_differences(shingle), "leader long, x long, n long, own array<long>")
         slack = F.floor(F.col("n") * (denominator - numerator) / numerator).cast("long")  # most that a link's two sets differ in
-        own = materialize(own.select("leader", "x", "n", F.size("own").alias("size"), slack.alias("slack"), "own"), "differences")
+        own = put(own.select("leader", "x", "n", F.size("own").alias("size"), slack.alias("slack"), "own"), "differences")
         each = own.select("leader", "x", "n", "size", "slack", F.explode("own").alias("e"))
         often = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("often"))
         rarest = Window.partitionBy("leader", "x").orderBy("often", "e")
         each = each.join(often, ["leader", "e"]).withColumn("rank", F.row_number().over(rarest)).where("often > 1 and rank <= slack + 1")
         each = each.join(groups.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("own", F.coalesce("component", "x"))
-        each = materialize(each.select("leader", "e", "x", "n", "size", "slack", "rank", "own"), "rarest")
+        each = put(each.select("leader", "e", "x", "n", "size", "slack", "rank", "own"), "rarest")
         # Two linked documents' D differ in as much as the two do: in ``most`` elements at most. So they have
         # (size + q_size - most) / 2 elements in common, and the first of these has a low rank in both.
         held = each.select("leader", "e", F.col("x").alias("q"), F.col("n").alias("q_n"), F.col("size").alias("q_size"), F.col("rank").alias("q_rank"), F.col("own").alias("q_own"))
@@ -216,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         most = F.floor((F.col("n") + F.col("q_n")) * (denominator - numerator) / (denominator + numerator))
         early = (2 * F.col("rank") <= F.col("size") - F.col("q_size") + most + 2) & (2 * F.col("q_rank") <= F.col("q_size") - F.col("size") + most + 2)
         met = asked.join(held, ["leader", "e"]).where((F.col("own") != F.col("q_own")) & (F.col("size") <= F.col("q_size")) & near_in_size("n", "q_n") & early)
-        met = materialize(met.select("leader", "p", "q").distinct(), "met")
+        met = put(met.select("leader", "p", "q").distinct(), "met")
         # How much two D differ decides before the texts are read again.
         for x in ("p", "q"):
             met = met.join(own.select("leader", F.col("x").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own")), ["leader", x])
@@ -224,6 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.col("p_n") + F.col("q_n")
         verify(met.where((both - differ) * denominator >= (both + differ) * numerator).select("p", "q"))
 
+    discard(*[t for t in written if t is not groups])
     labels = reps.join(groups, reps["rep"] == groups["node"], "left").select("k1", "k2", reps["n"].alias("n"), F.coalesce("component", "rep").alias("component_id"))
     found = sketches.join(labels, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import mix, slices, spans, word_hashes
+from tidemark.llm._spark import small_batches
+from tidemark.llm._text import lean, mix, slices, spans, word_hashes
 
 #: Labelled documents that the field is fitted on at most (half of each label), and lines of each of these.
 FIT_DOCUMENTS, FIT_LINES = 4_000, 200
@@ -176,10 +177,20 @@ def fit_field(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, steps: int
     return field
 
 
+def _spread(n: int, most: int) -> np.ndarray:
+    """All of n lines, or at most ``most`` in four runs at even distances, the first and the last line among them."""
+    if n <= most:
+        return np.arange(n)
+    run = max(1, most // 4)
+    return np.unique(np.concatenate([start + np.arange(run) for start in np.linspace(0, n - run, 4).astype(int)]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", documents: int = FIT_DOCUMENTS, lines: int = FIT_LINES) -> Field | None:
     """Fit a field on a bounded sample: at most ``documents`` labelled rows, half of each label, in the order of a
-    hash of their ids, and the first ``lines`` lines of each. None where there is no labelled row.
+    hash of their ids, and at most ``lines`` lines of each, in four runs spread over the text. None where there is no
+    labelled row.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     half = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(documents // 2) for c in (0, 1)]
@@ -191,10 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(0)):
                 x, _, bounds = line_features(data, off)
-                out = [x[a : min(b, a + lines)].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                out = [x[a + _spread(b - a, lines)].astype("<f4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(out, pa.binary())], schema=schema)
 
-    found = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(collect, "label int, x binary").collect())
+    found = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(lean(collect), "label int, x binary").collect())
     if not found:
         return None
     each = [np.frombuffer(x, "<f4").reshape(-1, _FEATURES).astype(float) for _, x in found]
@@ -223,7 +234,8 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.clip(mean, 0, 1))], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(marginals, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(lean(marginals), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,4 +253,5 @@ def keep_good(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_c
                 mean = np.add.reduceat(p * weight, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
                 yield batch.slice(lo, hi - lo).filter(pa.array(mean >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(keep), docs.schema)

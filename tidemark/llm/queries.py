@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, bpe, chat_format, edit_fingerprint, html_extract, mixing, near_dedup, quality_crf, suffix_dedup, toxicity
 from tidemark.llm._spark import table
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = "/opt/tokenizers"
+#: The public tokenizer that texts are encoded with.
+TOKENIZER = "word_bpe_49k.json"
 #: Scores from which a document counts as good, and as toxic.
 THRESHOLD = 0.3
 #: The mixture: weights at each level of the tree.
@@ -19,6 +19,13 @@ WEIGHTS = {"domain": {"web": 4, "reference": 3, "forum": 3}, "lang": {"en": 14,
 EPOCHS, SEED = 2, 17
 
 
+def tokenizer_path() -> str:
+    """Where the tokenizer's file is; it is read by the driver only."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def mixture_levels() -> dict[str, Column]:
     """Domain, language and source of a document; domains are declared by source."""
     domain = F.when(F.col("source") == "src0", "web").when(F.col("source").rlike("^src[1-9]$"), "reference").otherwise("forum")
@@ -59,7 +66,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import materialize, small
-from tidemark.llm._text import _BASE, _INVERSE, _power_table, mix, ngrams, slices, spans, word_hashes
+from tidemark.llm._spark import discard, fresh, materialize, small
+from tidemark.llm._text import _BASE, _INVERSE, _power_table, lean, mix, ngrams, slices, spans, word_hashes
 
 #: Words of a passage at least, words that choose an anchor, and gaps that one is chosen from: a passage of
 #: LEAST words holds LEAST - GRAM + 1 = WINDOW runs of GRAM words, so one of its anchors is the same in every copy.
@@ -264,7 +264,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several classes have are spans at every place of these classes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    anchors = materialize(rows.mapInArrow(_anchor_rows, "id long, pos int, h long, c long, left int, right int"), "anchors")
+    anchors = materialize(rows.mapInArrow(lean(_anchor_rows), "id long, pos int, h long, c long, left int, right int"), "anchors")
     grams = anchors.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("x < y")
     # Written first: a join of two plain exchanges can be split where one gram is very common.
     grams = materialize(grams.select("h", (F.col("c1") < F.col("c2")).alias("several")), "grams")
@@ -280,15 +280,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = classes.where("several").select(F.col("first.id").alias("id"), F.struct(F.col("first.pos").alias("pos"), "h", "c", "y").alias("a"))
     lists = materialize(wanted.groupBy("id").agg(F.collect_list("a").alias("anchors")), "wanted")  # of one document each
     texts = rows.join(small(lists.select("id")), "id", "left_semi").join(lists, "id").select("id", "text", "anchors")
-    contexts = materialize(texts.mapInArrow(_contexts, "id long, pos int, h long, nl int, nr int, l binary, r binary"), "contexts")
+    contexts = materialize(texts.mapInArrow(lean(_contexts), "id long, pos int, h long, nl int, nr int, l binary, r binary"), "contexts")
+    matches = []
     for first, second in (("r", "l"), ("l", "r")):
         ordered = contexts.repartitionByRange("h", first, second).sortWithinPartitions("h", first, second, "id", "pos")
-        matched = materialize(ordered.mapInArrow(_neighbours, "id long, begin long, finish long, later boolean, edge binary, part long"), "matches")
+        matched = materialize(ordered.mapInArrow(lean(_neighbours), "id long, begin long, finish long, later boolean, edge binary, part long"), "matches")
+        matches.append(matched)
         found.append(matched.where("edge is null").select("id", "begin", "finish", "later"))
         across = _across(matched)
         if across:
             found.append(docs.sparkSession.createDataFrame(across, "id long, begin long, finish long, later boolean"))
-    windows = materialize(texts.mapInArrow(_windows, "w long, h long, c long, x long, y long, at int"), "windows")
+    windows = materialize(texts.mapInArrow(lean(_windows), "w long, h long, c long, x long, y long, at int"), "windows")
     # Windows of one class only are spans already where the class is common.
     hits = windows.groupBy("w").agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi and many > 1")
     hits = materialize(hits.select("w", "lo"), "hits")
@@ -302,6 +304,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for more in found[1:]:
         every = every.unionByName(more)
     every = materialize(every.distinct(), "spans")
+    discard(anchors, grams, shared, classes, lists, contexts, windows, hits, near, *matches)
     return _merged(every).withColumn("later", F.lit(False)).unionByName(_merged(every.where("later")).withColumn("later", F.lit(True)))
 
 
@@ -334,10 +337,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the passages of 50 words or more that a document with a smaller id has too.
 
     Each removed word takes the white space after it along. Documents of which nothing is left are dropped; those
-    that have no such passage, null ids and null texts are returned as they are.
+    that have no such passage, null ids and null texts are returned as they are. Rows that repeat an id are cut by the
+    spans of both; other columns may have any name. An empty table gives an empty result.
     """
-    gone = materialize(repeated_spans(docs, id_col, text_col).where("later").select(F.col("id").alias(id_col), F.struct("begin", "finish").alias("s")), "gone")
-    lists = gone.groupBy(id_col).agg(F.array_sort(F.collect_list("s")).alias("_gone"))
+    p = fresh(docs.columns)
+    gone = materialize(repeated_spans(docs, id_col, text_col).where("later").select(F.col("id").alias(f"{p}id"), F.struct("begin", "finish").alias("s")), "gone")
+    lists = gone.groupBy(f"{p}id").agg(F.array_sort(F.collect_list("s")).alias(f"{p}gone"))
     names, types = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,10 +357,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 raw = np.frombuffer(text.encode(), np.uint8)
                 start, _, _ = spans(raw, np.array([0, len(raw)]))
                 edges = np.append(start, len(raw))
-                left, at = [], 0
+                words, left, at = len(start), [], 0
                 for s in lists:
-                    left.append(raw[at : edges[s["begin"]]].tobytes())
-                    at = edges[s["finish"]]
+                    left.append(raw[at : edges[min(s["begin"], words)]].tobytes())
+                    at = edges[min(s["finish"], words)]
                 left.append(raw[at:].tobytes())
                 rest = b"".join(left).decode()
                 texts.append(rest), keep.append(bool(rest.strip()))
@@ -363,4 +368,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     lists = F.broadcast(lists) if not gone.limit(200_001).count() > 200_000 else lists
-    return docs.join(lists, id_col, "left").select(*names, "_gone").mapInArrow(cut, types)
+    rows = docs.join(lists, docs[id_col].cast("long") == F.col(f"{p}id"), "left").select(*[docs[f"`{n}`"] for n in names], f"{p}gone")
+    return rows.mapInArrow(lean(cut), types)
