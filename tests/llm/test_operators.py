@@ -194,7 +194,7 @@ def test_repeated_passages_against_brute_force(spark):
     every, later = repeated(texts)
     assert {(r.id, w) for r in rows if not r.later for w in range(r.begin, r.finish)} == every
     mine = {(r.id, w) for r in rows if r.later for w in range(r.begin, r.finish)}
-    assert mine <= every and len(mine ^ later) <= 0.02 * len(later)
+    assert mine == later
     cut = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(docs(spark, texts)).collect()}
     assert cut[len(texts) - 1] == "x" and cut[len(texts) - 3] is None and cut[62] == texts[62]
     for i, t in cut.items():
@@ -217,7 +217,9 @@ def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.repeated_spans(docs(spark, [])).count() == 0
     assert suffix_dedup.cut_repeats(docs(spark, ["a b", None])).count() == 2
     words = " ".join(f"k{i}" for i in range(80))
-    assert [r.doc_id for r in suffix_dedup.cut_repeats(docs(spark, [words] * 30)).collect()] == [0]
+    odd = docs(spark, [words] * 30).select("*", F.lit("z").alias("_gone"), F.lit("z").alias("x_gone"), F.lit("z").alias("begin"))
+    rows = suffix_dedup.cut_repeats(odd).collect()
+    assert [(r.doc_id, r._gone, r.x_gone, r.begin) for r in rows] == [(0, "z", "z", "z")]
 
 
 def test_bpe_operators(spark):

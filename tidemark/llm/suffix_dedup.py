@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -271,12 +271,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialize(anchors.join(grams, "h"), "shared")
     classes = shared.groupBy("h", "c", "several").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("y"))
     classes = materialize(classes.select("h", "c", "several", "first", "y", (F.col("first.id") < F.col("y")).alias("common")), "classes")
-    common = classes.where("common").select("h", "c", F.col("first.id").alias("first_id"))
-    begin, finish = F.col("pos") - F.col("left"), F.col("pos") + GRAM + F.col("right")
-    whole = shared.where(F.col("left") + F.col("right") + GRAM >= LEAST).join(common, ["h", "c"])
-    whole = whole.select("id", begin.cast("long").alias("begin"), finish.cast("long").alias("finish"), (F.col("id") > F.col("first_id")).alias("later"))
-    found = [whole]
-
+    found = []
     wanted = classes.where("several").select(F.col("first.id").alias("id"), F.struct(F.col("first.pos").alias("pos"), "h", "c", "y").alias("a"))
     lists = materialize(wanted.groupBy("id").agg(F.collect_list("a").alias("anchors")), "wanted")  # of one document each
     texts = rows.join(small(lists.select("id")), "id", "left_semi").join(lists, "id").select("id", "text", "anchors")
@@ -294,18 +289,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Windows of one class only are spans already where the class is common.
     hits = windows.groupBy("w").agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi and many > 1")
     hits = materialize(hits.select("w", "lo"), "hits")
-    # All of them hold the anchor's gram, so those that are in the same documents first have no gap between them.
     near = windows.join(small(hits), "w").groupBy("h", "c", "lo").agg(F.min("at").alias("from"), F.max("at").alias("to"))
-    near = materialize(near, "near")
-    exact = shared.join(near, ["h", "c"])
-    exact = exact.select("id", (F.col("pos") + F.col("from")).cast("long").alias("begin"), (F.col("pos") + F.col("to") + LEAST).cast("long").alias("finish"), (F.col("id") > F.col("lo")).alias("later"))
-    found.append(exact)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = materialize(every.distinct(), "spans")
-    discard(anchors, grams, shared, classes, lists, contexts, windows, hits, near, *matches)
-    return _merged(every).withColumn("later", F.lit(False)).unionByName(_merged(every.where("later")).withColumn("later", F.lit(True)))
+    near = materialize(near.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "from", "to")).alias("near")), "near")  # WINDOW at most
+    # What makes an anchor's place a span, its whole context or windows of it, holds the anchor's gram, so that all
+    # of it is one span without gaps: one row a place, whatever its class shares with however many others.
+    marks = classes.select("h", "c", "common", F.col("first.id").alias("first_id")).join(near, ["h", "c"], "left").where("common or near is not null")
+    marks = materialize(marks, "marks")
+    own = F.col("common") & (F.col("left") + F.col("right") + GRAM >= LEAST)
+    near_of = F.coalesce("near", F.array().cast("array<struct<lo:bigint,from:int,to:int>>"))
+    before = F.filter(near_of, lambda x: x["lo"] < F.col("id"))
+    begin, finish = -F.col("left"), GRAM + F.col("right")
+    places = shared.join(marks, ["h", "c"]).select("id", "pos", near_of.alias("near"), before.alias("before"), F.when(own, begin).alias("b"), F.when(own, finish).alias("f"), (F.col("id") > F.col("first_id")).alias("after"))
+
+    def spans_of(some: str, b: Column, f: Column) -> list[Column]:
+        first = F.least(F.array_min(F.transform(some, lambda x: x["from"])), b)
+        last = F.greatest(F.array_max(F.transform(some, lambda x: x["to"] + LEAST)), f)
+        return [(F.col("pos") + first).cast("long"), (F.col("pos") + last).cast("long")]
+
+    begin, finish = spans_of("near", F.col("b"), F.col("f"))
+    later_begin, later_finish = spans_of("before", F.when(F.col("after"), F.col("b")), F.when(F.col("after"), F.col("f")))
+    places = materialize(places.select("id", begin.alias("begin"), finish.alias("finish"), later_begin.alias("later_begin"), later_finish.alias("later_finish")).where("begin is not null").distinct(), "places")
+    every, later = places.select("id", "begin", "finish"), places.where("later_begin is not null").select("id", F.col("later_begin").alias("begin"), F.col("later_finish").alias("finish"))
+    for more in found:
+        every, later = every.unionByName(more.select("id", "begin", "finish")), later.unionByName(more.where("later").select("id", "begin", "finish"))
+    every, later = materialize(_merged(every), "spans"), materialize(_merged(later), "spans")
+    discard(anchors, grams, shared, classes, lists, contexts, windows, hits, near, marks, places, *matches)
+    return every.withColumn("later", F.lit(False)).unionByName(later.withColumn("later", F.lit(True)))
 
 
 def _across(matched: DataFrame) -> list[tuple]:
