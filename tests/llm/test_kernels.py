@@ -39,13 +39,15 @@ def test_words_and_ngrams(texts, limit):
 
 def test_every_window_holds_an_anchor():
     rng = np.random.default_rng(1)
-    for words in (rng.integers(0, 1 << 60, 400), np.full(300, 7), np.tile([1, 2], 200), rng.integers(0, 3, 500)):
+    for words in (rng.integers(0, 1 << 60, 400), np.full(300, 7), np.tile([1, 2], 200), np.tile(np.arange(11), 40), np.concatenate([rng.integers(0, 9, 60), np.tile(np.arange(16), 20), rng.integers(0, 9, 60)]), rng.integers(0, 3, 500)):
         words = words.astype(np.uint64)
         at, _, _ = suffix_dedup.anchors_of(words, np.array([0, len(words)]))
         covered = np.zeros(len(words), bool)
         covered[at] = True
         for i in range(len(words) - suffix_dedup.LEAST + 1):
             assert covered[i : i + suffix_dedup.WINDOW].any()
+    at, _, _ = suffix_dedup.anchors_of(np.tile([1, 2], 3000).astype(np.uint64), np.array([0, 6000]))
+    assert len(at) < 6000 / 30
     assert not len(suffix_dedup.anchors_of(np.arange(49, dtype=np.uint64), np.array([0, 49]))[0])
 
 

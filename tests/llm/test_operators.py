@@ -189,6 +189,10 @@ def test_repeated_passages_against_brute_force(spark):
             texts[i][at:at] = passage
     short = prose(rng, 49, 10**5)
     texts += [prose(rng, 20, 10**5) + short, short + prose(rng, 20, 10**5), ["a"] * 200, ["b", "c"] * 90]
+    head, tail = prose(rng, 25, 10**5), prose(rng, 25, 10**5)
+    for n in (2, 3, 11, 16, 17, 30):  # one run over and over, cut off at other places, with the same or other words beside it
+        run = [f"r{n}.{k}" for k in range(n)]
+        texts += [prose(rng, 30, 10**5) + head + run * (400 // n) + tail, head + run * (150 // n) + run[:1] + prose(rng, 9, 10**5), run[1:] + run * (230 // n) + tail + prose(rng, 30, 10**5)]
     texts = [" ".join(t) for t in texts] + [None, "", "x"]
     rows = suffix_dedup.repeated_spans(docs(spark, texts)).collect()
     every, later = repeated(texts)

@@ -52,14 +52,17 @@ def anchors_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     # Chosen: the least of some window that holds it, that is, of the windows that begin up to WINDOW - 1 before it.
     highest = _sliding(least[::-1], WINDOW, np.maximum, 0)[::-1]
     chosen = highest == grams
-    # In a run of one repeated gram every place is a tie: every WINDOW-th is enough for each window to hold one.
+    # Where a word, a pair or up to GRAM words are repeated over and over, the least gram is a tie once in each period.
+    # The first and the last of such a run stay, and of the others enough for each window to hold one.
     i = np.flatnonzero(chosen)
-    if len(i):
-        fresh = np.ones(len(i), bool)
-        fresh[1:] = (np.diff(i) > 1) | (grams[i[1:]] != grams[i[:-1]]) | (row[i[1:]] != row[i[:-1]])
-        first = i[np.maximum.accumulate(np.where(fresh, np.arange(len(i)), 0))]
-        last = np.append(fresh[1:], True)
-        i = i[((i - first) % WINDOW == 0) | last]
+    if len(i) > 2:
+        gap = np.diff(i)
+        tie = (gap <= GRAM) & (grams[i[1:]] == grams[i[:-1]]) & (row[i[1:]] == row[i[:-1]])
+        inner = np.zeros(len(i), bool)  # between two of the same gram at the same distance
+        inner[1:-1] = tie[1:] & tie[:-1] & (gap[1:] == gap[:-1])
+        since = np.arange(len(i)) - np.maximum.accumulate(np.where(inner, 0, np.arange(len(i))))
+        period = np.concatenate([[1], gap])
+        i = i[~inner | (since % np.maximum(WINDOW // period, 1) == 0)]
     return at[i], grams[i], row[i]
 
 
