@@ -87,14 +87,20 @@ def test_embedding_does_not_depend_on_its_batch():
     assert edit_fingerprint.likeness(a, b) > 0.85 > 0.2 > edit_fingerprint.likeness(a, c)
 
 
+def parsed(page):
+    """Blocks that may be main text, and facts if the page declares nothing."""
+    blocks, facts, declared = html_extract.read(page)
+    return [(node, text) for node, text, may in blocks if may], [] if declared else [f for f, b in zip(facts, blocks, strict=True) if b[2]]
+
+
 def test_parse_pages():
     page = "<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a>m</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><script>var x='</p>';</script><p><b>one<br>two<p>three  \n four<section class='comments'><p>said</section></article><footer>f</footer>"
-    blocks, facts = html_extract.parse(page)
+    blocks, facts = parsed(page)
     assert [t for _, t in blocks] == ["A & B", "one two", "three four"] and not facts
-    blocks, facts = html_extract.parse("<div><p>a</p><p>b</p></div><div id=cookie-notice>c</div><form><p>d</p></form>&lt;e")
+    blocks, facts = parsed("<div><p>a</p><p>b</p></div><div id=cookie-notice>c</div><form><p>d</p></form>&lt;e")
     assert [t for _, t in blocks] == ["a", "b", "<e"] and len({k for k, _ in blocks}) == 3 and len(facts) == 3
     for odd in ("", "<", "<<p>", "</p>", "<p", "<!--", "<!-- x", "<script>x", "<a href='x>y</a>", "plain", "<p>" * 500, "&#0;&bogus;"):
-        html_extract.parse(odd)
+        parsed(odd)
 
 
 def test_forward_backward_against_enumeration():
@@ -140,3 +146,39 @@ def test_tree_of_equal_and_few_vectors():
     assert abs(order[0][1] - off[0] ** 2) < 1e-9
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<main><div class='sidebar-free'><p>a</p></div><div class='layout has-sidebar'>b</div><div class=sidebar>c</div></main>", ["a", "b"]),
+        ("<div id=content-sidebar-wrap><div class=sidebar>one two</div><article><p>a long story that goes on</p></article></div>", ["a long story that goes on"]),
+        ("<form><main><p>whole page in a form, as some servers do</p></main><div class=footer>f</div></form>", ["whole page in a form, as some servers do"]),
+        ("<article>teaser</article><article>other</article><div><p>the long story stands outside of these</p></div>", ["teaser", "other", "the long story stands outside of these"]),
+        ("<article><p>the story</p></article><section class='comment-list'><article>first!</article><article>no</article></section><nav>m</nav>", ["the story"]),
+        ("<article class='related-topics'><p>kept</p></article><p>x</p>", ["kept"]),
+        ("<article><p>before <span class=ad>buy</span> after<button>b</button><br>end</p></article>", ["before after end"]),
+        ("<article><header><h1>t</h1></header><p>a</p><aside>s</aside><footer>f</footer></article><header>h</header>", ["t", "a"]),
+    ],
+)
+def test_what_pages_declare(page, wanted):
+    assert [t for _, t in parsed(page)[0]] == wanted
+
+
+def test_evidence_against_brute_force():
+    """Weights of the best match at each word, none that begins in an exception phrase; and in time for long texts."""
+    rng = np.random.default_rng(4)
+    lexicon = toxicity.Lexicon({" bad ": 1.0, " ba": 2.0, " vile ": 3.0, " vil": 0.5}, ("not bad", "vile bad", "bad vile bad"))
+    automaton = lexicon.automaton()
+    for _ in range(200):
+        words = rng.choice(["not", "bad", "vile", "bath", "villa", "good", "B4d", "vile!"], rng.integers(0, 12)).tolist()
+        folded = [toxicity.fold(w).strip() for w in words]
+        spared = {i + k for phrase in (p.split() for p in lexicon.exceptions) for i in range(len(folded)) if folded[i : i + len(phrase)] == phrase for k in range(len(phrase))}
+        weights = [max((w for p, w in lexicon.weights.items() if f" {x} ".startswith(p)), default=0.0) for x in folded]
+        total = sum(w for i, w in enumerate(weights) if i not in spared)
+        got = toxicity.evidence("  ".join(words), automaton)
+        assert abs(np.expm1(got[0]) - total) < 1e-9, words
+        assert toxicity.phrases_around(" ".join(words), automaton) == {f"{a} {b}" for a, b, x, y in zip(folded, folded[1:], weights, weights[1:]) if x or y}
+    import time
+
+    began = time.time()
+    assert toxicity.evidence("not bad vile " * 60_000, automaton)[3] == 3.0
+    assert time.time() - began < 3

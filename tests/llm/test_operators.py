@@ -273,6 +273,19 @@ def test_toxicity(spark):
     assert not toxicity.fit(df, labels.limit(0)).weights
 
 
+def test_toxicity_spares_phrases_of_clean_documents(spark):
+    rng = random.Random(12)
+    toxic = ["zorg " + " ".join(prose(rng, 20)) + " zorg" for _ in range(120)]
+    clean = [" ".join(prose(rng, 20)) + (" mount zorg" if i % 8 == 0 else "") for i in range(480)]
+    df = docs(spark, [*toxic, *clean, "They climbed Mount  Zorg.", "you zorg", "zorg mount"])
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(600)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(df, labels)
+    assert "mount zorg" in lexicon.exceptions and " zorg " in lexicon.weights
+    got = {r.doc_id: (r.hits, r.score) for r in toxicity.score(df, lexicon).collect()}
+    assert got[600][0] == 0 and got[600][1] < 0.3 <= min(got[601][1], got[602][1])
+    assert toxicity.fit(df, labels, exceptions=()).exceptions == ()
+
+
 def site(i, extra=""):
     return f"<html><body><div><p>Read more on our site</p><p>text number {i} {extra}</p><p>Terms apply to all</p></div></body></html>"
 
@@ -306,6 +319,35 @@ def test_site_style_tree_in_declared_articles(spark):
     assert [got[212], got[213]] == [["plain 0"], ["plain 1"]]
 
 
+def test_importance_against_brute_force(spark):
+    """Entropy of presentation and content by hand, on a site of undeclared pages; class names don't matter."""
+    from collections import Counter
+
+    rng = random.Random(22)
+    pages = []
+    for i in range(40):
+        blocks = ["<div class=k1>always</div>", f"<div class=k2>{'same' if i % 20 else 'rare'} note</div>", f"<div class=k3>{rng.choice(['a', 'b', 'c'])} kind</div>"]
+        blocks += [f"<p>{' '.join(prose(rng, 5))}{'<b>x</b>' * rng.randrange(3)}</p>" for _ in range(rng.randrange(1, 5))] + ["<nav>menu</nav>"]
+        pages.append(f"<body>{''.join(blocks)}</body>")
+    by: dict = {}
+    for page in pages:
+        for (node, style, content), (_, _, may) in zip(*(lambda b, f, _: (f, b))(*html_extract.read(page)), strict=True):
+            by.setdefault((node, may), []).append((style, content))
+    n_log = lambda xs: sum(n * np.log(n) for n in Counter(xs).values())
+    low = set()
+    for (node, may), seen in by.items():
+        m = len(seen)
+        if m >= html_extract.PAGES:
+            style, content = (1 - n_log([x[k] for x in seen]) / (m * np.log(m)) for k in (0, 1))
+            if 0.5 * may + 0.05 * style + 0.45 * content < 0.625:
+                low.add(node)
+    wanted = ["\n".join(t for node, t, may in html_extract.read(p)[0] if may and node not in low) for p in pages]
+    texts = lambda ps: {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([(i, "http://s.org", p) for i, p in enumerate(ps)], "page_id long, url string, html string")).collect()}
+    got = texts(pages)
+    assert got == dict(enumerate(wanted)) and not any("always" in t or "same note" in t for t in got.values())
+    assert texts([p.replace("k1", "q7").replace("k2", "k1").replace("k3", "zz") for p in pages]) == got
+
+
 def test_chat_layouts(spark):
     wanted = [("user", "hi"), ("assistant", "yo")]
     turns = lambda df: [[(t.role, t.text) for t in r.turns or []] for r in df.orderBy("conv_id").collect()]
