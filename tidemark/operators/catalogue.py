@@ -13,11 +13,16 @@ def configuration_history(events: DataFrame) -> DataFrame:
     """``valid_from, valid_to, version`` of the streaming client.
 
     Versions begin with initialise_analytics events; before the first one lies an interval without a version that
-    begins with the first event of all. The initialisations of one source are few.
+    begins with the first event of all. A version ends where the next one begins: within its day, or on the next day
+    that has one, so that only one row a day is ordered in one task.
     """
     starts = events.where("event_type = 'initialise_analytics'").select(F.col("occurred_at").alias("valid_from"), kv.extract("data", "analytics_version").alias("version"))
-    order = Window.partitionBy(F.lit(0)).orderBy("valid_from", "version")
-    known = starts.withColumn("valid_to", F.lead("valid_from").over(order))
+    starts = starts.withColumn("_day", F.to_date("valid_from"))
+    days = starts.groupBy("_day").agg(F.min("valid_from").alias("_first"))
+    days = days.select("_day", F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_day")).alias("_after"))
+    order = Window.partitionBy("_day").orderBy("valid_from", "version")
+    known = starts.withColumn("_next", F.lead("valid_from").over(order)).join(days, "_day", "left")
+    known = known.select("valid_from", F.coalesce("_next", "_after").alias("valid_to"), "version")
     ends = starts.agg(F.min("valid_from").alias("valid_to"))
     first = events.agg(F.min("occurred_at").alias("valid_from")).crossJoin(F.broadcast(ends)).withColumn("version", F.lit(None).cast("string"))
     return known.unionByName(first.where("valid_from is not null and (valid_to is null or valid_from < valid_to)")).select("valid_from", "valid_to", "version")

@@ -42,7 +42,7 @@ def cdc_versions(source: DataFrame, keys: list[Key], since: Column | None = None
     """
     log = _log(source, keys, since, id_col)
     deletions = log.where("deleted_at is not null").groupBy("id").agg(F.max("deleted_at").alias("_deleted"))
-    live = log.where("deleted_at is null").drop("deleted_at")
+    live = log.where("deleted_at is null").drop("deleted_at").repartition("id")  # serves both windows and the join
     last = Window.partitionBy("id", "updated_at").orderBy(F.desc("_airbyte_extracted_at"), F.desc("_airbyte_raw_id"))
     live = live.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     if carried is not None:

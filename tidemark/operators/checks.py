@@ -109,16 +109,17 @@ def infer_deletions(history: DataFrame, imports: DataFrame, imported: DataFrame)
 
     ``imports``: compared imports; complete are those whose checksums match. ``imported``: (import_id,
     entity_table_name, entity_id) of their rows. A version that began before a complete import of its table was taken,
-    and whose id is in none of these, ends when the first of them was taken.
+    and whose id is in none of these, ends when the first of them was taken. The imports of a table are one short list
+    of times (their number is that of imports, not of rows), so versions are joined by id alone, once.
     """
     complete = imports.where("database_checksum = warehouse_checksum").select("import_id", "entity_table_name", F.col("checksum_calculated_at").alias("_taken"))
-    present = imported.select("import_id", "entity_table_name", "entity_id").distinct().join(F.broadcast(complete) if complete.limit(10_001).count() <= 10_000 else complete, ["import_id", "entity_table_name"])
-    current = history.where("valid_to is null").select("entity_table_name", "entity_id", "valid_from")
-    seen = current.join(present, ["entity_table_name", "entity_id"]).where("valid_from < _taken").select("entity_table_name", "entity_id").distinct()
-    gone = current.join(seen, ["entity_table_name", "entity_id"], "left_anti").join(complete, "entity_table_name").where("valid_from < _taken")
-    gone = gone.groupBy("entity_table_name", "entity_id").agg(F.min("_taken").alias("_ended"))
-    joined = history.join(gone, ["entity_table_name", "entity_id"], "left")
-    return joined.withColumn("valid_to", F.coalesce("valid_to", "_ended")).select(history.columns)
+    present = imported.select("import_id", "entity_table_name", "entity_id").join(complete, ["import_id", "entity_table_name"])
+    present = present.groupBy("entity_table_name", "entity_id").agg(F.max("_taken").alias("_present"))
+    times = complete.groupBy("entity_table_name").agg(F.array_sort(F.collect_set("_taken")).alias("_times"))
+    joined = history.join(present, ["entity_table_name", "entity_id"], "left").join(F.broadcast(times), "entity_table_name", "left")
+    first = F.get(F.filter("_times", lambda t: t > F.col("valid_from")), F.lit(0))
+    ended = F.when(~F.coalesce(F.col("_present") > F.col("valid_from"), F.lit(False)), first)
+    return joined.withColumn("valid_to", F.coalesce(F.col("valid_to"), ended)).select(history.columns)
 
 
 def mismatches(compared: DataFrame) -> DataFrame:

@@ -147,21 +147,28 @@ def following_pages(rows: DataFrame) -> DataFrame:
     """Visits with the later pages that refer to them: ``first_following`` (time, page, user) and the first one with a user.
 
     A page follows a visit if it refers to the visit's page on the same day, by the same visitor or user, before the
-    page is visited again. The join is on (page, day); who and when are its residual. A visit's followers are reduced
-    to the two that matter while grouping.
+    page is visited again. Followers by the same visitor and those by the same user only are joined apart, each by
+    equality of (who, page, day), so that a popular page is dealt out by who visits it. Both are reduced to the two
+    followers that matter, and their number, before they meet.
     """
+    own = ["visitor", "user", "occurred_at", "namespace", "path", "query", "page", "referer_domain", "referer"]
     by_user = Window.partitionBy("user", "page", "day").orderBy("occurred_at")
     by_visitor = Window.partitionBy("visitor", "page", "day").orderBy("occurred_at")
     rows = rows.withColumn("again", F.coalesce(F.lead("occurred_at").over(by_user), F.lead("occurred_at").over(by_visitor)))
-    later = rows.select(F.col("visitor").alias("f_visitor"), F.col("user").alias("f_user"), F.col("referer").alias("f_referer"), F.col("page").alias("f_page"), F.col("occurred_at").alias("f_at"), F.col("day").alias("f_day"))
-    who = (F.col("visitor") == F.col("f_visitor")) | (F.col("user") == F.col("f_user"))
+    later = rows.where("referer is not null").select(F.col("visitor").alias("f_visitor"), F.col("user").alias("f_user"), F.col("referer").alias("f_referer"), F.col("page").alias("f_page"), F.col("occurred_at").alias("f_at"), F.col("day").alias("f_day"))
+    page = (F.col("page") == F.col("f_referer")) & (F.col("day") == F.col("f_day"))
     when = (F.col("occurred_at") < F.col("f_at")) & (F.col("again").isNull() | (F.col("f_at") < F.col("again")))
-    met = rows.join(later, (F.col("page") == F.col("f_referer")) & (F.col("day") == F.col("f_day")) & who & when, "left")
-    own = ["visitor", "user", "occurred_at", "namespace", "path", "query", "page", "referer_domain", "referer"]
     one = F.struct("f_at", "f_page", "f_user")
-    return met.groupBy(*own).agg(
-        F.min(F.when(F.col("f_at").isNotNull(), one)).alias("first_following"), F.min(F.when(F.col("f_user").isNotNull(), one)).alias("first_following_user"), F.count("f_at").alias("following_pages")
-    )
+
+    def met(who: Column) -> DataFrame:
+        joined = rows.join(later, page & who & when)
+        return joined.groupBy(*own).agg(F.min(one).alias("first_following"), F.min(F.when(F.col("f_user").isNotNull(), one)).alias("first_following_user"), F.count(F.lit(1)).alias("following_pages"))
+
+    same_visitor = F.col("visitor") == F.col("f_visitor")
+    apart = [met(same_visitor), met((F.col("user") == F.col("f_user")) & ~F.coalesce(same_visitor, F.lit(False)))]
+    none = rows.select(*own, F.lit(None).cast("struct<f_at:timestamp,f_page:string,f_user:string>").alias("first_following"), F.lit(None).cast("struct<f_at:timestamp,f_page:string,f_user:string>").alias("first_following_user"), F.lit(0).cast("long").alias("following_pages"))
+    every = none.unionByName(apart[0]).unionByName(apart[1])
+    return every.groupBy(*own).agg(F.min("first_following").alias("first_following"), F.min("first_following_user").alias("first_following_user"), F.sum("following_pages").alias("following_pages"))
 
 
 def impute_users(rows: DataFrame) -> DataFrame:

@@ -1,17 +1,34 @@
 """Materialised tables on plain Parquet: replace, append and upsert, each by a staged write and a swap.
 
-A table is a folder with one folder for each state and a pointer file; readers follow the pointer, so a plan never
-overwrites what it reads, and a run that dies leaves the old state in place.
+A table is a folder with one folder for each state and pointer files, numbered as they are made; readers follow the
+last one, so a plan never overwrites what it reads. A pointer is written under another name and renamed, so that a
+run that dies leaves the old state in place, and the states of the pointer before stay for plans that still read them.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that the cluster shares (``spark.checkpoint.dir``) and read back, for a table that
+    several later steps read. A temporary folder is only taken in a local session that names none."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables under one root path of any file system that Spark can reach."""
 
@@ -23,23 +40,46 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _states(self, name: str) -> list[str]:
-        path, fs = self._path(name, "current")
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the table's pointer files, the last one last."""
+        path, fs = self._path(name)
         if not fs.exists(path):
             return []
+        return sorted(f for s in fs.listStatus(path) if (f := s.getPath().getName()).startswith("current-"))
+
+    def _lines(self, name: str, pointer: str) -> list[str]:
+        path, fs = self._path(name, pointer)
         stream = fs.open(path)
         try:
             return [line for line in bytes(stream.readAllBytes()).decode().split("\n") if line]
         finally:
             stream.close()
 
-    def _point(self, name: str, states: list[str]) -> None:
-        path, fs = self._path(name, "current")
-        stream = fs.create(path, True)
+    def _states(self, name: str) -> list[str]:
+        pointers = self._pointers(name)
+        return [line for line in self._lines(name, pointers[-1]) if not line.startswith("#")] if pointers else []
+
+    def batches(self, name: str) -> set[str]:
+        """Labels of the batches that the table holds, see :meth:`append`."""
+        pointers = self._pointers(name)
+        return {line[1:] for line in self._lines(name, pointers[-1]) if line.startswith("#")} if pointers else set()
+
+    def _point(self, name: str, states: list[str], batches: set[str] = frozenset()) -> None:
+        before = self._pointers(name)
+        number = int(before[-1].rpartition("-")[2]) + 1 if before else 1
+        made, fs = self._path(name, f"new-{uuid.uuid4().hex}")
+        stream = fs.create(made, False)
         try:
-            stream.write("\n".join(states).encode())
+            stream.write("\n".join([*states, *(f"#{b}" for b in sorted(batches))]).encode())
         finally:
             stream.close()
+        if not fs.rename(made, self._path(name, f"current-{number:012d}")[0]):
+            raise OSError(f"another run has written {name}")
+        kept = {*states, *(self._lines(name, before[-1]) if before else ())}
+        for pointer in before[:-1]:  # of these no plan should be under way any more
+            for state in set(self._lines(name, pointer)) - kept:
+                fs.delete(self._path(name, state)[0], True)
+            fs.delete(self._path(name, pointer)[0], False)
 
     def exists(self, name: str) -> bool:
         return bool(self._states(name))
@@ -58,14 +98,15 @@ class Store:
         return state
 
     def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-        old = self._states(name)
-        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by))])
-        for state in old:
-            path, fs = self._path(name, state)
-            fs.delete(path, True)
-
-    def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-        self._point(name, [*self._states(name), self._write(name, rows, list(partition_by), list(sort_by))])
+        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by))], self.batches(name))
+
+    def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None) -> None:
+        """Add rows. With ``batch``, a label, only if the table doesn't hold that batch yet: a batch that is tried again
+        is there once."""
+        known = self.batches(name)
+        if batch is not None and batch in known:
+            return
+        self._point(name, [*self._states(name), self._write(name, rows, list(partition_by), list(sort_by))], known | ({batch} if batch is not None else set()))
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
         """Rows of the same keys are replaced. ``rows`` is written first: it may be computed from the table itself."""

@@ -14,6 +14,7 @@ from tidemark.config import Cdc, CustomEvent, Entity, Key, PipelineConfig
 from tidemark.functions import kv, scalar
 from tidemark.operators import catalogue, cdc, checks, entity, events, hidden, intervals, quality, web
 from tidemark.plans import monitoring
+from tidemark.plans.tables import written_once
 from tidemark.sources import adapters
 
 ORDERS = Entity("orders", [Key("status"), Key("priority", alias="order_priority"), Key("total_cents", "integer"), Key("customer", "integer", hidden=True)])
@@ -186,15 +187,14 @@ def custom_event_flattened(spark, d):
 
 
 def _clients(spark, d):
-    """Events of which some announce a client version."""
+    """Events, of which every signup announces a client version too."""
     rows = adapters._stream(spark, d, "signup")
-    some = rows.where("event_id % 500 = 3")
-    starts = adapters.as_raw(some, occurred_at=F.timestamp_micros("us"), event_type=F.lit("initialise_analytics"), data=adapters.pairs(analytics_version=F.concat(F.lit("v1."), F.col("k"))))
+    starts = adapters.as_raw(rows, occurred_at=F.timestamp_micros("us"), event_type=F.lit("initialise_analytics"), data=adapters.pairs(analytics_version=F.concat(F.lit("v1."), F.col("k"))))
     return adapters.custom_events(spark, d).unionByName(starts)
 
 
 @query(
-    f"""WITH {S}, i AS (SELECT us, 'v1.' || CAST(k AS VARCHAR) AS version FROM s WHERE kind = 'signup' AND event_id % 500 = 3)
+    f"""WITH {S}, i AS (SELECT us, 'v1.' || CAST(k AS VARCHAR) AS version FROM s WHERE kind = 'signup')
   SELECT us AS valid_from_us, lead(us) OVER (ORDER BY us, version) AS valid_to_us, version FROM i UNION ALL SELECT min(us), (SELECT min(us) FROM i), NULL FROM s WHERE kind IN ('signup', 'purchase') HAVING (SELECT min(us) FROM i) IS NULL OR min(us) < (SELECT min(us) FROM i)"""
 )
 def configuration_history(spark, d):
@@ -413,8 +413,9 @@ def cdc_legacy_merge(spark, d):
 
 
 def _refreshes(spark, d):
-    source, versions = _cdc(spark, d)
-    return source, versions, cdc.full_refreshes(source, versions, F.lit(AS_OF).cast("timestamp"), CDC)
+    source = written_once(adapters.order_changes(spark, d), "changes")
+    versions = written_once(cdc.cdc_versions(source, CDC_KEYS), "versions")
+    return source, versions, written_once(cdc.full_refreshes(source, versions, F.lit(AS_OF).cast("timestamp"), CDC), "refreshes")
 
 
 _R = "r AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0), live AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F')"

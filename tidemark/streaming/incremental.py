@@ -18,10 +18,11 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 
 def run_stream(stream: DataFrame, store: Store, plan: dict[str, pipeline.Model], checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to the table ``raw`` and run the pipeline from its checkpoints."""
+    """Append each micro-batch to the table ``raw``, once however often it is tried, and run the pipeline from its
+    checkpoints."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        store.append("raw", rows)
+        store.append("raw", rows, batch=f"{checkpoint}:{number}")
         pipeline.run(rows.sparkSession, store, plan, store.read("raw"))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
