@@ -1,10 +1,12 @@
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.config import Cdc, Entity, Key, PipelineConfig
-from tidemark.operators import cdc, entity, events, web
+from tidemark.config import Cdc, CustomEvent, Entity, Key, PipelineConfig
+from tidemark.operators import cdc, checks, entity, events, web
 from tidemark.plans import pipeline
+from tidemark.plans.assertions import assertions, broken
 from tidemark.plans.tables import Store
 from tidemark.sources.adapters import RAW
 from tidemark.streaming import incremental
@@ -139,3 +141,52 @@ def test_store(spark, tmp_path):
     assert sorted(map(tuple, store.read("t").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     store.expire("t", F.col("k") > 1)
     assert store.read("t").count() == 2 and store.checkpoint("t", "k") == 3
+    store.append("t", spark.createDataFrame([(9, "e")], "k int, v string"), batch="b:1")
+    before = store.read("t")
+    store.append("t", spark.createDataFrame([(9, "e")], "k int, v string"), batch="b:1")
+    assert store.read("t").count() == 3 and store.batches("t") == {"b:1"}
+    store.replace("t", spark.createDataFrame([(1, "z")], "k int, v string"))
+    assert before.count() == 3 and [r.v for r in store.read("t").collect()] == ["z"]  # the state before stays for its readers
+
+
+CHANGES = "id long, name string, created_at timestamp, updated_at timestamp, _airbyte_raw_id string, _airbyte_extracted_at timestamp, _airbyte_meta string, _ab_cdc_updated_at string, _ab_cdc_deleted_at string, _ab_cdc_lsn string"
+
+
+def test_runner_of_change_data(spark, tmp_path):
+    """Reconciled deletions are applied, logged once over two runs, and stopped by the guard."""
+    rows = [log_row(k, 0, 1) for k in range(10)] + [log_row(k, 0, 100, lsn="S") for k in range(9)]
+    logs, as_of = {"user_cdc": spark.createDataFrame(rows, CHANGES)}, F.lit(T0 + timedelta(days=1))
+    config = lambda **o: PipelineConfig("shop", entities=[Entity("user", [Key("name")])], sessions=False, session_details=False, transform_entities=False, cdc=Cdc("d", reconcile=True, **o))
+    plan, store = pipeline.models(config(), as_of), Store(spark, str(tmp_path / "a"))
+    for _ in range(2):
+        built = pipeline.run(spark, store, plan, raw(spark), logs=logs)
+        assert [r.id for r in built["user_implied_deletions_shop"].collect()] == [9]
+        assert sorted(r.id for r in built["user_cdc_latest_shop"].collect()) == list(range(9)) and built["user_cdc_version_shop"].count() == 10
+    store = Store(spark, str(tmp_path / "b"))
+    with pytest.raises(pipeline.ChecksFailed, match="user_implied_deletions"):
+        pipeline.run(spark, store, pipeline.models(config(max_delete_fraction=0.05), as_of), raw(spark), logs=logs)
+    assert store.exists("user_cdc_version_shop") and not store.exists("user_reconciled_version_shop")
+
+
+def test_assertions_and_retention(spark, tmp_path):
+    cfg = PipelineConfig("shop", sessions=False, session_details=False, transform_entities=False, expiration_days=9, entities=[Entity("user", [Key("name"), Key("colour")], freshness_days=1)], custom_events=[CustomEvent("login", freshness_days=5, freshness_off_in_quiet_ranges=True)])
+    rows = raw(spark, change(0, "update", "1", name="a", age="7"), {"occurred_at": T0, "event_type": "odd", "data": [], "hidden_data": []}, {"occurred_at": T0 - timedelta(days=8), "event_type": "login", "data": [], "hidden_data": []})
+    as_of = F.lit(T0 + timedelta(days=1))
+    built = pipeline.run(spark, Store(spark, str(tmp_path)), pipeline.models(cfg, as_of), rows)
+    assert built["events_shop"].count() == 3
+    named = assertions(cfg, as_of, date(2024, 5, 1))
+    assert set(broken(built, named)) == {"login_not_fresh", "fields_missing", "fields_unhandled", "custom_events_unhandled", "entities_not_backfilled"}
+    assert "login_not_fresh" not in assertions(cfg, as_of, date(2024, 12, 25))
+    later = F.lit(T0 + timedelta(days=2))
+    built = pipeline.run(spark, Store(spark, str(tmp_path)), pipeline.models(cfg, later), rows.limit(0))
+    assert sorted(r.event_type for r in built["events_shop"].collect()) == ["odd", "update_entity"]
+    assert {"events_not_fresh", "user_not_fresh"} <= set(broken(built, assertions(cfg, F.lit(T0 + timedelta(days=4)), date(2024, 5, 1))))
+
+
+def test_inferred_deletions(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    history = spark.createDataFrame([("user", "1", at(0), None), ("user", "2", at(0), None), ("user", "3", at(0), at(5)), ("user", "4", at(30), None), ("cat", "1", at(0), None)], "entity_table_name string, entity_id string, valid_from timestamp, valid_to timestamp")
+    imports = spark.createDataFrame([("a", "user", "x", "x", at(10)), ("b", "user", "x", "x", at(20)), ("c", "user", "x", "y", at(8)), ("d", "user", "x", "x", at(-5))], "import_id string, entity_table_name string, database_checksum string, warehouse_checksum string, checksum_calculated_at timestamp")
+    imported = spark.createDataFrame([("b", "user", "2"), ("d", "user", "1"), ("c", "user", "1")], "import_id string, entity_table_name string, entity_id string")
+    got = {(r.entity_table_name, r.entity_id): r.valid_to for r in checks.infer_deletions(history, imports, imported).collect()}
+    assert got == {("user", "1"): at(10), ("user", "2"): None, ("user", "3"): at(5), ("user", "4"): None, ("cat", "1"): None}

@@ -9,8 +9,8 @@ from graphlib import TopologicalSorter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import PipelineConfig
-from tidemark.operators import catalogue, checks, entity, events, quality, web
+from tidemark.config import Cdc, Entity, PipelineConfig
+from tidemark.operators import catalogue, cdc, checks, entity, events, quality, web
 from tidemark.plans.tables import Store
 
 
@@ -33,17 +33,21 @@ class Model:
     sort_by: tuple[str, ...] = ()
     protected: bool = False
     checks: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    guard: Callable[[dict[str, DataFrame], DataFrame], DataFrame] | None = None  # of the inputs and the table; as a check
+    sees_itself: bool = False  # an append model that is given its own table as an input, under its own name
+    retain: Callable[[DataFrame], DataFrame] | None = None  # what stays of the table after each run
 
 
 def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
-    """All models of a configuration. ``raw`` is the stream itself, given to the runner."""
+    """All models of a configuration. ``raw`` is the stream itself, given to the runner; with a change-data source, so
+    are the logs, one for each entity, named by the entity and the source's suffix."""
     s, out = cfg.source_name, {}
 
     def add(model: Model) -> None:
         out[model.name] = model
 
     unique_versions = [lambda d: quality.not_unique(d, ["entity_table_name", "entity_id", "valid_from"]), lambda d: quality.null_values(d, ["valid_from", "entity_table_name", "entity_id"])]
-    add(Model(f"events_{s}", lambda i, cp: events.enrich(i["raw"], cfg.namespace, cp), ("raw",), "append", checkpoint="occurred_at", sort_by=("event_type",)))
+    add(Model(f"events_{s}", lambda i, cp: events.enrich(i["raw"], cfg.namespace, cp), ("raw",), "append", checkpoint="occurred_at", sort_by=("event_type",), retain=_retention(cfg, as_of)))
     add(Model(f"client_history_{s}", lambda i, cp: catalogue.configuration_history(i[f"events_{s}"]), (f"events_{s}",)))
     for c in cfg.custom_events:
         add(Model(f"{c.event_type}_{s}", lambda i, cp, c=c: entity.flatten_custom_event(i[f"events_{s}"], c, cp), (f"events_{s}",), "append", checkpoint="occurred_at"))
@@ -74,18 +78,55 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
         add(Model(f"sessions_{s}", lambda i, cp: web.sessions(i[pages], i[f"events_{s}"], cfg), (pages, f"events_{s}")))
     if cfg.session_details:
         add(Model(f"session_details_{s}", lambda i, cp: web.session_details(i[f"events_{s}"], cfg), (f"events_{s}",)))
+    if cfg.cdc:
+        for e in cfg.entities:
+            for model in change_data_models(e, cfg.cdc, s, as_of):
+                add(model)
     return out
 
 
-def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFrame, full: bool = False) -> dict[str, DataFrame]:
-    """Build every model after those it needs; stop before the dependants of one whose checks return rows.
+def _retention(cfg: PipelineConfig, as_of: Column) -> Callable[[DataFrame], DataFrame] | None:
+    limits = {
+        "days": None if cfg.expiration_days is False else cfg.expiration_days, "web_days": cfg.web_request_expiration_days,
+        "entity_days": {e.name: e.expiration_days for e in cfg.entities if e.expiration_days is not None},
+        "event_days": {c.event_type: c.expiration_days for c in cfg.custom_events if c.expiration_days is not None},
+    }
+    return (lambda rows: events.retain(rows, as_of, **limits)) if any(v is not None and v != {} for v in limits.values()) else None
+
+
+def change_data_models(e: Entity, source: Cdc, s: str, as_of: Column) -> list[Model]:
+    """Versions of an entity from its change log; with reconciliation also the deletions that full refreshes imply.
+
+    The versions are written once and read by all that follows. Implied deletions are logged, and applied only if the
+    guard finds no snapshot among them that would delete too large a share of the live rows.
+    """
+    log, versions, refreshes, deletes = f"{e.name}{source.suffix}", f"{e.name}_cdc_version_{s}", f"{e.name}_full_refreshes_{s}", f"{e.name}_implied_deletions_{s}"
+    current, found = versions, []
+    checks_of = [lambda d: quality.not_unique(d, ["id", "valid_from"]), lambda d: quality.null_values(d, ["id", "valid_from"])]
+    found.append(Model(versions, lambda i, cp: cdc.cdc_versions(i[log], e.keys, id_col=source.primary_key), (log,), checks=checks_of))
+    if source.reconcile:
+        current = f"{e.name}_reconciled_version_{s}"
+        found += [
+            Model(refreshes, lambda i, cp: cdc.full_refreshes(i[log], i[versions], as_of, source), (log, versions)),
+            Model(
+                deletes, lambda i, cp: cdc.reconcile_deletes(i[log], i[versions], i[refreshes], as_of, source.primary_key, i[deletes].select("id", "snapshot_lsn") if deletes in i else None), (log, versions, refreshes), "append",
+                guard=lambda i, rows: cdc.exceeds_safe_volume(rows, i[versions], source), sees_itself=True,
+            ),
+            Model(current, lambda i, cp: cdc.apply_deletes(i[versions], i[deletes]), (versions, deletes)),
+        ]
+    return [*found, Model(f"{e.name}_cdc_latest_{s}", lambda i, cp: cdc.cdc_latest(i[current]), (current,), e.materialisation, checks=[lambda d: quality.not_unique(d, ["id"])])]
+
+
+def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFrame, full: bool = False, logs: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Build every model after those it needs; stop before the dependants of one whose checks or guard return rows.
 
     Append and upsert models go on from their checkpoint unless ``full``, protected ones in any case. An upsert model
-    is given its own table as an input, to carry open rows over.
+    is given its own table as an input, to carry open rows over. ``logs``: change logs by name.
     """
-    built: dict[str, DataFrame] = {"raw": raw}
+    built: dict[str, DataFrame] = {"raw": raw, **(logs or {})}
+    given = set(built)
     for name in TopologicalSorter({m.name: set(m.needs) for m in plan.values()}).static_order():
-        if name == "raw":
+        if name in given:
             continue
         model = plan[name]
         inputs, since = {n: built[n] for n in model.needs}, None
@@ -93,7 +134,7 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
         if resumed:
             at = store.checkpoint(name, model.checkpoint) if model.checkpoint else None
             since = F.lit(at) if at is not None else None
-            if model.mode == "upsert":
+            if model.mode == "upsert" or model.sees_itself:
                 inputs[name] = store.read(name)
         rows = model.build(inputs, since)
         if model.mode == "view":
@@ -107,8 +148,14 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
                 store.append(name, rows, model.partition_by, model.sort_by)
             else:
                 store.replace(name, rows, model.partition_by, model.sort_by)
+            if model.retain:
+                whole = store.read(name)
+                kept = model.retain(whole)
+                if kept.count() < whole.count():
+                    store.replace(name, kept, model.partition_by, model.sort_by)
             built[name] = store.read(name)
-        for check in model.checks:
+        guards = [lambda d, m=model, i=inputs: m.guard(i, d)] if model.guard else []
+        for check in [*model.checks, *guards]:
             if not (broken := check(built[name])).isEmpty():
                 raise ChecksFailed(f"{name}: {broken.limit(5).collect()}")
     return built
