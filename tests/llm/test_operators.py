@@ -361,6 +361,10 @@ def test_chat_layouts(spark):
     ]
     df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
     assert turns(chat_format.canonical_turns(df, record_col="record")) == [wanted] * 7 + [[]] * 3
+    beside = rows.select("*", F.lit("p").alias("prompt"), F.lit("r").alias("response"), F.lit(1).alias("t"), F.lit(2).alias("turns"))
+    assert turns(chat_format.canonical_turns(beside)) == [wanted, [("", "")]]
+    both = spark.createDataFrame([(1, '{"prompt": "x", "turns": [{"role": "user", "text": "hi"}, {"role": "assistant", "text": "yo"}]}'), (2, '{"system": "s", "prompt": "hi", "response": "yo", "output": 1}')], "conv_id long, record string")
+    assert turns(chat_format.canonical_turns(both, record_col="record")) == [wanted, [("system", "s"), *wanted]]
     with pytest.raises(ValueError, match="no layout"):
         chat_format.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, body string"))
 

@@ -50,12 +50,15 @@ LAYOUTS: dict[tuple[str, ...], Callable] = {
 }
 #: The layout of a table that has one row for each turn: it is gathered by conversation, not mapped row by row.
 ROWS = ("role", "text", "turn")
-_KNOWN = sorted({p for paths in LAYOUTS for p in paths} | set(ROWS))
+_BY_SIZE = sorted([*LAYOUTS, ROWS], key=len, reverse=True)  # of two that both fit, the one that names more fields
+_KNOWN = sorted({p for paths in _BY_SIZE for p in paths})
 
 
-def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
-    """Hash of a set of nested field paths; paths that no layout knows don't count."""
-    return hashlib.md5("\n".join(sorted(set(paths) & set(_KNOWN))).encode()).hexdigest()
+def fingerprint(paths: tuple[str, ...] | list[str]) -> str | None:
+    """Hash of the nested field paths of the declared layout that a set of paths holds: the one with the most paths,
+    whatever other fields stand beside them; None if it holds none."""
+    found = next((x for x in _BY_SIZE if set(x) <= set(paths)), None)
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest() if found else None
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -78,8 +81,9 @@ def record_turns(record: Column) -> tuple[Column, Column]:
         where = "$." + path.replace("[]", "[0]")
         return F.when(F.try_variant_get(value, where, "string").isNotNull(), F.lit(path))
 
-    found = F.array_join(F.array_compact(F.array(*[present(p) for p in _KNOWN])), "\n")
-    key = F.md5(found.cast("binary"))
+    found = F.array_compact(F.array(*[present(p) for p in _KNOWN]))
+    fits = [F.when(F.size(F.array_except(F.array(*map(F.lit, x)), found)) == 0, F.lit(fingerprint(x))) for x in _BY_SIZE if x != ROWS]
+    key = F.coalesce(*fits)
 
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get(value, f"$.{path}", kind)
@@ -94,9 +98,9 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", record_col: str | No
     """``conv_id, turns`` of a DataFrame in any declared layout; ``turns`` is array<struct<role, text>>.
 
     With ``record_col`` each row is a JSON record mapped by its own fingerprint. Else the schema's fingerprint picks
-    the mapping; columns that no layout names are ignored, an unknown layout is an error. A table of one row a turn is
-    gathered by conversation in the order of turn, then role and text, nulls first. A null text is an empty one, a
-    null role is empty too; a null id is an id of its own.
+    the mapping; columns that the mapping doesn't name are ignored, an unknown layout is an error. A table of one row a
+    turn is gathered by conversation in the order of turn, then role and text, nulls first; its roles are kept as they
+    are. A null text is an empty one, a null role is empty too; a null id is an id of its own.
     """
     if record_col:
         return df.select(F.col(id_col).alias("conv_id"), record_turns(F.col(record_col))[1].alias("turns"))

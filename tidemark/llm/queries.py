@@ -88,6 +88,23 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` as JSON records, dealt to three layouts with fields beside them, and mapped back."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("t"))
+    other = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    layouts = [
+        F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"), F.lit(1).alias("version")),
+        F.struct(F.transform("t", lambda x: F.struct(F.coalesce(other[x["role"]], x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations"), F.lit("x").alias("prompt")),
+        F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")),
+    ]
+    kind = F.pmod("conv_id", F.lit(3))
+    record = F.when(kind == 0, F.to_json(layouts[0])).when(kind == 1, F.to_json(layouts[1])).otherwise(F.to_json(layouts[2]))
+    found = chat_format.canonical_turns(rows.select("conv_id", record.alias("record")), record_col="record")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels"), 4, 2))
@@ -107,7 +124,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
-    return own | {"pipeline": pipeline}
+    return own | {"chat_layouts": chat_layouts, "pipeline": pipeline}
 
 
 #: All pairs that share a shingle, then the components of the links: too slow for large tables, exact for small ones.
@@ -129,6 +146,9 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
 
+_LAYOUTS_SQL = """SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256 FROM conversations GROUP BY conv_id"""
+
+
 def _level_sql(level: str, above: str, keys: str, weight: str) -> str:
     """One level of the water filling, as a chain of CTEs from ``{above}`` (budget b of each parent) to ``{level}``."""
     parent = keys.rpartition(", ")[0]
@@ -161,4 +181,4 @@ SELECT doc_id, domain, lang, source, epoch, t AS n_tokens FROM z"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the tests hold the others against brute force."""
-    return {"op2_minhash_near_dedup": _OP2_SQL, "op8_chat_format": _OP8_SQL, "op10_source_mixing": _op10_sql()}
+    return {"op2_minhash_near_dedup": _OP2_SQL, "op8_chat_format": _OP8_SQL, "chat_layouts": _LAYOUTS_SQL, "op10_source_mixing": _op10_sql()}
