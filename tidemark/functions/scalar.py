@@ -112,24 +112,26 @@ def parse_user_agent(agent: Column | str) -> Column:
     Category is smartphone, pc, crawler or unknown. A NULL agent is unknown throughout.
     """
     agent = F.coalesce(col(agent), F.lit(""))
-    unknown = F.lit("unknown")
-    name = version = system = vendor = os_version = category = unknown
-    for label, pattern in reversed(_BROWSERS):
-        name = F.when(agent.rlike(pattern), label).otherwise(name)
-        version = F.when(agent.rlike(pattern), F.regexp_extract(agent, pattern, 1)).otherwise(version)
+
+    def known(*values: Column | str) -> Column:
+        return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for v, n in zip(values, ("a", "b", "c", "d"), strict=False)])
+
+    browser, system = known("unknown", "unknown"), known("unknown", "unknown", "unknown", "unknown")
+    for label, pattern in reversed(_BROWSERS):  # one test a rule, and one extraction for the rule that holds
+        browser = F.when(agent.rlike(pattern), known(label, F.regexp_extract(agent, pattern, 1))).otherwise(browser)
     for label, kind, maker, pattern in reversed(_SYSTEMS):
-        hit = agent.rlike(pattern)
-        system, category = F.when(hit, label).otherwise(system), F.when(hit, kind).otherwise(category)
-        vendor = F.when(hit, maker).otherwise(vendor)
         found = F.replace(F.regexp_extract(agent, pattern, 1), F.lit("_"), F.lit("."))
-        os_version = F.when(hit, F.when(found == label, "unknown").otherwise(found)).otherwise(os_version)
-    category = F.when(agent.rlike("(?i)(googlebot|bingbot|yandexbot|baiduspider|duckduckbot|slurp|crawler|spider)"), "crawler").otherwise(category)
-    return F.struct(category.alias("category"), name.alias("name"), version.alias("version"), system.alias("os"), vendor.alias("vendor"), os_version.alias("os_version"))
+        system = F.when(agent.rlike(pattern), known(kind, label, maker, F.when(found == label, "unknown").otherwise(found))).otherwise(system)
+    crawls = agent.rlike("(?i)(googlebot|bingbot|yandexbot|baiduspider|duckduckbot|slurp|crawler|spider)")
+    both = F.transform(F.array(F.struct(browser.alias("x"), system.alias("y"), crawls.alias("z"))), lambda r: F.struct(
+        F.when(r["z"], "crawler").otherwise(r["y"]["a"]).alias("category"), r["x"]["a"].alias("name"), r["x"]["b"].alias("version"), r["y"]["b"].alias("os"), r["y"]["c"].alias("vendor"), r["y"]["d"].alias("os_version"),
+    ))
+    return F.get(both, F.lit(0))
 
 
-def device_category(agent: Column | str) -> Column:
-    """bot by pattern first, then by what the agent says of itself."""
-    kind = parse_user_agent(agent)["category"]
+def device_category(agent: Column | str, kind: Column | None = None) -> Column:
+    """bot by pattern first, then by what the agent says of itself (``kind``, its category, if that is known already)."""
+    kind = parse_user_agent(agent)["category"] if kind is None else kind
     known = F.when(kind == "smartphone", "mobile").when(kind == "pc", "desktop").when(kind == "crawler", "bot").otherwise("unknown")
     return F.when(col(agent).rlike(BOT_PATTERN), "bot").otherwise(known)
 

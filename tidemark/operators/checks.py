@@ -2,21 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.config import Entity
 from tidemark.functions import kv, scalar
 from tidemark.operators.intervals import valid_at
 
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
 
 
-def ordered_md5(ids: Column, order: Column | None, keep: Column) -> Column:
-    """Checksum of the ids that are kept, in the order of ``order`` (to the millisecond) and then themselves."""
-    at = F.date_trunc("MILLISECOND", order) if order is not None else F.lit(None).cast("timestamp")
-    listed = F.array_sort(F.collect_list(F.when(keep, F.struct(at.alias("at"), ids.alias("id")))))
-    return F.md5(F.array_join(F.transform(listed, lambda x: x["id"]), ""))
+def ordered_md5(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """``key, md5``: checksum of the texts ``value`` of each ``key`` (a long), in the order of ``at`` and then themselves.
+
+    The digest of an ordered text can only be taken in order, so one key is one task's; but its rows are sorted by
+    Spark, which spills, and folded as they pass, so a task holds a batch of them however many there are. NULL texts
+    are left out.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, hashlib.md5(usedforsecurity=False)
+        done: list[tuple[int, str]] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for lo, hi in itertools.pairwise(cuts):
+                if keys[lo] != now:
+                    if now is not None:
+                        done.append((int(now), digest.hexdigest()))
+                    now, digest = keys[lo], hashlib.md5(usedforsecurity=False)
+                digest.update("".join(batch.column(1).slice(lo, hi - lo).to_pylist()).encode())
+        if now is not None:
+            done.append((int(now), digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([d for _, d in done], pa.string())], names=[key, "md5"])
+
+    known = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    ordered = known.select(key, at, value).repartition(key).sortWithinPartitions(key, at, value).select(key, value)
+    return ordered.mapInArrow(fold, f"`{key}` long, md5 string")
+
+
+def _with_checksums(met: DataFrame, own: list[str], found: DataFrame, id_col: str, at: Column, keep: Column) -> DataFrame:
+    """``found``, one row for each check (``own``), with the checksum of the ids of ``met`` that are kept."""
+    number = F.xxhash64(*own).alias("_check")
+    listed = met.where(keep).select(number, F.date_trunc("MILLISECOND", at).alias("_at"), F.col(id_col).alias("_id"))
+    sums = ordered_md5(listed, "_check", "_at", "_id")
+    joined = found.withColumn("_check", number).join(F.broadcast(sums), "_check", "left")  # one row a check
+    return joined.withColumn("warehouse_checksum", F.coalesce("md5", F.lit(EMPTY_MD5))).drop("_check", "md5")
 
 
 def _payload(name: str, kind: str = "string") -> Column:
@@ -51,7 +89,8 @@ def compare_scheduled(checks: DataFrame, history: DataFrame) -> DataFrame:
     keep = F.col("_id").isNotNull() & F.when(by == "id", True).otherwise(F.coalesce(before, F.lit(False)))
     late = F.count_distinct(F.when(~(at < F.col("checksum_calculated_at")), F.col("_id")))
     own = ["entity_table_name", "database_row_count", "database_checksum", "order_column", "checksum_calculated_at"]
-    found = met.groupBy(*own).agg(F.count_distinct("_id").alias("warehouse_row_count"), late.alias("_late"), ordered_md5(F.col("_id"), at, keep).alias("warehouse_checksum"))
+    found = met.groupBy(*own).agg(F.count_distinct("_id").alias("warehouse_row_count"), late.alias("_late"))
+    found = _with_checksums(met, own, found, "_id", at, keep)
     found = found.withColumn("rows_excluded_as_changed", F.when(by != "id", F.col("_late"))).drop("_late")
     return with_trends(found.withColumn("checksum_calculated_on", F.to_date("checksum_calculated_at")))
 
@@ -98,12 +137,25 @@ def compare_imports(raw: DataFrame, since: Column | None = None) -> DataFrame:
     keep = F.col("id").isNotNull() & F.when(by == "id", True).otherwise(F.coalesce(F.date_trunc("MILLISECOND", at) < F.date_trunc("MILLISECOND", F.col("checksum_calculated_at")), F.lit(False)))
     met = checks.join(rows, ["import_id", "entity_table_name"], "left")
     own = ["import_id", "entity_table_name", "database_row_count", "database_checksum", "order_column", "checksum_calculated_at"]
-    found = met.groupBy(*own).agg(
-        F.count_distinct("id").alias("warehouse_row_count"), F.greatest(F.max("occurred_at"), F.max("_checked")).alias("final_import_event_received_at"), ordered_md5(F.col("id"), at, keep).alias("warehouse_checksum")
-    )
+    found = met.groupBy(*own).agg(F.count_distinct("id").alias("warehouse_row_count"), F.greatest(F.max("occurred_at"), F.max("_checked")).alias("final_import_event_received_at"))
+    found = _with_checksums(met, own, found, "id", at, keep)
     return found if since is None else found.where(F.col("final_import_event_received_at") > since)
 
 
+def imported_ids(raw: DataFrame, entities: list[Entity]) -> DataFrame:
+    """``import_id, entity_table_name, entity_id`` of every row of every import, by each entity's configured key.
+
+    Imports are events with one tag, their id. An event that has several values of the key is a row for each; without
+    one it is none.
+    """
+    rows = raw.where("event_type = 'import_entity' and size(event_tags) = 1")
+    ids = F.array().cast("array<string>")
+    for e in entities:
+        ids = F.when(F.col("entity_table_name") == e.name, kv.values_of(kv.combined("data", "hidden_data"), e.id_key)).otherwise(ids)
+    found = rows.select(F.get("event_tags", F.lit(0)).alias("import_id"), "entity_table_name", F.explode(ids).alias("entity_id"))
+    return found.where("entity_id is not null")
+
+
 def infer_deletions(history: DataFrame, imports: DataFrame, imported: DataFrame) -> DataFrame:
     """``history`` with open versions closed that later complete imports no longer have.
 

@@ -54,10 +54,9 @@ def enrich(raw: DataFrame, namespace: str | None = None, since: Column | None =
             "request_path_and_query": scalar.standardise_path_query(full),
             "request_referer_domain": scalar.url_domain("request_referer"),
             "request_referer_path_and_query": scalar.standardise_path_query(scalar.decode_uri(scalar.url_path_and_query("request_referer"))),
-            "device_category": scalar.device_category("request_user_agent"),
             "_agent": agent,
         }
-    )
+    ).withColumn("device_category", scalar.device_category("request_user_agent", F.col("_agent.category")))
     parts = ("name", "version", "os", "vendor", "os_version")
     joined = joined.withColumns({name: F.col(f"_agent.{part}") for name, part in zip(AGENT_COLUMNS, parts, strict=True)})
     own = ("occurred_at", "request_uuid", "event_type", "environment", "namespace", "data", "hidden_data", "entity_table_name")
@@ -65,8 +64,8 @@ def enrich(raw: DataFrame, namespace: str | None = None, since: Column | None =
     return joined.select(*own, *[c for c in REQUEST_CONTEXT if c != "request_uuid"], *urls).dropDuplicates()
 
 
-def retain(events: DataFrame, as_of: Column, days: int | None = None, web_days: int | None = None, entity_days: dict[str, int] | None = None, event_days: dict[str, int] | None = None) -> DataFrame:
-    """Events that are not yet to be deleted at ``as_of``: a general limit and shorter ones for web requests, for the
+def kept(as_of: Column, days: int | None = None, web_days: int | None = None, entity_days: dict[str, int] | None = None, event_days: dict[str, int] | None = None) -> Column:
+    """Whether an event isn't yet to be deleted at ``as_of``: a general limit and shorter ones for web requests, for the
     events of some entities and for some custom event types (whole days)."""
     age = F.datediff(F.to_date(as_of), F.to_date("occurred_at"))
     keep = F.lit(True) if days is None else age <= days
@@ -76,4 +75,9 @@ def retain(events: DataFrame, as_of: Column, days: int | None = None, web_days:
         keep &= ~F.coalesce(F.col("entity_table_name") == name, F.lit(False)) | (age <= limit)
     for name, limit in (event_days or {}).items():
         keep &= (F.col("event_type") != name) | (age <= limit)
-    return events.where(keep)
+    return keep
+
+
+def retain(events: DataFrame, as_of: Column, days: int | None = None, web_days: int | None = None, entity_days: dict[str, int] | None = None, event_days: dict[str, int] | None = None) -> DataFrame:
+    """Events that are :func:`kept`."""
+    return events.where(kept(as_of, days, web_days, entity_days, event_days))

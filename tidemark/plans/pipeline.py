@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Cdc, Entity, PipelineConfig
 from tidemark.operators import catalogue, cdc, checks, entity, events, quality, web
+from tidemark.plans import monitoring
 from tidemark.plans.tables import Store
 
 
@@ -25,9 +26,9 @@ class Model:
     name: str
     build: Callable[[dict[str, DataFrame], Column | None], DataFrame]
     needs: tuple[str, ...] = ()
-    mode: str = "table"  # table, view, append or upsert
+    mode: str = "table"  # table, view, append, upsert or history
     keys: tuple[str, ...] = ()
-    merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # of the old rows and the new; else by keys
+    still_open: str | None = None  # of a history: the rows that each run rebuilds, given as an input under its own name
     checkpoint: str | None = None
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
@@ -35,7 +36,7 @@ class Model:
     checks: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
     guard: Callable[[dict[str, DataFrame], DataFrame], DataFrame] | None = None  # of the inputs and the table; as a check
     sees_itself: bool = False  # an append model that is given its own table as an input, under its own name
-    retain: Callable[[DataFrame], DataFrame] | None = None  # what stays of the table after each run
+    retain: Column | None = None  # true for rows that stay in the table after each run
 
 
 def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
@@ -52,17 +53,23 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
     for c in cfg.custom_events:
         add(Model(f"{c.event_type}_{s}", lambda i, cp, c=c: entity.flatten_custom_event(i[f"events_{s}"], c, cp), (f"events_{s}",), "append", checkpoint="occurred_at"))
     if cfg.transform_entities and cfg.entities:
-        versions = f"{s}_entity_version"
+        versions, imports = f"{s}_entity_version", f"entity_table_check_import_{s}"
 
         def build_versions(i: dict[str, DataFrame], cp: Column | None) -> DataFrame:
             rows = i[f"events_{s}"] if cp is None else i[f"events_{s}"].where(F.col("occurred_at") > cp)
-            return entity.versions(rows, cfg.entities, i.get(versions))
+            found = entity.versions(rows, cfg.entities, i.get(versions))
+            return checks.infer_deletions(found, i[imports], checks.imported_ids(i["raw"], cfg.entities))
 
-        add(Model(versions, build_versions, (f"events_{s}",), "upsert", merge=entity.upsert_versions, checkpoint="valid_from", partition_by=("entity_table_name",), sort_by=("entity_id", "valid_from"), checks=unique_versions))
+        needs = ("raw", f"events_{s}", imports)
+        add(Model(versions, build_versions, needs, "history", still_open="valid_to is null", checkpoint="valid_from", partition_by=("entity_table_name",), sort_by=("entity_id", "valid_from"), checks=unique_versions, retain=_version_retention(cfg, as_of)))
         add(Model(f"{s}_entity_field_updates", lambda i, cp: entity.field_updates(i[versions]), (versions,)))
         add(Model(f"{s}_data_schema_latest", lambda i, cp: catalogue.schema_text(catalogue.infer_types(i[f"events_{s}"])), (f"events_{s}",)))
         add(Model(f"entity_table_check_scheduled_{s}", lambda i, cp: checks.compare_scheduled(checks.check_events(i["raw"], "entity_table_check", F.date_sub(F.to_date(as_of), 8)), i[versions]), ("raw", versions)))
-        add(Model(f"entity_table_check_import_{s}", lambda i, cp: checks.compare_imports(i["raw"], cp), ("raw",), "append", checkpoint="final_import_event_received_at"))
+        add(Model(imports, lambda i, cp: checks.compare_imports(i["raw"], cp), ("raw",), "append", checkpoint="final_import_event_received_at"))
+        tables, scheduled = f"pipeline_table_snapshots_{s}", f"entity_table_check_scheduled_{s}"
+        if cfg.monitoring:
+            add(Model(tables, lambda i, cp: monitoring.table_snapshot(i[scheduled], i[f"events_{s}"], cfg, as_of), (scheduled, f"events_{s}"), "append"))
+            add(Model(f"pipeline_snapshots_{s}", lambda i, cp: monitoring.pipeline_snapshot(i[tables].where(F.col("workflow_executed_at") == as_of), i[f"client_history_{s}"], cfg), (tables, f"client_history_{s}"), "append"))
         for e in cfg.entities:
             flat = f"{e.name}_version_{s}"
             add(Model(flat, lambda i, cp, e=e: entity.flatten_versions(i[versions], e), (versions,), e.materialisation))
@@ -85,13 +92,24 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
     return out
 
 
-def _retention(cfg: PipelineConfig, as_of: Column) -> Callable[[DataFrame], DataFrame] | None:
+def _retention(cfg: PipelineConfig, as_of: Column) -> Column | None:
     limits = {
         "days": None if cfg.expiration_days is False else cfg.expiration_days, "web_days": cfg.web_request_expiration_days,
         "entity_days": {e.name: e.expiration_days for e in cfg.entities if e.expiration_days is not None},
         "event_days": {c.event_type: c.expiration_days for c in cfg.custom_events if c.expiration_days is not None},
     }
-    return (lambda rows: events.retain(rows, as_of, **limits)) if any(v is not None and v != {} for v in limits.values()) else None
+    return events.kept(as_of, **limits) if any(v is not None and v != {} for v in limits.values()) else None
+
+
+def _version_retention(cfg: PipelineConfig, as_of: Column) -> Column | None:
+    age, keep = F.datediff(F.to_date(as_of), F.to_date("valid_from")), None
+    if cfg.expiration_days is not False:
+        keep = age <= cfg.expiration_days
+    for e in cfg.entities:
+        if e.expiration_days is not None:
+            own = (F.col("entity_table_name") != e.name) | (age <= e.expiration_days)
+            keep = own if keep is None else keep & own
+    return keep
 
 
 def change_data_models(e: Entity, source: Cdc, s: str, as_of: Column) -> list[Model]:
@@ -120,8 +138,9 @@ def change_data_models(e: Entity, source: Cdc, s: str, as_of: Column) -> list[Mo
 def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFrame, full: bool = False, logs: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Build every model after those it needs; stop before the dependants of one whose checks or guard return rows.
 
-    Append and upsert models go on from their checkpoint unless ``full``, protected ones in any case. An upsert model
-    is given its own table as an input, to carry open rows over. ``logs``: change logs by name.
+    Append, upsert and history models go on from their checkpoint unless ``full``, protected ones in any case. An
+    upsert model is given its own table as an input and a history its open rows, to carry them over. ``logs``: change
+    logs by name.
     """
     built: dict[str, DataFrame] = {"raw": raw, **(logs or {})}
     given = set(built)
@@ -130,29 +149,28 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
             continue
         model = plan[name]
         inputs, since = {n: built[n] for n in model.needs}, None
-        resumed = model.mode in ("append", "upsert") and store.exists(name) and (not full or model.protected)
+        resumed = model.mode in ("append", "upsert", "history") and store.exists(name) and (not full or model.protected)
         if resumed:
             at = store.checkpoint(name, model.checkpoint) if model.checkpoint else None
             since = F.lit(at) if at is not None else None
-            if model.mode == "upsert" or model.sees_itself:
+            if model.mode == "history":
+                inputs[name] = store.read_open(name)
+            elif model.mode == "upsert" or model.sees_itself:
                 inputs[name] = store.read(name)
         rows = model.build(inputs, since)
         if model.mode == "view":
             built[name] = rows
         else:
-            if model.merge and resumed:
-                store.replace(name, model.merge(inputs[name], rows), model.partition_by, model.sort_by)
+            if model.mode == "history":
+                store.carry(name, rows, model.still_open, model.partition_by, model.sort_by, full=not resumed)
             elif model.mode == "upsert" and resumed:
                 store.upsert(name, rows, list(model.keys), model.partition_by, model.sort_by)
             elif model.mode == "append" and resumed:
                 store.append(name, rows, model.partition_by, model.sort_by)
             else:
                 store.replace(name, rows, model.partition_by, model.sort_by)
-            if model.retain:
-                whole = store.read(name)
-                kept = model.retain(whole)
-                if kept.count() < whole.count():
-                    store.replace(name, kept, model.partition_by, model.sort_by)
+            if model.retain is not None:
+                store.expire(name, model.retain, model.partition_by, model.sort_by)
             built[name] = store.read(name)
         guards = [lambda d, m=model, i=inputs: m.guard(i, d)] if model.guard else []
         for check in [*model.checks, *guards]:

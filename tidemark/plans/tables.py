@@ -1,17 +1,28 @@
-"""Materialised tables on plain Parquet: replace, append and upsert, each by a staged write and a swap.
+"""Materialised tables on plain Parquet: replace, append, upsert and carry, each by a staged write and a swap.
 
-A table is a folder with one folder for each state and pointer files, numbered as they are made; readers follow the
+A table is a folder, partitioned by states and by its own columns, and pointer files, numbered as they are made; readers follow the
 last one, so a plan never overwrites what it reads. A pointer is written under another name and renamed, so that a
 run that dies leaves the old state in place, and the states of the pointer before stay for plans that still read them.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Marks of a pointer's lines that aren't states: labels of batches, and the table's columns.
+_BATCH, _COLUMNS = "#", "@"
+#: The column that splits a history, and how the states of its open part end.
+_PART, OPEN = "_open", "-open"
+
+
+def _folder(state: str) -> str:
+    return f"_state={state}"
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
@@ -55,58 +66,100 @@ class Store:
         finally:
             stream.close()
 
+    def _last(self, name: str, mark: str) -> list[str]:
+        pointers = self._pointers(name)
+        return [line[1:] for line in self._lines(name, pointers[-1]) if line.startswith(mark)] if pointers else []
+
+    def _states_of(self, name: str, pointer: str) -> list[str]:
+        return [line for line in self._lines(name, pointer) if line[0] not in (_BATCH, _COLUMNS)]
+
     def _states(self, name: str) -> list[str]:
         pointers = self._pointers(name)
-        return [line for line in self._lines(name, pointers[-1]) if not line.startswith("#")] if pointers else []
+        return self._states_of(name, pointers[-1]) if pointers else []
+
+    def _columns(self, name: str) -> StructType | None:
+        found = self._last(name, _COLUMNS)
+        return StructType.fromJson(json.loads(found[0])) if found else None
 
     def batches(self, name: str) -> set[str]:
         """Labels of the batches that the table holds, see :meth:`append`."""
-        pointers = self._pointers(name)
-        return {line[1:] for line in self._lines(name, pointers[-1]) if line.startswith("#")} if pointers else set()
+        return set(self._last(name, _BATCH))
 
-    def _point(self, name: str, states: list[str], batches: set[str] = frozenset()) -> None:
+    def _point(self, name: str, states: list[str], columns: StructType, batches: set[str] = frozenset()) -> None:
         before = self._pointers(name)
         number = int(before[-1].rpartition("-")[2]) + 1 if before else 1
         made, fs = self._path(name, f"new-{uuid.uuid4().hex}")
         stream = fs.create(made, False)
         try:
-            stream.write("\n".join([*states, *(f"#{b}" for b in sorted(batches))]).encode())
+            stream.write("\n".join([*states, _COLUMNS + columns.json(), *(_BATCH + b for b in sorted(batches))]).encode())
         finally:
             stream.close()
         if not fs.rename(made, self._path(name, f"current-{number:012d}")[0]):
             raise OSError(f"another run has written {name}")
-        kept = {*states, *(self._lines(name, before[-1]) if before else ())}
+        kept = {*states, *(self._states_of(name, before[-1]) if before else ())}
         for pointer in before[:-1]:  # of these no plan should be under way any more
-            for state in set(self._lines(name, pointer)) - kept:
-                fs.delete(self._path(name, state)[0], True)
+            for state in set(self._states_of(name, pointer)) - kept:
+                fs.delete(self._path(name, _folder(state))[0], True)
             fs.delete(self._path(name, pointer)[0], False)
 
     def exists(self, name: str) -> bool:
         return bool(self._states(name))
 
     def read(self, name: str) -> DataFrame:
-        states = self._states(name)
-        if not states:
+        return self._read(name, self._states(name))
+
+    def read_open(self, name: str) -> DataFrame:
+        """The open part of a table that :meth:`carry` writes; closed rows aren't touched."""
+        return self._read(name, [s for s in self._states(name) if s.endswith(OPEN)])
+
+    def _read(self, name: str, states: list[str]) -> DataFrame:
+        columns = self._columns(name)
+        if columns is None:
             raise LookupError(f"there is no table {name}")
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{name}/{s}" for s in states])
+        if not states:
+            return self.spark.createDataFrame([], columns)
+        return self._scan(name, states, columns).select(columns.names)
+
+    def _scan(self, name: str, states: list[str], columns: StructType) -> DataFrame:
+        base = f"{self.root}/{name}"
+        return self.spark.read.schema(columns).option("basePath", base).parquet(*[f"{base}/{_folder(s)}" for s in states])
 
     def _write(self, name: str, rows: DataFrame, partition_by: list[str], sort_by: list[str]) -> str:
         state = uuid.uuid4().hex
         out = rows.sortWithinPartitions(*partition_by, *sort_by) if sort_by else rows
         writer = out.write.partitionBy(*partition_by) if partition_by else out.write
-        writer.parquet(f"{self.root}/{name}/{state}")
+        writer.parquet(f"{self.root}/{name}/{_folder(state)}")
         return state
 
     def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by))], self.batches(name))
+        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by))], rows.schema, self.batches(name))
 
     def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None) -> None:
-        """Add rows. With ``batch``, a label, only if the table doesn't hold that batch yet: a batch that is tried again
-        is there once."""
+        """Add rows, of which columns that are new to the table are NULL in older rows. With ``batch``, a label, only if
+        the table doesn't hold that batch yet: a batch that is tried again is there once."""
         known = self.batches(name)
         if batch is not None and batch in known:
             return
-        self._point(name, [*self._states(name), self._write(name, rows, list(partition_by), list(sort_by))], known | ({batch} if batch is not None else set()))
+        state = self._write(name, rows, list(partition_by), list(sort_by))
+        self._point(name, [*self._states(name), state], self._with(name, rows.schema), known | ({batch} if batch is not None else set()))
+
+    def _with(self, name: str, added: StructType) -> StructType:
+        have = self._columns(name)
+        return added if have is None else StructType([*have.fields, *[f for f in added.fields if f.name not in have.names]])
+
+    def carry(self, name: str, rows: DataFrame, still_open: str, partition_by: list[str] = (), sort_by: list[str] = (), full: bool = False) -> None:
+        """Go on with a history of which each run rebuilds the open rows: those of ``rows`` for which ``still_open``
+        isn't true are added, the others take the place of all that were open. What a run writes grows with what is
+        open and new, not with the rows that are closed already; these are neither read nor written. ``full``: the
+        rows take the place of all."""
+        apart = rows.withColumn(_PART, F.coalesce(F.expr(still_open), F.lit(False)))
+        state = self._write(name, apart, [_PART, *partition_by], list(sort_by))
+        fs, closed, made = self._path(name)[1], [] if full else [s for s in self._states(name) if not s.endswith(OPEN)], []
+        for folder, own in (("false", f"{state}-closed"), ("true", state + OPEN)):
+            if fs.exists(part := self._path(name, _folder(state), f"{_PART}={folder}")[0]) and fs.rename(part, self._path(name, _folder(own))[0]):
+                made.append(own)
+        fs.delete(self._path(name, _folder(state))[0], True)
+        self._point(name, [*closed, *made], rows.schema if full else self._with(name, rows.schema), self.batches(name))
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
         """Rows of the same keys are replaced. ``rows`` is written first: it may be computed from the table itself."""
@@ -114,15 +167,37 @@ class Store:
             self.replace(name, rows, partition_by, sort_by)
             return
         fresh = self._write(name, rows, list(partition_by), list(sort_by))
-        new = self.spark.read.parquet(f"{self.root}/{name}/{fresh}")
+        new = self._scan(name, [fresh], rows.schema).select(rows.columns)
         kept = self.read(name).join(new.select(*keys), list(keys), "left_anti")
         self.replace(name, kept.unionByName(new, allowMissingColumns=True), partition_by, sort_by)
-        path, fs = self._path(name, fresh)
+        path, fs = self._path(name, _folder(fresh))
         fs.delete(path, True)
 
-    def expire(self, name: str, keep: Column) -> None:
-        """Delete the rows for which ``keep`` isn't true."""
-        self.replace(name, self.read(name).where(F.coalesce(keep, F.lit(False))))
+    def expire(self, name: str, keep: Column, partition_by: list[str] = (), sort_by: list[str] = ()) -> int:
+        """Delete the rows for which ``keep`` isn't true; the number of states that were written anew.
+
+        One scan of the columns that ``keep`` reads finds the states that have such rows, and only these are written
+        again: in a table that grows by appends the old ones, at a run's cost of what is deleted.
+        """
+        keep = F.coalesce(keep, F.lit(False))
+        where = F.regexp_extract(F.col("_metadata.file_path"), "/_state=([^/]+)/", 1)
+        states, columns = self._states(name), self._columns(name)
+        if not states:
+            return 0
+        hit = {r[0] for r in self._scan(name, states, columns).where(~keep).select(where).distinct().collect()}  # at most one row a state
+        new = []
+        for s in states:
+            if s not in hit:
+                new.append(s)
+                continue
+            state = self._write(name, self._read(name, [s]).where(keep), list(partition_by), list(sort_by))
+            if s.endswith(OPEN):
+                self._path(name)[1].rename(self._path(name, _folder(state))[0], self._path(name, _folder(state + OPEN))[0])
+                state += OPEN
+            new.append(state)
+        if hit:
+            self._point(name, new, columns, self.batches(name))
+        return len(hit)
 
     def drop(self, name: str) -> None:
         path, fs = self._path(name)

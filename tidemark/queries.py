@@ -90,7 +90,11 @@ def device_categories(spark, d):
     return adapters.web_requests(spark, d).groupBy(scalar.device_category("request_user_agent").alias("device_category")).agg(F.count(F.lit(1)).alias("requests"))
 
 
-@query()
+@query(
+    f"""WITH {W} SELECT t.*, count(*) AS requests FROM w JOIN (VALUES (0, 'pc', 'Chrome', '120.0.0.0', 'Windows', 'Microsoft', '10.0'), (1, 'smartphone', 'Safari', '17.0', 'iPhone', 'Apple', '17.0'),
+  (2, 'unknown', 'curl', '8.0', 'unknown', 'unknown', 'unknown'), (3, 'unknown', 'unknown', 'unknown', 'unknown', 'unknown', 'unknown')) a(kind, category, name, version, os, vendor, os_version) ON u % 4 = kind,
+  LATERAL (SELECT category, name, version, os, vendor, os_version) t GROUP BY ALL"""
+)
 def user_agents(spark, d):
     agent = scalar.parse_user_agent("request_user_agent")
     return adapters.web_requests(spark, d).groupBy(agent.alias("a")).agg(F.count(F.lit(1)).alias("requests")).select("a.*", "requests")
@@ -206,7 +210,10 @@ def schema_inference(spark, d):
     return catalogue.infer_types(adapters.order_events(spark, d)).select("key", "data_type")
 
 
-@query()
+@query(
+    """SELECT '[{"entityTableName":"orders","keys":[' || string_agg('{"keyName":"' || k || '","dataType":"' || t || '"}', ',' ORDER BY k) || ']}]' AS data_schema_json
+  FROM (VALUES ('created_at', 'timestamp'), ('customer', 'integer'), ('id', 'integer'), ('priority', 'string'), ('status', 'string'), ('total_cents', 'integer'), ('updated_at', 'timestamp')) v(k, t)"""
+)
 def schema_proposal(spark, d):
     return catalogue.schema_text(catalogue.infer_types(adapters.order_events(spark, d)))
 
@@ -267,9 +274,11 @@ def uniqueness_check(spark, d):
     return quality.not_unique(adapters.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+TABLES = [Entity(t) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
+
+
 def _priority_versions(spark, d):
-    tables = [Entity(t) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
-    return entity.versions(adapters.priority_rows(spark, d, "create_entity"), tables)
+    return entity.versions(adapters.priority_rows(spark, d, "create_entity"), TABLES)
 
 
 _K = """a AS (SELECT o_orderpriority AS t, count(*) AS n, md5(string_agg(CAST(o_orderkey AS VARCHAR), '' ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR))) AS c FROM orders GROUP BY 1),
@@ -299,11 +308,40 @@ def ids_do_not_match(spark, d):
     return checks.mismatches(_imports(spark, d)).select("entity_table_name", "issue")
 
 
-@query("SELECT o_orderpriority AS entity_table_name, CAST(o_orderkey AS VARCHAR) AS entity_id, CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderkey % 5 = 0 THEN epoch_us(TIMESTAMP '2010-01-01') END AS valid_to_us FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0)")
+#: Every fifth order also stands for a row under the negative id that no import has.
+_GONE = "WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0)"
+
+
+@query(
+    f"""SELECT o_orderpriority AS entity_table_name, CAST(o_orderkey AS VARCHAR) AS entity_id, CAST(NULL AS BIGINT) AS valid_to_us FROM orders {_GONE}
+  UNION ALL SELECT o_orderpriority, '-' || CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderpriority <> '1-URGENT' THEN epoch_us(TIMESTAMP '2010-01-01') END FROM orders {_GONE} AND o_orderkey % 5 = 0"""
+)
 def inferred_deletions(spark, d):
-    versions = _priority_versions(spark, d)
-    imported = versions.where("cast(entity_id as bigint) % 5 <> 0").select(F.lit("import1").alias("import_id"), "entity_table_name", "entity_id")
-    return checks.infer_deletions(versions, _imports(spark, d), imported).select("entity_table_name", "entity_id", us("valid_to"))
+    raw = adapters.table_checks(spark, d, "import_entity_table_check").unionByName(adapters.priority_rows(spark, d))
+    made = adapters.priority_rows(spark, d, "create_entity")
+    key = kv.extract("data", "id")
+    gone = made.where(key.cast("bigint") % 5 == 0).withColumn("data", kv.replace_key("data", "id", F.concat(F.lit("-"), key)))
+    versions = entity.versions(made.unionByName(gone), TABLES)
+    found = checks.infer_deletions(versions, checks.compare_imports(raw), checks.imported_ids(raw, TABLES))
+    return found.select("entity_table_name", "entity_id", us("valid_to"))
+
+
+@query(
+    f"""WITH {_K}, late AS (SELECT o_orderpriority AS t, count(*) AS late FROM orders {_GONE} AND o_orderkey % 7 = 0 GROUP BY 1),
+  x AS (SELECT a.t, i, a.n + i AS want, b.n AS have, late, CASE WHEN a.n + i > b.n THEN a.n + i - b.n END AS missing FROM a JOIN b USING (t) JOIN late USING (t), range(8) r(i))
+  SELECT t AS entity_table_name, CAST(i AS INTEGER) AS check_day, want AS database_row_count, have AS warehouse_row_count, CASE WHEN i <= 3 THEN late ELSE 0 END AS rows_excluded_as_changed, missing AS number_of_missing_rows,
+  want - lag(want, 7) OVER o AS weekly_change_in_number_of_rows, missing - lag(missing, 7) OVER o AS weekly_change_in_number_of_missing_rows FROM x WINDOW o AS (PARTITION BY t ORDER BY i)"""
+)
+def entity_table_check_weekly(spark, d):
+    """Eight daily checks of each table, whose count grows by one a day while some rows change on the fourth day."""
+    taken = checks.check_events(adapters.table_checks(spark, d), "entity_table_check")
+    days = spark.range(8).select(F.col("id").cast("int").alias("i"))
+    later = lambda c: F.timestamp_add("DAY", F.col("i"), F.col(c))
+    daily = taken.crossJoin(F.broadcast(days)).withColumns({"occurred_at": later("occurred_at"), "checksum_calculated_at": later("checksum_calculated_at"), "database_row_count": F.col("database_row_count") + F.col("i")}).drop("i")
+    changed = F.when(F.col("entity_id").cast("bigint") % 7 == 0, F.lit("2010-01-04").cast("timestamp")).otherwise(F.col("updated_at"))
+    rows = checks.compare_scheduled(daily, _priority_versions(spark, d).withColumn("updated_at", changed))
+    day = F.datediff("checksum_calculated_on", F.lit("2010-01-01").cast("date")).alias("check_day")
+    return rows.select("entity_table_name", day, "database_row_count", "warehouse_row_count", "rows_excluded_as_changed", "number_of_missing_rows", "weekly_change_in_number_of_rows", "weekly_change_in_number_of_missing_rows")
 
 
 def _pages(spark, d):
@@ -384,6 +422,18 @@ def session_details(spark, d):
     return rows.select("user_id", us("session_start_timestamp", "session_start_us"), us("final_session_page_timestamp", "final_page_us"), "session_time_in_seconds", "count_pages_visited", "start_page", "exit_page")
 
 
+@query(
+    ORACLE["session_details"].rpartition("SELECT min(est)")[0]
+    + """, y4 AS (SELECT *, lead(us) OVER (PARTITION BY who, number ORDER BY us, page, path) AS exit_us FROM y3)
+  SELECT us AS page_entry_us, exit_us AS page_exit_us, (exit_us - us) // 1000000 AS duration, path AS page, visitor FROM y4"""
+)
+def session_pages(spark, d):
+    """Every page of every session, with when it was left."""
+    rows = web.session_details(events.enrich(adapters.web_requests(spark, d)), CONFIG)
+    each = rows.select(F.explode("pages_visited_details").alias("p"))
+    return each.select(us("p.page_entry_time", "page_entry_us"), us("p.page_exit_time", "page_exit_us"), "p.duration", "p.page", F.col("p.anonymised_user_agent_and_ip").alias("visitor"))
+
+
 #: Versions from the change log: deletions come 4,000 days after the order, later than all else.
 D = f"""{E}, c0 AS (SELECT *, lead(happened) OVER (PARTITION BY id ORDER BY happened) AS nxt, row_number() OVER (PARTITION BY id ORDER BY happened) AS n FROM e WHERE et <> 'delete_entity'),
 c AS (SELECT *, coalesce(nxt, CASE WHEN final = 'F' THEN ordered + INTERVAL 4000 DAY END) AS vt, nxt IS NULL AND final = 'F' AS gone FROM c0)"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.kv import KV
+from tidemark.operators.checks import ordered_md5
 
 START_US, SPEED = 1_704_067_200_000_000, 20
 #: Columns of the raw stream and their types.
@@ -132,8 +133,8 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_checks(spark: SparkSession, sf_dir: str, event_type: str = "entity_table_check") -> DataFrame:
     """A checksum event for each order priority taken as a table of its own, as the database would send it."""
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("t"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"])
-    found = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(ids, "")).alias("checksum"))
+    sums = ordered_md5(rows.withColumn("key", F.xxhash64("t")), "key", "at", "id").withColumnRenamed("md5", "checksum")
+    found = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("t")).join(sums, "key")
     data = pairs(row_count=F.col("n"), checksum=F.col("checksum"), checksum_calculated_at=F.lit("2010-01-01T00:00:00+00:00"), order_column=F.lit("UPDATED_AT"))
     return as_raw(found, occurred_at=F.lit("2010-01-01 00:00:05").cast("timestamp"), event_type=F.lit(event_type), entity_table_name=F.col("t"), event_tags=F.array(F.lit("import1")), data=data)
 
