@@ -118,6 +118,37 @@ def test_near_by_edits(spark):
     assert edit_fingerprint.near_by_edits(docs(spark, [])).count() == 0
 
 
+def test_near_by_edits_links_all_pairs(spark):
+    """Against all pairs: texts of every length with edits, a group of near copies and a bucket of strangers."""
+    rng = random.Random(11)
+    texts = []
+    for size in (2, 5, 9, 14, 20, 33, 60, 61, 64, 90, 130, 190, 260, 900, 4000):
+        for n in range(4):
+            text = "".join(rng.choice("abcdefgh ") for _ in range(size))
+            texts.append(text)
+            for _ in range(3):
+                at = rng.randrange(size)
+                text = text[:at] + rng.choice(["", "q", "xy"]) + text[at + 1 :]
+                texts.append(text)
+    copy = " ".join(prose(rng, 120))
+    texts += [copy[:at] + "!" + copy[at:] for at in range(len(copy) - 60, len(copy))] + ["zzzzzzzz" * 20 + "".join(rng.choice("klmnop") for _ in range(160)) for _ in range(20)]
+    prints = edit_fingerprint.embed(texts)
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] and texts[j] and (texts[i] == texts[j] or edit_fingerprint.likeness(prints[i], prints[j]) >= 0.8):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    got = {r.doc_id: r.component_id for r in edit_fingerprint.near_by_edits(docs(spark, texts)).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) < len(texts) * 0.8
+
+
 def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), [float(v) for v in row] if row is not None else None) for i, row in zip(ids if ids is not None else range(len(x)), x, strict=True)], "vec_id long, embedding array<float>")
 

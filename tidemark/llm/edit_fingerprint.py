@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import materialize
+from tidemark.llm._spark import discard, materialize
 from tidemark.llm.components import components
 
 
@@ -188,35 +190,53 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(fingerprint, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-#: Bands drawn from an octave's samples, and samples of a band.
-_BANDS, _BITS = 24, 4
-_BAND_AT = np.stack([np.sort(_rng.choice(SAMPLES, _BITS, replace=False)) for _ in range(_BANDS)])
+#: Bands drawn from a block of samples, and samples of a band.
+_BANDS, _BITS = 40, 6
+
+
+def _drawn(size: int) -> list[tuple[int, ...]]:
+    """The distinct sets of samples that bands read in a block of ``size`` samples: in small blocks three quarters of
+    the samples in every way, in others sets drawn once and for all."""
+    rng, bits = np.random.default_rng(size), max(1, min(_BITS, size * 3 // 4))
+    if math.comb(size, bits) <= _BANDS:
+        return list(itertools.combinations(range(size), bits))
+    return sorted({tuple(sorted(rng.choice(size, bits, replace=False).tolist())) for _ in range(_BANDS)})
+
+
+_DRAWN = {1 << k: _drawn(1 << k) for k in range(FIRST.bit_length())}
 
 
 def bands_of(fingerprint: str) -> list[str]:
-    """Keys of a fingerprint: octave, band, and what the walk reads at the band's sampled steps.
+    """Keys of a fingerprint: block, band, and what the walk reads at the band's sampled steps.
 
-    They come from the last whole octave of samples and the one before it, which stand for most of the walk, so texts
-    of somewhat different length still share an octave. Short fingerprints have one key, the whole of it.
+    Blocks are the last two whole ones, which stand for most of the walk: octaves of samples, before them the first 64
+    readings, and of fingerprints under 128 readings the beginnings whose lengths are powers of two. So fingerprints
+    of somewhat different lengths share a block at every length. An empty one has no key.
     """
-    whole = (len(fingerprint) - FIRST) // SAMPLES
-    if whole < 1:
-        return [f"-:{fingerprint}"]
+    m = len(fingerprint)
+    whole = (m - FIRST) // SAMPLES
+    if m >= FIRST:
+        blocks = [(FIRST + i * SAMPLES, SAMPLES) if i >= 0 else (0, FIRST) for i in range(max(-1, whole - 2), whole)]
+        blocks += [(0, FIRST // 2)] if whole == 0 else []
+    else:
+        blocks = [(0, 1 << k) for k in (m.bit_length() - 1, m.bit_length() - 2) if k >= 0]
     out = []
-    for octave in range(max(0, whole - 2), whole):
-        part = fingerprint[FIRST + octave * SAMPLES : FIRST + (octave + 1) * SAMPLES]
-        out += [f"{octave}:{b}:" + "".join(part[i] for i in at) for b, at in enumerate(_BAND_AT)]
+    for start, size in blocks:
+        part = fingerprint[start : start + size]
+        out += [f"{start}:{size}:{b}:" + "".join([part[i] for i in at]) for b, at in enumerate(_DRAWN[size])]
     return out
 
 
 def near_by_edits(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: documents linked where their fingerprints' likeness is ``least`` or more.
 
-    Banding: documents that share a band's samples meet in a bucket. Two fingerprints of likeness 0.8 share one of an
-    octave's 24 bands of 4 with probability above 0.9999. Verification: the likeness over all samples. Equal texts are
-    one entry. In each bucket one member after another leads: it is compared with all that are in other components,
-    until the bucket is in one component or all have led; so groups of copies cost one round, and nothing is capped.
-    Null and empty texts, and null ids, are linked with nothing. Each row of ``docs`` gives one row.
+    Banding: documents that share a band's samples meet in a bucket. Two fingerprints that read the same at 0.8 of a
+    block's samples share one of its 40 bands of 6 with probability above 0.99999. Verification: the likeness over all
+    samples. Equal texts are one entry. In each bucket that isn't in one component yet 1, 2, 4, ... further members
+    lead, and are compared with all that are in other components: groups of copies cost one round, the number of
+    rounds grows with the logarithm of a bucket's members, and nothing is capped. Null and empty texts, and null ids,
+    are linked with nothing. Rows that repeat an id with several texts keep a fingerprint each; the texts are linked
+    apart. Each row of ``docs`` gives one row, an empty table none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("h", pa.string()), ("fingerprint", pa.string())])
@@ -233,6 +253,12 @@ def near_by_edits(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(hashes, pa.string()), pa.array(embed(texts[at:end]), pa.string())], schema=schema)
                 at = end
 
+    written: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialize(df, name))
+        return written[-1]
+
     found = materialize(rows.mapInArrow(prints, "id long, h string, fingerprint string"), "fingerprints")
     reps = materialize(found.where("id is not null and fingerprint <> ''").groupBy("h").agg(F.min("id").alias("rep"), F.first("fingerprint").alias("fingerprint")), "representatives")
 
@@ -240,26 +266,32 @@ def near_by_edits(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     def keys(fingerprints):
         return fingerprints.map(bands_of)
 
-    cells = reps.select("rep", F.explode(keys("fingerprint")).alias("key"))
-    many = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    cells = materialize(cells.join(many, "key"), "buckets")
+    cells = put(reps.select("rep", F.explode(keys("fingerprint")).alias("key")).select("rep", F.xxhash64("key").alias("key")), "bands")
+    many = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    cells = put(cells.join(many, "key"), "buckets")
     alike = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
-    links = groups = led = None
+    links = groups = led = checked = None
+    leaders = 1
     while True:
         own = cells.withColumn("own", F.col("rep")) if groups is None else cells.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("component", "rep").alias("own"))
         mixed = own.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
-        own = materialize(own.join(mixed, "key", "left_semi"), "open")
+        own = put(own.join(mixed, "key", "left_semi"), "open")
         waiting = own if led is None else own.join(led, ["key", "rep"], "left_anti")
-        heads = materialize(waiting.groupBy("key").agg(F.min(F.struct("rep", "own")).alias("head")), "heads")
+        order = Window.partitionBy("key").orderBy("rep")
+        heads = waiting.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
+        heads = put(heads.select("key", F.col("rep").alias("head"), F.col("own").alias("head_own")), "heads")
         if heads.isEmpty():
             break
-        pairs = own.join(heads, "key").where("own <> head.own").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+        pairs = own.join(heads, "key").where("own <> head_own").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+        pairs = put(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
         side = [reps.select(F.col("rep").alias(x), F.col("fingerprint").alias(f"f_{x}")) for x in ("a", "b")]
-        new = pairs.join(side[0], "a").join(side[1], "b").where(alike("f_a", "f_b") >= least).select("a", "b")
-        links = materialize(new if links is None else links.unionByName(new), "links")
-        done = heads.select("key", F.col("head.rep").alias("rep"))
+        new = put(pairs.join(side[0], "a").join(side[1], "b").where(alike("f_a", "f_b") >= least).select("a", "b"), "near")
+        links = new if links is None else links.unionByName(new)
+        done = heads.select("key", F.col("head").alias("rep"))
         led = done if led is None else led.unionByName(done)
-        groups = materialize(components(links), "components")
+        groups, leaders = put(components(links), "components"), 2 * leaders
+    discard(*[t for t in written if t is not groups])
     labels = reps.select("h", "rep") if groups is None else reps.join(groups, F.col("rep") == F.col("node"), "left").select("h", "rep", "component")
     labels = labels.select("h", F.coalesce("component", "rep").alias("component_id")) if groups is not None else labels.select("h", F.col("rep").alias("component_id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

@@ -54,6 +54,11 @@ def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def edit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of those that are near by their edit fingerprints."""
+    return edit_fingerprint.near_by_edits(table(spark, sf_dir, "documents")).select("doc_id", "component_id")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
@@ -124,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
-    return own | {"chat_layouts": chat_layouts, "pipeline": pipeline}
+    return own | {"edit_links": edit_links, "chat_layouts": chat_layouts, "pipeline": pipeline}
 
 
 #: All pairs that share a shingle, then the components of the links: too slow for large tables, exact for small ones.
