@@ -272,6 +272,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Written first: a join of two plain exchanges can be split where one gram is very common.
     grams = materialize(grams.select("h", (F.col("c1") < F.col("c2")).alias("several")), "grams")
     shared = materialize(anchors.join(grams, "h"), "shared")
+    discard(anchors, grams)
     classes = shared.groupBy("h", "c", "several").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("y"))
     classes = materialize(classes.select("h", "c", "several", "first", "y", (F.col("first.id") < F.col("y")).alias("common")), "classes")
     found = []
@@ -288,16 +289,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         across = _across(matched)
         if across:
             found.append(docs.sparkSession.createDataFrame(across, "id long, begin long, finish long, later boolean"))
+    discard(contexts)
     windows = materialize(texts.mapInArrow(lean(_windows), "w long, h long, c long, x long, y long, at int"), "windows")
     # Windows of one class only are spans already where the class is common.
     hits = windows.groupBy("w").agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi and many > 1")
     hits = materialize(hits.select("w", "lo"), "hits")
     near = windows.join(small(hits), "w").groupBy("h", "c", "lo").agg(F.min("at").alias("from"), F.max("at").alias("to"))
     near = materialize(near.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "from", "to")).alias("near")), "near")  # WINDOW at most
+    discard(lists, windows, hits)
     # What makes an anchor's place a span, its whole context or windows of it, holds the anchor's gram, so that all
     # of it is one span without gaps: one row a place, whatever its class shares with however many others.
     marks = classes.select("h", "c", "common", F.col("first.id").alias("first_id")).join(near, ["h", "c"], "left").where("common or near is not null")
     marks = materialize(marks, "marks")
+    discard(classes, near)
     own = F.col("common") & (F.col("left") + F.col("right") + GRAM >= LEAST)
     near_of = F.coalesce("near", F.array().cast("array<struct<lo:bigint,from:int,to:int>>"))
     before = F.filter(near_of, lambda x: x["lo"] < F.col("id"))
@@ -312,11 +316,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     begin, finish = spans_of("near", F.col("b"), F.col("f"))
     later_begin, later_finish = spans_of("before", F.when(F.col("after"), F.col("b")), F.when(F.col("after"), F.col("f")))
     places = materialize(places.select("id", begin.alias("begin"), finish.alias("finish"), later_begin.alias("later_begin"), later_finish.alias("later_finish")).where("begin is not null").distinct(), "places")
+    discard(shared, marks)
     every, later = places.select("id", "begin", "finish"), places.where("later_begin is not null").select("id", F.col("later_begin").alias("begin"), F.col("later_finish").alias("finish"))
     for more in found:
         every, later = every.unionByName(more.select("id", "begin", "finish")), later.unionByName(more.where("later").select("id", "begin", "finish"))
     every, later = materialize(_merged(every), "spans"), materialize(_merged(later), "spans")
-    discard(anchors, grams, shared, classes, lists, contexts, windows, hits, near, marks, places, *matches)
+    discard(places, *matches)
     return every.withColumn("later", F.lit(False)).unionByName(later.withColumn("later", F.lit(True)))
 
 
