@@ -229,6 +229,42 @@ def test_histories_write_only_what_is_open_or_new(spark, tmp_path):
     assert got() == [(7, "z", None)]
 
 
+def test_days_are_replaced(spark, tmp_path):
+    """Rows of the first day named and later ones are replaced, twice over; earlier days and rows without one stay."""
+    rows = lambda *r: spark.createDataFrame([(k, T0 + timedelta(days=d) if d is not None else None) for k, d in r], "k int, at timestamp")
+    day, store = lambda d: (T0 + timedelta(days=d)).date(), Store(spark, str(tmp_path))
+    got = lambda **o: sorted(r.k for r in store.read("d", **o).collect())
+    store.replace("d", rows((1, 0), (2, 1), (3, 2), (4, None)), by_day="at")
+    before = store.read("d")
+    store.replace_days("d", rows((5, 1), (6, 3)), day(1), "at")
+    assert got() == [1, 4, 5, 6] and before.count() == 4 and got(first_day=F.lit(day(1))) == [5, 6]
+    store.replace_days("d", rows((7, 2)), day(2), "at")
+    assert got() == [1, 4, 5, 7]
+    store.append("d", rows((8, 0), (9, 9)), by_day="at")
+    assert got() == [1, 4, 5, 7, 8, 9]
+    plan = store.read("d", F.lit(day(9)))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and plan.rpartition("PartitionFilters: [")[2].partition("]")[0].count("_day") >= 1
+    assert store.expire("d", F.col("k") != 5, by_day="at") == 1 and got() == [1, 4, 7, 8, 9]
+    store.replace_days("d", rows((6, 0)), day(0), "at")
+    assert got() == [4, 6] and len(store._states("d")) == 2
+
+
+def test_session_details_go_on_from_the_last_days(spark, tmp_path):
+    """A later run that adds pages to a session over midnight gives what one run gives, and rewrites late days only."""
+    night = 14 * 60 + 55  # minutes from T0 to 23:55
+    first = [view(0, "a", "/x", user="u"), view(1, "b", "/y", "/x", user="u"), view(3 * 1440 + night, "c", "/x", user="u"), view(3 * 1440 + night + 10, "d", "/z", user="w", visitor="o")]
+    later = [view(3 * 1440 + night + 20, "e", "/y", "/x", user="u"), view(6 * 1440, "f", "/x", user="u")]
+    plan = {n: m for n, m in pipeline.models(CFG, F.lit(T0 + timedelta(days=9))).items() if n in ("events_shop", "session_details_shop")}
+    store, whole = Store(spark, str(tmp_path / "inc")), Store(spark, str(tmp_path / "full"))
+    pipeline.run(spark, store, plan, raw(spark, *first))
+    old = store._states("session_details_shop")
+    built = pipeline.run(spark, store, plan, raw(spark, *first, *later))
+    reference = pipeline.run(spark, whole, plan, raw(spark, *first, *later))
+    a, b = (sorted(map(str, map(tuple, d["session_details_shop"].collect()))) for d in (built, reference))
+    assert a == b and len(a) == 4
+    assert store._states("session_details_shop")[0].startswith(old[0] + "<")
+
+
 def test_runner_infers_deletions(spark, tmp_path):
     """An id that a complete import lacks ends when that was taken, in a whole run and in a later one."""
     import hashlib

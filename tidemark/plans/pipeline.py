@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import timedelta
 from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +27,14 @@ class Model:
     name: str
     build: Callable[[dict[str, DataFrame], Column | None], DataFrame]
     needs: tuple[str, ...] = ()
-    mode: str = "table"  # table, view, append, upsert or history
+    mode: str = "table"  # table, view, append, upsert, history or days (the last days are built again)
     keys: tuple[str, ...] = ()
     still_open: str | None = None  # of a history: the rows that each run rebuilds, given as an input under its own name
     checkpoint: str | None = None
     partition_by: tuple[str, ...] = ()
+    by_day: str | None = None  # the time by whose days the table is dealt
+    days_again: int = 1  # of a model by days: days before the checkpoint's that a run builds again
+    recent: dict[str, int] = field(default_factory=dict)  # inputs read from so many days before the checkpoint's on
     sort_by: tuple[str, ...] = ()
     protected: bool = False
     checks: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
@@ -48,10 +52,10 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
         out[model.name] = model
 
     unique_versions = [lambda d: quality.not_unique(d, ["entity_table_name", "entity_id", "valid_from"]), lambda d: quality.null_values(d, ["valid_from", "entity_table_name", "entity_id"])]
-    add(Model(f"events_{s}", lambda i, cp: events.enrich(i["raw"], cfg.namespace, cp), ("raw",), "append", checkpoint="occurred_at", sort_by=("event_type",), retain=_retention(cfg, as_of)))
+    add(Model(f"events_{s}", lambda i, cp: events.enrich(i["raw"], cfg.namespace, cp), ("raw",), "append", checkpoint="occurred_at", by_day="occurred_at", sort_by=("event_type",), retain=_retention(cfg, as_of)))
     add(Model(f"client_history_{s}", lambda i, cp: catalogue.configuration_history(i[f"events_{s}"]), (f"events_{s}",)))
     for c in cfg.custom_events:
-        add(Model(f"{c.event_type}_{s}", lambda i, cp, c=c: entity.flatten_custom_event(i[f"events_{s}"], c, cp), (f"events_{s}",), "append", checkpoint="occurred_at"))
+        add(Model(f"{c.event_type}_{s}", lambda i, cp, c=c: entity.flatten_custom_event(i[f"events_{s}"], c, cp), (f"events_{s}",), "append", checkpoint="occurred_at", by_day="occurred_at", recent={f"events_{s}": 0}))
     if cfg.transform_entities and cfg.entities:
         versions, imports = f"{s}_entity_version", f"entity_table_check_import_{s}"
 
@@ -61,7 +65,7 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
             return checks.infer_deletions(found, i[imports], checks.imported_ids(i["raw"], cfg.entities))
 
         needs = ("raw", f"events_{s}", imports)
-        add(Model(versions, build_versions, needs, "history", still_open="valid_to is null", checkpoint="valid_from", partition_by=("entity_table_name",), sort_by=("entity_id", "valid_from"), checks=unique_versions, retain=_version_retention(cfg, as_of)))
+        add(Model(versions, build_versions, needs, "history", still_open="valid_to is null", checkpoint="valid_from", recent={f"events_{s}": 0}, partition_by=("entity_table_name",), sort_by=("entity_id", "valid_from"), checks=unique_versions, retain=_version_retention(cfg, as_of)))
         add(Model(f"{s}_entity_field_updates", lambda i, cp: entity.field_updates(i[versions]), (versions,)))
         add(Model(f"{s}_data_schema_latest", lambda i, cp: catalogue.schema_text(catalogue.infer_types(i[f"events_{s}"])), (f"events_{s}",)))
         add(Model(f"entity_table_check_scheduled_{s}", lambda i, cp: checks.compare_scheduled(checks.check_events(i["raw"], "entity_table_check", F.date_sub(F.to_date(as_of), 8)), i[versions]), ("raw", versions)))
@@ -81,10 +85,17 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
         def build_pages(i: dict[str, DataFrame], cp: Column | None) -> DataFrame:
             return web.funnels(web.page_views(i[f"events_{s}"], before=F.to_date(as_of), after=None if cp is None else F.to_date(cp)), cfg)
 
-        add(Model(pages, build_pages, (f"events_{s}",), "append", checkpoint="occurred_at", sort_by=("newly_arrived",)))
-        add(Model(f"sessions_{s}", lambda i, cp: web.sessions(i[pages], i[f"events_{s}"], cfg), (pages, f"events_{s}")))
+        add(Model(pages, build_pages, (f"events_{s}",), "append", checkpoint="occurred_at", by_day="occurred_at", recent={f"events_{s}": 0}, sort_by=("newly_arrived",)))
+        add(Model(f"sessions_{s}", lambda i, cp: web.sessions(i[pages], i[f"events_{s}"], cfg), (pages, f"events_{s}"), by_day="session_started_at"))
     if cfg.session_details:
-        add(Model(f"session_details_{s}", lambda i, cp: web.session_details(i[f"events_{s}"], cfg), (f"events_{s}",)))
+
+        def build_details(i: dict[str, DataFrame], cp: Column | None) -> DataFrame:
+            """Of a later run the sessions from the day before the last one's start on, as these may go on; they are
+            told from the day before that on. What a session's pages more than a day ago say isn't looked at again."""
+            rows = web.session_details(i[f"events_{s}"], cfg)
+            return rows if cp is None else rows.where(F.to_date("session_start_timestamp") >= F.date_sub(F.to_date(cp), 1))
+
+        add(Model(f"session_details_{s}", build_details, (f"events_{s}",), "days", checkpoint="session_start_timestamp", by_day="session_start_timestamp", recent={f"events_{s}": 2}))
     if cfg.cdc:
         for e in cfg.entities:
             for model in change_data_models(e, cfg.cdc, s, as_of):
@@ -139,8 +150,8 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
     """Build every model after those it needs; stop before the dependants of one whose checks or guard return rows.
 
     Append, upsert and history models go on from their checkpoint unless ``full``, protected ones in any case. An
-    upsert model is given its own table as an input and a history its open rows, to carry them over. ``logs``: change
-    logs by name.
+    upsert model is given its own table as an input and a history its open rows, to carry them over. A model by days
+    replaces the days from ``days_again`` before the checkpoint's on. ``logs``: change logs by name.
     """
     built: dict[str, DataFrame] = {"raw": raw, **(logs or {})}
     given = set(built)
@@ -149,10 +160,12 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
             continue
         model = plan[name]
         inputs, since = {n: built[n] for n in model.needs}, None
-        resumed = model.mode in ("append", "upsert", "history") and store.exists(name) and (not full or model.protected)
+        resumed = model.mode in ("append", "upsert", "history", "days") and store.exists(name) and (not full or model.protected)
         if resumed:
             at = store.checkpoint(name, model.checkpoint) if model.checkpoint else None
             since = F.lit(at) if at is not None else None
+            if since is not None:
+                inputs |= {n: store.read(n, F.date_sub(F.to_date(since), days)) for n, days in model.recent.items()}
             if model.mode == "history":
                 inputs[name] = store.read_open(name)
             elif model.mode == "upsert" or model.sees_itself:
@@ -166,11 +179,14 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
             elif model.mode == "upsert" and resumed:
                 store.upsert(name, rows, list(model.keys), model.partition_by, model.sort_by)
             elif model.mode == "append" and resumed:
-                store.append(name, rows, model.partition_by, model.sort_by)
+                store.append(name, rows, model.partition_by, model.sort_by, by_day=model.by_day)
+            elif model.mode == "days" and since is not None:
+                last = store.checkpoint(name, F.to_date(model.checkpoint))
+                store.replace_days(name, rows, last - timedelta(days=model.days_again), model.by_day, model.partition_by, model.sort_by)
             else:
-                store.replace(name, rows, model.partition_by, model.sort_by)
+                store.replace(name, rows, model.partition_by, model.sort_by, by_day=model.by_day)
             if model.retain is not None:
-                store.expire(name, model.retain, model.partition_by, model.sort_by)
+                store.expire(name, model.retain, model.partition_by, model.sort_by, model.by_day)
             built[name] = store.read(name)
         guards = [lambda d, m=model, i=inputs: m.guard(i, d)] if model.guard else []
         for check in [*model.checks, *guards]:

@@ -3,10 +3,14 @@
 A table is a folder, partitioned by states and by its own columns, and pointer files, numbered as they are made; readers follow the
 last one, so a plan never overwrites what it reads. A pointer is written under another name and renamed, so that a
 run that dies leaves the old state in place, and the states of the pointer before stay for plans that still read them.
+
+A table may be dealt by the day of a time (``by_day``): readers that name the first day they want open no folder of an
+earlier one, and a run may rewrite the last days only.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import tempfile
 import uuid
@@ -19,10 +23,16 @@ from pyspark.sql.types import StructType
 _BATCH, _COLUMNS = "#", "@"
 #: The column that splits a history, and how the states of its open part end.
 _PART, OPEN = "_open", "-open"
+#: The column of days, how its states end, and what parts a state's name from the day on which later states took over.
+_DAY, DAYS, _UNTIL = "_day", "-days", "<"
 
 
 def _folder(state: str) -> str:
-    return f"_state={state}"
+    return f"_state={_bare(state)}"
+
+
+def _bare(state: str) -> str:
+    return state.partition(_UNTIL)[0]
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
@@ -96,51 +106,74 @@ class Store:
             stream.close()
         if not fs.rename(made, self._path(name, f"current-{number:012d}")[0]):
             raise OSError(f"another run has written {name}")
-        kept = {*states, *(self._states_of(name, before[-1]) if before else ())}
+        kept = {_bare(s) for s in (*states, *(self._states_of(name, before[-1]) if before else ()))}
         for pointer in before[:-1]:  # of these no plan should be under way any more
-            for state in set(self._states_of(name, pointer)) - kept:
+            for state in {_bare(s) for s in self._states_of(name, pointer)} - kept:
                 fs.delete(self._path(name, _folder(state))[0], True)
             fs.delete(self._path(name, pointer)[0], False)
 
     def exists(self, name: str) -> bool:
         return bool(self._states(name))
 
-    def read(self, name: str) -> DataFrame:
-        return self._read(name, self._states(name))
+    def read(self, name: str, first_day: Column | None = None) -> DataFrame:
+        """The table; with ``first_day``, of one that is dealt by days, only that day and later ones."""
+        return self._read(name, self._states(name), first_day)
 
     def read_open(self, name: str) -> DataFrame:
         """The open part of a table that :meth:`carry` writes; closed rows aren't touched."""
         return self._read(name, [s for s in self._states(name) if s.endswith(OPEN)])
 
-    def _read(self, name: str, states: list[str]) -> DataFrame:
+    def _read(self, name: str, states: list[str], first_day: Column | None = None) -> DataFrame:
         columns = self._columns(name)
         if columns is None:
             raise LookupError(f"there is no table {name}")
         if not states:
             return self.spark.createDataFrame([], columns)
-        return self._scan(name, states, columns).select(columns.names)
+        rows = self._scan(name, states, columns)
+        if first_day is not None and _DAY in rows.columns:
+            rows = rows.where(F.col(_DAY).cast("date") >= first_day)
+        return rows.select(columns.names)
 
     def _scan(self, name: str, states: list[str], columns: StructType) -> DataFrame:
         base = f"{self.root}/{name}"
-        return self.spark.read.schema(columns).option("basePath", base).parquet(*[f"{base}/{_folder(s)}" for s in states])
+        rows = self.spark.read.schema(columns).option("basePath", base).parquet(*[f"{base}/{_folder(s)}" for s in states])
+        until = [F.lit(x) for s in states if _UNTIL in s for x in (_bare(s), datetime.date.fromisoformat(s.partition(_UNTIL)[2]))]
+        if until:  # both are columns of folders, so that files of days that were replaced aren't opened
+            rows = rows.where(F.coalesce(F.col(_DAY).cast("date") < F.create_map(*until)[F.col("_state")], F.lit(True)))
+        return rows
 
-    def _write(self, name: str, rows: DataFrame, partition_by: list[str], sort_by: list[str]) -> str:
+    def _write(self, name: str, rows: DataFrame, partition_by: list[str], sort_by: list[str], by_day: str | None = None) -> str:
         state = uuid.uuid4().hex
+        if by_day is not None:  # a day's rows are brought together, those of a large one in several files
+            state, partition_by = state + DAYS, [_DAY, *partition_by]
+            rows = rows.withColumn(_DAY, F.to_date(by_day)).hint("rebalance", _DAY)
         out = rows.sortWithinPartitions(*partition_by, *sort_by) if sort_by else rows
         writer = out.write.partitionBy(*partition_by) if partition_by else out.write
         writer.parquet(f"{self.root}/{name}/{_folder(state)}")
         return state
 
-    def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by))], rows.schema, self.batches(name))
-
-    def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None) -> None:
+    def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), by_day: str | None = None) -> None:
+        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by), by_day)], rows.schema, self.batches(name))
+
+    def replace_days(self, name: str, rows: DataFrame, first: datetime.date, by_day: str, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
+        """``rows`` take the place of the table's rows of the day ``first`` and later. What a run writes grows with
+        these days; earlier ones are neither read nor written. Rows without a time stay."""
+        state = self._write(name, rows, list(partition_by), list(sort_by), by_day)
+        fs, kept = self._path(name)[1], []
+        for s in self._states(name):
+            days = [f.getPath().getName().partition("=")[2] for f in fs.listStatus(self._path(name, _folder(s))[0]) if f.isDirectory()]
+            last = min(first.isoformat(), s.partition(_UNTIL)[2] or "9999")
+            if any(d < last or d.startswith("__") for d in days):
+                kept.append(f"{_bare(s)}{_UNTIL}{last}")
+        self._point(name, [*kept, state], self._with(name, rows.schema), self.batches(name))
+
+    def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None, by_day: str | None = None) -> None:
         """Add rows, of which columns that are new to the table are NULL in older rows. With ``batch``, a label, only if
         the table doesn't hold that batch yet: a batch that is tried again is there once."""
         known = self.batches(name)
         if batch is not None and batch in known:
             return
-        state = self._write(name, rows, list(partition_by), list(sort_by))
+        state = self._write(name, rows, list(partition_by), list(sort_by), by_day)
         self._point(name, [*self._states(name), state], self._with(name, rows.schema), known | ({batch} if batch is not None else set()))
 
     def _with(self, name: str, added: StructType) -> StructType:
@@ -173,7 +206,7 @@ class Store:
         path, fs = self._path(name, _folder(fresh))
         fs.delete(path, True)
 
-    def expire(self, name: str, keep: Column, partition_by: list[str] = (), sort_by: list[str] = ()) -> int:
+    def expire(self, name: str, keep: Column, partition_by: list[str] = (), sort_by: list[str] = (), by_day: str | None = None) -> int:
         """Delete the rows for which ``keep`` isn't true; the number of states that were written anew.
 
         One scan of the columns that ``keep`` reads finds the states that have such rows, and only these are written
@@ -187,10 +220,10 @@ class Store:
         hit = {r[0] for r in self._scan(name, states, columns).where(~keep).select(where).distinct().collect()}  # at most one row a state
         new = []
         for s in states:
-            if s not in hit:
+            if _bare(s) not in hit:
                 new.append(s)
                 continue
-            state = self._write(name, self._read(name, [s]).where(keep), list(partition_by), list(sort_by))
+            state = self._write(name, self._read(name, [s]).where(keep), list(partition_by), list(sort_by), by_day)
             if s.endswith(OPEN):
                 self._path(name)[1].rename(self._path(name, _folder(state))[0], self._path(name, _folder(state + OPEN))[0])
                 state += OPEN
@@ -203,6 +236,6 @@ class Store:
         path, fs = self._path(name)
         fs.delete(path, True)
 
-    def checkpoint(self, name: str, column: str) -> object:
+    def checkpoint(self, name: str, column: Column | str) -> object:
         """The greatest value of a column so far; None without a table or value."""
         return self.read(name).agg(F.max(column)).first()[0] if self.exists(name) else None
