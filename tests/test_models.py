@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Cdc, CustomEvent, Entity, Key, PipelineConfig
 from tidemark.operators import cdc, checks, entity, events, web
-from tidemark.plans import pipeline
+from tidemark.plans import migration, pipeline
 from tidemark.plans.assertions import assertions, broken
 from tidemark.plans.tables import Store
 from tidemark.sources.adapters import RAW
@@ -265,6 +265,24 @@ def test_session_details_go_on_from_the_last_days(spark, tmp_path):
     assert store._states("session_details_shop")[0].startswith(old[0] + "<")
 
 
+def test_hidden_data_migration(spark, tmp_path):
+    """Older events follow the configuration, today's and checks stay; events of yesterday in the wrong field stop it."""
+    cfg = PipelineConfig("shop", entities=[Entity("user", [Key("name", hidden=True), Key("age")])], custom_events=[CustomEvent("login", [Key("k", hidden=True)])], sessions=False, session_details=False, hidden_policy="pii")
+    login = {"occurred_at": T0, "event_type": "login", "data": [("k", ["1"])], "hidden_data": []}
+    check = {**change(3, "entity_table", "1", row_count="5"), "event_type": "entity_table_check"}
+    rows = raw(spark, change(0, "update", "1", name="a", age="7"), check, login, change(5000, "update", "1", name="b"))
+    store, at = Store(spark, str(tmp_path)), lambda d: F.lit(T0 + timedelta(days=d))
+    store.replace("e", rows, by_day="occurred_at")
+    with pytest.raises(pipeline.ChecksFailed, match="name"):
+        migration.migrate_hidden(store, "e", cfg, at(1))
+    found = lambda: sorted((r.occurred_at, r.event_type, [k.key for k in r.data], [k.key for k in r.hidden_data]) for r in store.read("e").collect())
+    assert [x[3] for x in found()] == [[]] * 4
+    want = [(T0, "login", [], ["k"]), (T0, "update_entity", ["id", "age"], ["name"]), (T0 + timedelta(minutes=3), "entity_table_check", ["id", "row_count"], []), (T0 + timedelta(minutes=5000), "update_entity", ["id", "name"], [])]
+    for _ in range(2):
+        migration.migrate_hidden(store, "e", cfg, at(3))
+        assert found() == want
+
+
 def test_runner_infers_deletions(spark, tmp_path):
     """An id that a complete import lacks ends when that was taken, in a whole run and in a later one."""
     import hashlib

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import PipelineConfig
+from tidemark.config import ENTITY_EVENTS, PipelineConfig
 from tidemark.functions import kv
 
 
@@ -13,7 +13,7 @@ def rearrange(events: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """Events with each key where the configuration has it now.
 
     Keys configured as visible are shown; keys configured as hidden, and keys that aren't configured for the entity or
-    custom event, are hidden. Events that are neither are left as they are.
+    custom event, are hidden. Events that are neither, checks of an entity's table among them, are left as they are.
     """
     shown, hidden = _keys_of(cfg, False), _keys_of(cfg, True)
     every = kv.combined("data", "hidden_data")
@@ -33,7 +33,7 @@ def _keys_of(cfg: PipelineConfig, hidden: bool) -> Column:
         names = {n for k in e.keys if k.hidden == hidden for n in (k.name, *k.past_names)}
         names |= {"created_at", "updated_at"} if not hidden else set()
         names |= {e.id_key} if e.hide_primary_key == hidden else set()
-        out = F.when(F.col("entity_table_name") == e.name, _texts(names)).otherwise(out)
+        out = F.when(F.col("event_type").isin(*ENTITY_EVENTS) & (F.col("entity_table_name") == e.name), _texts(names)).otherwise(out)
     for c in cfg.custom_events:
         names = {n for k in c.keys if k.hidden == hidden for n in (k.name, *k.past_names)}
         out = F.when(F.col("event_type") == c.event_type, _texts(names)).otherwise(out)
