@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat_format, edit_fingerprint, html_extract, mixing, near_dedup, quality_crf, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, chat_format, edit_fingerprint, html_extract, mixing, near_dedup, piece_bpe, quality_crf, spelling, suffix_dedup, target_sampling, toxicity
 from tidemark.llm._spark import table
 
-#: The public tokenizer that texts are encoded with.
-TOKENIZER = "word_bpe_49k.json"
+#: The public tokenizers that texts are encoded with.
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: Scores from which a document counts as good, and as toxic.
 THRESHOLD = 0.3
 #: The mixture: weights at each level of the tree.
@@ -19,11 +19,11 @@ WEIGHTS = {"domain": {"web": 4, "reference": 3, "forum": 3}, "lang": {"en": 14,
 EPOCHS, SEED = 2, 17
 
 
-def tokenizer_path() -> str:
-    """Where the tokenizer's file is; it is read by the driver only."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a tokenizer's file is; it is read by the driver only."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def mixture_levels() -> dict[str, Column]:
@@ -121,6 +121,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"))
 
 
+def op11_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -184,6 +196,47 @@ z AS (SELECT *, unnest(range(1, CAST(full_passes + CASE WHEN rest > 0 AND upto <
 SELECT doc_id, domain, lang, source, epoch, t AS n_tokens FROM z"""
 
 
+#: CRC-32 of a text, byte by byte over the table of its polynomial.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc_t)"
+
+
+def _crc_sql(text: str) -> str:
+    bytes_of = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), lambda x, b: xor(x >> 8, crc_t[CAST((xor(x, b) & 255) + 1 AS INT)])), 4294967295)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP12_SQL = rf"""WITH {_CRC_TABLE},
+d AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+g AS (SELECT kind, id, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM w),
+h AS (SELECT f, CAST({_crc_sql("f")} % 10000 AS INT) AS bucket FROM (SELECT DISTINCT f FROM g), crc),
+b AS (SELECT kind, id, bucket, count(*) AS n FROM g JOIN h USING (f) GROUP BY ALL),
+c AS (SELECT bucket, sum(CASE WHEN kind = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN kind = 1 THEN n ELSE 0 END) AS t FROM b GROUP BY bucket),
+a AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM c),
+e AS (SELECT bucket, CAST(floor(1000 * ln((c.t + 1.0::DOUBLE) * (a.s + 10000) / ((c.s + 1.0::DOUBLE) * (a.t + 10000)))) AS BIGINT) AS gain FROM c, a),
+v AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM b JOIN e USING (bucket) WHERE kind = 0 GROUP BY id),
+o AS (SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS open,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || CAST(w.id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN v USING (id) WHERE kind = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY open) AS many FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= 5 * many // 100 THEN place END AS rank FROM r"""
+
+_OP13_SQL = rf"""WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT run, n, {_crc_sql("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM c, crc),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT DISTINCT x.word AS a, x.n AS an, y.word AS b, y.n AS bn FROM v x JOIN v y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word
+  UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON v.cut = w.word UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON v.cut = w.word),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) AS place, count(*) OVER (PARTITION BY a) AS near FROM p),
+f AS (SELECT w.word, w.n, coalesce(near, 0) AS n_near, CASE WHEN bn >= 10 * w.n THEN b END AS form, CASE WHEN bn >= 10 * w.n THEN bn END AS form_n FROM w LEFT JOIN k ON k.a = w.word AND k.place = 1),
+r AS (SELECT word, word AS root FROM f UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f AS e ON e.word = r.root AND e.form IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the tests hold the others against brute force."""
-    return {"op2_minhash_near_dedup": _OP2_SQL, "op8_chat_format": _OP8_SQL, "chat_layouts": _LAYOUTS_SQL, "op10_source_mixing": _op10_sql()}
+    return {"op2_minhash_near_dedup": _OP2_SQL, "op8_chat_format": _OP8_SQL, "chat_layouts": _LAYOUTS_SQL, "op10_source_mixing": _op10_sql(), "op12_target_resampling": _OP12_SQL, "op13_spelling_variants": _OP13_SQL}
