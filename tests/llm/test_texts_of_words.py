@@ -30,7 +30,8 @@ def odd_texts():
 
 
 def test_piece_encoding_equals_the_library(spark, monkeypatch):
-    monkeypatch.setattr(piece_bpe, "BLOCK_CHARS", 5000)
+    monkeypatch.setattr(piece_bpe, "HELD", 50)
+    monkeypatch.setattr(piece_bpe, "SLICE_CHARS", 300)
     own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = odd_texts()
     rows = docs(spark, texts).unionByName(docs(spark, ["again", "again"]))

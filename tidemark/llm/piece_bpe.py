@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 A chunk is a run of white-space markers with the other characters up to the next marker. No piece has a marker behind
-another character, so no merge crosses a chunk's border: each distinct chunk of the corpus is segmented once, and a
-text's ids are those of its chunks, joined back by position.
+another character, so no merge crosses a chunk's border: each distinct chunk is segmented once, and a text's ids are
+those of its chunks, joined back by position.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,19 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import discard, materialize, small_batches
+from tidemark.llm._spark import small_batches
 from tidemark.llm._text import lean
 
 MARK = "▁"
-#: Characters of the texts that share one list of chunks (a single longer text has one of its own).
-BLOCK_CHARS = 6 << 20
+#: Chunks that a task's table holds before it starts anew, and characters that are encoded at once.
+HELD, SLICE_CHARS = 300_000, 1 << 20
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Kinds of pieces in a model file. Fixed values of the format.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
-_BLOCK = "block long, ids array<bigint>, counts array<int>, codes binary, words array<string>"
-
 
 def _each_byte(error: UnicodeError):
     return "�" * (error.end - error.start), error.end
@@ -134,33 +133,45 @@ class _Codes(dict):
         return code
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts by block: their chunks as places in the block's list of distinct chunks."""
-    from pyspark import TaskContext
+class ChunkTable:
+    """Ids of texts by a table of their distinct chunks, each of which is segmented once.
+
+    The table grows over the texts that it is given and starts anew at HELD chunks (a single text may have more).
+    """
 
-    number, texts, ids, chars = TaskContext.get().partitionId() << 32, [], [], 0
+    def __init__(self, own: PieceBpe):
+        self.own, self.codes = own, _Codes()
+        self.pieces, self.sizes = [], array("I")
 
-    def block() -> pa.RecordBatch:
-        codes, counts, flat = _Codes(), [], array("I")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without begin and end."""
+        if len(self.codes) >= HELD:
+            self.codes, self.pieces, self.sizes = _Codes(), [], array("I")
+        counts, codes = [0], array("I")
         for text in texts:
-            before = len(flat)
             if text:
-                flat.extend(map(codes.__getitem__, _CHUNK.findall(MARK + text.replace(" ", MARK))))
-            counts.append(len(flat) - before)
-        packed = np.frombuffer(flat, "<u4").astype("<u2" if len(codes) <= 1 << 16 else "<u4").tobytes()
-        columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([list(codes)], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "codes", "words"])
-
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            texts.append(text), ids.append(i)
-            chars += len(text or "") + 16
-            if chars >= BLOCK_CHARS:
-                yield block()
-                number, texts, ids, chars = number + 1, [], [], 0
+                codes.extend(map(self.codes.__getitem__, _CHUNK.findall(MARK + text.replace(" ", MARK))))
+            counts.append(len(codes))
+        for chunk in itertools.islice(self.codes, len(self.pieces), None):
+            self.pieces.append(ids := self.own.segment(chunk))
+            self.sizes.append(len(ids) // 4)
+        flat = np.frombuffer(b"".join(self.pieces), "<i4")
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(self.sizes, np.uint32), dtype=np.int64)])
+        places = np.frombuffer(codes, np.uint32).astype(np.int64)  # where each chunk of the texts stands in the table
+        return [gather(flat, off, places[a:b]) for a, b in itertools.pairwise(counts)]
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) for runs of rows of about SLICE_CHARS characters."""
+    first, texts, chars = 0, [], 0
+    for i, text in enumerate(batch.column(1)):
+        texts.append(text.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= SLICE_CHARS:
+            yield first, texts
+            first, texts, chars = i + 1, [], 0
     if texts:
-        yield block()
+        yield first, texts
 
 
 _loaded: dict[str, PieceBpe] = {}
@@ -179,53 +190,33 @@ def _shipped(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(load_model(path) | {"key": path})
 
 
+def _encoded(model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, PieceBpe, list[np.ndarray]]]:
+    """Rows' ids and their texts' ids with begin and end around them, by one chunk table a task."""
+    own = _worker(model)
+    table, first, last = ChunkTable(own), np.array([own.begin], "<i4"), np.array([own.end], "<i4")
+    for batch in batches:
+        for at, texts in _groups(batch):
+            yield batch.column(0).slice(at, len(texts)), own, [np.concatenate([first, ids, last]) for ids in table.encode(texts)]
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (array<int>) of every row: the ids of the whole text with the begin and end ids around them.
 
     A null text encodes like an empty one, to these two. Null and repeated ids are kept, a row each; further columns
     may have any name and are left out. An empty table gives none.
 
-    Texts are dealt to blocks of BLOCK_CHARS characters, each with the list of its distinct chunks; the distinct chunks
-    of all blocks are segmented once each, and their ids go back to the blocks' lists. Only lists are shuffled, not
-    words: a common chunk has one row a block.
+    A task keeps a table of the distinct chunks it has met (of HELD at most, then a new one), segments each once and
+    joins ids back by the chunks' places. Nothing is shuffled: a table of the whole corpus' chunks would be, with a row
+    for each chunk and block of texts, and that costs more than segmenting a rare chunk in several tasks.
     """
     model = _shipped(df, path)
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _worker(model)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.segment(x) for x in batch.column(0).to_pylist()], pa.binary())], names=["chunk", "pieces"])
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, ids in _encoded(model, batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _worker(model)
-        first, last = np.array([own.begin], "<i4"), np.array([own.end], "<i4")
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, counts, codes, table = (batch.column(k)[row] for k in range(4))
-                pieces = [x["pieces"] for x in table.as_py() or ()]
-                flat = np.frombuffer(b"".join(pieces), "<i4")
-                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pieces])]).astype(np.int64)
-                packed = codes.as_py()
-                counts = np.asarray(counts.values)
-                codes = np.frombuffer(packed, f"<u{len(packed) // max(int(counts.sum()), 1) or 2}").astype(np.int64)
-                ends, at, ready = np.cumsum(counts), 0, []
-                keys = ids.values
-                for k, end in enumerate(ends):
-                    ready.append(np.concatenate([first, gather(flat, off, codes[at:end]), last]))
-                    at = end
-                    if sum(map(len, ready[-64:])) > 1 << 19 or k == len(ends) - 1 or len(ready) == 1000:
-                        yield pa.RecordBatch.from_arrays([keys.slice(k + 1 - len(ready), len(ready)), pa.array(ready, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                        ready = []
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(rows.mapInArrow(lean(_blocks), _BLOCK), "blocks")
-    places = blocks.select("block", F.posexplode("words").alias("at", "chunk"))
-    table = places.select("chunk").distinct().mapInArrow(lean(segments), "chunk string, pieces binary")
-    lists = places.join(table, "chunk").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "pieces"))).alias("table"))
-    joined = blocks.select("block", "ids", "counts", "codes").join(lists, "block", "left").select("ids", "counts", "codes", "table")
-    out = joined.mapInArrow(lean(assembled), "doc_id long, ids array<int>")
-    out._blocks = blocks
-    return out
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lean(ids_of), "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -248,20 +239,13 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
     One row for each of ``df``; nulls, repeated ids, further columns and empty tables as in :func:`encode`.
     """
     model = _shipped(df, path)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _worker(model)
-        for batch in batches:
-            counts, first, second = [], [], []
-            for ids in batch.column(1):
-                ids = np.asarray(ids.values).astype("<i4")
-                counts.append(len(ids))
-                first.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                second.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], schema=schema)
-
-    encoded = encode(df, path, id_col, text_col)
-    found = materialize(encoded.mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "digests")
-    discard(encoded._blocks)
-    return found
+        for keys, own, found in _encoded(model, batches):
+            counts = pa.array([len(ids) for ids in found], pa.int64())
+            first = pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids in found], pa.string())
+            second = pa.array([hashlib.sha256(own.decode(ids).encode()).hexdigest() for ids in found], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, counts, first, second], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
