@@ -33,32 +33,55 @@ def _log(source: DataFrame, keys: list[Key], since: Column | None, id_col: str)
     )
 
 
-def cdc_versions(source: DataFrame, keys: list[Key], since: Column | None = None, carried: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+def cdc_versions(source: DataFrame, keys: list[Key], since: Column | None = None, carried: DataFrame | None = None, id_col: str = "id", legacy: DataFrame | None = None) -> DataFrame:
     """Versions of an entity from its change log.
 
     Of rows with one id and updated_at the last extracted counts (full refreshes repeat rows). A version ends at the
-    next one's updated_at, or when the id was deleted if that is later. ``carried`` has versions open so far; those
-    whose rows came again are replaced.
+    next one's updated_at, or when the id was deleted if that is later. ``is_current``: the last version of an id that
+    isn't deleted.
+
+    ``since``: only rows that were extracted later are read. ``carried`` has versions made before, of which the last one
+    of each id goes on: it is replaced if its row came again, ended by what came after it, and new versions go on from
+    its number. What is returned are those last versions and all new ones. A row older than the last version of its id
+    can't be placed so, see :func:`late_rows`.
+
+    ``legacy``: versions of an older stream, with the columns of flattened versions, that come before: of one id and
+    time the log's row counts.
     """
     log = _log(source, keys, since, id_col)
-    deletions = log.where("deleted_at is not null").groupBy("id").agg(F.max("deleted_at").alias("_deleted"))
-    live = log.where("deleted_at is null").drop("deleted_at").repartition("id")  # serves both windows and the join
-    last = Window.partitionBy("id", "updated_at").orderBy(F.desc("_airbyte_extracted_at"), F.desc("_airbyte_raw_id"))
-    live = live.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    deletions = log.where("deleted_at is not null").select("id", "deleted_at")
+    live = log.where("deleted_at is null").drop("deleted_at").withColumns({"_rank": F.lit(0), "_number": F.lit(None).cast("int")})
+    own = [c for c in live.columns if c not in ("_rank", "_number")]
     if carried is not None:
-        again = carried.where("valid_to is null").select(*[c for c in live.columns])
-        live = live.unionByName(again.join(live.select("id", "updated_at"), ["id", "updated_at"], "left_anti"))
+        last = carried.where("is_current or is_deleted")
+        deletions = deletions.unionByName(last.where("is_deleted").select("id", "deleted_at"))
+        live = live.unionByName(last.select(*own, F.lit(1).alias("_rank"), F.col("version_number").alias("_number")))
+    if legacy is not None:
+        kinds = {f.name: f.dataType for f in live.schema.fields}
+        given = {"updated_at": F.col("valid_from"), "cdc_updated_at": F.col("updated_at") if "updated_at" in legacy.columns else F.lit(None), "_airbyte_raw_id": F.lit(None), "_airbyte_extracted_at": F.lit(None)}
+        old = [given.get(c, F.col(c) if c in legacy.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in own]
+        live = live.unionByName(legacy.select(*old, F.lit(2).alias("_rank"), F.lit(None).cast("int").alias("_number")))
+    live = live.repartition("id")  # serves the windows and the join
+    same = Window.partitionBy("id", "updated_at").orderBy("_rank", F.desc("_airbyte_extracted_at"), F.desc("_airbyte_raw_id"))
+    live = live.withColumns({"_n": F.row_number().over(same), "_number": F.max("_number").over(Window.partitionBy("id"))}).where("_n = 1").drop("_n", "_rank")
     order = Window.partitionBy("id").orderBy("updated_at")
-    following = F.lead("updated_at").over(order)
-    rows = live.join(deletions, "id", "left").withColumn("_next", following)
-    gone = F.col("_next").isNull() & (F.col("_deleted") > F.col("updated_at"))
+    ended = deletions.groupBy("id").agg(F.max("deleted_at").alias("_deleted"))
+    rows = live.join(ended, "id", "left").withColumn("_next", F.lead("updated_at").over(order))
+    gone = F.col("_next").isNull() & F.coalesce(F.col("_deleted") > F.col("updated_at"), F.lit(False))
     rows = rows.withColumns(
         {
-            "valid_from": F.col("updated_at"), "valid_to": F.coalesce("_next", F.when(gone, F.col("_deleted"))), "deleted_at": F.when(gone, F.col("_deleted")), "is_deleted": F.coalesce(gone, F.lit(False)),
-            "is_current": F.col("_next").isNull(), "version_number": F.row_number().over(order),
+            "valid_from": F.col("updated_at"), "valid_to": F.coalesce("_next", F.when(gone, F.col("_deleted"))), "deleted_at": F.when(gone, F.col("_deleted")), "is_deleted": gone,
+            "is_current": F.col("_next").isNull() & ~gone, "version_number": F.row_number().over(order) + F.coalesce("_number", F.lit(1)) - 1,
         }
     )
-    return rows.drop("_next", "_deleted")
+    return rows.drop("_next", "_deleted", "_number")
+
+
+def late_rows(source: DataFrame, carried: DataFrame, since: Column, id_col: str = "id") -> DataFrame:
+    """Rows of the log since then that are older than the last version of their id; full refreshes bring none."""
+    log = source.where((F.col("_airbyte_extracted_at") > since) & F.col("_ab_cdc_deleted_at").isNull()).select(F.col(id_col).alias("id"), "updated_at")
+    last = carried.where("is_current or is_deleted").select("id", F.col("valid_from").alias("_last"))
+    return log.join(last, "id").where("updated_at < _last")
 
 
 def merge_legacy(new: DataFrame, legacy: DataFrame, cutoff: Column) -> DataFrame:
@@ -68,7 +91,7 @@ def merge_legacy(new: DataFrame, legacy: DataFrame, cutoff: Column) -> DataFrame
     every = new.unionByName(old, allowMissingColumns=True)
     order = Window.partitionBy("id").orderBy("valid_from")
     end = F.coalesce(F.lead("valid_from").over(order), F.col("valid_to"))
-    return every.withColumns({"valid_to": end, "version_number": F.row_number().over(order), "is_current": F.lead("valid_from").over(order).isNull()})
+    return every.withColumns({"valid_to": end, "version_number": F.row_number().over(order), "is_current": F.lead("valid_from").over(order).isNull() & ~F.coalesce("is_deleted", F.lit(False))})
 
 
 def cdc_latest(versions: DataFrame) -> DataFrame:
@@ -118,7 +141,7 @@ def apply_deletes(versions: DataFrame, deletes: DataFrame) -> DataFrame:
     first = deletes.groupBy(F.col("id").alias("_id")).agg(F.min("deleted_at_assumed").alias("_gone"))
     rows = versions.join(first, F.col("id") == F.col("_id"), "left")
     hit = F.col("valid_to").isNull() & F.col("_gone").isNotNull() & (F.col("valid_from") < F.col("_gone"))
-    return rows.withColumns({"is_deleted": F.when(hit, True).otherwise(F.col("is_deleted")), "deleted_at": F.when(hit, F.col("_gone")).otherwise(F.col("deleted_at")), "valid_to": F.when(hit, F.col("_gone")).otherwise(F.col("valid_to"))}).drop("_id", "_gone")
+    return rows.withColumns({"is_deleted": F.when(hit, True).otherwise(F.col("is_deleted")), "is_current": ~hit & F.col("is_current"), "deleted_at": F.when(hit, F.col("_gone")).otherwise(F.col("deleted_at")), "valid_to": F.when(hit, F.col("_gone")).otherwise(F.col("valid_to"))}).drop("_id", "_gone")
 
 
 def schema_drift(source_columns: list[str], keys: list[Key], primary_key: str = "id") -> tuple[list[str], list[str]]:

@@ -84,6 +84,19 @@ def at_time(flat: DataFrame, when: Column) -> DataFrame:
     return flat.where(intervals.valid_at(when)).drop("valid_from", "valid_to", "event_type", *REQUEST_CONTEXT)
 
 
+def at_function(name: str, flat: DataFrame) -> None:
+    """Register ``name(at TIMESTAMP)`` as a table function of the session's SQL: the entity's rows as they were then.
+
+    ``flat``, versions of the entity, becomes the temporary view ``name_versions`` that the function reads.
+    """
+    spark, view = flat.sparkSession, f"{name}_versions"
+    flat.createOrReplaceTempView(view)
+    columns = [f for f in flat.schema.fields if f.name not in ("valid_from", "valid_to", "event_type", *REQUEST_CONTEXT)]
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    picked = ", ".join(f"`{f.name}`" for f in columns)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(at TIMESTAMP) RETURNS TABLE ({typed}) RETURN SELECT {picked} FROM {view} WHERE valid_from <= {name}.at AND (valid_to IS NULL OR valid_to > {name}.at)")
+
+
 def field_updates(history: DataFrame) -> DataFrame:
     """One row for each field that an update changed, with its value before and after.
 

@@ -23,8 +23,26 @@ def valid_at(when: Column, start: str = "valid_from", end: str = "valid_to") ->
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, how: str = "left") -> DataFrame:
-    """Each row of ``left`` with the version in ``right`` that is valid at ``left[at]`` (equi-join and range residual)."""
-    renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [left[k] == F.col(f"_k_{k}") for k in keys]
-    on += [F.col("valid_from") <= left[at], F.col("valid_to").isNull() | (F.col("valid_to") > left[at])]
-    return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
+    """Each row of ``left`` with the version in ``right`` that is valid at ``left[at]``; with ``how`` "left" also rows
+    that have none.
+
+    A sweep: rows and versions of a key are put in one order of time, and each row takes the last version that began
+    by then, if that hasn't ended. So the work is linear in both, whatever the number of versions of a key, and the
+    shuffle by key is the only one. Versions of a key must not overlap. A NULL time has no version; NULL keys match
+    nothing; further columns of ``right`` may not have names of ``left``'s.
+    """
+    more = [c for c in right.columns if c not in keys]
+    version = F.struct(*[F.col(f"`{c}`") for c in more])
+    kinds = dict(right.select(version.alias("v")).dtypes)["v"]
+    name = lambda c: f"_l_{c}"
+    rows = left.select(*[F.col(f"`{c}`").alias(name(c)) for c in left.columns], *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(kinds).alias("_version"))
+    starts = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"), version.alias("_version"))
+    for k in keys:
+        starts = starts.where(F.col(f"_k_{k}").isNotNull())
+    order = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy(F.asc_nulls_first("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = starts.where("_at is not null").unionByName(rows, allowMissingColumns=True).withColumn("_met", F.last("_version", ignorenulls=True).over(order)).where("_kind = 1")
+    held = F.col("_met.valid_to").isNull() | (F.col("_met.valid_to") > F.col("_at"))
+    swept = swept.withColumn("_met", F.when(F.col("_at").isNotNull() & held, F.col("_met")))
+    if how == "inner":
+        swept = swept.where("_met is not null")
+    return swept.select(*[F.col(f"`{name(c)}`").alias(c) for c in left.columns], *[F.col("_met").getField(c).alias(c) for c in more])

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import BUILT_IN_EVENTS, PipelineConfig
+from tidemark.config import BUILT_IN_EVENTS, Entity, PipelineConfig
 from tidemark.functions import kv
+from tidemark.operators import cdc
 
 #: Seconds between the first and last events of a mistake that a switch of configuration explains.
 GRACE_SECONDS = 60
@@ -19,8 +20,27 @@ def not_fresh(rows: DataFrame, as_of: Column, days: int, at: str = "occurred_at"
 
 
 def heartbeat_not_fresh(heartbeat: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    """Heartbeats older than ``hours``; any one is a failure."""
-    return heartbeat.where(F.col("_airbyte_extracted_at") < as_of - F.expr(f"INTERVAL {hours} HOURS"))
+    """Heartbeats older than ``hours``; any one is a failure, and so is a table without one (a row with a NULL)."""
+    found = heartbeat.agg(F.min("_airbyte_extracted_at").alias("last_sync_at"))
+    return found.where(F.col("last_sync_at").isNull() | (F.col("last_sync_at") < as_of - F.expr(f"INTERVAL {hours} HOURS")))
+
+
+def columns_not_configured(log: DataFrame, entity: Entity, primary_key: str = "id") -> DataFrame:
+    """``entity_table_name, column_name, rows_with_a_value``: columns of a change log that the entity's keys lack, with
+    the rows that would be lost; a column that is always NULL counts too."""
+    extra = cdc.schema_drift(log.columns, entity.keys, primary_key)[0]
+    if not extra:
+        return log.limit(0).select(F.lit(entity.name).alias("entity_table_name"), F.lit("").alias("column_name"), F.lit(0).cast("bigint").alias("rows_with_a_value"))
+    counts = log.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(extra)])
+    each = F.inline(F.array(*[F.struct(F.lit(entity.name).alias("entity_table_name"), F.lit(c).alias("column_name"), F.col(f"c{k}").alias("rows_with_a_value")) for k, c in enumerate(extra)]))
+    return counts.select(each)
+
+
+def columns_missing(log: DataFrame, entity: Entity, primary_key: str = "id") -> DataFrame:
+    """``entity_table_name, column_name, rows_without``: configured keys that a change log lacks, and its rows."""
+    lacking = cdc.schema_drift(log.columns, entity.keys, primary_key)[1]
+    names = F.explode(F.array(*[F.lit(c) for c in lacking]).cast("array<string>")).alias("column_name")
+    return log.agg(F.count(F.lit(1)).alias("rows_without")).select(F.lit(entity.name).alias("entity_table_name"), names, "rows_without")
 
 
 def expected_fields(spark: SparkSession, cfg: PipelineConfig) -> DataFrame:
@@ -65,17 +85,18 @@ def unhandled_custom_events(events: DataFrame, cfg: PipelineConfig, as_of: Colum
     return recent.groupBy(F.col("event_type").alias("unexpected_event_type")).agg(F.count_distinct("occurred_at").alias("updates_made_yesterday"))
 
 
-def hidden_mismatch(events: DataFrame, cfg: PipelineConfig, custom: bool = False, sample: float | None = None, day: Column | None = None, seed: int = 42) -> DataFrame:
-    """Configured keys whose values stand in hidden data although they shouldn't, or in data although they should.
+def hidden_mismatch(events: DataFrame, cfg: PipelineConfig, custom: bool = False, since: Column | None = None, before: Column | None = None) -> DataFrame:
+    """Configured keys whose values stand in hidden data although they shouldn't, or in data although they should; of
+    events of the day ``since`` and later, and of days before ``before``.
 
-    Over the events of one day, or over a seeded sample of all. A hidden key may be seen in data until shortly before
-    it is first hidden, as the application switches over.
+    A hidden key may be seen in data until shortly before it is first hidden, as the application switches over. What a
+    mistake of long ago has left is looked for in a sample of blocks, see :func:`tidemark.plans.tables.block_sample`.
     """
     own = [(c.event_type if custom else c.name, k.name, k.hidden) for c in (cfg.custom_events if custom else cfg.entities) for k in c.keys if not k.historic]
     configured = F.broadcast(events.sparkSession.createDataFrame(own, "name string, key_configured string, hidden_configured boolean"))
     name = "event_type" if custom else "entity_table_name"
-    rows = events if day is None else events.where(F.to_date("occurred_at") == day)
-    rows = rows if sample is None else rows.sample(sample, seed)
+    rows = events if since is None else events.where(F.to_date("occurred_at") >= since)
+    rows = rows if before is None else rows.where(F.to_date("occurred_at") < before)
     rows = rows if custom else rows.where(F.col("event_type").isin("create_entity", "update_entity", "import_entity"))
     met = rows.select(name, "occurred_at", "data", "hidden_data").join(configured, F.col(name) == F.col("name"))
     hidden, shown = (F.exists(kv.entries(f), lambda e: e["key"] == F.col("key_configured")) for f in ("hidden_data", "data"))
@@ -89,12 +110,17 @@ def hidden_mismatch(events: DataFrame, cfg: PipelineConfig, custom: bool = False
     return found.where(wrong)
 
 
-def not_backfilled(events: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """Configured entities of which no import was ever streamed."""
-    expected = events.sparkSession.createDataFrame([(e.name,) for e in cfg.entities], "entity_table_name string")
-    imports = events.where("event_type = 'import_entity'").groupBy("entity_table_name").agg(F.count(F.lit(1)).alias("number_of_import_events"))
-    found = expected.join(imports, "entity_table_name", "left").withColumn("number_of_import_events", F.coalesce("number_of_import_events", F.lit(0)))
-    return found.where("number_of_import_events = 0")
+def not_backfilled(events: DataFrame, cfg: PipelineConfig, checks: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """Configured entities of which nothing of an import was ever streamed, with how many days they are kept and, of
+    ``checks``, the counts of the day's check against the database (NULL without one)."""
+    days = cfg.expiration_days if cfg.expiration_days is not False else None
+    expected = events.sparkSession.createDataFrame([(e.name, e.expiration_days or days) for e in cfg.entities], "entity_table_name string, expiry_days int")
+    imports = events.where("event_type in ('import_entity', 'import_entity_table_check')").groupBy("entity_table_name").agg(F.count(F.lit(1)).alias("number_of_import_events"))
+    found = expected.join(imports, "entity_table_name", "left").withColumn("number_of_import_events", F.coalesce("number_of_import_events", F.lit(0))).where("number_of_import_events = 0")
+    if checks is None:
+        return found
+    today = checks.where(F.to_date("checksum_calculated_at") == F.to_date(as_of)).select("entity_table_name", "warehouse_row_count", "database_row_count")
+    return found.join(today, "entity_table_name", "left")
 
 
 def not_unique(rows: DataFrame, keys: list[str]) -> DataFrame:

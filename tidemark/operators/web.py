@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.config import PipelineConfig
 from tidemark.functions import kv, scalar
+from tidemark.plans.tables import written_once
 
 NEW, KNOWN = "Newly arrived traffic", "Traffic already on site"
 LEFT, STAYED = "Left site immediately after this", "Visited subsequent pages"
@@ -143,39 +144,47 @@ def visits(events: DataFrame, since: Column | None = None) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Visits with a number each, ``visit``, written once: what follows reads them twice."""
+    return written_once(rows.withColumn("visit", F.monotonically_increasing_id()), "visits")
+
+
+def _someone(name: str, prefix: str) -> Column:
+    """A key of a visit's user or visitor; who isn't known is nobody else, so that such visits have keys of their own."""
+    return F.coalesce(F.concat(F.lit(prefix), F.col(name)), F.concat(F.lit("?"), F.col("visit").cast("string")))
+
+
 def following_pages(rows: DataFrame) -> DataFrame:
-    """Visits with the later pages that refer to them: ``first_following`` (time, page, user) and the first one with a user.
+    """Visits with the later pages that refer to them: ``first_following`` (time, page, user), the first one with a user,
+    and ``following_pages``, their number. Of visits with numbers, see :func:`numbered`.
 
     A page follows a visit if it refers to the visit's page on the same day, by the same visitor or user, before the
-    page is visited again. Followers by the same visitor and those by the same user only are joined apart, each by
-    equality of (who, page, day), so that a popular page is dealt out by who visits it. Both are reduced to the two
-    followers that matter, and their number, before they meet.
+    page is visited again. Both sides are told by (who, page, day), for the visitor and for the user, so that one join
+    by equality finds all followers; one by both is taken once. Visits without a user end no other visit's followers.
     """
-    own = ["visitor", "user", "occurred_at", "namespace", "path", "query", "page", "referer_domain", "referer"]
-    by_user = Window.partitionBy("user", "page", "day").orderBy("occurred_at")
-    by_visitor = Window.partitionBy("visitor", "page", "day").orderBy("occurred_at")
-    rows = rows.withColumn("again", F.coalesce(F.lead("occurred_at").over(by_user), F.lead("occurred_at").over(by_visitor)))
-    later = rows.where("referer is not null").select(F.col("visitor").alias("f_visitor"), F.col("user").alias("f_user"), F.col("referer").alias("f_referer"), F.col("page").alias("f_page"), F.col("occurred_at").alias("f_at"), F.col("day").alias("f_day"))
-    page = (F.col("page") == F.col("f_referer")) & (F.col("day") == F.col("f_day"))
+    own = [c for c in rows.columns if c not in ("visit", "day")]
+    by_visitor = Window.partitionBy(_someone("visitor", "v"), "page", "day").orderBy("occurred_at")
+    by_user = Window.partitionBy(_someone("user", "u"), "page", "day").orderBy("occurred_at")
+    again = rows.withColumn("again", F.lead("occurred_at").over(by_visitor)).withColumn("again", F.coalesce(F.lead("occurred_at").over(by_user), "again"))
+    who = F.explode(F.filter(F.array(F.concat(F.lit("v"), F.col("visitor")), F.concat(F.lit("u"), F.col("user"))), lambda k: k.isNotNull())).alias("who")
+    every = again.select("*", F.explode_outer(F.filter(F.array(F.concat(F.lit("v"), F.col("visitor")), F.concat(F.lit("u"), F.col("user"))), lambda k: k.isNotNull())).alias("who"))
+    later = rows.where("referer is not null").select(who, F.col("referer").alias("page"), "day", F.col("occurred_at").alias("f_at"), F.col("page").alias("f_page"), F.col("user").alias("f_user"), F.col("visitor").alias("f_visitor"))
+    joined = every.join(later, ["who", "page", "day"], "left")
     when = (F.col("occurred_at") < F.col("f_at")) & (F.col("again").isNull() | (F.col("f_at") < F.col("again")))
-    one = F.struct("f_at", "f_page", "f_user")
-
-    def met(who: Column) -> DataFrame:
-        joined = rows.join(later, page & who & when)
-        return joined.groupBy(*own).agg(F.min(one).alias("first_following"), F.min(F.when(F.col("f_user").isNotNull(), one)).alias("first_following_user"), F.count(F.lit(1)).alias("following_pages"))
-
-    same_visitor = F.col("visitor") == F.col("f_visitor")
-    apart = [met(same_visitor), met((F.col("user") == F.col("f_user")) & ~F.coalesce(same_visitor, F.lit(False)))]
-    none = rows.select(*own, F.lit(None).cast("struct<f_at:timestamp,f_page:string,f_user:string>").alias("first_following"), F.lit(None).cast("struct<f_at:timestamp,f_page:string,f_user:string>").alias("first_following_user"), F.lit(0).cast("long").alias("following_pages"))
-    every = none.unionByName(apart[0]).unionByName(apart[1])
-    return every.groupBy(*own).agg(F.min("first_following").alias("first_following"), F.min("first_following_user").alias("first_following_user"), F.sum("following_pages").alias("following_pages"))
+    once = F.col("who").startswith("v") | ~F.coalesce(F.col("visitor") == F.col("f_visitor"), F.lit(False))
+    one = F.when(F.coalesce(when & once, F.lit(False)), F.struct("f_at", "f_page", "f_user"))
+    found = joined.groupBy("visit").agg(
+        F.any_value(F.struct(*own)).alias("own"), F.min(one).alias("first_following"), F.min(F.when(one.getField("f_user").isNotNull(), one)).alias("first_following_user"), F.count(one).alias("following_pages")
+    )
+    return found.select("visit", "own.*", "first_following", "first_following_user", "following_pages")
 
 
 def impute_users(rows: DataFrame) -> DataFrame:
     """Visits with ``estimated_user``: the own user, else the next one within 30 minutes (if the visitor goes on within
     30 whole minutes) or that of the first following page with a user, else the last one within 30 minutes."""
-    order = Window.partitionBy("visitor").orderBy("occurred_at", "page", "path")
-    seconds = Window.partitionBy("visitor").orderBy(F.unix_seconds("occurred_at"))
+    visitor = _someone("visitor", "v")
+    order = Window.partitionBy(visitor).orderBy("occurred_at", "page", "path")
+    seconds = Window.partitionBy(visitor).orderBy(F.unix_seconds("occurred_at"))
     ahead = F.first("user", ignorenulls=True).over(seconds.rangeBetween(0, _GAP_SECONDS))
     behind = F.last("user", ignorenulls=True).over(seconds.rangeBetween(-_GAP_SECONDS, 0))
     after = F.timestamp_diff("MINUTE", F.col("occurred_at"), F.lead("occurred_at").over(order))
@@ -184,41 +193,41 @@ def impute_users(rows: DataFrame) -> DataFrame:
     return rows.withColumn("estimated_user", F.coalesce("user", next_user, F.when(before <= _GAP_MINUTES, behind)))
 
 
-def _sessionise(rows: DataFrame, who: str, stayed: str) -> DataFrame:
+def _sessionise(rows: DataFrame) -> DataFrame:
     """Number the sessions of each ``who``: a visit is the last of its session if nothing follows within 30 whole
     minutes and no page refers to it."""
-    order = Window.partitionBy(who).orderBy("occurred_at", "page", "path")
+    order = Window.partitionBy("who").orderBy("occurred_at", "page", "path")
     gap = F.timestamp_diff("MINUTE", F.col("occurred_at"), F.lead("occurred_at").over(order))
-    goes_on = F.lead(who).over(order).isNotNull() & ((gap <= _GAP_MINUTES) | (F.col("following_pages") > 0))
-    rows = rows.withColumn("next_step", F.when(goes_on, stayed).otherwise(LEFT))
+    goes_on = F.lead("occurred_at").over(order).isNotNull() & ((gap <= _GAP_MINUTES) | (F.col("following_pages") > 0))
+    rows = rows.withColumn("next_step", F.when(goes_on, F.when(F.col("estimated_user").isNull(), STAYED_UNKNOWN).otherwise(STAYED)).otherwise(LEFT))
     starts = F.coalesce(F.lag("next_step").over(order) == LEFT, F.lit(True))
-    rows = rows.withColumn("_starts", starts).withColumn("_number", F.count(F.when(F.col("_starts"), 1)).over(Window.partitionBy(who).orderBy("occurred_at")))
-    first = F.min("occurred_at").over(Window.partitionBy(who, "_number"))
-    return rows.withColumn("session_id", F.concat(F.col(who), F.lit("-"), F.date_format(first, "yyyy-MM-dd HH:mm:ss.SSSSSS"))).drop("_starts", "_number")
+    return rows.withColumn("_starts", starts).withColumn("number", F.count(F.when(F.col("_starts"), 1)).over(Window.partitionBy("who").orderBy("occurred_at"))).drop("_starts")
 
 
 def session_details(events: DataFrame, cfg: PipelineConfig, since: Column | None = None) -> DataFrame:
-    """Sessions with their pages in order. Visits with and without a (known or estimated) user are split into sessions
-    apart, by user and by visitor."""
-    rows = impute_users(following_pages(visits(events, since)))
-    users = _sessionise(rows.where("estimated_user is not null"), "estimated_user", STAYED)
-    others = _sessionise(rows.where("estimated_user is null"), "visitor", STAYED_UNKNOWN)
-    every = users.unionByName(others)
+    """Sessions with their pages in order, by user where one is known or estimated, else by visitor.
+
+    From the numbering of sessions on all is dealt by who they are of. A visit of neither a known user nor visitor is a
+    session of its own, without an id.
+    """
+    rows = impute_users(following_pages(numbered(visits(events, since))))
+    who = F.coalesce(F.concat(F.lit("u"), F.col("estimated_user")), _someone("visitor", "v"))
+    every = _sessionise(rows.withColumn("who", who))
     external = F.col("referer_domain").isNull() | ~F.col("referer_domain").rlike(cfg.own_site)
     params = kv.attribution("query", list(cfg.attribution), external, flat=False)
     medium = scalar.traffic_medium(F.col("referer_domain"), F.col("referer_domain"), params, cfg.own_site, excluded=cfg.excluded_domains)
     utm = ("utm_source", "utm_medium", "utm_campaign", "utm_content")
-    order = Window.partitionBy("session_id").orderBy("occurred_at", "page", "path")
+    order = Window.partitionBy("who", "number").orderBy("occurred_at", "page", "path")
     left = F.lead("occurred_at").over(order)
     pages = every.select(
-        "session_id", F.col("estimated_user").alias("user_id"),
+        "who", "number", F.col("estimated_user").alias("user_id"), F.coalesce("estimated_user", "visitor").alias("name"),
         F.struct(
             F.col("occurred_at").alias("page_entry_time"), "page", F.col("path").alias("page_path"), F.col("visitor").alias("anonymised_user_agent_and_ip"), F.col("referer_domain").alias("previous_page_domain"),
             scalar.extract_or_null("referer", r"^([^?]+)").alias("previous_page"), left.alias("page_exit_time"), F.timestamp_diff("SECOND", F.col("occurred_at"), left).alias("duration"), "next_step",
             "namespace", *[params.get(p, F.lit(None).cast("string")).alias(p) for p in utm], medium.alias("medium"),
         ).alias("p"),
     )
-    found = pages.groupBy("session_id", "user_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    found = pages.groupBy("who", "number").agg(F.array_sort(F.collect_list("p")).alias("p"), F.any_value("user_id").alias("user_id"), F.any_value("name").alias("name"))
     first, last = F.get("p", F.lit(0)), F.element_at("p", -1)
     start, end = first["page_entry_time"], last["page_entry_time"]
     detail = F.transform(
@@ -229,7 +238,7 @@ def session_details(events: DataFrame, cfg: PipelineConfig, since: Column | None
         ),
     )
     return found.select(
-        "session_id", "user_id", first["namespace"].alias("session_namespace"), first["previous_page_domain"].alias("session_referer_domain"), first["page_path"].alias("start_page"), *[first[p].alias(p) for p in utm],
+        F.concat("name", F.lit("-"), F.date_format(start, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("session_id"), "user_id", first["namespace"].alias("session_namespace"), first["previous_page_domain"].alias("session_referer_domain"), first["page_path"].alias("start_page"), *[first[p].alias(p) for p in utm],
         first["medium"].alias("medium"), last["page_path"].alias("exit_page"), start.alias("session_start_timestamp"), end.alias("final_session_page_timestamp"),
         F.when(start != end, F.timestamp_diff("SECOND", start, end)).alias("session_time_in_seconds"), F.size("p").cast("long").alias("count_pages_visited"), detail.alias("pages_visited_details"),
     )

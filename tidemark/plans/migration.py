@@ -22,10 +22,10 @@ def migrate_hidden(store: Store, name: str, cfg: PipelineConfig, as_of: Column)
     for custom, configured in ((False, cfg.entities), (True, cfg.custom_events)):
         if not any(c.keys for c in configured):
             continue
-        wrong = quality.hidden_mismatch(rows, cfg, custom=custom, day=yesterday).limit(5).collect()
+        wrong = quality.hidden_mismatch(rows.where(F.to_date("occurred_at") == yesterday), cfg, custom=custom).limit(5).collect()
         if wrong:
             raise ChecksFailed(f"{name}: streamed yesterday in the wrong field: {[(r['name'], r['key_configured']) for r in wrong]}")
     old = F.coalesce(F.to_date("occurred_at") <= yesterday, F.lit(False))
     moved = hidden.rearrange(rows.select("*", F.col("data").alias("_data"), F.col("hidden_data").alias("_hidden")), cfg)
     placed = {c: F.when(old, F.col(c)).otherwise(F.col(was)) for c, was in (("data", "_data"), ("hidden_data", "_hidden"))}
-    store.replace(name, moved.withColumns(placed).select(rows.columns), sort_by=["event_type"], by_day="occurred_at")
+    store.replace(name, moved.withColumns(placed).select(rows.columns), ["event_type"], by_day="occurred_at")

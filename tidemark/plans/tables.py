@@ -1,241 +1,323 @@
-"""Materialised tables on plain Parquet: replace, append, upsert and carry, each by a staged write and a swap.
+"""The pipeline's tables, as Spark's own: partitioned and bucketed Parquet tables of one database of the catalogue.
 
-A table is a folder, partitioned by states and by its own columns, and pointer files, numbered as they are made; readers follow the
-last one, so a plan never overwrites what it reads. A pointer is written under another name and renamed, so that a
-run that dies leaves the old state in place, and the states of the pointer before stay for plans that still read them.
-
-A table may be dealt by the day of a time (``by_day``): readers that name the first day they want open no folder of an
-earlier one, and a run may rewrite the last days only.
+Appends are INSERT INTO, merges and replaced days are INSERT OVERWRITE of the partitions that they touch (dynamic
+partition overwrite), expired days are dropped partitions. A table that is replaced as a whole is written under
+another name first and renamed. With a catalogue that outlives the session (a metastore) so do the tables.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime
-import json
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-#: Marks of a pointer's lines that aren't states: labels of batches, and the table's columns.
-_BATCH, _COLUMNS = "#", "@"
-#: The column that splits a history, and how the states of its open part end.
-_PART, OPEN = "_open", "-open"
-#: The column of days, how its states end, and what parts a state's name from the day on which later states took over.
-_DAY, DAYS, _UNTIL = "_day", "-days", "<"
-
-
-def _folder(state: str) -> str:
-    return f"_state={_bare(state)}"
 
+#: Columns of partitions that the tables have besides their own: the day of a row, the batch of a stream that it came
+#: with, and of histories whether a row is still open or else the run that closed it.
+DAY, BATCH, PART = "_day", "_batch", "_part"
+OPEN = "open"
+_DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
+_RUNS = "tidemark.runs"
 
-def _bare(state: str) -> str:
-    return state.partition(_UNTIL)[0]
 
-
-def written_once(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that the cluster shares (``spark.checkpoint.dir``) and read back, for a table that
-    several later steps read. A temporary folder is only taken in a local session that names none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``). A temporary one is only taken in a local session
+    that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return root.rstrip("/")
+
+
+def written_once(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read back, for a table that several later steps read; :func:`discard`
+    deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written_once` wrote and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def block_sample(rows: DataFrame, fraction: float, seed: int = 42, block: str = "[^/]+$") -> DataFrame:
+    """The rows of a seeded choice of blocks, about ``fraction`` of them: blocks that aren't chosen are not opened, so
+    the bytes read fall with the fraction.
+
+    A block is a file behind ``rows``, which must be a scan of files, or those whose paths have the same match of
+    ``block``. It is chosen by a hash of that, so the choice is the same in each run as long as the files are; no block
+    may be chosen where there are few. The condition is on file names alone, and prunes the scan.
+    """
+    name = F.concat(F.regexp_extract("_metadata.file_path", block, 0), F.lit(f":{seed}"))
+    share = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 1_000_000
+    return rows.where(share < int(fraction * 1_000_000))
 
 
 class Store:
-    """Tables under one root path of any file system that Spark can reach."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, *parts: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _pointers(self, name: str) -> list[str]:
-        """Names of the table's pointer files, the last one last."""
-        path, fs = self._path(name)
-        if not fs.exists(path):
-            return []
-        return sorted(f for s in fs.listStatus(path) if (f := s.getPath().getName()).startswith("current-"))
-
-    def _lines(self, name: str, pointer: str) -> list[str]:
-        path, fs = self._path(name, pointer)
-        stream = fs.open(path)
-        try:
-            return [line for line in bytes(stream.readAllBytes()).decode().split("\n") if line]
-        finally:
-            stream.close()
-
-    def _last(self, name: str, mark: str) -> list[str]:
-        pointers = self._pointers(name)
-        return [line[1:] for line in self._lines(name, pointers[-1]) if line.startswith(mark)] if pointers else []
-
-    def _states_of(self, name: str, pointer: str) -> list[str]:
-        return [line for line in self._lines(name, pointer) if line[0] not in (_BATCH, _COLUMNS)]
-
-    def _states(self, name: str) -> list[str]:
-        pointers = self._pointers(name)
-        return self._states_of(name, pointers[-1]) if pointers else []
-
-    def _columns(self, name: str) -> StructType | None:
-        found = self._last(name, _COLUMNS)
-        return StructType.fromJson(json.loads(found[0])) if found else None
-
-    def batches(self, name: str) -> set[str]:
-        """Labels of the batches that the table holds, see :meth:`append`."""
-        return set(self._last(name, _BATCH))
-
-    def _point(self, name: str, states: list[str], columns: StructType, batches: set[str] = frozenset()) -> None:
-        before = self._pointers(name)
-        number = int(before[-1].rpartition("-")[2]) + 1 if before else 1
-        made, fs = self._path(name, f"new-{uuid.uuid4().hex}")
-        stream = fs.create(made, False)
-        try:
-            stream.write("\n".join([*states, _COLUMNS + columns.json(), *(_BATCH + b for b in sorted(batches))]).encode())
-        finally:
-            stream.close()
-        if not fs.rename(made, self._path(name, f"current-{number:012d}")[0]):
-            raise OSError(f"another run has written {name}")
-        kept = {_bare(s) for s in (*states, *(self._states_of(name, before[-1]) if before else ()))}
-        for pointer in before[:-1]:  # of these no plan should be under way any more
-            for state in {_bare(s) for s in self._states_of(name, pointer)} - kept:
-                fs.delete(self._path(name, _folder(state))[0], True)
-            fs.delete(self._path(name, pointer)[0], False)
+    """Tables of one database, whose folder is ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, database: str | None = None):
+        self.spark = spark
+        self.database = database or f"tables_{zlib.crc32(root.rstrip('/').encode()):08x}"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}` LOCATION '{root.rstrip('/')}'")
+
+    def _name(self, name: str) -> str:
+        return f"`{self.database}`.`{name}`"
 
     def exists(self, name: str) -> bool:
-        return bool(self._states(name))
+        return self.spark.catalog.tableExists(self._name(name))
+
+    def _table(self, name: str) -> DataFrame:
+        if not self.exists(name):
+            raise LookupError(f"there is no table {name}")
+        return self.spark.table(self._name(name))
+
+    def _keys(self, name: str) -> list[str]:
+        return [c.name for c in self.spark.catalog.listColumns(self._name(name)) if c.isPartition]
 
     def read(self, name: str, first_day: Column | None = None) -> DataFrame:
-        """The table; with ``first_day``, of one that is dealt by days, only that day and later ones."""
-        return self._read(name, self._states(name), first_day)
+        """The table's own columns; with ``first_day``, of one that is dealt by days, only that day and later ones."""
+        rows = self._table(name)
+        if first_day is not None and DAY in rows.columns:
+            rows = rows.where(F.col(DAY) >= first_day)
+        return rows.drop(DAY, BATCH, PART)
 
     def read_open(self, name: str) -> DataFrame:
-        """The open part of a table that :meth:`carry` writes; closed rows aren't touched."""
-        return self._read(name, [s for s in self._states(name) if s.endswith(OPEN)])
+        """The open part of a history; closed rows aren't touched."""
+        return self._table(name).where(F.col(PART) == OPEN).drop(PART)
+
+    def partitions(self, name: str) -> list[Row]:
+        """The values of the partitions that hold rows, from the catalogue; no data is read."""
+        found, kinds = [], dict(self._table(name).select(self._keys(name)).dtypes)
+        for (text,) in self.spark.sql(f"SHOW PARTITIONS {self._name(name)}").collect():
+            pairs = [p.partition("=")[::2] for p in text.split("/")]
+            unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+            values = {k: None if v == "__HIVE_DEFAULT_PARTITION__" else unescape(v) for k, v in pairs}
+            found.append(Row(**{k: datetime.date.fromisoformat(v) if v is not None and kinds[k] == "date" else int(v) if v is not None and kinds[k] in ("int", "bigint") else v for k, v in values.items()}))
+        return found
+
+    def drop_partitions(self, name: str, wanted: list[Row]) -> None:
+        """Drop partitions with their files; no row is read or written."""
+        for lo in range(0, len(wanted), 500):
+            self.spark.sql(f"ALTER TABLE {self._name(name)} DROP IF EXISTS {', '.join(map(_spec, wanted[lo : lo + 500]))}")
+
+    @staticmethod
+    def _dealt(rows: DataFrame, by_day: str | None, batch: str | None = None) -> tuple[DataFrame, list[str]]:
+        keys = []
+        if by_day is not None:
+            rows, keys = rows.withColumn(DAY, F.to_date(by_day)), [DAY]
+        if batch is not None:
+            rows, keys = rows.withColumn(BATCH, F.lit(batch)), [*keys, BATCH]
+        return rows, keys
+
+    def _create(self, name: str, rows: DataFrame, keys: list[str], sort_by: list[str], buckets: tuple[list[str], int] | None) -> None:
+        """Write under another name, then let it take the name."""
+        staged = f"{name}__staged"
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(staged)}")
+        writer = self._arranged(rows, keys, sort_by, buckets).write.format("parquet").partitionBy(*keys)
+        if buckets:
+            writer = writer.bucketBy(buckets[1], *buckets[0])
+            writer = writer.sortBy(*sort_by) if sort_by else writer
+        writer.saveAsTable(self._name(staged))
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+        self.spark.sql(f"ALTER TABLE {self._name(staged)} RENAME TO {self._name(name)}")
+        if keys:
+            self._relocate(name)
+
+    def _relocate(self, name: str) -> None:
+        """Partitions that a catalogue still has where they were under the table's other name are put right."""
+        said = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self._name(name)}").where("col_name = 'Location'").first().data_type.rstrip("/")
+        folders = [text for (text,) in self.spark.sql(f"SHOW PARTITIONS {self._name(name)}").collect()]
+        for folder, row in zip(folders, self.partitions(name), strict=True):
+            self.spark.sql(f"ALTER TABLE {self._name(name)} {_spec(row)} SET LOCATION '{f'{said}/{folder}'.replace("'", "\\'")}'")
+
+    @staticmethod
+    def _arranged(rows: DataFrame, keys: list[str], sort_by: list[str], buckets: tuple[list[str], int] | None) -> DataFrame:
+        """A bucket's rows come from one task, so that it is one file of each partition; a day's rows are brought
+        together, those of a large one in several files."""
+        if buckets:
+            return rows.repartition(buckets[1], *buckets[0])
+        if keys:
+            rows = rows.hint("rebalance", *keys)
+        return rows.sortWithinPartitions(*keys, *sort_by) if sort_by else rows
+
+    def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), by_day: str | None = None, buckets: tuple[list[str], int] | None = None) -> None:
+        """``rows``, which may be computed from the table itself, take the place of the table; plans over the old one
+        can't be run any more."""
+        rows, keys = self._dealt(rows, by_day)
+        self._create(name, rows, [*keys, *partition_by], list(sort_by), buckets)
+
+    def _insert(self, name: str, rows: DataFrame, sort_by: list[str], overwrite: bool) -> None:
+        """Insert by names; columns that are new to the table are NULL in older rows and the other way round."""
+        table = self.spark.table(self._name(name))
+        if new := [f for f in rows.schema.fields if f.name not in table.columns]:
+            self.spark.sql(f"ALTER TABLE {self._name(name)} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+            table = self.spark.table(self._name(name))
+        aligned = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+        aligned = self._arranged(aligned, self._keys(name), sort_by, self._buckets(name))
+        with _dynamic(rows.sparkSession):  # of a stream's batch a session of its own
+            aligned.write.insertInto(self._name(name), overwrite=overwrite)
+
+    def _buckets(self, name: str) -> tuple[list[str], int] | None:
+        said = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self._name(name)}").collect()}
+        if not said.get("Num Buckets"):
+            return None
+        return [c.strip(" `") for c in said["Bucket Columns"].strip("[]").split(",")], int(said["Num Buckets"])
 
-    def _read(self, name: str, states: list[str], first_day: Column | None = None) -> DataFrame:
-        columns = self._columns(name)
-        if columns is None:
-            raise LookupError(f"there is no table {name}")
-        if not states:
-            return self.spark.createDataFrame([], columns)
-        rows = self._scan(name, states, columns)
-        if first_day is not None and _DAY in rows.columns:
-            rows = rows.where(F.col(_DAY).cast("date") >= first_day)
-        return rows.select(columns.names)
-
-    def _scan(self, name: str, states: list[str], columns: StructType) -> DataFrame:
-        base = f"{self.root}/{name}"
-        rows = self.spark.read.schema(columns).option("basePath", base).parquet(*[f"{base}/{_folder(s)}" for s in states])
-        until = [F.lit(x) for s in states if _UNTIL in s for x in (_bare(s), datetime.date.fromisoformat(s.partition(_UNTIL)[2]))]
-        if until:  # both are columns of folders, so that files of days that were replaced aren't opened
-            rows = rows.where(F.coalesce(F.col(_DAY).cast("date") < F.create_map(*until)[F.col("_state")], F.lit(True)))
-        return rows
-
-    def _write(self, name: str, rows: DataFrame, partition_by: list[str], sort_by: list[str], by_day: str | None = None) -> str:
-        state = uuid.uuid4().hex
-        if by_day is not None:  # a day's rows are brought together, those of a large one in several files
-            state, partition_by = state + DAYS, [_DAY, *partition_by]
-            rows = rows.withColumn(_DAY, F.to_date(by_day)).hint("rebalance", _DAY)
-        out = rows.sortWithinPartitions(*partition_by, *sort_by) if sort_by else rows
-        writer = out.write.partitionBy(*partition_by) if partition_by else out.write
-        writer.parquet(f"{self.root}/{name}/{_folder(state)}")
-        return state
-
-    def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), by_day: str | None = None) -> None:
-        self._point(name, [self._write(name, rows, list(partition_by), list(sort_by), by_day)], rows.schema, self.batches(name))
-
-    def replace_days(self, name: str, rows: DataFrame, first: datetime.date, by_day: str, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
+    def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None, by_day: str | None = None) -> None:
+        """Add rows. With ``batch``, a label, they are partitions of their own: a batch that is tried again replaces
+        what it has written before."""
+        rows, keys = self._dealt(rows, by_day, batch)
+        if not self.exists(name):
+            self._create(name, rows, [*keys, *partition_by], list(sort_by), None)
+        else:
+            self._insert(name, rows, list(sort_by), overwrite=batch is not None)
+
+    def replace_days(self, name: str, rows: DataFrame, first: datetime.date, by_day: str, sort_by: list[str] = ()) -> None:
         """``rows`` take the place of the table's rows of the day ``first`` and later. What a run writes grows with
         these days; earlier ones are neither read nor written. Rows without a time stay."""
-        state = self._write(name, rows, list(partition_by), list(sort_by), by_day)
-        fs, kept = self._path(name)[1], []
-        for s in self._states(name):
-            days = [f.getPath().getName().partition("=")[2] for f in fs.listStatus(self._path(name, _folder(s))[0]) if f.isDirectory()]
-            last = min(first.isoformat(), s.partition(_UNTIL)[2] or "9999")
-            if any(d < last or d.startswith("__") for d in days):
-                kept.append(f"{_bare(s)}{_UNTIL}{last}")
-        self._point(name, [*kept, state], self._with(name, rows.schema), self.batches(name))
-
-    def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None, by_day: str | None = None) -> None:
-        """Add rows, of which columns that are new to the table are NULL in older rows. With ``batch``, a label, only if
-        the table doesn't hold that batch yet: a batch that is tried again is there once."""
-        known = self.batches(name)
-        if batch is not None and batch in known:
-            return
-        state = self._write(name, rows, list(partition_by), list(sort_by), by_day)
-        self._point(name, [*self._states(name), state], self._with(name, rows.schema), known | ({batch} if batch is not None else set()))
-
-    def _with(self, name: str, added: StructType) -> StructType:
-        have = self._columns(name)
-        return added if have is None else StructType([*have.fields, *[f for f in added.fields if f.name not in have.names]])
-
-    def carry(self, name: str, rows: DataFrame, still_open: str, partition_by: list[str] = (), sort_by: list[str] = (), full: bool = False) -> None:
+        old = [p for p in self.partitions(name) if p[DAY] is not None and p[DAY] >= first]
+        staged = written_once(self._dealt(rows, by_day)[0].where(F.col(DAY) >= F.lit(first)), "days")  # may read them
+        self._insert(name, staged, list(sort_by), overwrite=True)
+        self._forget(name, old, staged)
+        discard(staged)
+
+    def _forget(self, name: str, old: list[Row], written: DataFrame) -> None:
+        """Drop those of ``old`` partitions that ``written`` has no rows of."""
+        keys = self._keys(name)
+        have = {tuple(r) for r in written.select(*keys).distinct().collect()}  # a row a partition
+        self.drop_partitions(name, [p for p in old if tuple(p[k] for k in keys) not in have])
+
+    def merge(self, name: str, rows: DataFrame, keys: list[str], sort_by: list[str] = (), within: str | None = None) -> int:
+        """Rows of the same keys are replaced, others added; the number of partitions that were looked at.
+
+        Only the partitions that ``rows`` has rows of are read and written again, and with ``within``, a condition on
+        partition columns, also those that meet it: name there where the rows to be replaced may stand. ``rows`` has
+        the table's partition columns but for the day or part. A table without partitions is replaced.
+        """
+        parts = self._keys(name)
+        table = self._table(name)
+        if not parts:
+            kept = table.join(rows.select(*keys), list(keys), "left_anti")
+            self._create(name, kept.unionByName(rows, allowMissingColumns=True), [], list(sort_by), self._buckets(name))
+            return 1
+        new = written_once(rows, "merge")  # it may be computed from the table itself
+        touched = {tuple(r) for r in new.select(*parts).distinct().collect()}  # a row a partition
+        every = self.partitions(name)
+        if within is not None:
+            touched |= {tuple(r) for r in self.spark.createDataFrame(every, table.select(*parts).schema).where(within).collect()} if every else set()
+        old = [p for p in every if tuple(p[k] for k in parts) in touched]
+        kept = table.where(_among(parts, [tuple(p[k] for k in parts) for p in old])).join(new.select(*keys), list(keys), "left_anti")
+        result = kept.unionByName(new, allowMissingColumns=True)
+        have = {tuple(r) for r in result.select(*parts).distinct().collect()} if old else touched
+        self._insert(name, result, list(sort_by), overwrite=True)
+        self.drop_partitions(name, [p for p in old if tuple(p[k] for k in parts) not in have])
+        discard(new)
+        return len(touched)
+
+    def carry(self, name: str, rows: DataFrame, still_open: str, partition_by: list[str] = (), sort_by: list[str] = (), full: bool = False, buckets: tuple[list[str], int] | None = None) -> None:
         """Go on with a history of which each run rebuilds the open rows: those of ``rows`` for which ``still_open``
         isn't true are added, the others take the place of all that were open. What a run writes grows with what is
         open and new, not with the rows that are closed already; these are neither read nor written. ``full``: the
-        rows take the place of all."""
-        apart = rows.withColumn(_PART, F.coalesce(F.expr(still_open), F.lit(False)))
-        state = self._write(name, apart, [_PART, *partition_by], list(sort_by))
-        fs, closed, made = self._path(name)[1], [] if full else [s for s in self._states(name) if not s.endswith(OPEN)], []
-        for folder, own in (("false", f"{state}-closed"), ("true", state + OPEN)):
-            if fs.exists(part := self._path(name, _folder(state), f"{_PART}={folder}")[0]) and fs.rename(part, self._path(name, _folder(own))[0]):
-                made.append(own)
-        fs.delete(self._path(name, _folder(state))[0], True)
-        self._point(name, [*closed, *made], rows.schema if full else self._with(name, rows.schema), self.batches(name))
-
-    def upsert(self, name: str, rows: DataFrame, keys: list[str], partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-        """Rows of the same keys are replaced. ``rows`` is written first: it may be computed from the table itself."""
-        if not self.exists(name):
-            self.replace(name, rows, partition_by, sort_by)
-            return
-        fresh = self._write(name, rows, list(partition_by), list(sort_by))
-        new = self._scan(name, [fresh], rows.schema).select(rows.columns)
-        kept = self.read(name).join(new.select(*keys), list(keys), "left_anti")
-        self.replace(name, kept.unionByName(new, allowMissingColumns=True), partition_by, sort_by)
-        path, fs = self._path(name, _folder(fresh))
-        fs.delete(path, True)
-
-    def expire(self, name: str, keep: Column, partition_by: list[str] = (), sort_by: list[str] = (), by_day: str | None = None) -> int:
-        """Delete the rows for which ``keep`` isn't true; the number of states that were written anew.
-
-        One scan of the columns that ``keep`` reads finds the states that have such rows, and only these are written
-        again: in a table that grows by appends the old ones, at a run's cost of what is deleted.
+        rows take the place of all.
+
+        A run's closed rows are partitions by its number, which counts only once they and the open ones are written:
+        a run that is tried again after it died replaces what it left.
         """
-        keep = F.coalesce(keep, F.lit(False))
-        where = F.regexp_extract(F.col("_metadata.file_path"), "/_state=([^/]+)/", 1)
-        states, columns = self._states(name), self._columns(name)
-        if not states:
+        runs = 0 if full or not self.exists(name) else self._runs(name)
+        part = F.when(F.coalesce(F.expr(still_open), F.lit(False)), OPEN).otherwise(f"run-{runs + 1:06d}")
+        apart, keys = rows.withColumn(PART, part), [PART, *partition_by]
+        if runs == 0:
+            self._create(name, apart, keys, list(sort_by), buckets)
+        else:
+            old = [p for p in self.partitions(name) if p[PART] in (OPEN, f"run-{runs + 1:06d}")]
+            staged = written_once(apart, "history")
+            self._insert(name, staged, list(sort_by), overwrite=True)
+            self._forget(name, old, staged)
+            discard(staged)
+        self.spark.sql(f"ALTER TABLE {self._name(name)} SET TBLPROPERTIES ('{_RUNS}' = '{runs + 1}')")
+
+    def _runs(self, name: str) -> int:
+        said = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._name(name)}").collect()}
+        return int(said.get(_RUNS, 0))
+
+    def drop_days(self, name: str, before: datetime.date) -> int:
+        """Drop the days before one; the number of partitions that went. Only the catalogue and files are touched."""
+        if not self.exists(name) or DAY not in self._keys(name):
             return 0
-        hit = {r[0] for r in self._scan(name, states, columns).where(~keep).select(where).distinct().collect()}  # at most one row a state
-        new = []
-        for s in states:
-            if _bare(s) not in hit:
-                new.append(s)
-                continue
-            state = self._write(name, self._read(name, [s]).where(keep), list(partition_by), list(sort_by), by_day)
-            if s.endswith(OPEN):
-                self._path(name)[1].rename(self._path(name, _folder(state))[0], self._path(name, _folder(state + OPEN))[0])
-                state += OPEN
-            new.append(state)
-        if hit:
-            self._point(name, new, columns, self.batches(name))
-        return len(hit)
+        gone = [p for p in self.partitions(name) if p[DAY] is not None and p[DAY] < before]
+        self.drop_partitions(name, gone)
+        return len(gone)
+
+    def expire(self, name: str, keep: Column, sort_by: list[str] = ()) -> int:
+        """Delete the rows for which ``keep`` isn't true; the number of partitions that were dropped or written anew.
+
+        One scan of the columns that ``keep`` reads finds the partitions that have such rows: those of which nothing
+        stays are dropped, only the others are written again.
+        """
+        keep, parts, table = F.coalesce(keep, F.lit(False)), self._keys(name), self._table(name)
+        if not parts:
+            if table.where(~keep).isEmpty():
+                return 0
+            self._create(name, table.where(keep), [], list(sort_by), self._buckets(name))
+            return 1
+        found = table.groupBy(*parts).agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("gone")).where("gone > 0").collect()  # a row a partition
+        key = lambda r: tuple(r[k] for k in parts)
+        mixed = [key(r) for r in found if r["kept"]]
+        if mixed:
+            self._insert(name, table.where(_among(parts, mixed)).where(keep), list(sort_by), overwrite=True)
+        empty = {key(r) for r in found if not r["kept"]}
+        self.drop_partitions(name, [p for p in self.partitions(name) if key(p) in empty])
+        return len(found)
 
     def drop(self, name: str) -> None:
-        path, fs = self._path(name)
-        fs.delete(path, True)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
 
     def checkpoint(self, name: str, column: Column | str) -> object:
         """The greatest value of a column so far; None without a table or value."""
         return self.read(name).agg(F.max(column)).first()[0] if self.exists(name) else None
+
+
+@contextlib.contextmanager
+def _dynamic(spark: SparkSession) -> Iterator[None]:
+    """Within, INSERT OVERWRITE replaces only the partitions that it writes."""
+    before = spark.conf.get(_DYNAMIC)
+    spark.conf.set(_DYNAMIC, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DYNAMIC, before)
+
+
+def _spec(row: Row) -> str:
+    """A partition in SQL."""
+    values = {k: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for k, v in row.asDict().items()}
+    return f"PARTITION ({', '.join(f'`{k}` = {v}' for k, v in values.items())})"
+
+
+def _among(columns: list[str], values: list[tuple]) -> Column:
+    """Whether a row's partition is one of these; a condition on partition columns, by which folders are pruned."""
+    out = F.lit(False)
+    for k in range(0, len(values) if len(columns) > 1 or any(v[0] is None for v in values) else 0):
+        own = F.lit(True)
+        for c, v in zip(columns, values[k], strict=True):
+            own = own & (F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
+        out = out | own
+    if len(columns) == 1 and values and all(v[0] is not None for v in values):
+        out = F.col(columns[0]).isin([v[0] for v in values])
+    return out

@@ -5,16 +5,18 @@ Times are compared as microseconds and arrays as texts, which both engines print
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Cdc, CustomEvent, Entity, Key, PipelineConfig
 from tidemark.functions import kv, scalar
-from tidemark.operators import catalogue, cdc, checks, entity, events, hidden, intervals, quality, web
+from tidemark.operators import catalogue, cdc, checks, entity, events, hidden, intervals, keys, quality, web
 from tidemark.plans import monitoring
-from tidemark.plans.tables import written_once
+from tidemark.plans.tables import Store, block_sample, shared_folder, written_once
 from tidemark.sources import adapters
 
 ORDERS = Entity("orders", [Key("status"), Key("priority", alias="order_priority"), Key("total_cents", "integer"), Key("customer", "integer", hidden=True)])
@@ -40,6 +42,12 @@ def query(sql: str | None = None):
     return add
 
 
+def stored(spark: SparkSession) -> Store:
+    """A store of its own in the folder that the cluster shares."""
+    name = f"q_{uuid.uuid4().hex}"
+    return Store(spark, f"{shared_folder(spark)}/{name}", name)
+
+
 def us(name: str, alias: str | None = None):
     return F.unix_micros(name).alias(alias or f"{name}_us")
 
@@ -252,10 +260,24 @@ def hidden_mismatch(spark, d):
     return rows.select("name", "key_configured", "hidden_configured", "updates_hidden", "updates_not_hidden")
 
 
-@query()
+_SWAPPED = PipelineConfig("shop", adapters.OWN_SITE, entities=[Entity("orders", [Key("status", hidden=True), Key("customer")])], hidden_policy="pii")
+_MISMATCH = """SELECT 'orders' AS name, t.key AS key_configured, t.h AS hidden_configured, CASE WHEN t.key = 'customer' THEN count(*) ELSE 0 END AS updates_hidden, CASE WHEN t.key = 'customer' THEN 0 ELSE count(*) END AS updates_not_hidden
+  FROM e, (VALUES ('customer', false), ('status', true)) t("key", h) WHERE et IN ('create_entity', 'update_entity')"""
+
+
+@query(f"WITH {E} {_MISMATCH} AND CAST('0x' || substr(md5('_block=' || CAST(id % 64 AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 1000000 < 100000 GROUP BY t.key, t.h")
 def hidden_mismatch_sample(spark, d):
-    swapped = PipelineConfig("shop", adapters.OWN_SITE, entities=[Entity("orders", [Key("status", hidden=True), Key("customer")])], hidden_policy="pii")
-    return quality.hidden_mismatch(adapters.order_events(spark, d), swapped, sample=0.01)
+    """Over a tenth of 64 stored blocks: files of others aren't opened."""
+    rows = adapters.order_events(spark, d).withColumn("_block", kv.extract("data", "id", "integer") % 64)
+    stored = written_once(rows, "blocks", partition_by=["_block"])
+    found = quality.hidden_mismatch(block_sample(stored, 0.1, block="_block=[0-9]+"), _SWAPPED)
+    return found.select("name", "key_configured", "hidden_configured", "updates_hidden", "updates_not_hidden")
+
+
+@query(f"WITH {E} {_MISMATCH} AND CAST(happened AS DATE) >= DATE '{DAY}' - 1 GROUP BY t.key, t.h")
+def hidden_mismatch_yesterday(spark, d):
+    rows = quality.hidden_mismatch(adapters.order_events(spark, d), _SWAPPED, since=F.date_sub(F.lit(DAY).cast("date"), 1))
+    return rows.select("name", "key_configured", "hidden_configured", "updates_hidden", "updates_not_hidden")
 
 
 @query("SELECT 'refunds' AS entity_table_name, CAST(0 AS BIGINT) AS number_of_import_events")
@@ -294,8 +316,12 @@ def entity_table_check_scheduled(spark, d):
     return rows.select("entity_table_name", "database_row_count", "warehouse_row_count", "database_checksum", "warehouse_checksum", "number_of_missing_rows", "number_of_extra_rows", "error_rate")
 
 
+def _import_events(spark, d):
+    return checks.import_events(adapters.table_checks(spark, d, "import_entity_table_check").unionByName(adapters.priority_rows(spark, d)), TABLES)
+
+
 def _imports(spark, d):
-    return checks.compare_imports(adapters.table_checks(spark, d, "import_entity_table_check").unionByName(adapters.priority_rows(spark, d)))
+    return checks.compare_imports(_import_events(spark, d))
 
 
 @query(f"WITH {_K} SELECT 'import1' AS import_id, a.t AS entity_table_name, a.n AS database_row_count, b.n AS warehouse_row_count, a.c AS database_checksum, b.c AS warehouse_checksum FROM a JOIN b USING (t)")
@@ -317,12 +343,13 @@ _GONE = "WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0)"
   UNION ALL SELECT o_orderpriority, '-' || CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderpriority <> '1-URGENT' THEN epoch_us(TIMESTAMP '2010-01-01') END FROM orders {_GONE} AND o_orderkey % 5 = 0"""
 )
 def inferred_deletions(spark, d):
-    raw = adapters.table_checks(spark, d, "import_entity_table_check").unionByName(adapters.priority_rows(spark, d))
+    streamed = written_once(_import_events(spark, d), "imports")
+    compared = written_once(checks.compare_imports(streamed), "compared")
     made = adapters.priority_rows(spark, d, "create_entity")
     key = kv.extract("data", "id")
     gone = made.where(key.cast("bigint") % 5 == 0).withColumn("data", kv.replace_key("data", "id", F.concat(F.lit("-"), key)))
     versions = entity.versions(made.unionByName(gone), TABLES)
-    found = checks.infer_deletions(versions, checks.compare_imports(raw), checks.imported_ids(raw, TABLES))
+    found = checks.infer_deletions(versions, compared, checks.imported_ids(streamed))
     return found.select("entity_table_name", "entity_id", us("valid_to"))
 
 
@@ -396,7 +423,7 @@ def sessions_attributed(spark, d):
 
 #: Visits with the first page that follows each, and users imputed from later and earlier ones.
 _VISITS = f"""{W}, x AS (SELECT *, path || {_SORTED.format(x="qs")} AS page, {_REFERER_PQ} AS rpage FROM w WHERE contains(content, 'text/html') AND status NOT LIKE '3__' AND status NOT LIKE '4__' AND device <> 'bot'),
-x1 AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY usr, page, day ORDER BY us), lead(us) OVER (PARTITION BY visitor, page, day ORDER BY us)) AS again FROM x),
+x1 AS (SELECT *, coalesce(CASE WHEN usr IS NOT NULL THEN lead(us) OVER (PARTITION BY usr, page, day ORDER BY us) END, lead(us) OVER (PARTITION BY visitor, page, day ORDER BY us)) AS again FROM x),
 x2 AS (SELECT a.event_id, min(f.us) AS f_us, count(f.us) AS n_following, arg_min(f.usr, f.us) FILTER (WHERE f.usr IS NOT NULL) AS f_usr FROM x1 a LEFT JOIN x f ON a.page = f.rpage AND a.day = f.day AND (a.visitor = f.visitor OR a.usr = f.usr) AND a.us < f.us AND (a.again IS NULL OR f.us < a.again) GROUP BY a.event_id),
 x3 AS (SELECT x.*, n_following, f_usr, first_value(usr IGNORE NULLS) OVER (PARTITION BY visitor ORDER BY us // 1000000 RANGE BETWEEN CURRENT ROW AND 1800 FOLLOWING) AS ahead,
   last_value(usr IGNORE NULLS) OVER (PARTITION BY visitor ORDER BY us // 1000000 RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW) AS behind,
@@ -406,7 +433,7 @@ x4 AS (SELECT *, coalesce(usr, CASE WHEN gap_after <= 30 THEN ahead ELSE f_usr E
 
 @query(f"WITH {_VISITS} SELECT us AS occurred_at_us, visitor, page, n_following AS following_pages, est AS estimated_user FROM x4")
 def session_user_imputation(spark, d):
-    rows = web.impute_users(web.following_pages(web.visits(events.enrich(adapters.web_requests(spark, d)))))
+    rows = web.impute_users(web.following_pages(web.numbered(web.visits(events.enrich(adapters.web_requests(spark, d))))))
     return rows.select(us("occurred_at"), "visitor", "page", "following_pages", "estimated_user")
 
 
@@ -444,7 +471,7 @@ def _cdc(spark, d):
     return source, cdc.cdc_versions(source, CDC_KEYS)
 
 
-@query(f"WITH {D} SELECT id, epoch_us(happened) AS valid_from_us, epoch_us(vt) AS valid_to_us, status, cents, gone AS is_deleted, nxt IS NULL AS is_current, CAST(n AS INTEGER) AS version_number FROM c")
+@query(f"WITH {D} SELECT id, epoch_us(happened) AS valid_from_us, epoch_us(vt) AS valid_to_us, status, cents, gone AS is_deleted, nxt IS NULL AND NOT gone AS is_current, CAST(n AS INTEGER) AS version_number FROM c")
 def cdc_version(spark, d):
     return _cdc(spark, d)[1].select("id", us("valid_from"), us("valid_to"), "status", "cents", "is_deleted", "is_current", "version_number")
 
@@ -496,10 +523,12 @@ def cdc_apply_deletes(spark, d):
     return cdc.apply_deletes(versions, deletes).select("id", us("valid_from"), us("valid_to"), "is_deleted")
 
 
-@query("SELECT * FROM (VALUES ('priority', 'not configured'), ('colour', 'not in the source')) t(column_name, issue)")
+@query(f"WITH x AS ({ORACLE['columns_not_configured']}) SELECT column_name, 'not configured' AS issue, rows_with_a_value AS rows FROM x UNION ALL SELECT 'colour', 'not in the source', rows_with_a_value FROM x")
 def schema_drift(spark, d):
-    extra, lacking = cdc.schema_drift(adapters.order_changes(spark, d).columns, [Key("status"), Key("cents", "integer"), Key("colour")])
-    return spark.createDataFrame([*[(c, "not configured") for c in extra], *[(c, "not in the source") for c in lacking]], "column_name string, issue string")
+    """Columns of the log that no key is configured for and keys that it lacks, each with the rows that this concerns."""
+    log, own = adapters.order_changes(spark, d), Entity("orders", [Key("status"), Key("cents", "integer"), Key("colour")])
+    extra = quality.columns_not_configured(log, own).select("column_name", F.lit("not configured").alias("issue"), F.col("rows_with_a_value").alias("rows"))
+    return extra.unionByName(quality.columns_missing(log, own).select("column_name", F.lit("not in the source").alias("issue"), F.col("rows_without").alias("rows")))
 
 
 @query(f"WITH {E} SELECT CAST(id AS VARCHAR) AS id, epoch_us(happened) AS at_us, et AS event_type, 'customer,created_at,updated_at' AS shown_wanted, CAST(customer AS VARCHAR) AS customer, status AS hidden_status FROM e")
@@ -541,3 +570,99 @@ def incremental_equals_full(spark, d):
     first = entity.versions(rows.where(F.col("occurred_at") <= cut), [ORDERS])
     second = entity.versions(rows.where(F.col("occurred_at") > cut), [ORDERS], first)
     return entity.upsert_versions(first, second).select("entity_id", "event_type", us("valid_from"), us("valid_to"))
+
+
+@query(f"WITH {_K} SELECT 'import1' AS import_id, a.t AS entity_table_name, 'rows are missing' AS issue FROM a JOIN b USING (t) WHERE a.n <> b.n")
+def imported_ids_since_yesterday(spark, d):
+    """Of imports that differ only those checked since yesterday: the same log twice, once with a check of a year ago."""
+    old = adapters.table_checks(spark, d, "import_entity_table_check").withColumns({"event_tags": F.array(F.lit("import0")), "data": kv.replace_key("data", "checksum_calculated_at", F.lit("2009-01-01T00:00:00+00:00"))})
+    found = checks.compare_imports(_import_events(spark, d).unionByName(checks.import_events(old, TABLES)))
+    recent = found.where(F.to_date("checksum_calculated_at") >= F.date_sub(F.lit("2010-01-02").cast("date"), 1))
+    return checks.mismatches(recent).select("import_id", "entity_table_name", "issue")
+
+
+@query("SELECT epoch_us(max(w)) AS last_updated_us FROM (SELECT l_shipdate AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate UNION ALL SELECT o_orderdate FROM orders UNION ALL SELECT o_orderdate + INTERVAL 4000 DAY FROM orders WHERE o_orderstatus = 'F') HAVING max(w) < TIMESTAMP '2013-06-02' - INTERVAL 1 DAY")
+def cdc_freshness(spark, d):
+    found = quality.not_fresh(adapters.order_changes(spark, d), F.lit(AS_OF).cast("timestamp"), 1, "updated_at")
+    return found.select(us("last_occurred_at", "last_updated_us"))
+
+
+@query("SELECT 'orders' AS entity_table_name, 'priority' AS column_name, count(o_orderpriority) AS rows_with_a_value FROM (SELECT o_orderpriority FROM orders UNION ALL SELECT o_orderpriority FROM orders JOIN (SELECT DISTINCT l_orderkey, l_shipdate FROM lineitem) ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0)")
+def columns_not_configured(spark, d):
+    return quality.columns_not_configured(adapters.order_changes(spark, d), Entity("orders", [Key("status"), Key("cents", "integer")]))
+
+
+@query(f"WITH {E} SELECT 'refunds' AS entity_table_name, CAST(30 AS INTEGER) AS expiry_days, CAST(0 AS BIGINT) AS number_of_import_events, a.n AS warehouse_row_count, a.n AS database_row_count FROM (SELECT count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW') a")
+def not_backfilled_today(spark, d):
+    """An entity of which no import was streamed, with the day's check: that of the last priority under another name."""
+    config = PipelineConfig("shop", adapters.OWN_SITE, entities=[Entity("1-URGENT"), Entity("refunds", expiration_days=30)])
+    found = checks.compare_scheduled(checks.check_events(adapters.table_checks(spark, d), "entity_table_check"), _priority_versions(spark, d))
+    renamed = found.withColumn("entity_table_name", F.when(F.col("entity_table_name") == "5-LOW", "refunds").otherwise(F.col("entity_table_name")))
+    rows = quality.not_backfilled(adapters.priority_rows(spark, d), config, renamed, F.lit("2010-01-01").cast("timestamp"))
+    return rows.select("entity_table_name", "expiry_days", F.col("number_of_import_events").cast("bigint").alias("number_of_import_events"), "warehouse_row_count", "database_row_count")
+
+
+@query("SELECT 'customer' AS column_name, CAST(o_custkey AS VARCHAR) AS value, count(*) AS rows FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")
+def foreign_key_orphans(spark, d):
+    """Customers of the orders as they are now that the customers in credit lack."""
+    latest = entity.latest(_flat(spark, d))
+    other = adapters.read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    every = adapters.read(spark, d, "orders").select(F.col("o_custkey").alias("customer")).join(latest.select(F.col("customer").alias("_c")).distinct(), F.col("customer") == F.col("_c"), "left").drop("_c")
+    return keys.orphans(every, keys.ForeignKey("customer", "customer"), other)
+
+
+@query("SELECT 'lineitem' AS table_name, CAST(l_orderkey AS BIGINT) AS l_orderkey, count(*) AS rows FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def primary_key_broken(spark, d):
+    return keys.broken_primary_key(adapters.read(spark, d, "lineitem"), ["l_orderkey"]).select(F.lit("lineitem").alias("table_name"), F.col("l_orderkey").cast("bigint").alias("l_orderkey"), "rows")
+
+
+@query(ORACLE["entity_at"])
+def entity_at_function(spark, d):
+    """The same through SQL: SELECT * FROM orders_at(TIMESTAMP '...')."""
+    entity.at_function("orders_at", _flat(spark, d))
+    return spark.sql("SELECT id, status, order_priority, total_cents, customer FROM orders_at(TIMESTAMP '1998-06-15')")
+
+
+@query(ORACLE["cdc_version"])
+def cdc_incremental_equals_full(spark, d):
+    """Versions from a log read in three parts by time of extraction, each going on from the last: the same as from all."""
+    log, cuts = adapters.order_changes(spark, d), [F.lit(t).cast("timestamp") for t in ("1996-01-01", "2006-06-15")]
+    last, closed = None, []
+    for lo, hi in ((None, cuts[0]), (cuts[0], cuts[1]), (cuts[1], None)):
+        part = log if hi is None else log.where(F.col("_airbyte_extracted_at") <= hi)
+        rows = written_once(cdc.cdc_versions(part, CDC_KEYS, lo, last), "versions")
+        closed.append(rows.where("not (is_current or is_deleted)"))
+        last = rows.where("is_current or is_deleted")
+    found = last
+    for part in closed:
+        found = found.unionByName(part)
+    return found.select("id", us("valid_from"), us("valid_to"), "status", "cents", "is_deleted", "is_current", "version_number")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price, extract(year FROM o_orderdate) = 1995 AS moved FROM orders")
+def merged_partitions(spark, d):
+    """A table of orders by year into which those of 1995 are merged again: only that year's files are written."""
+    orders = adapters.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.lit(False).alias("moved"), F.year("o_orderdate").alias("y"))
+    store = stored(spark)
+    store.replace("orders", orders, ["y"])
+    store.merge("orders", orders.where("y = 1995").withColumn("moved", F.lit(True)), ["id"])
+    return store.read("orders").select("id", "price", "moved")
+
+
+@query(ORACLE["entity_field_updates"])
+def field_updates_of_stored_history(spark, d):
+    """Changes from a history that is stored in buckets by id: no shuffle but the one that wrote it."""
+    store = stored(spark)
+    store.carry("history", _versions(spark, d), "valid_to is null", ["entity_table_name"], ["entity_id", "valid_from"], buckets=(["entity_id"], int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = entity.field_updates(store.read("history"))
+    return rows.select("entity_id", us("occurred_at"), "key_updated", "new_value", "previous_value", us("previous_occurred_at"), "previous_event_type", "seconds_since_previous_update", "seconds_since_created")
+
+
+@query("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+def expired_days(spark, d):
+    """Orders by month of which those before 1997 are dropped as partitions."""
+    orders = adapters.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"), F.trunc("o_orderdate", "MM").alias("month"))
+    store = stored(spark)
+    store.replace("orders", orders, by_day="month")
+    store.drop_days("orders", date(1997, 1, 1))
+    return store.read("orders").select("id", F.col("day").cast("string").alias("day"))

@@ -18,16 +18,21 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 
 def run_stream(stream: DataFrame, store: Store, plan: dict[str, pipeline.Model], checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to the table ``raw``, once however often it is tried, and run the pipeline from its
-    checkpoints."""
+    """Append each micro-batch to the table ``raw`` by day, once however often it is tried, and build the models whose
+    cost grows with what is new from their checkpoints. Others wait for :func:`finish`."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        store.append("raw", rows, batch=f"{checkpoint}:{number}")
-        pipeline.run(rows.sparkSession, store, plan, store.read("raw"))
+        store.append("raw", rows, batch=f"{number:08d}", by_day="occurred_at")
+        pipeline.run(rows.sparkSession, store, plan, store.read("raw"), only=pipeline.incremental)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def finish(spark: SparkSession, store: Store, plan: dict[str, pipeline.Model]) -> dict[str, DataFrame]:
+    """Build the models that are built as a whole, from what the stream's batches have left; all tables by name."""
+    return pipeline.run(spark, store, plan, store.read("raw"), only=lambda m: not pipeline.incremental(m))
+
+
 def session_counts(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each visitor as they close: start, end and page views, with a watermark for late events."""
     views = stream.where("event_type = 'web_request'").withWatermark("occurred_at", late)
