@@ -523,7 +523,10 @@ def cdc_apply_deletes(spark, d):
     return cdc.apply_deletes(versions, deletes).select("id", us("valid_from"), us("valid_to"), "is_deleted")
 
 
-@query(f"WITH x AS ({ORACLE['columns_not_configured']}) SELECT column_name, 'not configured' AS issue, rows_with_a_value AS rows FROM x UNION ALL SELECT 'colour', 'not in the source', rows_with_a_value FROM x")
+_UNCONFIGURED = "SELECT 'orders' AS entity_table_name, 'priority' AS column_name, count(o_orderpriority) AS rows_with_a_value FROM (SELECT o_orderpriority FROM orders UNION ALL SELECT o_orderpriority FROM orders JOIN (SELECT DISTINCT l_orderkey, l_shipdate FROM lineitem) ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0)"
+
+
+@query(f"WITH x AS ({_UNCONFIGURED}) SELECT column_name, 'not configured' AS issue, rows_with_a_value AS rows FROM x UNION ALL SELECT 'colour', 'not in the source', rows_with_a_value FROM x")
 def schema_drift(spark, d):
     """Columns of the log that no key is configured for and keys that it lacks, each with the rows that this concerns."""
     log, own = adapters.order_changes(spark, d), Entity("orders", [Key("status"), Key("cents", "integer"), Key("colour")])
@@ -587,7 +590,7 @@ def cdc_freshness(spark, d):
     return found.select(us("last_occurred_at", "last_updated_us"))
 
 
-@query("SELECT 'orders' AS entity_table_name, 'priority' AS column_name, count(o_orderpriority) AS rows_with_a_value FROM (SELECT o_orderpriority FROM orders UNION ALL SELECT o_orderpriority FROM orders JOIN (SELECT DISTINCT l_orderkey, l_shipdate FROM lineitem) ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0)")
+@query(_UNCONFIGURED)
 def columns_not_configured(spark, d):
     return quality.columns_not_configured(adapters.order_changes(spark, d), Entity("orders", [Key("status"), Key("cents", "integer")]))
 
