@@ -248,6 +248,50 @@ def test_repeats_among_shuffled_lines(spark):
     assert {(r.id, w) for r in rows if r.later for w in range(r.begin, r.finish)} == later
 
 
+@pytest.mark.parametrize("batch", [1, 7])
+def test_repeats_over_partitions_and_batches(spark, batch):
+    """The same where runs of the order go on over many partitions and Arrow batches of a few rows."""
+    rng = random.Random(batch)
+    lines = [" ".join(prose(rng, 20, 10**5)) for _ in range(8)]
+    texts = [" ".join([*prose(rng, 9, 10**5), *[rng.choice(lines) for _ in range(rng.randrange(2, 6))]]) for _ in range(120)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = suffix_dedup.repeated_spans(docs(spark, texts)).collect()
+    finally:
+        for k, v in (("spark.sql.execution.arrow.maxRecordsPerBatch", None), ("spark.sql.shuffle.partitions", "4"), ("spark.sql.adaptive.coalescePartitions.enabled", "true")):
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    every, later = repeated(texts)
+    assert {(r.id, w) for r in rows if not r.later for w in range(r.begin, r.finish)} == every
+    assert {(r.id, w) for r in rows if r.later for w in range(r.begin, r.finish)} == later
+
+
+def test_repeats_come_through_the_suffix_order(spark, monkeypatch):
+    """Without the neighbours' runs, passages whose surroundings differ aren't found."""
+    rng = random.Random(8)
+    passage = prose(rng, 55, 10**5)
+    texts = [" ".join(prose(rng, 40, 10**5) + passage + prose(rng, 40, 10**5)) for _ in range(6)]
+    assert suffix_dedup.repeated_spans(docs(spark, texts)).where("not later").count() == 6
+    real = suffix_dedup._in_runs
+    monkeypatch.setattr(suffix_dedup, "_in_runs", lambda *a: real(*a).where("false"))
+    assert suffix_dedup.repeated_spans(docs(spark, texts)).count() == 0
+
+
+def test_long_texts_and_odd_names(spark):
+    """One word of a million letters, 200,000 words in one text, and names with dots and blanks."""
+    rng = random.Random(9)
+    long = " ".join(prose(rng, 200_000, 10**4))
+    texts = [long, long + " x", "y" * 10**6, "a b c", None]
+    odd = docs(spark, texts).select("*", F.lit(1).alias("a b.c"), F.lit(2).alias("x_.y"))
+    assert [r.doc_id for r in near_dedup.drop_near_duplicates(odd).orderBy("doc_id").collect()] == [0, 2, 3, 4]
+    cut = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(odd).collect()}
+    assert cut == {0: long, 1: "x", 2: "y" * 10**6, 3: "a b c", 4: None} and "a b.c" in suffix_dedup.cut_repeats(odd).columns
+    field = quality_crf.fit(docs(spark, ["good line here\n" * 3, "bad $$$ %%%\n" * 3] * 20), spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert quality_crf.keep_good(odd, field, 0.0).select("`a b.c`").count() == 5
+    assert mixing.mix_sources(odd, {"source": F.col("source")}, {"source": {}}, epochs=1, seed=1).select("`a b.c`").count() >= 3
+
+
 def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.repeated_spans(docs(spark, [])).count() == 0
     assert suffix_dedup.cut_repeats(docs(spark, ["a b", None])).count() == 2

@@ -72,6 +72,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def map_rows(df: DataFrame, kernel) -> DataFrame:
+    """``df`` by a kernel for mapInArrow that yields its columns in their order, whatever their names are."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(kernel, plain.schema).toDF(*df.columns)
+
+
 def fresh(columns: Iterable[str]) -> str:
     """A prefix that no column name begins with, for an operator's own columns beside its input's."""
     taken, prefix = [c.lower() for c in columns], "x_"

@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, the one with the smallest id; null ids stay."""
+    """The rows of ``docs`` that stay: one document of each group, the one with the smallest id; null ids stay, and all
+    rows that repeat the id that stays. Null and empty texts are near nothing; further columns may have any name."""
     gone = near_duplicates(docs, id_col, **how).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import small_batches
+from tidemark.llm._spark import map_rows, small_batches
 from tidemark.llm._text import lean, mix, slices, spans, word_hashes
 
 #: Labelled documents that the field is fitted on at most (half of each label), and lines of each of these.
@@ -239,7 +239,10 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, decided row by row in one pass."""
+    """The rows of ``docs`` whose score is at least ``threshold``, decided row by row in one pass.
+
+    Null texts are scored as empty ones, repeated rows alike; columns may have any name; an empty table stays empty.
+    """
     if field is None:
         return docs
     names = docs.columns
@@ -254,4 +257,4 @@ def keep_good(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_c
                 yield batch.slice(lo, hi - lo).filter(pa.array(mean >= threshold))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(lean(keep), docs.schema)
+    return map_rows(docs, lean(keep))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import discard, fresh, materialize, small
+from tidemark.llm._spark import discard, fresh, map_rows, materialize, small
 from tidemark.llm._text import _BASE, _INVERSE, _power_table, lean, mix, ngrams, slices, spans, word_hashes
 
 #: Words of a passage at least, words that choose an anchor, and gaps that one is chosen from: a passage of
@@ -86,7 +86,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The SIDE words before each anchor, nearest first, and after its gram, as 32-bit hashes."""
-    schema = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("nl", pa.int32()), ("nr", pa.int32()), ("l", pa.binary()), ("r", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("y", pa.int64()), ("nl", pa.int32()), ("nr", pa.int32()), ("l", pa.binary()), ("r", pa.binary())])
     for batch in batches:
         for lo, hi, data, off in slices(batch.column(1)):
             start, end, bounds = spans(data, off)
@@ -103,144 +103,105 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right = np.where(each < nr[:, None], words[(at + SIDE + GRAM)[:, None] + each], 0).astype(">u4")
             ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [ids, flat.field("pos"), h, pa.array(nl.astype(np.int32)), pa.array(nr.astype(np.int32)), pa.array([x.tobytes() for x in left], pa.binary()), pa.array([x.tobytes() for x in right], pa.binary())],
+                [ids, flat.field("pos"), h, flat.field("c"), flat.field("y"), pa.array(nl.astype(np.int32)), pa.array(nr.astype(np.int32)), pa.array([x.tobytes() for x in left], pa.binary()), pa.array([x.tobytes() for x in right], pa.binary())],
                 schema=schema,
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash of LEAST words, class of the anchor that they hold, its places' least and largest id, place of the first
-    word against the anchor): at most WINDOW rows an anchor. Hashes depend on the words only."""
-    schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("at", pa.int32())])
-    for batch in batches:
-        for lo, hi, data, off in slices(batch.column(1)):
-            start, end, bounds = spans(data, off)
-            words = word_hashes(data, start, end, fold=False)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power_table(_BASE, len(words) + 1)[: len(words)])])
-            back = _power_table(_INVERSE, len(words) + 1)
-            wanted = batch.column(2).slice(lo, hi - lo)
-            flat, sizes = wanted.flatten(), np.diff(np.asarray(wanted.offsets))
-            row = np.repeat(np.arange(hi - lo), sizes)
-            place = bounds[row] + np.asarray(flat.field("pos")).astype(np.int64)
-            ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-            for some in range(0, len(place), 4096):
-                part = slice(some, some + 4096)
-                first = place[part, None] - np.arange(WINDOW)
-                anchor, k = np.nonzero((first >= bounds[row[part], None]) & (first + LEAST <= bounds[row[part] + 1, None]))
-                first = first[anchor, k]
-                w = mix((total[first + LEAST] - total[first]) * back[first])
-                i = pa.array(anchor + some)
-                columns = [pa.array(w.view(np.int64)), flat.field("h").take(i), flat.field("c").take(i), ids.take(i), flat.field("y").take(i), pa.array(-k.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
-class _Rows:
-    """Columns of sorted anchors as arrays."""
-
-    def __init__(self, ids, pos, h, nl, nr, left, right):
-        self.columns = (ids, pos, h, nl, nr, left, right)
-        self.ids, self.pos, self.h, self.nl, self.nr, self.left, self.right = self.columns
-
-    @classmethod
-    def of(cls, batch: pa.RecordBatch) -> _Rows:
-        numbers = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)]
-        texts = [np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(-1, SIDE) for k in (5, 6)]
-        return cls(*numbers, *texts)
-
-    def take(self, i) -> _Rows:
-        return _Rows(*(c[i] for c in self.columns))
-
-    def join(self, other: _Rows) -> _Rows:
-        return _Rows(*(np.concatenate([a, b]) for a, b in zip(self.columns, other.columns, strict=True)))
-
-    def __len__(self) -> int:
-        return len(self.ids)
+_RUNS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("part", pa.int32()), ("most", pa.int32()), ("runs", pa.list_(pa.int64())), ("edge", pa.binary())])
+#: Bits of a run's name that number it within its partition; number 0 is the run that the partition begins with.
+_NUMBER = 40
 
 
-def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    differ = np.concatenate([a != b, np.ones((len(a), 1), bool)], 1)
-    return np.minimum(differ.argmax(1), most)
-
-
-def _extend(a: _Rows, b: _Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words that each pair shares to the left and to the right of the gram, and whether that makes a passage."""
-    left = _common(a.left, b.left, np.minimum(a.nl, b.nl))
-    right = _common(a.right, b.right, np.minimum(a.nr, b.nr))
-    return left, right, (a.h == b.h) & (left + right + GRAM >= LEAST)
-
-
-def _found(a: _Rows, b: _Rows) -> list[tuple]:
-    """Matches between different documents: (id, first word, last word + 1, whether the other copy comes first)."""
-    left, right, match = _extend(a, b)
-    keep = np.flatnonzero(match & (a.ids != b.ids))
-    out = []
-    for x, y in ((a, b), (b, a)):
-        out.append((x.ids[keep], x.pos[keep] - left[keep], x.pos[keep] + GRAM + right[keep], y.ids[keep] < x.ids[keep]))
+def _prefixes(h: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Words that each row shares with the row before it, from the gram on; 0 for another gram. The first row's is 0."""
+    out = np.zeros(len(h), np.int64)
+    if len(h) > 1:
+        differ = np.concatenate([words[1:] != words[:-1], np.ones((len(h) - 1, 1), bool)], 1).argmax(1)
+        out[1:] = np.where(h[1:] == h[:-1], np.minimum(differ, np.minimum(n[1:], n[:-1])), 0)
     return out
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("finish", pa.int64()), ("later", pa.bool_()), ("edge", pa.binary()), ("part", pa.int64())])
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of sorted suffixes with common prefixes: of each row the most words that it shares with a neighbour, and
+    for each number of words up to that the name of the run of rows that share as many.
 
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare sorted anchors with the next three, and each run of matching neighbours with its first document.
-
-    What a partition needs to know of the next one (its first and last anchors and its runs' first documents) is
-    handed on as ``edge`` rows.
+    Two rows share d words exactly if all neighbours between them do, that is, if they are in one run of depth d. What
+    is needed to go on with a run in the next partition (first and last row, the last row's runs) is an ``edge`` row.
     """
-    import pickle
-
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    carried: _Rows | None = None  # the last three rows so far, and before them the first document of the last run
-    leader: _Rows | None = None
-    head: list = []
+    base, depth = part << _NUMBER, np.arange(1, SIDE + 1)
+    open_runs, seen = np.full(SIDE, base), 0  # of the last row so far; rows so far
+    first = held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = _Rows.of(batch)
-        if not head:
-            head = [rows.take(slice(0, 3)), None]
-        found, leader = compare(rows, carried, leader)
-        if head[1] is None:
-            head[1] = _run_leaders(rows)[0]
-        carried = rows.take(slice(-3, None)) if carried is None or len(rows) >= 3 else carried.join(rows).take(slice(-3, None))
-        ids, begin, finish, later = (np.concatenate([f[k] for f in found]) for k in range(4))
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(begin), pa.array(finish), pa.array(later), pa.nulls(n, pa.binary()), pa.array(np.full(n, part))], schema=_FOUND)
-    if head:
-        edge = pickle.dumps([c.columns for c in (head[0], head[1], carried, leader)])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([edge], pa.binary()), pa.array([part], pa.int64())], schema=_FOUND)
-
-
-def _run_leaders(rows: _Rows) -> tuple[_Rows, np.ndarray, np.ndarray]:
-    """The first document of the first run, every row's run, and the index of each run's first document."""
-    joined = _extend(rows.take(slice(0, -1)), rows.take(slice(1, None)))[2]
-    run = np.concatenate([[0], np.cumsum(~joined)])
-    order = np.lexsort((rows.pos, rows.ids, run))
-    firsts = order[np.searchsorted(run[order], np.arange(run[-1] + 1))]
-    return rows.take(firsts[:1]), run, firsts
-
-
-def compare(rows: _Rows, before: _Rows | None, leader: _Rows | None) -> tuple[list[tuple], _Rows]:
-    """Matches among ``rows``, with the rows before them and with the first document of the run that these end in;
-    and the first document of the run that ``rows`` end in."""
-    every = rows if before is None else before.join(rows)
-    skip = len(every) - len(rows)
-    found = []
-    for lag in (1, 2, 3):
-        at = np.arange(max(skip, lag), len(every))
-        found += _found(every.take(at - lag), every.take(at))
-    _, run, firsts = _run_leaders(rows)
-    found += _found(rows.take(firsts[run]), rows)
-    last = rows.take(firsts[-1:])
-    if leader is not None and _extend(before.take(slice(-1, None)), rows.take(slice(0, 1)))[2][0]:
-        first = rows.take(firsts[:1])
-        found += _found(leader, first)
-        if run[-1] == 0 and (leader.ids[0], leader.pos[0]) < (last.ids[0], last.pos[0]):
-            last = leader
-    return found, last
+        rows = [np.asarray(batch.column(k)).astype(np.int64) for k in range(4)]
+        rows.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u4").reshape(-1, SIDE))
+        if first is None:
+            first = [c[:1] for c in rows]
+        else:
+            rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+        ids, pos, h, n, words = rows
+        shared = _prefixes(h, n, words)
+        number = base | (seen + 1 + np.arange(len(ids)))[:, None]
+        starts = shared[:, None] < depth  # a run of this depth begins here
+        starts[0] = False  # the row is held from the batch before, or the partition begins with it
+        names = np.maximum.accumulate(np.where(starts, number, open_runs), axis=0)
+        most = np.append(np.maximum(shared[:-1], shared[1:]), 0)
+        if seen == 0:
+            most[0] = SIDE  # what the partition before shares with it isn't known here
+        else:
+            most[0] = max(most[0], held_shared)
+        if len(ids) > 1:
+            yield _run_rows(ids[:-1], pos[:-1], h[:-1], most[:-1], names[:-1], part)
+        seen += len(ids) - 1
+        held, held_shared, open_runs = [c[-1:] for c in rows], int(shared[-1]), names[-1]
+        if seen == 0:
+            held_shared = SIDE
+    if first is not None:
+        yield _run_rows(*(held[k] for k in range(3)), np.array([SIDE]), open_runs[None, :], part)
+        edge = np.concatenate([first[2], first[3], held[2], held[3]]).astype("<i8").tobytes() + first[4].astype(">u4").tobytes() + held[4].astype(">u4").tobytes()  # joined rows are in native order
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64())] + [pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), pa.array([open_runs.tolist()], pa.list_(pa.int64())), pa.array([edge], pa.binary())], schema=_RUNS)
+
+
+def _run_rows(ids, pos, h, most, names, part: int) -> pa.RecordBatch:
+    off = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
+    runs = pa.ListArray.from_arrays(pa.array(off), pa.array(names[np.arange(SIDE) < most[:, None]]))
+    k = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(h), pa.array(np.full(k, part, np.int32)), pa.array(most.astype(np.int32)), runs, pa.nulls(k, pa.binary())], schema=_RUNS)
+
+
+def _continued(edges: list) -> list[tuple[int, list[int]]]:
+    """For each partition that has rows the names, by depth, of the runs that it begins with: those of the partition
+    before, as far as the last row there and the first row here share words. ``edges``: a row a partition."""
+    out, before, ended = [], None, None
+    for row in sorted(edges, key=lambda r: r["part"]):
+        edge, names = bytes(row["edge"]), np.array(row["runs"])
+        h0, n0, h1, n1 = np.frombuffer(edge[:32], "<i8")
+        first, last = (np.frombuffer(edge[at : at + 4 * SIDE], ">u4") for at in (32, 32 + 4 * SIDE))
+        begun = np.full(SIDE, row["part"] << _NUMBER)
+        if before is not None:
+            h, n, words = before
+            shared = _prefixes(np.array([h, h0]), np.array([n, n0]), np.stack([words, first]))[1]
+            begun[:shared] = ended[:shared]
+        out.append((row["part"], begun.tolist()))
+        before, ended = (h1, n1, last), np.where(names & ((1 << _NUMBER) - 1), names, begun)
+    return out
+
+
+def _in_runs(contexts: DataFrame, side: str, first: str, name: str) -> DataFrame:
+    """``id, pos, h, most, runs`` of every context, sorted by gram and ``first``; see :func:`_ordered`."""
+    order = contexts.select("id", "pos", "h", f"n{side}", first).repartitionByRange("h", first).sortWithinPartitions("h", first, "id", "pos")
+    runs = materialize(order.mapInArrow(lean(_ordered), "id long, pos int, h long, part int, most int, runs array<bigint>, edge binary"), name)
+    begun = _continued(runs.where("edge is not null").select("part", "runs", "edge").collect())  # a row a partition
+    begun = small(contexts.sparkSession.createDataFrame(begun, "part int, begun array<bigint>"))
+    named = F.transform("runs", lambda x, d: F.when(x.bitwiseAND((1 << _NUMBER) - 1) == 0, F.get("begun", d)).otherwise(x))
+    found = runs.where("edge is null").join(begun, "part").select("id", "pos", "h", F.col("most").alias(f"{side}_most"), named.alias(f"{side}_runs"))
+    found._written_to = runs._written_to
+    return found
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -255,16 +216,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id, begin, finish, later``: word spans of passages of 50 words or more that another document has as well.
 
     ``later`` false: all spans, merged; true: the parts that a document with a smaller id has, merged. Words are split
-    at ASCII white space and compared exactly. Passages that only one document repeats don't count. Null ids and texts
+    at ASCII white space, letters' case counts. Passages that only one document repeats don't count. Null ids and texts
     take no part; rows that repeat an id count as one document. An empty table gives an empty result.
 
     Anchors with the same words around them (up to 34 on each side, 84 in all) form a class; all its members are spans
     at once, so the copies of a common passage are counted, not sorted. One anchor of each class goes to the suffix
     sort, if its gram has more than one class: sorted by what follows and again by what precedes, each is compared
-    with its neighbours and with the first document of its run of matches. Sorting is by range over gram and context,
-    so a common gram is dealt to many tasks. What lies too far apart in both orders is found exactly: the windows of
-    LEAST words that hold the anchor of such a class (at most WINDOW of them) are grouped by their hash, and those that
-    several classes have are spans at every place of these classes.
+    with its neighbours. The least of the common prefixes along the order is what two suffixes share, so that a run of
+    neighbours that share d words are all that do; and a passage is shared by those that are in one run on both sides,
+    of as many words before the gram as after it make LEAST together. Sorting is by range over gram and context, so a
+    common gram is dealt to many tasks; runs go on over the borders of partitions. Words are compared by 64-bit hashes,
+    or 32 bits of these for each word in the sort.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     anchors = materialize(rows.mapInArrow(lean(_anchor_rows), "id long, pos int, h long, c long, left int, right int"), "anchors")
@@ -275,26 +237,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(anchors, grams)
     classes = shared.groupBy("h", "c", "several").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("y"))
     classes = materialize(classes.select("h", "c", "several", "first", "y", (F.col("first.id") < F.col("y")).alias("common")), "classes")
-    found = []
     wanted = classes.where("several").select(F.col("first.id").alias("id"), F.struct(F.col("first.pos").alias("pos"), "h", "c", "y").alias("a"))
     lists = materialize(wanted.groupBy("id").agg(F.collect_list("a").alias("anchors")), "wanted")  # of one document each
     texts = rows.join(small(lists.select("id")), "id", "left_semi").join(lists, "id").select("id", "text", "anchors")
-    contexts = materialize(texts.mapInArrow(lean(_contexts), "id long, pos int, h long, nl int, nr int, l binary, r binary"), "contexts")
-    matches = []
-    for first, second in (("r", "l"), ("l", "r")):
-        ordered = contexts.repartitionByRange("h", first, second).sortWithinPartitions("h", first, second, "id", "pos")
-        matched = materialize(ordered.mapInArrow(lean(_neighbours), "id long, begin long, finish long, later boolean, edge binary, part long"), "matches")
-        matches.append(matched)
-        found.append(matched.where("edge is null").select("id", "begin", "finish", "later"))
-        across = _across(matched)
-        if across:
-            found.append(docs.sparkSession.createDataFrame(across, "id long, begin long, finish long, later boolean"))
-    discard(contexts)
-    windows = materialize(texts.mapInArrow(lean(_windows), "w long, h long, c long, x long, y long, at int"), "windows")
+    contexts = materialize(texts.mapInArrow(lean(_contexts), "id long, pos int, h long, c long, y long, nl int, nr int, l binary, r binary"), "contexts")
+    right, left = _in_runs(contexts, "r", "r", "right"), _in_runs(contexts, "l", "l", "left")
+    # A passage of LEAST words around the gram has k words before it and SIDE - k after it. Two places share it if they
+    # are in one run of SIDE - k words in the one order and in one of k words in the other; only numbers of words that
+    # neighbours share in both orders are looked at.
+    both = right.join(left, ["id", "pos", "h"]).where(F.col("l_most") + F.col("r_most") >= SIDE)
+    both = both.join(contexts.select("id", "pos", "h", "c", "y"), ["id", "pos", "h"])
+    k = F.explode(F.sequence(F.lit(SIDE) - F.least("r_most", F.lit(SIDE)), "l_most")).alias("k")
+    every = both.select("h", "c", F.col("id").alias("x"), "y", "r_runs", "l_runs", k)
+    run = lambda runs, d: F.coalesce(F.get(runs, d - 1), F.lit(0))  # noqa: E731  of no words all are in one
+    windows = every.select("h", "c", "x", "y", "k", run("r_runs", F.lit(SIDE) - F.col("k")).alias("a"), run("l_runs", F.col("k")).alias("b"))
+    windows = materialize(windows, "windows")
+    discard(contexts, right, left)
     # Windows of one class only are spans already where the class is common.
-    hits = windows.groupBy("w").agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi and many > 1")
-    hits = materialize(hits.select("w", "lo"), "hits")
-    near = windows.join(small(hits), "w").groupBy("h", "c", "lo").agg(F.min("at").alias("from"), F.max("at").alias("to"))
+    window = ["h", "k", "a", "b"]
+    hits = windows.groupBy(*window).agg(F.min("x").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi and many > 1")
+    hits = materialize(hits.select(*window, "lo"), "hits")
+    near = windows.join(small(hits), window).groupBy("h", "c", "lo").agg((-F.max("k")).alias("from"), (-F.min("k")).alias("to"))
     near = materialize(near.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "from", "to")).alias("near")), "near")  # WINDOW at most
     discard(lists, windows, hits)
     # What makes an anchor's place a span, its whole context or windows of it, holds the anchor's gram, so that all
@@ -318,38 +281,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = materialize(places.select("id", begin.alias("begin"), finish.alias("finish"), later_begin.alias("later_begin"), later_finish.alias("later_finish")).where("begin is not null").distinct(), "places")
     discard(shared, marks)
     every, later = places.select("id", "begin", "finish"), places.where("later_begin is not null").select("id", F.col("later_begin").alias("begin"), F.col("later_finish").alias("finish"))
-    for more in found:
-        every, later = every.unionByName(more.select("id", "begin", "finish")), later.unionByName(more.where("later").select("id", "begin", "finish"))
     every, later = materialize(_merged(every), "spans"), materialize(_merged(later), "spans")
-    discard(places, *matches)
+    discard(places)
     return every.withColumn("later", F.lit(False)).unionByName(later.withColumn("later", F.lit(True)))
 
 
-def _across(matched: DataFrame) -> list[tuple]:
-    """Matches between the last anchors of a partition and the first of the next one (a few rows a partition)."""
-    import pickle
-
-    out: list[tuple] = []
-    carried = leader = None
-    for r in sorted(matched.where("edge is not null").select("part", "edge").collect(), key=lambda r: r["part"]):
-        head, first, tail, last = (_Rows(*c) for c in pickle.loads(bytes(r["edge"])))
-        if carried is not None:
-            every = carried.join(head)
-            at = [(i, j) for i in range(len(carried)) for j in range(len(carried), len(every)) if j - i <= 3]
-            found = _found(every.take([i for i, _ in at]), every.take([j for _, j in at]))
-            if _extend(carried.take(slice(-1, None)), head.take(slice(0, 1)))[2][0]:
-                found += _found(leader, first)
-                if _same(first, last) and (leader.ids[0], leader.pos[0]) < (last.ids[0], last.pos[0]):
-                    last = leader
-            out += [(int(a), int(b), int(c), bool(d)) for f in found for a, b, c, d in zip(*f, strict=True)]
-        carried, leader = tail, last
-    return out
-
-
-def _same(a: _Rows, b: _Rows) -> bool:
-    return (a.ids[0], a.pos[0], a.h[0]) == (b.ids[0], b.pos[0], b.h[0])
-
-
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages of 50 words or more that a document with a smaller id has too.
 
@@ -360,13 +296,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     p = fresh(docs.columns)
     gone = materialize(repeated_spans(docs, id_col, text_col).where("later").select(F.col("id").alias(f"{p}id"), F.struct("begin", "finish").alias("s")), "gone")
     lists = gone.groupBy(f"{p}id").agg(F.array_sort(F.collect_list("s")).alias(f"{p}gone"))
-    names, types = docs.columns, docs.schema
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(names.index(text_col)).cast(pa.string())
             texts, keep = [], []
-            spans_of = batch.column(len(names)).to_pylist()
+            spans_of, spans_of_type = batch.column(len(names)).to_pylist(), batch.column(len(names)).type
             for text, lists in zip(column.to_pylist(), spans_of, strict=True):
                 if not lists or text is None:
                     texts.append(text), keep.append(True)
@@ -382,8 +318,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rest = b"".join(left).decode()
                 texts.append(rest), keep.append(bool(rest.strip()))
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(i) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+            columns.append(pa.nulls(len(keep), spans_of_type))
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))]).filter(pa.array(keep))
 
     lists = F.broadcast(lists) if not gone.limit(200_001).count() > 200_000 else lists
-    rows = docs.join(lists, docs[id_col].cast("long") == F.col(f"{p}id"), "left").select(*[docs[f"`{n}`"] for n in names], f"{p}gone")
-    return rows.mapInArrow(lean(cut), types)
+    rows = docs.join(lists, docs[f"`{id_col}`"].cast("long") == F.col(f"{p}id"), "left").select(*[docs[f"`{n}`"] for n in names], f"{p}gone")
+    return map_rows(rows, lean(cut)).drop(f"{p}gone")
