@@ -32,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mixture; one that is taken in two epochs is two rows."""
-    return mixing.mix_sources(docs, mixture_levels(), WEIGHTS, epochs=EPOCHS, seed=SEED).select(docs.columns)
+    return mixing.mix_sources(docs, mixture_levels(), WEIGHTS, epochs=EPOCHS, seed=SEED).select(*[f"`{c}`" for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
