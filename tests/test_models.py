@@ -359,6 +359,37 @@ def test_imports_are_carried_state(spark, tmp_path):
     assert [(r.import_id, r.warehouse_row_count, r.database_checksum == r.warehouse_checksum) for r in found] == [("i", 3, True)]
 
 
+def test_tables_say_what_they_are(spark, tmp_path):
+    """Descriptions of tables and columns, labels and declared keys, from the catalogue; and orphans as an assertion."""
+    cfg = PipelineConfig("shop", entities=[Entity("user", [Key("name", description="it's a name"), Key("boss", foreign_key_table="user")], description="People")], sessions=False, session_details=False)
+    store, as_of = Store(spark, str(tmp_path)), F.lit(T0 + timedelta(days=9))
+    plan = pipeline.with_assertions(pipeline.models(cfg, as_of), {n: m for n, m in assertions(cfg, as_of, date(2024, 5, 1)).items() if "without" in n})
+    built = pipeline.run(spark, store, plan, raw(spark, change(0, "create", "1", name="a", boss="2"), change(1, "create", "2", name="b", boss="7")))
+    assert [(r.column_name, r.value) for r in built["user_boss_without_user"].collect()] == [("boss", "7")]
+    said = store.properties("user_latest_shop")
+    assert said["primary_key"] == "id" and said["foreign_key.boss"] == "user_latest_shop.id" and said["eventsource"] == "shop" and said["entitytype"] == "latest"
+    columns = {c.name: c.description for c in spark.catalog.listColumns(store._name("user_version_shop"))}
+    assert columns["name"] == "it's a name" and spark.catalog.getTable(store._name("user_version_shop")).description == "People"
+
+
+def test_requests_beyond_the_seam_and_late_events(spark, tmp_path):
+    """A later run finds the request of the day before its checkpoint; events older than that wait for a full run, which
+    leaves protected tables alone."""
+    plan = {n: m for n, m in pipeline.models(CFG, F.lit(T0 + timedelta(days=9))).items() if n == "events_shop"}
+    plan["kept"] = pipeline.Model("kept", lambda i, cp: i["events_shop"].select("occurred_at", "request_uuid"), ("events_shop",), "append", protected=True)
+    store, night = Store(spark, str(tmp_path)), 14 * 60 + 50  # minutes from T0 to 23:50
+    first, late = [view(night, "r", "/x"), view(night + 12, "q", "/y")], {**view(5, "old", "/late")}
+    order = {"occurred_at": T0 + timedelta(minutes=night + 30), "event_type": "order", "request_uuid": "r", "data": [], "hidden_data": []}
+    store.append("raw", raw(spark, *first), by_day="occurred_at")
+    pipeline.run(spark, store, plan, store.read("raw"))
+    store.append("raw", raw(spark, order, late), by_day="occurred_at")
+    built = pipeline.run(spark, store, plan, store.read("raw"))["events_shop"]
+    assert {(r.event_type, r.request_uuid): r.request_path for r in built.collect()} == {("web_request", "r"): "/x", ("web_request", "q"): "/y", ("order", "r"): "/x"}
+    before = store.read("kept").count()
+    built = pipeline.run(spark, store, plan, store.read("raw"), full=True)
+    assert built["events_shop"].count() == 4 and built["kept"].count() == before + 4  # goes on, as it has no checkpoint
+
+
 def test_foreign_keys(spark):
     entity_of = Entity("order", [Key("customer", foreign_key_table="customer"), Key("n")])
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None), (5, "c")], "id int, customer string")

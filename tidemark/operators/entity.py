@@ -61,7 +61,7 @@ def key_columns(keys: list[Key], *fields: str) -> list[Column]:
                 picked = F.when(F.size(f) > 0, f).otherwise(picked)
         else:
             picked = F.coalesce(*found)
-        out.append(picked.alias(key.output, metadata={"description": key.description, "hidden": key.hidden}))
+        out.append(picked.alias(key.output, metadata={"hidden": key.hidden} | ({"comment": key.description} if key.description else {})))
     return out
 
 

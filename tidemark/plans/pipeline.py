@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Cdc, Entity, PipelineConfig
 from tidemark.operators import catalogue, cdc, checks, entity, events, quality, web
+from tidemark.operators.keys import ForeignKey, foreign_keys
 from tidemark.plans import monitoring
 from tidemark.plans.tables import Store, discard, written_once
 
@@ -50,6 +51,10 @@ class Model:
     sees_itself: bool = False  # an append model that is given its own table as an input, under its own name
     retain: Column | None = None  # true for rows that stay in the table after each run
     first_day: Column | None = None  # of a table by days: earlier days are dropped after each run
+    description: str = ""
+    labels: dict[str, str] = field(default_factory=dict)
+    primary_key: tuple[str, ...] = ()
+    foreign_keys: tuple[ForeignKey, ...] = ()
 
 
 def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
@@ -63,7 +68,7 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
     unique_versions = [lambda d: quality.not_unique(d, ["entity_table_name", "entity_id", "valid_from"]), lambda d: quality.null_values(d, ["valid_from", "entity_table_name", "entity_id"])]
     add(
         Model(
-            f"events_{s}", lambda i, cp: events.enrich(i["raw"], cfg.namespace, cp), ("raw",), "append", checkpoint="occurred_at", by_day="occurred_at", recent={"raw": 0}, partition_by=("event_type",),
+            f"events_{s}", lambda i, cp: events.enrich(i["raw"], cfg.namespace, cp), ("raw",), "append", checkpoint="occurred_at", by_day="occurred_at", recent={"raw": 1}, partition_by=("event_type",),
             retain=_retention(cfg, as_of), first_day=None if cfg.expiration_days is False else F.date_sub(F.to_date(as_of), cfg.expiration_days),
         )
     )
@@ -98,9 +103,17 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
             add(Model(f"pipeline_snapshots_{s}", lambda i, cp: monitoring.pipeline_snapshot(i[tables].where(F.col("workflow_executed_at") == as_of), i[f"client_history_{s}"], cfg), (tables, f"client_history_{s}"), "append"))
         for e in cfg.entities:
             flat = f"{e.name}_version_{s}"
-            add(Model(flat, lambda i, cp, e=e: entity.flatten_versions(i[versions], e), (versions,), e.materialisation))
-            add(Model(f"{e.name}_latest_{s}", lambda i, cp, flat=flat: entity.latest(i[flat]), (flat,), e.materialisation, checks=[lambda d: quality.not_unique(d, ["id"])]))
-            add(Model(f"{e.name}_field_updates_{s}", lambda i, cp, e=e, flat=flat: entity.flatten_field_updates(i[f"{s}_entity_field_updates"], i[flat], e), (f"{s}_entity_field_updates", flat), e.materialisation))
+            said = lambda kind, e=e: {"description": e.description, "labels": {"eventsource": s.lower(), "sourcetype": "stream", "entitytype": kind}}
+            refers = tuple(replace(k, entity=f"{k.entity}_latest_{s}") for k in foreign_keys(e))
+            add(Model(flat, lambda i, cp, e=e: entity.flatten_versions(i[versions], e), (versions,), e.materialisation, primary_key=("id", "valid_from"), **said("version")))
+            add(
+                Model(
+                    f"{e.name}_latest_{s}", lambda i, cp, flat=flat: entity.latest(i[flat]), (flat,), e.materialisation, primary_key=("id",), foreign_keys=refers,
+                    checks=[lambda d: quality.not_unique(d, ["id"])], **said("latest"),
+                )
+            )
+            changes = f"{s}_entity_field_updates"
+            add(Model(f"{e.name}_field_updates_{s}", lambda i, cp, e=e, flat=flat: entity.flatten_field_updates(i[f"{s}_entity_field_updates"], i[flat], e), (changes, flat), e.materialisation, **said("field_updates")))
     if cfg.sessions:
         pages = f"pageview_with_funnels_{s}"
 
@@ -290,6 +303,9 @@ def _build(store: Store, model: Model, built: dict[str, DataFrame], full: bool)
         store.replace(name, rows, model.partition_by, model.sort_by, by_day=model.by_day, buckets=buckets)
     if staged is not None:
         discard(staged)
+    declared = {"primary_key": ", ".join(model.primary_key)} if model.primary_key else {}
+    declared |= {f"foreign_key.{k.column}": f"{k.entity}.{k.other_column}" for k in model.foreign_keys}
+    store.describe(name, model.description, {**model.labels, **declared})
     if model.first_day is not None:
         store.drop_days(name, _day(store.spark, model.first_day))
     if model.retain is not None:

@@ -253,8 +253,7 @@ class Store:
         self.spark.sql(f"ALTER TABLE {self._name(name)} SET TBLPROPERTIES ('{_RUNS}' = '{runs + 1}')")
 
     def _runs(self, name: str) -> int:
-        said = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._name(name)}").collect()}
-        return int(said.get(_RUNS, 0))
+        return int(self.properties(name).get(_RUNS, 0))
 
     def drop_days(self, name: str, before: datetime.date) -> int:
         """Drop the days before one; the number of partitions that went. Only the catalogue and files are touched."""
@@ -285,6 +284,18 @@ class Store:
         self.drop_partitions(name, [p for p in self.partitions(name) if key(p) in empty])
         return len(found)
 
+    def describe(self, name: str, text: str = "", properties: dict[str, str] | None = None) -> None:
+        """Keep a text and properties (labels, declared keys) with the table. Columns keep what their metadata say of
+        them under ``comment`` when the table is made."""
+        quoted = lambda v: "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if text:
+            self.spark.sql(f"COMMENT ON TABLE {self._name(name)} IS {quoted(text)}")
+        if properties:
+            self.spark.sql(f"ALTER TABLE {self._name(name)} SET TBLPROPERTIES ({', '.join(f'{quoted(k)} = {quoted(v)}' for k, v in properties.items())})")
+
+    def properties(self, name: str) -> dict[str, str]:
+        return {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._name(name)}").collect()}
+
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
 
