@@ -182,3 +182,15 @@ def test_evidence_against_brute_force():
     began = time.time()
     assert toxicity.evidence("not bad vile " * 60_000, automaton)[3] == 3.0
     assert time.time() - began < 3
+
+
+@pytest.mark.parametrize("wrapper", ['<form id="aspnetForm">', '<div class="post-promo">', '<section class="share-story">', '<div id="content-list-alerts">', '<div style="display: none">', '<form><div class="overlay">'])
+def test_pages_wrapped_in_declared_noise(wrapper):
+    """A page with all its text in an element that is called noise keeps it, without the noise within."""
+    inner = "<nav>Home About</nav><h1>Head</h1><p>First part of it all <button>Like</button></p><p>Second part, rather longer than the menu.</p><footer>Imprint</footer>"
+    blocks, _, declared = html_extract.read(f"<html><body>{wrapper}{inner}</div></body></html>")
+    assert [t for _, t, may in blocks if may] == ["Head", "First part of it all", "Second part, rather longer than the menu."] and not declared
+    # Beside an article, or text enough, it stays noise however long it is.
+    for other in ("<article>Short.</article>", "<p>" + "Text of its own, enough to be a page. " * 3 + "</p>"):
+        blocks, _, _ = html_extract.read(f"<html><body>{other}{wrapper}{inner}</div></form></section></body></html>")
+        assert all("part" not in t for _, t, may in blocks if may)

@@ -86,6 +86,18 @@ def _hash(*parts) -> int:
 
 
 def read(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, int]], bool]:
+    """What :func:`_read` gives; but an element that holds more than half of the page's text is no noise, whatever it is
+    called, if all that isn't declared noise is less than a tenth of the text and no part of an article or main part:
+    forms, hidden application roots and the like that pages are wrapped in."""
+    found, wrappers = _read(page, frozenset())
+    while wrappers:  # one declared within another
+        spared = wrappers
+        found, wrappers = _read(page, spared)
+        wrappers = (wrappers | spared) if wrappers - spared else frozenset()
+    return found
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[tuple[list[tuple[int, str, bool]], list[tuple[int, int, int]], bool], frozenset[int]]:
     """Blocks of text (style-tree node, text, whether the page declares it a part of its main text), facts for the
     site's tree, and whether the page declares an article or a main part.
 
@@ -153,6 +165,7 @@ def read(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, i
         top = stack[-1]
         told, kind, sign = _declared(tag, m[3] if m[2] else m[6], within[top] == 2)
         node = len(tags)
+        told = told and node not in spared
         tags.append(tag), parents.append(top), noise.append(told), loud.append(told or loud[top]), content.append(kind), within.append(max(0 if told else kind, within[top]))
         place.append((sign, like.get((top, sign), 0))), styles[top].append(sign), styles.append([])
         like[top, sign] = place[-1][1] + 1
@@ -185,6 +198,9 @@ def read(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, i
             for k in range(within[node] + 1):
                 plain[k] += len(t)
     part = next((k for k in (2, 1) if plain[k] and 2 * plain[k] >= plain[0]), 0)
+    wrappers = frozenset()
+    if not plain[1] and 10 * plain[0] < size[0]:
+        wrappers = frozenset(k for k in range(1, len(tags)) if noise[k] and 2 * size[k] > size[0])
     keys: dict[int, int] = {0: 1}
 
     def key(node: int) -> int:
@@ -203,7 +219,7 @@ def read(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, i
         own = _hash(key(node), k)
         blocks.append((own, t, not noisy[node] and within[node] >= part))
         facts.append((own, _hash("|".join(styles[node])), _hash(t)))
-    return blocks, facts, part > 0
+    return (blocks, facts, part > 0), wrappers | spared if wrappers else wrappers
 
 
 def _sketch(blocks: list[tuple[int, str, bool]]) -> int:
