@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._spark import materialize, small
+from tidemark.llm._spark import discard, materialize, small
 
 #: Vectors that the root's tree is fitted on at most, children of a node, least sampled vectors of a leaf, and leaves
 #: of a tree, about.
@@ -151,7 +151,7 @@ class Index:
 
     def __init__(self, entries: DataFrame):
         """``entries``: ``v`` (vectors of one length, each once) and ``ids`` (those that have it, ascending)."""
-        self.spark = entries.sparkSession
+        self.spark, self.written = entries.sparkSession, []
         picked = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(FIT_VECTORS).select("v").toPandas()["v"]
         self.root = fit_tree(_unit(np.stack(picked.to_numpy()).astype(float)), leaf=max(LEAF, -(-len(picked) // BINS)))
         shipped = self.shipped = self.spark.sparkContext.broadcast(self.root)
@@ -162,28 +162,37 @@ class Index:
                     leaf, off = shipped.value.assign(_unit(_matrix(batch.column(0))))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(off)], names=["v", "ids", "bin", "off"])
 
-        placed, settled, self.trees = materialize(entries.select("v", "ids").mapInArrow(place, _ENTRY), "placed"), [], []
+        placed, settled, self.trees = self._put(entries.select("v", "ids").mapInArrow(place, _ENTRY), "placed"), [], []
         while len(self.trees) < DEPTH:
-            large = materialize(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "large")
+            large = self._put(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "large")
             if large.isEmpty():
                 break
             inner = placed.join(small(large), "bin")
             number = F.xxhash64(F.col("ids")[0], F.lit(len(self.trees)))
             sample = inner.where(F.pmod(number, F.col("n")) < FIT_BIN).groupBy("bin").agg(F.collect_list("v").alias("rows"))  # FIT_BIN in the mean
-            trees = materialize(sample.mapInArrow(_fit_bins, "bin long, tree binary"), "trees")
+            trees = self._put(sample.mapInArrow(_fit_bins, "bin long, tree binary"), "trees")
             blocks = inner.withColumn("block", F.pmod(number, F.ceil(F.col("n") / BLOCK))).groupBy("bin", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
             settled.append(placed.join(small(large), "bin", "left_anti").select("v", "ids", "bin", "off"))
-            placed = materialize(blocks.join(trees, "bin").select("bin", "tree", "rows").mapInArrow(_descend, _ENTRY), "placed")
+            placed = self._put(blocks.join(trees, "bin").select("bin", "tree", "rows").mapInArrow(_descend, _ENTRY), "placed")
             self.trees.append(trees)
         for more in settled:
             placed = placed.unionByName(more)
         self.placed = placed
-        self.leaves = materialize(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")), "leaves")
+        self.leaves = self._put(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")), "leaves")
         self.size = self.leaves.count()
-        self.blocks = materialize(
+        self.blocks = self._put(
             placed.join(small(self.leaves), "bin").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.ceil(F.col("n") / BLOCK))).groupBy("bin", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows")), "blocks"
         )
 
+    def _put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written to the shared folder, until :meth:`close`."""
+        self.written.append(materialize(df, name))
+        return self.written[-1]
+
+    def close(self) -> None:
+        """Delete the index' tables and those of its searches."""
+        discard(*self.written)
+
     def visits(self, asked: DataFrame, count: int) -> DataFrame:
         """``id, v, bin, far``: the ``count`` leaves that best-bin-first traversal opens for each query, and how far
         their centres are (squared). Each tree has a queue of its own; what they open is ordered by distance again."""
@@ -196,7 +205,7 @@ class Index:
 
         found = _spread(asked, "id").mapInArrow(opened, _VISIT)
         for trees in self.trees:
-            found = materialize(found, "visits")
+            found = self._put(found, "visits")
             sizes = found.groupBy("bin").agg(F.count(F.lit(1)).alias("askers")).join(trees.select("bin"), "bin")
             batches_of = self._batches(found, sizes).join(trees, "bin")
 
@@ -212,10 +221,9 @@ class Index:
             found = every.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= count).drop("n")
         return found
 
-    @staticmethod
-    def _batches(visits: DataFrame, sizes: DataFrame) -> DataFrame:
+    def _batches(self, visits: DataFrame, sizes: DataFrame) -> DataFrame:
         """The queries that visit a bin, in lists of about BATCH."""
-        dealt = visits.join(small(materialize(sizes, "sizes")), "bin").withColumn("batch", F.pmod(F.xxhash64("id"), F.ceil(F.col("askers") / BATCH)))
+        dealt = visits.join(small(self._put(sizes, "sizes")), "bin").withColumn("batch", F.pmod(F.xxhash64("id"), F.ceil(F.col("askers") / BATCH)))
         own = F.struct("id", "v", *[c for c in ("floor",) if c in visits.columns])
         return dealt.groupBy("bin", "batch").agg(F.collect_list(own).alias("queries"))
 
@@ -261,10 +269,10 @@ class Index:
 
     def calibrated(self, asked: DataFrame, k: int, recall: float) -> int:
         """Leaves to visit: widened until those visited hold ``recall`` of the true neighbours of CALIBRATION queries."""
-        trial = materialize(asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION), "trial")
+        trial = self._put(asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION), "trial")
         if trial.isEmpty():
             return 1
-        truth = materialize(self.exact_leaves(trial, k), "truth")
+        truth = self._put(self.exact_leaves(trial, k), "truth")
         all_of, count = truth.count(), FIRST
         while count < self.size and truth.join(self.visits(trial, count).select("id", "bin"), ["id", "bin"], "left_semi").count() < recall * all_of:
             count = -(-count * 3 // 2)
@@ -284,12 +292,12 @@ class Index:
 
         count = self.calibrated(asked, k, recall)
         order = Window.partitionBy("id").orderBy("far", "bin")
-        visits = materialize(self.visits(asked, count).withColumn("n", F.row_number().over(order)), "visits")
-        early = materialize(top(self.compare(visits.where(F.col("n") <= FIRST).withColumn("floor", F.lit(-2.0)), k)), "early")
+        visits = self._put(self.visits(asked, count).withColumn("n", F.row_number().over(order)), "visits")
+        early = self._put(top(self.compare(visits.where(F.col("n") <= FIRST).withColumn("floor", F.lit(-2.0)), k)), "early")
         floors = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
         late = visits.where(F.col("n") > FIRST).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
         reach = F.sqrt("far") - F.col("radius") <= F.sqrt(F.greatest(2 - 2 * F.col("floor"), F.lit(0.0))) + 1e-9
-        late = materialize(late.join(small(self.leaves.select("bin", "radius")), "bin").where(reach).select("id", "v", "bin", "floor"), "late")
+        late = self._put(late.join(small(self.leaves.select("bin", "radius")), "bin").where(reach).select("id", "v", "bin", "floor"), "late")
         found = early.select("query_id", "vec_id", "score").unionByName(self.compare(late, k))
         return top(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -342,7 +350,10 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     entries = materialize(rows.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")  # k + 1 ids at most
     for r in sorted(entries.groupBy(F.size("v").alias("n")).count().collect()):  # one row a length
         own = F.size("v") == r["n"]
-        found = found.unionByName(Index(entries.where(own)).search(asked.where(own), k, recall))
+        index = Index(entries.where(own))
+        found = found.unionByName(materialize(index.search(asked.where(own), k, recall), "nearest"))
+        index.close()
+    discard(asked, entries)
     return found
 
 

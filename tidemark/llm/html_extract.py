@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import materialize, small
+from tidemark.llm._spark import discard, materialize, small
 from tidemark.llm._text import lean
 
 #: Pages of a site that must have a node before it is judged, and the importance below which its branch goes.
@@ -275,7 +275,9 @@ def site_noise(pages: DataFrame) -> DataFrame:
     texts = texts.where((F.col("n") >= SHARE * F.col("m")) & (F.col("different") >= F.greatest(F.lit(PAGES), DIFFERENT * F.col("n"))))
     nodes = low.select("host", F.xxhash64("node", F.when(F.col("role") == 1, 2).otherwise(0)).alias("mark"))
     marks = nodes.unionByName(texts.select("host", F.xxhash64("node", F.lit(1), "content").alias("mark")))
-    return marks.groupBy("host").agg(F.collect_list("mark").alias("noise"))  # at most 2 + 1 / SHARE a node
+    noise = materialize(marks.groupBy("host").agg(F.collect_list("mark").alias("noise")), "noise")  # at most 2 + 1 / SHARE a node
+    discard(found, low)
+    return noise
 
 
 def _role(may: bool, declared: bool) -> int:
@@ -293,7 +295,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     matter; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    noise = materialize(site_noise(rows), "noise").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    noise = site_noise(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     kinds = rows.schema
     block = pa.struct([("node", pa.int64()), ("content", pa.int64()), ("role", pa.int32()), ("text", pa.string())])
 
