@@ -569,3 +569,16 @@ def test_runner_infers_deletions(spark, tmp_path):
         built = pipeline.run(spark, store, plan, raw(spark, *first, *imported("1")))
         got = {r.entity_id: r.valid_to for r in built["shop_entity_version"].where("event_type = 'create_entity'").collect()}
         assert got["2"] == T0 + timedelta(hours=1)
+
+
+def test_snapshots_are_merged(spark, tmp_path):
+    """A run that is repeated for the same time leaves one snapshot; another day's adds a partition and touches no other."""
+    check = {"occurred_at": T0, "event_type": "entity_table_check", "entity_table_name": "user", "hidden_data": [], "data": [("row_count", ["1"]), ("checksum", ["x"]), ("checksum_calculated_at", ["2024-01-01T10:00:00+00:00"])]}
+    rows, store = raw(spark, change(0, "create", "1", name="a"), check), Store(spark, str(tmp_path))
+    config = PipelineConfig("shop", entities=[Entity("user", [Key("name")])], sessions=False, session_details=False)
+    names = ("pipeline_table_snapshots_shop", "pipeline_snapshots_shop")
+    for day in (1, 1, 2):
+        before = [files(store, n) for n in names] if store.exists(names[1]) else []
+        built = pipeline.run(spark, store, pipeline.models(config, F.lit(T0 + timedelta(days=day))), rows)
+    assert [built[n].count() for n in names] == [2, 2] and all(len(store.partitions(n)) == 2 for n in names)
+    assert all(set(b) <= set(files(store, n)) for b, n in zip(before, names, strict=True))

@@ -99,8 +99,8 @@ def models(cfg: PipelineConfig, as_of: Column) -> dict[str, Model]:
         add(Model(imports, lambda i, cp: checks.compare_imports(checks.touched_imports(i[streamed], cp)), (streamed,), "append", checkpoint="final_import_event_received_at"))
         tables, scheduled = f"pipeline_table_snapshots_{s}", f"entity_table_check_scheduled_{s}"
         if cfg.monitoring:
-            add(Model(tables, lambda i, cp: monitoring.table_snapshot(i[scheduled], i[f"events_{s}"], cfg, as_of), (scheduled, f"events_{s}"), "append"))
-            add(Model(f"pipeline_snapshots_{s}", lambda i, cp: monitoring.pipeline_snapshot(i[tables].where(F.col("workflow_executed_at") == as_of), i[f"client_history_{s}"], cfg), (tables, f"client_history_{s}"), "append"))
+            add(Model(tables, lambda i, cp: monitoring.table_snapshot(i[scheduled], i[f"events_{s}"], cfg, as_of), (scheduled, f"events_{s}"), "merge", keys=("workflow_executed_at", "entity_table_name"), by_day="workflow_executed_at"))
+            add(Model(f"pipeline_snapshots_{s}", lambda i, cp: monitoring.pipeline_snapshot(i[tables].where(F.col("workflow_executed_at") == as_of), i[f"client_history_{s}"], cfg), (tables, f"client_history_{s}"), "merge", keys=("workflow_executed_at",), by_day="workflow_executed_at"))
         for e in cfg.entities:
             flat = f"{e.name}_version_{s}"
             said = lambda kind, e=e: {"description": e.description, "labels": {"eventsource": s.lower(), "sourcetype": "stream", "entitytype": kind}}
@@ -167,7 +167,8 @@ def change_data_models(e: Entity, source: Cdc, s: str, as_of: Column) -> list[Mo
     row older than the last version of its id makes a run build all anew. With a cutoff, versions of the event stream
     up to it come before those of the log, where all is built.
 
-    Implied deletions are judged by the guard together with those logged already, and logged only if no snapshot among
+    Implied deletions are applied where the history is read (a view), so that it is never written again for them. They
+    are judged by the guard together with those logged already, and logged only if no snapshot among
     them would delete too large a share of the live rows.
     """
     log, versions, refreshes, deletes = f"{e.name}{source.suffix}", f"{e.name}_cdc_version_{s}", f"{e.name}_full_refreshes_{s}", f"{e.name}_implied_deletions_{s}"
@@ -193,7 +194,7 @@ def change_data_models(e: Entity, source: Cdc, s: str, as_of: Column) -> list[Mo
                 deletes, lambda i, cp: cdc.reconcile_deletes(i[log], i[versions], i[refreshes], as_of, source.primary_key, i[deletes].select("id", "snapshot_lsn") if deletes in i else None), (log, versions, refreshes), "append",
                 guard=lambda i, rows: cdc.exceeds_safe_volume(rows, i[versions], source), sees_itself=True,
             ),
-            Model(current, lambda i, cp: cdc.apply_deletes(i[versions], i[deletes]), (versions, deletes)),
+            Model(current, lambda i, cp: cdc.apply_deletes(i[versions], i[deletes]), (versions, deletes), "view"),
         ]
     return [*found, Model(f"{e.name}_cdc_latest_{s}", lambda i, cp: cdc.cdc_latest(i[current]), (current,), e.materialisation, checks=[lambda d: quality.not_unique(d, ["id"])])]
 
@@ -293,7 +294,7 @@ def _build(store: Store, model: Model, built: dict[str, DataFrame], full: bool)
     if model.mode == "history":
         store.carry(name, rows, model.still_open, model.partition_by, model.sort_by, full=not resumed, buckets=buckets)
     elif model.mode == "merge" and resumed:
-        store.merge(name, rows, list(model.keys), model.sort_by, model.within)
+        store.merge(name, store.dealt(rows, model.by_day)[0], list(model.keys), model.sort_by, model.within)
     elif model.mode == "append" and resumed:
         store.append(name, rows, model.partition_by, model.sort_by, by_day=model.by_day)
     elif model.mode == "days" and since is not None:

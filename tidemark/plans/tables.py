@@ -117,7 +117,8 @@ class Store:
             self.spark.sql(f"ALTER TABLE {self._name(name)} DROP IF EXISTS {', '.join(map(_spec, wanted[lo : lo + 500]))}")
 
     @staticmethod
-    def _dealt(rows: DataFrame, by_day: str | None, batch: str | None = None) -> tuple[DataFrame, list[str]]:
+    def dealt(rows: DataFrame, by_day: str | None, batch: str | None = None) -> tuple[DataFrame, list[str]]:
+        """``rows`` with the columns by which a table is dealt by day and batch, and these columns."""
         keys = []
         if by_day is not None:
             rows, keys = rows.withColumn(DAY, F.to_date(by_day)), [DAY]
@@ -159,7 +160,7 @@ class Store:
     def replace(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), by_day: str | None = None, buckets: tuple[list[str], int] | None = None) -> None:
         """``rows``, which may be computed from the table itself, take the place of the table; plans over the old one
         can't be run any more."""
-        rows, keys = self._dealt(rows, by_day)
+        rows, keys = self.dealt(rows, by_day)
         self._create(name, rows, [*keys, *partition_by], list(sort_by), buckets)
 
     def _insert(self, name: str, rows: DataFrame, sort_by: list[str], overwrite: bool) -> None:
@@ -182,7 +183,7 @@ class Store:
     def append(self, name: str, rows: DataFrame, partition_by: list[str] = (), sort_by: list[str] = (), batch: str | None = None, by_day: str | None = None) -> None:
         """Add rows. With ``batch``, a label, they are partitions of their own: a batch that is tried again replaces
         what it has written before."""
-        rows, keys = self._dealt(rows, by_day, batch)
+        rows, keys = self.dealt(rows, by_day, batch)
         if not self.exists(name):
             self._create(name, rows, [*keys, *partition_by], list(sort_by), None)
         else:
@@ -192,7 +193,7 @@ class Store:
         """``rows`` take the place of the table's rows of the day ``first`` and later. What a run writes grows with
         these days; earlier ones are neither read nor written. Rows without a time stay."""
         old = [p for p in self.partitions(name) if p[DAY] is not None and p[DAY] >= first]
-        staged = written_once(self._dealt(rows, by_day)[0].where(F.col(DAY) >= F.lit(first)), "days")  # may read them
+        staged = written_once(self.dealt(rows, by_day)[0].where(F.col(DAY) >= F.lit(first)), "days")  # may read them
         self._insert(name, staged, list(sort_by), overwrite=True)
         self._forget(name, old, staged)
         discard(staged)
