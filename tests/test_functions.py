@@ -89,3 +89,31 @@ def test_medium(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r string, m string, g string")
     found = scalar.traffic_medium(F.col("r"), F.get(F.split("r", "/"), F.lit(2)), {"utm_medium": F.col("m"), "gclid": F.col("g")}, "www.own.org")
     assert [r[0] for r in df.orderBy("i").select(found).collect()] == [None, "Organic", "Social", "PPC", "Referral", "Direct or unknown", "PPC", "Email"]
+
+
+AGENTS = [
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36", "pc", "Chrome", "120.0.0.0", "Windows", "10.0"),
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/120.0.0.0 Safari/537.36 Edg/120.0.2210.91", "pc", "Edge", "120.0.2210.91", "Windows", "10.0"),
+    ("Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0", "pc", "Firefox", "121.0", "Linux", "unknown"),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Safari/605.1.15", "pc", "Safari", "17.1", "Mac OSX", "10.15.7"),
+    ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_1_2 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) CriOS/120.0.6099.50 Mobile/15E148 Safari/604.1", "smartphone", "Chrome", "120.0.6099.50", "iPhone", "17.1.2"),
+    ("Mozilla/5.0 (iPad; CPU OS 16_6 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/16.6 Mobile/15E148 Safari/604.1", "smartphone", "Safari", "16.6", "iPad", "16.6"),
+    ("Mozilla/5.0 (Linux; Android 13; SM-S901B) AppleWebKit/537.36 (KHTML, like Gecko) SamsungBrowser/23.0 Chrome/115.0.0.0 Mobile Safari/537.36", "smartphone", "SamsungBrowser", "23.0", "Android", "13"),
+    ("Mozilla/5.0 (X11; CrOS x86_64 14541.0.0) AppleWebKit/537.36 Chrome/119.0.0.0 Safari/537.36", "pc", "Chrome", "119.0.0.0", "ChromeOS", "14541.0.0"),
+    ("Mozilla/5.0 (Windows NT 6.1; Trident/7.0; rv:11.0) like Gecko", "pc", "Internet Explorer", "11.0", "Windows", "6.1"),
+    ("Mozilla/5.0 (Windows Phone 10.0; Android 6.0.1; Microsoft; Lumia 950) AppleWebKit/537.36 Chrome/52.0.2743.116 Mobile Safari/537.36 Edge/15.14977", "smartphone", "Edge", "15.14977", "Windows Phone OS", "10.0"),
+    ("Mozilla/5.0 (PlayStation 4 3.11) AppleWebKit/537.73 (KHTML, like Gecko)", "appliance", "unknown", "unknown", "PlayStation", "3.11"),
+    ("Mozilla/5.0 (Nintendo Switch; WifiWebAuthApplet) AppleWebKit/601.6", "appliance", "unknown", "unknown", "Nintendo", "unknown"),
+    ("DoCoMo/2.0 N901iS(c100;TB;W24H12)", "mobilephone", "unknown", "unknown", "docomo", "unknown"),
+    ("Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)", "crawler", "unknown", "unknown", "unknown", "unknown"),
+    ("python-requests/2.31.0", "misc", "HTTP Library", "2.31.0", "unknown", "unknown"),
+    ("curl/8.0", "unknown", "curl", "8.0", "unknown", "unknown"),
+    (None, "unknown", "unknown", "unknown", "unknown", "unknown"),
+]
+
+
+def test_user_agents(spark):
+    rows = spark.createDataFrame([(i, a[0]) for i, a in enumerate(AGENTS)], "i int, agent string")
+    found = rows.select("i", scalar.parse_user_agent("agent").alias("a")).orderBy("i").collect()
+    for r, want in zip(found, AGENTS, strict=True):
+        assert (r.a.category, r.a.name, r.a.version, r.a.os, r.a.os_version) == want[1:], want[0]

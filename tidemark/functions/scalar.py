@@ -94,22 +94,26 @@ def url_path_and_query(url: Column | str) -> Column:
 
 #: (name, pattern): the first that matches names the browser; its version follows the name in the agent.
 _BROWSERS = (
-    ("Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera", r"(?:OPR|Opera)[/ ]([\d.]+)"), ("Vivaldi", r"Vivaldi/([\d.]+)"), ("SamsungBrowser", r"SamsungBrowser/([\d.]+)"),
+    ("Yandex Browser", r"YaBrowser/([\d.]+)"), ("UC Browser", r"UCBrowser/([\d.]+)"), ("Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera", r"(?:OPR|Opera)[/ ]([\d.]+)"), ("Vivaldi", r"Vivaldi/([\d.]+)"), ("SamsungBrowser", r"SamsungBrowser/([\d.]+)"),
     ("Firefox", r"(?:Firefox|FxiOS)/([\d.]+)"), ("Chrome", r"(?:Chrome|CriOS|CrMo)/([\d.]+)"), ("Internet Explorer", r"(?:MSIE |Trident/.*rv:)([\d.]+)"), ("Safari", r"Version/([\d.]+).*Safari/"),
-    ("curl", r"^curl/([\d.]+)"),
+    ("curl", r"^curl/([\d.]+)"), ("HTTP Library", r"^(?:Wget|Python-urllib|python-requests|Apache-HttpClient|okhttp|Java|Ruby|Go-http-client|libwww-perl|PHP)/?([\d.]*)"),
 )
 #: (operating system, category, vendor, pattern with the version).
 _SYSTEMS = (
     ("iPhone", "smartphone", "Apple", r"iPhone.*?OS ([\d_]+)"), ("iPad", "smartphone", "Apple", r"iPad.*?OS ([\d_]+)"), ("iPod", "smartphone", "Apple", r"iPod.*?OS ([\d_]+)"),
-    ("Android", "smartphone", "Google", r"Android ([\d.]+)"), ("ChromeOS", "pc", "Google", r"CrOS \w+ ([\d.]+)"), ("Windows Phone OS", "smartphone", "Microsoft", r"Windows Phone(?: OS)? ([\d.]+)"),
-    ("Windows", "pc", "Microsoft", r"Windows NT ([\d.]+)"), ("Mac OSX", "pc", "Apple", r"Mac OS X ([\d_.]+)"), ("Linux", "pc", "unknown", r"(Linux)"),
+    ("Windows Phone OS", "smartphone", "Microsoft", r"Windows Phone(?: OS)? ([\d.]+)"), ("Android", "smartphone", "Google", r"Android ([\d.]+)"), ("ChromeOS", "pc", "Google", r"CrOS \w+ ([\d.]+)"),
+    ("Xbox", "appliance", "Microsoft", r"(Xbox)"), ("Windows", "pc", "Microsoft", r"Windows NT ([\d.]+)"), ("Mac OSX", "pc", "Apple", r"Mac OS X ([\d_.]+)"), ("Linux", "pc", "unknown", r"(Linux)"),
+    ("PlayStation", "appliance", "Sony", r"(?:PLAYSTATION|PlayStation) (?:Vita |\d[; ]+)?([\d.]+)"), ("Nintendo", "appliance", "Nintendo", r"Nintendo (?:3DS|DSi|Wii|Switch)()"),
+    ("BlackBerry", "smartphone", "BlackBerry", r"(?:BlackBerry\d*|BB10).*?(?:Version)?/([\d.]+)"), ("FirefoxOS", "smartphone", "Mozilla", r"^Mozilla/[\d.]+ \((?:Mobile|Tablet);(?: rv:[\d.]+)?\) (Gecko)"),
+    ("docomo", "mobilephone", "docomo", r"^(DoCoMo)/"), ("au", "mobilephone", "KDDI", r"^(KDDI)-"), ("SoftBank", "mobilephone", "SoftBank", r"^(SoftBank|Vodafone|J-PHONE)/"),
 )
 
 
 def parse_user_agent(agent: Column | str) -> Column:
     """struct(category, name, version, os, vendor, os_version) by ordered rules; 'unknown' where none applies.
 
-    Category is smartphone, pc, crawler or unknown. A NULL agent is unknown throughout.
+    Category is smartphone, mobilephone, pc, appliance, crawler, misc (libraries) or unknown. A NULL agent is unknown
+    throughout.
     """
     agent = F.coalesce(col(agent), F.lit(""))
 
@@ -121,10 +125,10 @@ def parse_user_agent(agent: Column | str) -> Column:
         browser = F.when(agent.rlike(pattern), known(label, F.regexp_extract(agent, pattern, 1))).otherwise(browser)
     for label, kind, maker, pattern in reversed(_SYSTEMS):
         found = F.replace(F.regexp_extract(agent, pattern, 1), F.lit("_"), F.lit("."))
-        system = F.when(agent.rlike(pattern), known(kind, label, maker, F.when(found == label, "unknown").otherwise(found))).otherwise(system)
+        system = F.when(agent.rlike(pattern), known(kind, label, maker, F.when(found.rlike("^[\\d.]+$"), found).otherwise("unknown"))).otherwise(system)
     crawls = agent.rlike("(?i)(googlebot|bingbot|yandexbot|baiduspider|duckduckbot|slurp|crawler|spider)")
     both = F.transform(F.array(F.struct(browser.alias("x"), system.alias("y"), crawls.alias("z"))), lambda r: F.struct(
-        F.when(r["z"], "crawler").otherwise(r["y"]["a"]).alias("category"), r["x"]["a"].alias("name"), r["x"]["b"].alias("version"), r["y"]["b"].alias("os"), r["y"]["c"].alias("vendor"), r["y"]["d"].alias("os_version"),
+        F.when(r["z"], "crawler").when((r["x"]["a"] == "HTTP Library") & (r["y"]["a"] == "unknown"), "misc").otherwise(r["y"]["a"]).alias("category"), r["x"]["a"].alias("name"), r["x"]["b"].alias("version"), r["y"]["b"].alias("os"), r["y"]["c"].alias("vendor"), r["y"]["d"].alias("os_version"),
     ))
     return F.get(both, F.lit(0))
 
