@@ -1,4 +1,5 @@
 import os
+import time
 from datetime import date, datetime, timedelta
 from urllib.parse import unquote
 
@@ -519,7 +520,7 @@ def test_days_are_replaced(spark, tmp_path):
 
 def test_session_details_go_on_from_the_last_days(spark, tmp_path):
     """A later run that adds pages to a session over midnight gives what one run gives, and rewrites late days only."""
-    night = 14 * 60 + 55  # minutes from T0 to 23:55
+    night, began = 14 * 60 + 55, time.time()  # minutes from T0 to 23:55
     first = [view(0, "a", "/x", user="u"), view(1, "b", "/y", "/x", user="u"), view(3 * 1440 + night, "c", "/x", user="u"), view(3 * 1440 + night + 10, "d", "/z", user="w", visitor="o")]
     later = [view(3 * 1440 + night + 20, "e", "/y", "/x", user="u"), view(6 * 1440, "f", "/x", user="u")]
     plan = {n: m for n, m in pipeline.models(CFG, F.lit(T0 + timedelta(days=9))).items() if n in ("events_shop", "session_details_shop")}
@@ -528,6 +529,8 @@ def test_session_details_go_on_from_the_last_days(spark, tmp_path):
     old = set(files(store, "session_details_shop"))
     built = pipeline.run(spark, store, plan, raw(spark, *first, *later))
     reference = pipeline.run(spark, whole, plan, raw(spark, *first, *later))
+    left = os.path.join(spark.conf.get("spark.checkpoint.dir"), "tables")
+    assert not [f for f in os.listdir(left) if f.startswith(("visits", "days")) and os.path.getmtime(os.path.join(left, f)) > began]
     a, b = (sorted(map(str, map(tuple, d["session_details_shop"].collect()))) for d in (built, reference))
     assert a == b and len(a) == 4
     assert old & set(files(store, "session_details_shop"))
@@ -582,3 +585,20 @@ def test_snapshots_are_merged(spark, tmp_path):
         built = pipeline.run(spark, store, pipeline.models(config, F.lit(T0 + timedelta(days=day))), rows)
     assert [built[n].count() for n in names] == [2, 2] and all(len(store.partitions(n)) == 2 for n in names)
     assert all(set(b) <= set(files(store, n)) for b, n in zip(before, names, strict=True))
+
+
+def test_enrichment_shuffles_once_by_request(spark):
+    """Where nothing is small enough to be broadcast, repeats are removed in the join's partitions, and events without a
+    request aren't gathered by their NULL."""
+    order = {"occurred_at": T0, "event_type": "order", "request_uuid": "r", "data": [], "hidden_data": []}
+    rows = raw(spark, view(0, "r", "/x"), order, order, *[{**order, "request_uuid": None, "occurred_at": T0 + timedelta(seconds=i // 2)} for i in range(100)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = events.enrich(rows)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        kept = found.collect()
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(kept) == 52 and {r.request_path for r in kept if r.request_uuid} == {"/x"} and "SortMergeJoin" in plan + text
+    assert text.partition("Initial Plan")[0].count("Exchange hashpartitioning") == 2

@@ -32,7 +32,8 @@ def enrich(raw: DataFrame, namespace: str | None = None, since: Column | None =
 
     Requests are looked for from the day before ``since`` on, so that a request on the other side of the seam is
     found. The join is an equi-join on the request id with the event type as a condition of the left side, so web
-    requests themselves pass through unchanged.
+    requests themselves pass through unchanged. Events without a request id are dealt by a hash of their own, and not
+    to one task; repeated events are removed within the join's partitions, without a further shuffle.
     """
     if namespace is not None:
         raw = raw.where(F.col("namespace") == namespace)
@@ -43,7 +44,9 @@ def enrich(raw: DataFrame, namespace: str | None = None, since: Column | None =
     context = earliest_requests(requests).select(
         F.col("request_uuid").alias("_uuid"), F.col("request_query").alias("_request_query"), *[F.col(source).alias(f"_{out}") for out, source in _CONTEXT.items()]
     )
-    wanted = (F.col("request_uuid") == F.col("_uuid")) & (F.col("event_type") != "web_request")
+    own_key = F.concat(F.lit("?"), F.xxhash64("occurred_at", "event_type", "entity_table_name", "data").cast("string"))
+    events = events.withColumn("_key", F.coalesce("request_uuid", own_key))
+    wanted = (F.col("_key") == F.col("_uuid")) & (F.col("event_type") != "web_request") & F.col("request_uuid").isNotNull()
     joined = events.join(context, wanted, "left")
     joined = joined.withColumns({out: F.coalesce(F.col(source), F.col(f"_{out}")) for out, source in _CONTEXT.items()})
     joined = joined.withColumn("request_query", F.when(F.size("request_query") > 0, F.col("request_query")).otherwise(F.col("_request_query")))
@@ -61,7 +64,7 @@ def enrich(raw: DataFrame, namespace: str | None = None, since: Column | None =
     joined = joined.withColumns({name: F.col(f"_agent.{part}") for name, part in zip(AGENT_COLUMNS, parts, strict=True)})
     own = ("occurred_at", "request_uuid", "event_type", "environment", "namespace", "data", "hidden_data", "entity_table_name")
     urls = ("request_path_and_query", "request_referer_domain", "request_referer_path_and_query")
-    return joined.select(*own, *[c for c in REQUEST_CONTEXT if c != "request_uuid"], *urls).dropDuplicates()
+    return joined.select("_key", *own, *[c for c in REQUEST_CONTEXT if c != "request_uuid"], *urls).dropDuplicates().drop("_key")
 
 
 def kept(as_of: Column, days: int | None = None, web_days: int | None = None, entity_days: dict[str, int] | None = None, event_days: dict[str, int] | None = None) -> Column:

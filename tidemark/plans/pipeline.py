@@ -14,7 +14,7 @@ from tidemark.config import Cdc, Entity, PipelineConfig
 from tidemark.operators import catalogue, cdc, checks, entity, events, quality, web
 from tidemark.operators.keys import ForeignKey, foreign_keys
 from tidemark.plans import monitoring
-from tidemark.plans.tables import Store, discard, written_once
+from tidemark.plans.tables import Store, temporaries, written_once
 
 
 class ChecksFailed(RuntimeError):
@@ -247,7 +247,11 @@ def run(spark: SparkSession, store: Store, plan: dict[str, Model], raw: DataFram
             if broken := rows.limit(5).collect():
                 failed[name] = broken
             continue
-        rows = _build(store, model, built, full)
+        if model.mode == "view":
+            rows = _build(store, model, built, full)
+        else:
+            with temporaries():
+                rows = _build(store, model, built, full)
         if isinstance(rows, list):
             failed[name] = rows
             continue
@@ -283,12 +287,10 @@ def _build(store: Store, model: Model, built: dict[str, DataFrame], full: bool)
     rows = model.build(inputs, since)
     if model.mode == "view":
         return rows
-    staged = None
     if model.guard is not None:  # judged before anything is stored
-        rows = staged = written_once(rows, "guarded")
+        rows = written_once(rows, "guarded")
         every = store.read(name).unionByName(rows) if resumed else rows
         if broken := model.guard(inputs, every).limit(5).collect():
-            discard(staged)
             return broken
     buckets = (list(model.buckets), int(store.spark.conf.get("spark.sql.shuffle.partitions"))) if model.buckets else None
     if model.mode == "history":
@@ -302,8 +304,6 @@ def _build(store: Store, model: Model, built: dict[str, DataFrame], full: bool)
         store.replace_days(name, rows, last - timedelta(days=model.days_again), model.by_day, model.sort_by)
     else:
         store.replace(name, rows, model.partition_by, model.sort_by, by_day=model.by_day, buckets=buckets)
-    if staged is not None:
-        discard(staged)
     declared = {"primary_key": ", ".join(model.primary_key)} if model.primary_key else {}
     declared |= {f"foreign_key.{k.column}": f"{k.entity}.{k.other_column}" for k in model.foreign_keys}
     store.describe(name, model.description, {**model.labels, **declared})

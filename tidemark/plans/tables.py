@@ -44,9 +44,26 @@ def written_once(df: DataFrame, name: str, partition_by: list[str] = ()) -> Data
     df.write.partitionBy(*partition_by).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._written_to = path
+    if _within:
+        _within[-1].append(found)
     return found
 
 
+#: Tables that were written within each :func:`temporaries` that is open.
+_within: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporaries() -> Iterator[None]:
+    """Tables that :func:`written_once` writes within are deleted at the end, when what is computed from them must be
+    stored; also after an error."""
+    _within.append([])
+    try:
+        yield
+    finally:
+        discard(*_within.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`written_once` wrote and that nothing reads any more."""
     for t in tables:
