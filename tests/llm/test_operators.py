@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -326,6 +327,29 @@ def test_quality(spark):
     assert quality_crf.score(df.limit(0), field).count() == 0
 
 
+def test_quality_scores_by_enumeration(spark):
+    """The score of a text is the mean of its lines' marginals by their characters, over all 2 ** n labellings."""
+    rng = np.random.default_rng(12)
+    texts = ["One fine line.\n$$$ %% |||\n\nAN OTHER!! ONE!! one one one\n\u00e9t\u00e9 12 34", "x", "", "a b\n" * 7, "Plain words here, and more.\nPlain words here, and more."]
+    field = quality_crf.Field([np.sort(rng.random(4)) for _ in range(12)], rng.normal(size=(3, 12, 16)), 0.3, rng.normal(size=(2, 2)))
+    found = {r.doc_id: r.score for r in quality_crf.score(docs(spark, texts), field).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        x, chars, bounds = quality_crf.line_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        bins, n = field.bins(x), len(text.split("\n"))
+        assert bounds.tolist() == [0, n] and chars.tolist() == [len(line) for line in text.split("\n")]
+        total, good = 0.0, np.zeros(n)
+        for states in itertools.product((0, 1), repeat=n):
+            weight = sum(field.transitions[states[k], states[k + 1]] for k in range(n - 1))
+            for k in range(n):
+                near = [(0, k), (1, k - 1), (2, k + 1)]
+                weight += states[k] * (field.bias + sum(field.weights[w][f, bins[j, f]] for w, j in near if 0 <= j < n for f in range(12)))
+            total += np.exp(weight)
+            good += np.exp(weight) * np.array(states)
+        want = np.average(good / total, weights=chars + 1e-6)
+        assert abs(found[i] - want) < 1e-6, (i, found[i], want)
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     texts, marks = [], []

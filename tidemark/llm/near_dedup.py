@@ -17,6 +17,8 @@ from tidemark.llm.components import components
 #: Members of a bucket of which all pairs across groups are compared, and members of a led group that are compared
 #: with the rest of it before the remaining links are searched for.
 FEW, LEADERS = 32, 8
+#: Parts that every led group is dealt to while its heaviest members are found and compared with the others.
+_SALTS = 8
 
 
 def _sketcher(shingle: int, pieces: int, width: int):
@@ -120,8 +122,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     *Large groups.* Documents with equal sets are first collapsed to one representative. Each document is compared
     with one leader (the member of its buckets that shares most pieces with others), so a group of n copies costs n
     comparisons. Where a bucket's members are not in one component by then, a few more members of the group are
-    compared, and at last the members' differences from their leader are joined by a prefix filter, which finds every
-    link that is left between members of a bucket. Nothing is capped.
+    compared (each group dealt to several tasks), and at last the members' differences from their leader are joined by
+    a prefix filter, which finds every link that is left between members of a bucket. Nothing is capped.
 
     Nulls: a null or empty text has no shingles and no link. A null id takes no part and has a null component.
     Rows that repeat an id count as one document, linked by any of its texts. An empty table gives an empty result.
@@ -180,11 +182,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         # Then a few more members of each led group, the heaviest ones, with its documents in other components.
         rest = put(rest.join(led.select("rep", "leader"), "rep"), "led-cells")
-        members = rest.groupBy("rep", "n", "leader", "weight", "own").agg(F.lit(1)).drop("1")
-        best = Window.partitionBy("leader").orderBy(F.desc("weight"), "rep")
-        heads = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS)
-        heads = heads.select("leader", F.col("rep").alias("q"), F.col("n").alias("q_n"), F.col("own").alias("q_own"))
-        met = members.join(heads, "leader").where((F.col("q_own") != F.col("own")) & near_in_size("n", "q_n"))
+        members = rest.groupBy("rep", "n", "leader", "weight", "own").agg(F.lit(1)).drop("1").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(_SALTS)))
+        heads = members
+        for part in (["leader", "salt"], ["leader"]):  # of each part first, then of what these have left
+            best = Window.partitionBy(*part).orderBy(F.desc("weight"), "rep")
+            heads = heads.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS)
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt")
+        heads = heads.select("leader", F.col("rep").alias("q"), F.col("n").alias("q_n"), F.col("own").alias("q_own"), salts)
+        met = members.join(heads, ["leader", "salt"]).where((F.col("q_own") != F.col("own")) & near_in_size("n", "q_n"))
         verify(met.select(F.col("rep").alias("p"), "q"))
         rest = put(mixed().join(led.select("rep", "leader"), "rep"), "led-cells")
     if not rest.isEmpty():
