@@ -602,3 +602,13 @@ def test_enrichment_shuffles_once_by_request(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(kept) == 52 and {r.request_path for r in kept if r.request_uuid} == {"/x"} and "SortMergeJoin" in plan + text
     assert text.partition("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_users_within_one_second_are_imputed_in_order_of_time(spark, turned):
+    at = lambda s, us: T0 + timedelta(seconds=s, microseconds=us)
+    rows = [("v", "a", at(0, 1)), ("v", "b", at(0, 2)), ("v", None, at(60, 0)), ("v", "c", at(120, 1)), ("v", "d", at(120, 2)), ("w", "a", at(0, 1)), ("w", "b", at(0, 2)), ("w", None, at(60, 0))]
+    rows = [(visitor, user, when, f"/{i}", f"/{i}", i, None) for i, (visitor, user, when) in enumerate(rows)]
+    schema = "visitor string, user string, occurred_at timestamp, page string, path string, visit long, first_following_user struct<f_at: timestamp, f_page: string, f_user: string>"
+    found = web.impute_users(spark.createDataFrame(rows[::-1] if turned else rows, schema).coalesce(1))
+    assert {r.visitor: r.estimated_user for r in found.where("user is null").collect()} == {"v": "c", "w": "b"}

@@ -181,12 +181,16 @@ def following_pages(rows: DataFrame) -> DataFrame:
 
 def impute_users(rows: DataFrame) -> DataFrame:
     """Visits with ``estimated_user``: the own user, else the next one within 30 minutes (if the visitor goes on within
-    30 whole minutes) or that of the first following page with a user, else the last one within 30 minutes."""
+    30 whole minutes) or that of the first following page with a user, else the last one within 30 minutes.
+
+    The frames count whole seconds; of visits within one second the first in time is the next one, and the last in time
+    the last one, so that the result doesn't depend on the order of the input."""
     visitor = _someone("visitor", "v")
     order = Window.partitionBy(visitor).orderBy("occurred_at", "page", "path")
     seconds = Window.partitionBy(visitor).orderBy(F.unix_seconds("occurred_at"))
-    ahead = F.first("user", ignorenulls=True).over(seconds.rangeBetween(0, _GAP_SECONDS))
-    behind = F.last("user", ignorenulls=True).over(seconds.rangeBetween(-_GAP_SECONDS, 0))
+    known = F.when(F.col("user").isNotNull(), F.struct("occurred_at", "page", "path", "user"))
+    ahead = F.min(known).over(seconds.rangeBetween(0, _GAP_SECONDS))["user"]
+    behind = F.max(known).over(seconds.rangeBetween(-_GAP_SECONDS, 0))["user"]
     after = F.timestamp_diff("MINUTE", F.col("occurred_at"), F.lead("occurred_at").over(order))
     before = F.timestamp_diff("MINUTE", F.lag("occurred_at").over(order), F.col("occurred_at"))
     next_user = F.when(after <= _GAP_MINUTES, ahead).otherwise(F.col("first_following_user.f_user"))
