@@ -612,3 +612,24 @@ def test_users_within_one_second_are_imputed_in_order_of_time(spark, turned):
     schema = "visitor string, user string, occurred_at timestamp, page string, path string, visit long, first_following_user struct<f_at: timestamp, f_page: string, f_user: string>"
     found = web.impute_users(spark.createDataFrame(rows[::-1] if turned else rows, schema).coalesce(1))
     assert {r.visitor: r.estimated_user for r in found.where("user is null").collect()} == {"v": "c", "w": "b"}
+
+
+def test_change_log_reads_its_lines_once(spark):
+    from tidemark.sources import adapters
+
+    log = adapters.order_changes(spark, "/root/testdata/sf0.001")
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("l_shipdate#") and plan.count("sf0.001/lineitem.parquet") == 1
+    assert {r["_ab_cdc_lsn"][0]: r["n"] for r in log.groupBy(F.col("_ab_cdc_lsn").substr(1, 1).alias("_ab_cdc_lsn")).agg(F.count(F.lit(1)).alias("n")).collect()}.keys() == {"L", "D", "S"}
+
+
+def test_legacy_versions_are_merged_in_one_shuffle(spark):
+    schema = "id string, valid_from timestamp, valid_to timestamp, status string, is_deleted boolean"
+    at = lambda m: T0 + timedelta(minutes=m)
+    new = spark.createDataFrame([("1", at(2), None, "new", False), ("2", at(9), None, "new", False), (None, at(1), None, "new", False)], schema)
+    old = spark.createDataFrame([("1", at(0), at(2), "old", False), ("1", at(2), None, "old", False), ("1", at(8), None, "late", False), (None, at(1), None, "old", False)], schema)
+    merged = cdc.merge_legacy(new, old, F.lit(at(5)))
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    got = sorted((r.id or "", r.valid_from.minute, r.status, r.version_number) for r in merged.collect())
+    assert [g[:3] for g in got] == [("", 1, "new"), ("", 1, "old"), ("1", 0, "old"), ("1", 2, "new"), ("2", 9, "new")] and [g[3] for g in got[2:]] == [1, 2, 1]

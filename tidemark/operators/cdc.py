@@ -86,9 +86,10 @@ def late_rows(source: DataFrame, carried: DataFrame, since: Column, id_col: str
 
 def merge_legacy(new: DataFrame, legacy: DataFrame, cutoff: Column) -> DataFrame:
     """Versions of an older stream up to a cutoff together with those of the new one, which wins where both have one."""
-    keys = ["id", "valid_from"]
-    old = legacy.where(F.col("valid_from") <= cutoff).join(new.select(keys), keys, "left_anti")
-    every = new.unionByName(old, allowMissingColumns=True)
+    old = legacy.where(F.col("valid_from") <= cutoff).withColumn("_old", F.lit(True))
+    every = new.withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True).repartition("id")  # serves both windows
+    won = F.col("id").isNotNull() & ~F.min("_old").over(Window.partitionBy("id", "valid_from"))
+    every = every.withColumn("_won", won).where("not (_old and _won)").drop("_old", "_won")
     order = Window.partitionBy("id").orderBy("valid_from")
     end = F.coalesce(F.lead("valid_from").over(order), F.col("valid_to"))
     return every.withColumns({"valid_to": end, "version_number": F.row_number().over(order), "is_current": F.lead("valid_from").over(order).isNull() & ~F.coalesce("is_deleted", F.lit(False))})

@@ -483,7 +483,7 @@ def cdc_latest(spark, d):
 
 @query(f"WITH {D} SELECT id, epoch_us(happened) AS valid_from_us, status, CAST(n AS INTEGER) AS version_number FROM c")
 def cdc_legacy_merge(spark, d):
-    versions = _cdc(spark, d)[1]
+    versions = written_once(_cdc(spark, d)[1].select("id", "valid_from", "valid_to", "status", "is_current", "is_deleted", "version_number"), "versions")
     cutoff = F.lit("1998-01-01").cast("timestamp")
     merged = cdc.merge_legacy(versions.where(F.col("valid_from") > cutoff), versions, cutoff)
     return merged.select("id", us("valid_from"), "status", "version_number")
