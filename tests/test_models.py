@@ -633,3 +633,14 @@ def test_legacy_versions_are_merged_in_one_shuffle(spark):
     assert "Join" not in plan
     got = sorted((r.id or "", r.valid_from.minute, r.status, r.version_number) for r in merged.collect())
     assert [g[:3] for g in got] == [("", 1, "new"), ("", 1, "old"), ("1", 0, "old"), ("1", 2, "new"), ("2", 9, "new")] and [g[3] for g in got[2:]] == [1, 2, 1]
+
+
+def test_types_are_inferred_beside_an_entry_without_values(spark):
+    from tidemark.operators import catalogue
+
+    row = change(0, "create", "1", flag="true", half="-.5", many="9" * 30, when="2024-05-01T10:00:00Z", day="1 May 2024", both="2024-05-01", list="[1, -2]", word="x1", none="", odd=" 7 ", nan="NaN")
+    row["data"].append(("gone", None))
+    more = change(1, "update", "1", flag="FALSE", half="3", both="2024-05-01T10:00:00Z", word="5", nan="inf", odd='"1 May 2024 3:30pm"')
+    got = {r["key"]: r.data_type for r in catalogue.infer_types(raw(spark, row, more)).collect()}
+    expected = {"flag": "boolean", "half": "float", "many": "float", "when": "timestamp", "day": "date", "both": "date", "list": "integer_array", "word": "string", "none": None, "odd": "string", "nan": "float", "id": "integer"}
+    assert {k: v for k, v in got.items() if k != "gone"} == expected

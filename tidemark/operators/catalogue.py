@@ -31,21 +31,27 @@ def configuration_history(events: DataFrame) -> DataFrame:
 def infer_types(events: DataFrame) -> DataFrame:
     """``entity_table_name, key, data_type``: the narrowest type that all values of a key can be read as.
 
-    In order: none (all values are empty), boolean, integer, float, timestamp, date, integer_array, string. One pass
-    with boolean aggregates, which combine before the shuffle.
+    In order: none (all values are empty), boolean, integer, float, timestamp, date, integer_array, string. Each value
+    is told by the narrowest type that it can be read as, so that no further type is tried for it: integers are floats
+    as well, timestamps are dates, and there is no other overlap. Values are counted by type, which combines before the
+    shuffle.
     """
-    pairs = events.where("entity_table_name is not null").select("entity_table_name", F.explode(kv.flatten_pairs(kv.combined("data", "hidden_data"))).alias("p"))
-    value = F.nullif(F.col("p.value"), F.lit(""))
-    fits = {
-        "boolean": scalar.safe_bool(value).isNotNull(), "integer": scalar.safe_int(value).isNotNull(), "float": scalar.safe_float(value).isNotNull(),
-        "timestamp": scalar.string_to_timestamp(value).isNotNull(), "date": scalar.string_to_date(value).isNotNull(), "integer_array": value.rlike(r"^\[(\s*-?\d+\s*(,\s*-?\d+\s*)*)?\]$"),
-    }
-    every = [F.bool_and(F.when(value.isNotNull(), test)).alias(name) for name, test in fits.items()]
-    found = pairs.groupBy("entity_table_name", F.col("p.key").alias("key")).agg(F.count(value).alias("known"), *every)
-    kind = F.when(F.col("known") == 0, F.lit(None).cast("string"))
-    for name in fits:
-        kind = kind.when(F.col(name), name)
-    return found.select("entity_table_name", "key", kind.otherwise("string").alias("data_type"))
+    both = events.where("entity_table_name is not null").select("entity_table_name", F.explode(kv.combined("data", "hidden_data")).alias("e"))
+    found = both.select("entity_table_name", F.col("e.key").alias("key"), F.explode("e.value").alias("value"))
+    value, first = F.col("value"), F.ascii("value")
+    # What begins neither like a number, a quoted time nor a list is a word: most are no type's but a string's.
+    word = ~(first.between(48, 57) | first.isin(43, 45, 46, 34, 91) | (first <= 32))
+    worded = F.when(F.length(value) > 8, "string").when(scalar.safe_bool(value).isNotNull(), "boolean").when(scalar.safe_float(value).isNotNull(), "float").otherwise("string")
+    kind = F.when(value.isNull() | (value == ""), F.lit(None).cast("string")).when(word, worded)
+    kind = kind.when(scalar.safe_int(value).isNotNull(), "integer").when(scalar.safe_float(value).isNotNull(), "float").when(scalar.string_to_timestamp(value).isNotNull(), "timestamp")
+    kind = kind.when(scalar.string_to_date(value).isNotNull(), "date").when(value.rlike(r"^\[(\s*-?\d+\s*(,\s*-?\d+\s*)*)?\]$"), "integer_array").otherwise("string")
+    kinds = ("boolean", "integer", "float", "timestamp", "date", "integer_array", "string")
+    found = found.select("entity_table_name", "key", kind.alias("_kind"))
+    found = found.groupBy("entity_table_name", "key").agg(F.count("_kind").alias("known"), *[F.count_if(F.col("_kind") == k).alias(k) for k in kinds])
+    every = F.when(F.col("known") == 0, F.lit(None).cast("string"))
+    for name, parts in (("boolean", ("boolean",)), ("integer", ("integer",)), ("float", ("integer", "float")), ("timestamp", ("timestamp",)), ("date", ("timestamp", "date")), ("integer_array", ("integer_array",))):
+        every = every.when(sum((F.col(p) for p in parts[1:]), F.col(parts[0])) == F.col("known"), name)
+    return found.select("entity_table_name", "key", every.otherwise("string").alias("data_type"))
 
 
 def schema_text(types: DataFrame) -> DataFrame:
