@@ -644,3 +644,12 @@ def test_types_are_inferred_beside_an_entry_without_values(spark):
     got = {r["key"]: r.data_type for r in catalogue.infer_types(raw(spark, row, more)).collect()}
     expected = {"flag": "boolean", "half": "float", "many": "float", "when": "timestamp", "day": "date", "both": "date", "list": "integer_array", "word": "string", "none": None, "odd": "string", "nan": "float", "id": "integer"}
     assert {k: v for k, v in got.items() if k != "gone"} == expected
+
+
+def test_flattened_changes_are_read_from_the_version_that_changed(spark):
+    rows = raw(spark, change(0, "create", "1", name="a", age="1"), change(5, "update", "1", title="x", age="2"), change(6, "update", "1", title="y", age="2", updated_at="z"), change(9, "update", "2", name="b"))
+    history, user = entity.versions(rows, CFG.entities), CFG.entity("user")
+    found = entity.field_updates(history, user)
+    joined = entity.flatten_field_updates(entity.field_updates(history), entity.flatten_versions(history, user), user)
+    assert found.columns == joined.columns and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect())) and found.count() == 2

@@ -45,7 +45,11 @@ def joined(values: Column) -> Column:
 
 def extract(field: Column | str, key: Column | str, data_type: str = "string", is_array: bool = False) -> Column:
     """A key's value: text joined from all values, or a typed single value (NULL if there are several), or an array."""
-    values = values_of(field, key)
+    return typed(values_of(field, key), data_type, is_array)
+
+
+def typed(values: Column, data_type: str = "string", is_array: bool = False) -> Column:
+    """All values of a key as :func:`extract` gives them."""
     if is_array:
         if data_type == "integer_array":
             raise ValueError("an integer_array cannot be an array again")

@@ -33,10 +33,11 @@ def versions(events: DataFrame, entities: list[Entity], carried: DataFrame | Non
     present = [c for c in REQUEST_CONTEXT if c in events.columns]
     both = kv.combined("data", "hidden_data")
     rows = events.where(F.col("event_type").isin(*ENTITY_EVENTS)).withColumn("entity_id", entity_id(entities)).where("entity_id is not null")
-    rows = rows.select(
-        F.col("occurred_at").alias("valid_from"), "event_type", *ID, scalar.string_to_timestamp(kv.extract(both, "created_at")).alias("created_at"),
-        scalar.string_to_timestamp(kv.extract(both, "updated_at")).alias("updated_at"), "data", "hidden_data", *present,
-    )
+    # Texts first: an expression over lambdas is computed as often as it is referred to.
+    stamps = ["created_at", "updated_at"]
+    rows = rows.select(F.col("occurred_at").alias("valid_from"), "event_type", *ID, *[kv.values_of(both, s).alias(s) for s in stamps], "data", "hidden_data", *present)
+    rows = rows.withColumns({s: F.array_join(s, ",") for s in stamps})
+    rows = rows.withColumns({s: scalar.string_to_timestamp(s) for s in stamps})
     if carried is not None:
         rows = rows.unionByName(carried.where("valid_to is null").select(rows.columns))
     closed = intervals.close_intervals(rows, ID, "valid_from", ["event_type"])
@@ -48,13 +49,14 @@ def upsert_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.where("valid_to is not null").unionByName(new)
 
 
-def key_columns(keys: list[Key], *fields: str) -> list[Column]:
-    """A column for each key: its name first, then past names in order, from the payload fields together."""
+def key_columns(keys: list[Key], *fields: str, values: dict[str, Column] | None = None) -> list[Column]:
+    """A column for each key: its name first, then past names in order, from the payload fields together; ``values`` has
+    all values of each name, if they are known already."""
     both = kv.combined(*fields)
     out = []
     for key in keys:
         names = [key.name, *key.past_names]
-        found = [kv.extract(both, n, key.data_type, key.is_array) for n in names]
+        found = [kv.typed(values[n] if values else kv.values_of(both, n), key.data_type, key.is_array) for n in names]
         if key.is_array:
             picked = found[-1]
             for f in reversed(found[:-1]):
@@ -70,7 +72,12 @@ def flatten_versions(history: DataFrame, entity: Entity) -> DataFrame:
     own = history.where(F.col("entity_table_name") == entity.name)
     context = [c for c in REQUEST_CONTEXT if c in history.columns]
     stamps = ["created_at", "updated_at"] if entity.has_timestamps else []
-    return own.select("valid_from", "valid_to", "event_type", F.col("entity_id").alias("id"), *stamps, *context, *key_columns(entity.keys, "data", "hidden_data"))
+    # Values first: an expression over lambdas is computed as often as it is referred to.
+    names = {n: f"_values_{i}" for i, n in enumerate(n for key in entity.keys for n in (key.name, *key.past_names))}
+    both = kv.combined("data", "hidden_data")
+    own = own.withColumns({c: kv.values_of(both, n) for n, c in names.items()}) if names else own
+    keys = key_columns(entity.keys, "data", "hidden_data", values={n: F.col(c) for n, c in names.items()})
+    return own.select("valid_from", "valid_to", "event_type", F.col("entity_id").alias("id"), *stamps, *context, *keys)
 
 
 def latest(flat: DataFrame) -> DataFrame:
@@ -97,29 +104,40 @@ def at_function(name: str, flat: DataFrame) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(at TIMESTAMP) RETURNS TABLE ({typed}) RETURN SELECT {picked} FROM {view} WHERE valid_from <= {name}.at AND (valid_to IS NULL OR valid_to > {name}.at)")
 
 
-def field_updates(history: DataFrame) -> DataFrame:
+def field_updates(history: DataFrame, flat: Entity | None = None) -> DataFrame:
     """One row for each field that an update changed, with its value before and after.
 
     Compares a created or updated version with the one before it, over keys that both have; updated_at is no change,
-    and first versions have none. Arrays of values are compared as texts in which NULL reads 'null'.
+    and first versions have none. Arrays of values are compared as texts in which NULL reads 'null'. Entries are
+    compared within the row, so that a row is repeated for its changes only, not for all its keys.
+
+    With ``flat`` the changes of that entity, each with the entity's fields right after it: what
+    :func:`flatten_field_updates` finds by a join, read from the version that changed.
     """
+    if flat is not None:
+        history = history.where(F.col("entity_table_name") == flat.name)
     order = Window.partitionBy(*ID).orderBy("valid_from", "event_type")
     before = {f"previous_{new}": F.lag(old).over(order) for new, old in (("data", "data"), ("hidden_data", "hidden_data"), ("occurred_at", "valid_from"), ("event_type", "event_type"))}
     rows = history.withColumns(before).where("previous_occurred_at is not null and event_type in ('create_entity', 'update_entity')")
-    new = F.explode(kv.combined("data", "hidden_data")).alias("_new")
-    rows = rows.select("*", new).withColumn("key_updated", F.col("_new.key"))
-    old = F.filter(kv.combined("previous_data", "previous_hidden_data"), lambda e: e["key"] == F.col("key_updated"))
-    rows = rows.withColumn("_old", F.explode(old))
-    text = lambda c: F.array_join(c, ",", "null")
-    rows = rows.withColumn("new_value", text(F.col("_new.value"))).withColumn("previous_value", text(F.col("_old.value")))
-    rows = rows.where("key_updated <> 'updated_at' and not (new_value <=> previous_value)")
+    text = lambda entry: F.array_join(entry["value"], ",", "null")
+    as_texts = lambda *fields: F.transform(kv.combined(*fields), lambda e: F.struct(e["key"].alias("key"), text(e).alias("text")))
+
+    def changes_of(new: Column, old: Column) -> Column:
+        differs = lambda x, y: (x["key"] == y["key"]) & ~x["text"].eqNullSafe(y["text"])
+        pair = lambda x: F.transform(F.filter(old, lambda y: differs(x, y)), lambda y: F.struct(x["key"].alias("key"), x["text"].alias("new"), y["text"].alias("old")))
+        return F.flatten(F.transform(F.filter(new, lambda x: x["key"] != "updated_at"), pair))
+
+    rows = rows.withColumns({"_new": as_texts("data", "hidden_data"), "_old": as_texts("previous_data", "previous_hidden_data")})
+    rows = rows.select("*", F.explode(changes_of(F.col("_new"), F.col("_old"))).alias("_change")).drop("_new", "_old")
+    rows = rows.withColumns({"key_updated": F.col("_change.key"), "new_value": F.col("_change.new"), "previous_value": F.col("_change.old")})
     at = F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     seconds = lambda a, b: F.timestamp_diff("SECOND", a, b)
+    own = [*ID, "created_at", "updated_at"] if flat is None else ["entity_id", "created_at"]
     return rows.select(
-        F.md5(F.concat_ws("|", "entity_table_name", "entity_id", at, "key_updated")).alias("update_id"), F.col("valid_from").alias("occurred_at"), "event_type", *ID, "created_at", "updated_at",
+        F.md5(F.concat_ws("|", "entity_table_name", "entity_id", at, "key_updated")).alias("update_id"), F.col("valid_from").alias("occurred_at"), "event_type", *own,
         *[c for c in REQUEST_CONTEXT if c in history.columns], "key_updated", F.nullif("new_value", F.lit("")).alias("new_value"), F.nullif("previous_value", F.lit("")).alias("previous_value"),
         "previous_occurred_at", "previous_event_type", seconds(F.col("previous_occurred_at"), F.col("valid_from")).alias("seconds_since_previous_update"),
-        seconds(F.col("created_at"), F.col("valid_from")).alias("seconds_since_created"),
+        seconds(F.col("created_at"), F.col("valid_from")).alias("seconds_since_created"), *(key_columns(flat.keys, "data", "hidden_data") if flat is not None else []),
     )
 
 

@@ -181,13 +181,13 @@ def entity_field_updates(spark, d):
 
 @query(f"WITH {U} SELECT CAST(id AS VARCHAR) AS entity_id, epoch_us(happened) AS occurred_at_us, old AS previous_value, status, cents AS total_cents FROM u")
 def flattened_field_updates(spark, d):
-    rows = entity.flatten_field_updates(entity.field_updates(_versions(spark, d)), _flat(spark, d), ORDERS)
+    rows = entity.field_updates(_versions(spark, d), ORDERS)
     return rows.select("entity_id", us("occurred_at"), "previous_value", "status", "total_cents")
 
 
 @query(f"WITH {U} SELECT CAST(id AS VARCHAR) AS entity_id, epoch_us(happened) AS occurred_at_us, status AS as_of_status FROM u")
 def as_of_join(spark, d):
-    versions = _versions(spark, d)
+    versions = written_once(_versions(spark, d).select("valid_from", "valid_to", "event_type", *entity.ID, "created_at", "updated_at", "data", "hidden_data"), "versions")
     changes = entity.field_updates(versions).select("entity_id", "occurred_at")
     found = intervals.as_of_join(changes, versions.select("entity_id", "valid_from", "valid_to", kv.extract("data", "status").alias("as_of_status")), ["entity_id"], "occurred_at")
     return found.select("entity_id", us("occurred_at"), "as_of_status")
