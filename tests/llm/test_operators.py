@@ -4,10 +4,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, chat_format, components, edit_fingerprint, html_extract, mixing, near_dedup, quality_crf, suffix_dedup, toxicity
+from tidemark.llm._spark import map_rows, small_batches
+from tidemark.llm._text import lean
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, component string"
 
@@ -293,6 +296,21 @@ def test_long_texts_and_odd_names(spark):
     assert mixing.mix_sources(odd, {"source": F.col("source")}, {"source": {}}, epochs=1, seed=1).select("`a b.c`").count() >= 3
 
 
+def test_large_and_small_batches_follow_each_other(spark):
+    """A task whose batches of 4 MB give next to nothing, then as much as they hold, then nothing."""
+    rng = random.Random(14)
+    once, others = " ".join(prose(rng, 60_000, 10**6)), [" ".join(prose(rng, 60_000, 10**6)) for _ in range(11)]
+    rows = docs(spark, [once] * 11 + others + [once] * 11).coalesce(1)
+    assert {r.doc_id: r.text for r in suffix_dedup.cut_repeats(rows).collect()} == {0: once} | dict(enumerate(others, 11))
+
+    def more(batches):
+        for n in [0, *[b.num_rows for b in batches], 20_000, 7]:
+            yield pa.RecordBatch.from_arrays([pa.array(["x" * 512] * n, pa.string())], ["c0"])
+
+    small_batches(spark)
+    assert map_rows(spark.range(1000, numPartitions=1).select(F.col("id").cast("string")), lean(more)).count() == 21_007
+
+
 def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.repeated_spans(docs(spark, [])).count() == 0
     assert suffix_dedup.cut_repeats(docs(spark, ["a b", None])).count() == 2

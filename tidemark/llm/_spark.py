@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Bytes of an Arrow batch: what a task holds of its rows outside the JVM's heap and in its Python worker.
 BATCH_BYTES = 4 << 20
-_BATCHES = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch")
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes rather than only by rows, so that long texts don't fill a worker's memory.
+    """Bound the Arrow batches that tasks read by bytes rather than only by rows, so that long texts don't fill a
+    worker's memory.
 
-    A setting of the session; a smaller one that the user has made stays.
+    A setting of the session; a smaller one that the user has made stays. ``maxBytesPerOutputBatch`` isn't set: a batch
+    that Spark 4.1 splits by it and a smaller one after that end the task with an ArrayIndexOutOfBoundsException.
+    Kernels split what they yield themselves, see :func:`in_parts`.
     """
-    for name in _BATCHES:
-        now = spark.conf.get(name, None)
-        if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
-            spark.conf.set(name, str(BATCH_BYTES))
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in batches of about BATCH_BYTES at most (or of one row)."""
+    rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // BATCH_BYTES)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm._spark import in_parts
+
 SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
@@ -38,11 +40,13 @@ def _power_table(base: int, n: int) -> np.ndarray:
 
 
 def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that gives back what it has freed when it ends, as its worker outlives the task."""
+    """A function for mapInArrow that yields small batches and gives back what it has freed when it ends, as its worker
+    outlives the task."""
 
     @functools.wraps(kernel)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from kernel(batches)
+        for batch in kernel(batches):
+            yield from in_parts(batch)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
         if trim is not None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm._spark import discard, materialize, small
+from tidemark.llm._text import lean
 
 #: Vectors that the root's tree is fitted on at most, children of a node, least sampled vectors of a leaf, and leaves
 #: of a tree, about.
@@ -162,7 +163,7 @@ class Index:
                     leaf, off = shipped.value.assign(_unit(_matrix(batch.column(0))))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(off)], names=["v", "ids", "bin", "off"])
 
-        placed, settled, self.trees = self._put(entries.select("v", "ids").mapInArrow(place, _ENTRY), "placed"), [], []
+        placed, settled, self.trees = self._put(entries.select("v", "ids").mapInArrow(lean(place), _ENTRY), "placed"), [], []
         while len(self.trees) < DEPTH:
             large = self._put(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "large")
             if large.isEmpty():
@@ -173,7 +174,7 @@ class Index:
             trees = self._put(sample.mapInArrow(_fit_bins, "bin long, tree binary"), "trees")
             blocks = inner.withColumn("block", F.pmod(number, F.ceil(F.col("n") / BLOCK))).groupBy("bin", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
             settled.append(placed.join(small(large), "bin", "left_anti").select("v", "ids", "bin", "off"))
-            placed = self._put(blocks.join(trees, "bin").select("bin", "tree", "rows").mapInArrow(_descend, _ENTRY), "placed")
+            placed = self._put(blocks.join(trees, "bin").select("bin", "tree", "rows").mapInArrow(lean(_descend), _ENTRY), "placed")
             self.trees.append(trees)
         for more in settled:
             placed = placed.unionByName(more)
@@ -203,7 +204,7 @@ class Index:
                 if batch.num_rows:
                     yield _opened(shipped.value, batch.column(0), batch.column(1), count, None)
 
-        found = _spread(asked, "id").mapInArrow(opened, _VISIT)
+        found = _spread(asked, "id").mapInArrow(lean(opened), _VISIT)
         for trees in self.trees:
             found = self._put(found, "visits")
             sizes = found.groupBy("bin").agg(F.count(F.lit(1)).alias("askers")).join(trees.select("bin"), "bin")
@@ -215,7 +216,7 @@ class Index:
                         queries = batch.column(1)[n].values
                         yield _opened(pickle.loads(batch.column(2)[n].as_py()), queries.field("id"), queries.field("v"), count, batch.column(0)[n].as_py())
 
-            deeper = batches_of.select("bin", "queries", "tree").mapInArrow(inner, _VISIT)
+            deeper = batches_of.select("bin", "queries", "tree").mapInArrow(lean(inner), _VISIT)
             nearest_first = Window.partitionBy("id").orderBy("far", "bin")
             every = found.join(small(trees.select("bin")), "bin", "left_anti").select("id", "v", "bin", "far").unionByName(deeper)
             found = every.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= count).drop("n")
@@ -245,7 +246,7 @@ class Index:
                         yield _record("query_id vec_id score", (a, pa.int64()), (b, pa.int64()), (c, pa.float64()))
 
         sizes = visits.groupBy("bin").agg(F.count(F.lit(1)).alias("askers"))
-        return self.blocks.join(self._batches(visits, sizes), "bin").select("rows", "queries").mapInArrow(met, "query_id long, vec_id long, score double")
+        return self.blocks.join(self._batches(visits, sizes), "bin").select("rows", "queries").mapInArrow(lean(met), "query_id long, vec_id long, score double")
 
     def exact_leaves(self, trial: DataFrame, k: int) -> DataFrame:
         """``id, bin, vec_id``: the leaves that hold the true k nearest rows of a bounded set of queries."""
@@ -264,7 +265,7 @@ class Index:
                 yield _record("id bin s vec_id", *zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True))
 
         order = Window.partitionBy("id").orderBy("s", "vec_id")
-        near = self.placed.select("v", "ids", "bin").mapInArrow(scan, "id long, bin long, s double, vec_id long")
+        near = self.placed.select("v", "ids", "bin").mapInArrow(lean(scan), "id long, bin long, s double, vec_id long")
         return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "bin", "vec_id")
 
     def calibrated(self, asked: DataFrame, k: int, recall: float) -> int:
@@ -382,7 +383,7 @@ def measured_recall(df: DataFrame, queries: DataFrame, found: DataFrame, id_col:
                         yield _record("query_id score", (np.full(len(s), i), pa.int64()), (s, pa.float64()))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    true = _vectors(df, id_col, vec_col).mapInArrow(scan, "query_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    true = _vectors(df, id_col, vec_col).mapInArrow(lean(scan), "query_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     true = true.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("wanted"))
     as_near = F.sum((F.col("score") >= F.col("floor") - 1e-9).cast("int"))
     got = true.join(found.select("query_id", "score"), "query_id", "left").groupBy("query_id").agg(F.first("wanted").alias("wanted"), F.coalesce(as_near, F.lit(0)).alias("got"))
