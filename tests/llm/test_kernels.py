@@ -1,3 +1,4 @@
+import heapq
 import re
 import unicodedata
 
@@ -146,6 +147,36 @@ def test_tree_of_equal_and_few_vectors():
     assert abs(order[0][1] - off[0] ** 2) < 1e-9
 
 
+def test_leaves_of_many_queries_open_best_bin_first():
+    """All at once in the order in which a queue of nodes opens them one by one."""
+    x = np.random.default_rng(6).normal(size=(900, 8))
+    tree = ann.fit_tree(x)
+    row, leaf, far = tree.opened(x[:40], 25)
+    for i, q in enumerate(x[:40]):
+        queue, turns = [(0.0, 0)], []
+        while queue:
+            _, node = heapq.heappop(queue)
+            while tree.children[node]:
+                own = sorted(tree.children[node], key=lambda k: ((tree.centres[k] - q) ** 2).sum())
+                for k in own[1:]:
+                    heapq.heappush(queue, (((tree.centres[k] - q) ** 2).sum(), k))
+                node = own[0]
+            turns.append(tree.leaf[node])
+        # Where one opening makes nearer nodes wait, these follow at once in either order; few differ at the cut.
+        assert leaf[row == i][0] == turns[0] and len(set(leaf[row == i].tolist()) & set(turns[:25])) >= 22
+    assert tree.opened(x[:3], 10**6)[1].reshape(3, -1).shape == (3, tree.leaves)
+
+
+def test_best_rows_are_seen_and_above_the_floor():
+    rng = np.random.default_rng(7)
+    q, x, floors, seen = rng.normal(size=(9, 6)), rng.normal(size=(80, 6)), np.linspace(-2, 0.9, 9), rng.random((9, 80)) < 0.6
+    found = {i: set(rows.tolist()) for i, rows, _ in ann._best(q, x, 4, floors, seen)}
+    for i in range(9):
+        s = (x @ q[i]) / np.sqrt((x**2).sum(1) * (q[i] ** 2).sum())
+        assert found.get(i, set()) == {r for r in sorted(np.flatnonzero(seen[i]).tolist(), key=lambda r: -s[r])[:4] if s[r] >= floors[i]}
+    assert [len(rows) for _, rows, _ in ann._best(q, x[:3], 4)] == [3] * 9 and not list(ann._best(q, x, 4, 0 * floors + 2))
+
+
 @pytest.mark.parametrize(
     ("page", "wanted"),
     [

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,22 +40,27 @@ class Tree:
     def leaves(self) -> int:
         return max(self.leaf) + 1
 
+    def opened(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of ``q``, leaf, and squared distance of its centre, of the first ``visits`` leaves by best-bin-first: the
+        nearest node that waits is opened next, and followed down to a leaf by the nearest child.
+
+        A node that isn't its parent's nearest child waits until all that is nearer has been opened, so a leaf's turn
+        is the largest distance at which one had to wait on the way to it. All queries are ordered at once.
+        """
+        far = np.stack([((q - c) ** 2).sum(1) for c in self.centres])
+        turn, every = np.zeros_like(far), np.arange(len(q))
+        for node, own in enumerate(self.children):
+            if own:
+                turn[own] = np.maximum(turn[node], far[own])
+                turn[np.array(own)[far[own].argmin(0)], every] = turn[node]
+        nodes = np.flatnonzero(np.array(self.leaf) >= 0)
+        first = nodes[np.lexsort((far[nodes], turn[nodes]), axis=0)[:visits]].T
+        return np.repeat(every, first.shape[1]), np.array(self.leaf)[first].ravel(), far[first, every[:, None]].ravel()
+
     def order(self, q: np.ndarray, visits: int) -> list[tuple[int, float]]:
-        """The first ``visits`` leaves by best-bin-first, with the squared distance of their centres: the nearest node
-        in the queue is opened next."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
-            _, node = heapq.heappop(queue)
-            while self.children[node]:
-                own = self.children[node]
-                far = ((self.centres[own] - q) ** 2).sum(1).tolist()
-                best = far.index(min(far))
-                for k, d in enumerate(far):
-                    if k != best:
-                        heapq.heappush(queue, (d, own[k]))
-                node = own[best]
-            out.append((self.leaf[node], float(((self.centres[node] - q) ** 2).sum())))
-        return out
+        """The leaves of :meth:`opened` for one query, with their distances."""
+        _, leaf, far = self.opened(q[None], visits)
+        return list(zip(leaf.tolist(), far.tolist(), strict=True))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaf of each vector, the nearest child at every level, and how far it is from the leaf's centre."""
@@ -112,15 +116,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _best(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, exact cosines) of each query's k nearest rows, and of all that tie with the last within rounding."""
-    a, b = _unit(q), _unit(x)
-    near = a @ b.T
-    nq, nx = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1))
-    floor = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(q), -2.0)
-    for i in range(len(q)):
-        rows = np.flatnonzero(near[i] >= floor[i] - 1e-12)
-        yield i, rows, (q[i] * x[rows]).sum(1) / (nq[i] * nx[rows])
+def _best(q: np.ndarray, x: np.ndarray, k: int, floors: np.ndarray | None = None, seen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, rows, exact cosines) of each query's k nearest rows, and of all that tie with the last within rounding.
+
+    Of rows below a query's floor, and of those that it hasn't ``seen``, none.
+    """
+    near = _unit(q) @ _unit(x).T
+    if seen is not None:
+        near[~seen] = -3.0
+    bar = np.full(len(q), -2.0) if floors is None else floors.copy()
+    many = np.flatnonzero((near >= bar[:, None] - 1e-12).sum(1) > k)
+    if len(many):
+        bar[many] = np.maximum(bar[many], np.partition(near[many], -k, axis=1)[:, -k])
+    i, rows = np.nonzero(near >= bar[:, None] - 1e-12)
+    scores = (q[i] * x[rows]).sum(1) / (np.sqrt((q**2).sum(1))[i] * np.sqrt((x**2).sum(1))[rows])
+    asked, at = np.unique(i, return_index=True)
+    for n, a, b in zip(asked.tolist(), at.tolist(), [*at[1:].tolist(), len(i)][: len(at)], strict=True):
+        yield n, rows[a:b], scores[a:b]
 
 
 def _record(names: str, *columns: tuple[Iterable, pa.DataType]) -> pa.RecordBatch:
@@ -134,12 +146,12 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def _spread(df: DataFrame, *key: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 _ENTRY = "v array<double>, ids array<long>, bin long, off double"
-_VISIT = "id long, v array<double>, bin long, far double"
+_VISIT = "id long, bin long, far double"
 
 
 class Index:
@@ -181,9 +193,11 @@ class Index:
         self.placed = placed
         self.leaves = self._put(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")), "leaves")
         self.size = self.leaves.count()
-        self.blocks = self._put(
-            placed.join(small(self.leaves), "bin").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.ceil(F.col("n") / BLOCK))).groupBy("bin", "block").agg(F.collect_list(F.struct("v", "ids")).alias("rows")), "blocks"
-        )
+        # Blocks of the leaves of one tree together: what is compared stays large where leaves are small.
+        rows = placed.select(_unit_of("bin").alias("unit"), "bin", "v", "ids")
+        units = self._put(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "units")
+        rows = rows.join(small(units), "unit").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.ceil(F.col("n") / BLOCK)))
+        self.blocks = self._put(rows.groupBy("unit", "block").agg(F.collect_list(F.struct("v", "ids", "bin")).alias("rows")), "blocks")
 
     def _put(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written to the shared folder, until :meth:`close`."""
@@ -195,8 +209,8 @@ class Index:
         discard(*self.written)
 
     def visits(self, asked: DataFrame, count: int) -> DataFrame:
-        """``id, v, bin, far``: the ``count`` leaves that best-bin-first traversal opens for each query, and how far
-        their centres are (squared). Each tree has a queue of its own; what they open is ordered by distance again."""
+        """``id, bin, far``: the ``count`` leaves that best-bin-first traversal opens for each query, and how far their
+        centres are (squared). Each tree has a queue of its own; what they open is ordered by distance again."""
         shipped = self.shipped
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +221,7 @@ class Index:
         found = _spread(asked, "id").mapInArrow(lean(opened), _VISIT)
         for trees in self.trees:
             found = self._put(found, "visits")
-            sizes = found.groupBy("bin").agg(F.count(F.lit(1)).alias("askers")).join(trees.select("bin"), "bin")
-            batches_of = self._batches(found, sizes).join(trees, "bin")
+            batches_of = self._batches(found.join(small(trees.select("bin")), "bin").select("id", "bin"), "bin", asked).join(trees, "bin")
 
             def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -217,36 +230,45 @@ class Index:
                         yield _opened(pickle.loads(batch.column(2)[n].as_py()), queries.field("id"), queries.field("v"), count, batch.column(0)[n].as_py())
 
             deeper = batches_of.select("bin", "queries", "tree").mapInArrow(lean(inner), _VISIT)
-            nearest_first = Window.partitionBy("id").orderBy("far", "bin")
-            every = found.join(small(trees.select("bin")), "bin", "left_anti").select("id", "v", "bin", "far").unionByName(deeper)
-            found = every.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= count).drop("n")
+            found = found.join(small(trees.select("bin")), "bin", "left_anti").select("id", "bin", "far").unionByName(deeper)
+            if count < self.size:
+                nearest_first = Window.partitionBy("id").orderBy("far", "bin")
+                found = found.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= count).drop("n")
         return found
 
-    def _batches(self, visits: DataFrame, sizes: DataFrame) -> DataFrame:
-        """The queries that visit a bin, in lists of about BATCH."""
-        dealt = visits.join(small(self._put(sizes, "sizes")), "bin").withColumn("batch", F.pmod(F.xxhash64("id"), F.ceil(F.col("askers") / BATCH)))
-        own = F.struct("id", "v", *[c for c in ("floor",) if c in visits.columns])
-        return dealt.groupBy("bin", "batch").agg(F.collect_list(own).alias("queries"))
+    def _batches(self, wanted: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+        """The queries that go to each ``key``, with their vectors and what else ``wanted`` has, in lists of about BATCH."""
+        sizes = small(self._put(wanted.groupBy(key).agg(F.count(F.lit(1)).alias("askers")), "sizes"))
+        dealt = wanted.join(sizes, key).withColumn("batch", F.pmod(F.xxhash64("id"), F.ceil(F.col("askers") / BATCH))).join(asked, "id")
+        own = F.struct("id", "v", *[c for c in wanted.columns if c not in ("id", key)])
+        return _spread(dealt.select(key, "batch", own.alias("own")), key, "batch").groupBy(key, "batch").agg(F.collect_list("own").alias("queries"))
 
-    def compare(self, visits: DataFrame, k: int) -> DataFrame:
-        """``query_id, vec_id, score``: of each block of each leaf that a query visits, its k nearest rows whose score
-        is not below its ``floor``."""
+    def compare(self, visits: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """``query_id, vec_id, score``: of each block of leaves of which a query visits some (``id, bin, floor``), the k
+        nearest rows of those whose score is not below its floor."""
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for n in range(batch.num_rows):
                     rows, queries = batch.column(0)[n].values, batch.column(1)[n].values
-                    ids, q_ids, floors = (c.to_pylist() for c in (rows.field("ids"), queries.field("id"), queries.field("floor")))
+                    ids, q_ids, floors = rows.field("ids"), queries.field("id").to_pylist(), np.asarray(queries.field("floor"))
+                    bins, leaf = np.unique(np.asarray(rows.field("bin")), return_inverse=True)
+                    lists = queries.field("bins")
+                    who, wanted = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+                    at = np.minimum(np.searchsorted(bins, wanted), len(bins) - 1)
+                    there, seen = bins[at] == wanted, np.zeros((len(lists), len(bins)), bool)
+                    seen[who[there], at[there]] = True
                     found = []
-                    for i, at, scores in _best(_matrix(queries.field("v")), _matrix(rows.field("v")), k + 1):
-                        own = sorted((-s, x) for r, s in zip(at.tolist(), scores.tolist(), strict=True) if s >= floors[i] for x in ids[r] if x != q_ids[i])[:k]
+                    for i, near, scores in _best(_matrix(queries.field("v")), _matrix(rows.field("v")), k + 1, floors, seen[:, leaf]):
+                        own = sorted((-s, x) for r, s in zip(near.tolist(), scores.tolist(), strict=True) if s >= floors[i] for x in ids[r].as_py() if x != q_ids[i])[:k]
                         found += [(q_ids[i], x, -s) for s, x in own]
                     if found:
                         a, b, c = zip(*found, strict=True)
                         yield _record("query_id vec_id score", (a, pa.int64()), (b, pa.int64()), (c, pa.float64()))
 
-        sizes = visits.groupBy("bin").agg(F.count(F.lit(1)).alias("askers"))
-        return self.blocks.join(self._batches(visits, sizes), "bin").select("rows", "queries").mapInArrow(lean(met), "query_id long, vec_id long, score double")
+        wanted = visits.groupBy("id", _unit_of("bin").alias("unit")).agg(F.collect_list("bin").alias("bins"), F.first("floor").alias("floor"))
+        batches = self._batches(self._put(wanted, "wanted"), "unit", asked)
+        return self.blocks.join(batches, "unit").select("rows", "queries").mapInArrow(lean(met), "query_id long, vec_id long, score double")
 
     def exact_leaves(self, trial: DataFrame, k: int) -> DataFrame:
         """``id, bin, vec_id``: the leaves that hold the true k nearest rows of a bounded set of queries."""
@@ -294,27 +316,30 @@ class Index:
         count = self.calibrated(asked, k, recall)
         order = Window.partitionBy("id").orderBy("far", "bin")
         visits = self._put(self.visits(asked, count).withColumn("n", F.row_number().over(order)), "visits")
-        early = self._put(top(self.compare(visits.where(F.col("n") <= FIRST).withColumn("floor", F.lit(-2.0)), k)), "early")
+        early = self._put(top(self.compare(visits.where(F.col("n") <= FIRST).withColumn("floor", F.lit(-2.0)), asked, k)), "early")
         floors = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
         late = visits.where(F.col("n") > FIRST).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
         reach = F.sqrt("far") - F.col("radius") <= F.sqrt(F.greatest(2 - 2 * F.col("floor"), F.lit(0.0))) + 1e-9
-        late = self._put(late.join(small(self.leaves.select("bin", "radius")), "bin").where(reach).select("id", "v", "bin", "floor"), "late")
-        found = early.select("query_id", "vec_id", "score").unionByName(self.compare(late, k))
+        late = self._put(late.join(small(self.leaves.select("bin", "radius")), "bin").where(reach).select("id", "bin", "floor"), "late")
+        found = early.select("query_id", "vec_id", "score").unionByName(self.compare(late, asked, k))
         return top(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _opened(tree: Tree, ids: pa.Array, vectors: pa.Array, count: int, above: int | None) -> pa.RecordBatch:
     """The leaves of one tree that each query opens; leaves below a bin are numbered by it."""
-    opened = [tree.order(v, count) for v in _unit(_matrix(vectors))]
-    at = pa.array(np.repeat(np.arange(len(opened)), [len(o) for o in opened]))
-    leaf, far = np.array([x for o in opened for x, _ in o], np.int64), np.array([d for o in opened for _, d in o])
-    return pa.RecordBatch.from_arrays([ids.take(at), vectors.take(at), pa.array(leaf if above is None else _below(above, leaf)), pa.array(far)], names=["id", "v", "bin", "far"])
+    at, leaf, far = tree.opened(_unit(_matrix(vectors)), count)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(leaf if above is None else _below(above, leaf)), pa.array(far)], names=["id", "bin", "far"])
 
 
 def _below(bin_: int, leaf: np.ndarray) -> np.ndarray:
     return (bin_ + 1) * 1024 + leaf  # a tree has fewer than 1,024 leaves
 
 
+def _unit_of(bin_: str) -> Column:
+    """The bin that a leaf's tree stands below; of the root's leaves each its own."""
+    return F.when(F.col(bin_) < 1024, F.col(bin_)).otherwise(F.expr(f"{bin_} div 1024 - 1"))
+
+
 def _fit_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n in range(batch.num_rows):
