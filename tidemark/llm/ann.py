@@ -291,15 +291,21 @@ class Index:
         return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "bin", "vec_id")
 
     def calibrated(self, asked: DataFrame, k: int, recall: float) -> int:
-        """Leaves to visit: widened until those visited hold ``recall`` of the true neighbours of CALIBRATION queries."""
+        """Leaves to visit: of FIRST and half as many more at each step, the least (by bisection) that holds ``recall`` of
+        the true neighbours of CALIBRATION queries."""
         trial = self._put(asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION), "trial")
         if trial.isEmpty():
             return 1
         truth = self._put(self.exact_leaves(trial, k), "truth")
-        all_of, count = truth.count(), FIRST
-        while count < self.size and truth.join(self.visits(trial, count).select("id", "bin"), ["id", "bin"], "left_semi").count() < recall * all_of:
-            count = -(-count * 3 // 2)
-        return min(count, self.size)
+        all_of, counts = truth.count(), [FIRST]
+        while counts[-1] < self.size:
+            counts.append(-(-counts[-1] * 3 // 2))
+        low, high = 0, len(counts) - 1  # all leaves hold all neighbours
+        while low < high:
+            middle = (low + high) // 2
+            held = truth.join(self.visits(trial, counts[middle]).select("id", "bin"), ["id", "bin"], "left_semi").count()
+            low, high = (low, middle) if held >= recall * all_of else (middle + 1, high)
+        return min(counts[low], self.size)
 
     def search(self, asked: DataFrame, k: int, recall: float) -> DataFrame:
         """``query_id, rank, vec_id, score`` of the k nearest rows in the leaves visited.
