@@ -225,3 +225,10 @@ def test_pages_wrapped_in_declared_noise(wrapper):
     for other in ("<article>Short.</article>", "<p>" + "Text of its own, enough to be a page. " * 3 + "</p>"):
         blocks, _, _ = html_extract.read(f"<html><body>{other}{wrapper}{inner}</div></form></section></body></html>")
         assert all("part" not in t for _, t, may in blocks if may)
+
+
+def test_bpe_makes_the_words_of_a_task_once():
+    own = bpe.WordBpe(bpe.load_model(public_tokenizers.path("word_bpe_49k.json")))
+    text, made, real = " ".join(f"q{i:x}" for i in range(90_000)), [], own.pieces.make
+    own.pieces.make = lambda piece: made.append(piece) or real(piece)
+    assert own.encode(text) == own.encode(text) and len(made) == 90_000

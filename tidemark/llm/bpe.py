@@ -21,7 +21,7 @@ from tidemark.llm._text import lean
 
 #: Bytes of each of a worker's two caches of encoded words, about (twice as many at most are held), and characters of
 #: the longest word that is kept in one.
-CACHE_BYTES, CACHE_CHARS = 8 << 20, 64
+CACHE_BYTES, CACHE_CHARS = 32 << 20, 64
 _ENTRY_BYTES = 220  # of an entry, besides its characters and ids
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
