@@ -153,6 +153,49 @@ def test_near_by_edits_links_all_pairs(spark):
     assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) < len(texts) * 0.8
 
 
+def test_near_between():
+    """Against the likeness of each pair, of fingerprints of all lengths and of some that differ in few places."""
+    rng = random.Random(4)
+    prints = ["".join(rng.choice("abc-") for _ in range(n)) for n in (1, 2, 30, 63, 64, 65, 100, 127, 128, 129, 250, 300, 301, 500)]
+    prints += [x[: len(x) * 9 // 10 + 1] for x in prints] + ["".join(rng.choice("abc") if rng.random() < share else c for c in x) for x in prints for share in (0.1, 0.25, 0.35)]
+    for least in (0.5, 0.8, 1.0):
+        i, j = edit_fingerprint.near_between(prints, prints[::-1], least)
+        want = {(a, b) for a, x in enumerate(prints) for b, y in enumerate(prints[::-1]) if edit_fingerprint.likeness(x, y) >= least}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) >= len(prints)
+
+
+def test_near_by_edits_among_strangers_with_a_line(spark, monkeypatch):
+    """A large bucket of texts that share a line, some of them near copies: compared in blocks, its pairs are no rows."""
+    monkeypatch.setattr(edit_fingerprint, "_BLOCK", 32)
+    rng = random.Random(12)
+    line = " ".join(prose(rng, 25))
+    texts = [line + "\n" + "".join(rng.choice("abcdefghijklm ") for _ in range(80)) for _ in range(200)]
+    texts += [t[:at] + "!" + t[at:] for t in texts[::5] for at in (len(t) - 30, len(t) - 3)]
+    rng.shuffle(texts)
+    written, write = {}, edit_fingerprint.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(edit_fingerprint, "materialize", counted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # blocks go on over batches
+    try:
+        got = {r.doc_id: r.component_id for r in edit_fingerprint.near_by_edits(docs(spark, texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    prints, label = edit_fingerprint.embed(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and edit_fingerprint.likeness(prints[i], prints[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert got == dict(enumerate(label)) and 100 < len(set(label)) < 250
+    assert sum(written["pairs"]) + sum(written["near"]) < 20 * len(texts) and len(written["components"]) == 2
+
+
 def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), [float(v) for v in row] if row is not None else None) for i, row in zip(ids if ids is not None else range(len(x)), x, strict=True)], "vec_id long, embedding array<float>")
 

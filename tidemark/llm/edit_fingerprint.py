@@ -227,16 +227,105 @@ def bands_of(fingerprint: str) -> list[str]:
     return out
 
 
+#: A bucket's members up to which its pairs are joined; more are compared in blocks of so many.
+_SMALL, _BLOCK = 16, 256
+#: The steps that a fingerprint of each length stands for.
+_WEIGHT = np.concatenate([[0.0], np.cumsum(_STANDS)])
+
+
+def _matrix(prints: list[str], width: int, end: int) -> np.ndarray:
+    """Samples in rows and fingerprints in columns, ``end`` beyond a fingerprint's end."""
+    flat = b"".join([x.encode().ljust(width, bytes([end])) for x in prints])
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(len(prints), width).T)
+
+
+def near_between(left: list[str], right: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two lists of fingerprints (none of them empty) at which their likeness is ``least`` or more.
+
+    Equal samples are counted block by block from the heaviest one down, until no pair can reach ``least`` any more.
+    Blocks begin at multiples of SAMPLES and their samples stand for as many steps each; sums of these are exact.
+    """
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    width = -(-int(max(s.max() for s in sizes)) // SAMPLES) * SAMPLES
+    a, b = _matrix(left, width, 0), _matrix(right, width, 1)
+    total = np.maximum(_WEIGHT[sizes[0]][:, None], _WEIGHT[sizes[1]])
+    same, enough = np.zeros(total.shape), total * (least - 1e-9)
+    for start in range(width - SAMPLES, -1, -SAMPLES):
+        count = np.zeros(total.shape, np.uint8)
+        for i in range(start, start + SAMPLES):
+            count += (a[i][:, None] == b[i]).view(np.uint8)
+        same += count * _STANDS[start]
+        if not (same + _WEIGHT[start] >= enough).any():
+            break
+    return np.nonzero(same / total >= least)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links between components that a spanning forest of them needs."""
+    label: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in label:
+            x = label[x]
+        return x
+
+    out = []
+    for x, y in sorted(set(zip(left.tolist(), right.tolist(), strict=True))):
+        low, high = sorted((root(x), root(y)))
+        if low < high:
+            label[high] = low
+            out.append((low, high))
+    return out
+
+
+def _compare_blocks(least: float):
+    """Kernel for mapInArrow over ``key, t, u, block, own, fingerprint``, where rows with the same (key, t, u) follow
+    each other: links between the components of near members of blocks t and u of a bucket."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        rows = pa.Table.from_batches(parts)
+        block, own = rows["block"].to_numpy(), rows["own"].to_numpy()
+        prints = rows["fingerprint"].to_pylist()
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        i, j = near_between([prints[k] for k in left], [prints[k] for k in right], least)
+        x, y = own[left[i]], own[right[j]]
+        return _joined(x[x != y], y[x != y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            by = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            found: list[tuple[int, int]] = []
+            for begin, end in itertools.pairwise(cuts):
+                now = tuple(by[:, begin].tolist())
+                if held and now != group:
+                    found += links(held)
+                    held = []
+                group = now
+                held.append(batch.slice(begin, end - begin))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+        if held and (found := links(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+
+    return run
+
+
 def near_by_edits(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: documents linked where their fingerprints' likeness is ``least`` or more.
 
     Banding: documents that share a band's samples meet in a bucket. Two fingerprints that read the same at 0.8 of a
     block's samples share one of its 40 bands of 6 with probability above 0.99999. Verification: the likeness over all
-    samples. Equal texts are one entry. In each bucket that isn't in one component yet 1, 2, 4, ... further members
-    lead, and are compared with all that are in other components: groups of copies cost one round, the number of
-    rounds grows with the logarithm of a bucket's members, and nothing is capped. Null and empty texts, and null ids,
-    are linked with nothing. Rows that repeat an id with several texts keep a fingerprint each; the texts are linked
-    apart. Each row of ``docs`` gives one row, an empty table none.
+    samples. Equal texts are one entry, and of buckets with the same members one is kept. First each bucket's members
+    are compared with its smallest one, which joins groups of copies. Then, in buckets that aren't in one component,
+    all members of different components are compared: in small buckets as joined pairs, in larger ones block by block,
+    so that a task holds two blocks and no pair is ever a row; blocks of one component aren't compared. Nothing is
+    capped. Null and empty texts, and null ids, are linked with nothing. Rows that repeat an id with several texts keep
+    a fingerprint each; the texts are linked apart. Each row of ``docs`` gives one row, an empty table none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("h", pa.string()), ("fingerprint", pa.string())])
@@ -267,32 +356,39 @@ def near_by_edits(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
         return fingerprints.map(bands_of)
 
     cells = put(reps.select("rep", F.explode(keys("fingerprint")).alias("key")).select("rep", F.xxhash64("key").alias("key")), "bands")
-    many = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    digests = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"digest_{seed}") for seed in (1, 2)]
+    many = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), *digests).where("n > 1")
+    many = many.groupBy("n", "head", "digest_1", "digest_2").agg(F.min("key").alias("key")).select("key", "n", "head")
     cells = put(cells.join(many, "key"), "buckets")
     alike = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
-    links = groups = led = checked = None
-    leaders = 1
-    while True:
-        own = cells.withColumn("own", F.col("rep")) if groups is None else cells.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("component", "rep").alias("own"))
-        mixed = own.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
-        own = put(own.join(mixed, "key", "left_semi"), "open")
-        waiting = own if led is None else own.join(led, ["key", "rep"], "left_anti")
-        order = Window.partitionBy("key").orderBy("rep")
-        heads = waiting.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-        heads = put(heads.select("key", F.col("rep").alias("head"), F.col("own").alias("head_own")), "heads")
-        if heads.isEmpty():
-            break
-        pairs = own.join(heads, "key").where("own <> head_own").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-        pairs = put(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
+
+    def near(pairs: DataFrame) -> DataFrame:
         side = [reps.select(F.col("rep").alias(x), F.col("fingerprint").alias(f"f_{x}")) for x in ("a", "b")]
-        new = put(pairs.join(side[0], "a").join(side[1], "b").where(alike("f_a", "f_b") >= least).select("a", "b"), "near")
-        links = new if links is None else links.unionByName(new)
-        done = heads.select("key", F.col("head").alias("rep"))
-        led = done if led is None else led.unionByName(done)
-        groups, leaders = put(components(links), "components"), 2 * leaders
+        return put(pairs.join(side[0], "a").join(side[1], "b").where(alike("f_a", "f_b") >= least).select("a", "b"), "near")
+
+    pairs = put(cells.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = near(pairs)
+    groups = put(components(links), "components")
+    own = cells.join(groups, F.col("rep") == F.col("node"), "left").select("key", "n", "head", "rep", F.coalesce("component", "rep").alias("own")).where("n > 2")
+    own = put(own, "owned")
+    mixed = own.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
+    own = put(own.join(mixed, "key", "left_semi"), "open")
+
+    few = own.where((F.col("n") <= _SMALL) & (F.col("rep") != F.col("head")))
+    x, y = (few.select("key", F.col("rep").alias(f"rep_{k}"), F.col("own").alias(f"own_{k}")) for k in "xy")
+    more = x.join(y, "key").where("own_x <> own_y and rep_x < rep_y").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    links = links.unionByName(near(put(more.join(pairs, ["a", "b"], "left_anti"), "pairs")))
+
+    place = F.row_number().over(Window.partitionBy("key").orderBy("own", "rep")) - 1
+    members = put(own.where(F.col("n") > _SMALL).select("key", "rep", "own", F.floor(place / _BLOCK).cast("int").alias("block")), "members")
+    blocks = members.groupBy("key", "block").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    t, u = (blocks.select("key", F.col("block").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}")) for k in "tu")
+    meet = t.join(u, "key").where("t <= u and least(low_t, low_u) < greatest(high_t, high_u)").select("key", "t", "u", F.explode(F.array_distinct(F.array("t", "u"))).alias("block"))
+    rows = members.join(meet, ["key", "block"]).join(reps.select("rep", "fingerprint"), "rep").select("key", "t", "u", "block", "own", "fingerprint")
+    rows = rows.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
+    links = links.unionByName(put(rows.mapInArrow(_compare_blocks(least), "a long, b long"), "near"))
+    groups = put(components(links), "components")
     discard(*[t for t in written if t is not groups])
-    labels = reps.select("h", "rep") if groups is None else reps.join(groups, F.col("rep") == F.col("node"), "left").select("h", "rep", "component")
-    labels = labels.select("h", F.coalesce("component", "rep").alias("component_id")) if groups is not None else labels.select("h", F.col("rep").alias("component_id"))
+    labels = reps.join(groups, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("component", "rep").alias("component_id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return found.join(labels, "h", "left").select(F.col("id").alias("doc_id"), "fingerprint", component.alias("component_id"))
