@@ -1,5 +1,6 @@
 import heapq
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -232,3 +233,41 @@ def test_bpe_makes_the_words_of_a_task_once():
     text, made, real = " ".join(f"q{i:x}" for i in range(90_000)), [], own.pieces.make
     own.pieces.make = lambda piece: made.append(piece) or real(piece)
     assert own.encode(text) == own.encode(text) and len(made) == 90_000
+
+
+def test_bpe_splits_at_no_empty_pieces(tokenizers):
+    library, own = tokenizers
+    for text in (" a\x1cb ", "\x1f", " \x1d ", "a \x1e"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_letters_that_fold_twice(tokenizers):
+    library, own = tokenizers
+    text = "J̌A, J̌a J̌A. İx, İX ǰa Straẞe, ΣΣ! Kelvin, ķA Foo, foo FOO! foo. ?!, 's, x's"
+    for t in (text, " ".join(reversed(text.split())), text):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_caches_are_small():
+    """What a worker holds of 250,000 words, each with and without a mark behind it and a capital in front."""
+    own, held = bpe.WordBpe(bpe.load_model(public_tokenizers.path("word_bpe_49k.json"))), {}
+    for at in range(0, 250_000, 1000):
+        words = [f"{i:06d}".translate(str.maketrans("0123456789", "etaoinshrd")) for i in range(at, at + 1000)]
+        own.encode(" ".join([*words, *(w + "," for w in words), *(w.title() for w in words)]))
+    for recent in (x for x in vars(own).values() if isinstance(x, bpe._Recent)):
+        for table in (recent, recent.older):
+            held |= {id(x): sys.getsizeof(x) for x in (table, *table.keys(), *table.values())}
+    assert 1 << 20 < sum(held.values()) < 32 << 20
+
+
+def test_a_worker_keeps_what_its_tasks_ask_for(monkeypatch):
+    monkeypatch.setattr(_text, "_kept", {})
+    monkeypatch.setattr(_text, "_asked", set())
+    made, batch = [], pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+
+    def asks(batches):
+        _text.kept("model", lambda: made.append(1) or "model")
+        yield from batches
+
+    for kernel, times in ((asks, 1), (asks, 1), (iter, 1), (asks, 2)):
+        assert [b.num_rows for b in _text.lean(kernel)(iter([batch]))] == [1] and len(made) == times

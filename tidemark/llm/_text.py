@@ -39,6 +39,29 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_kept: dict[object, object] = {}  # what this worker keeps over tasks
+_asked: set[object] = set()  # of that, what its task has asked for
+
+
+def kept(key, make: Callable):
+    """``make()``, once in each worker: kept for its later tasks until one ends that did not ask for it."""
+    _asked.add(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """At the end of a task: drop what it did not ask for and return freed memory, as its worker outlives it."""
+    for key in _kept.keys() - _asked:
+        del _kept[key]
+    _asked.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that yields small batches and gives back what it has freed when it ends, as its worker
     outlives the task."""
@@ -47,10 +70,7 @@ def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel(batches):
             yield from in_parts(batch)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return run
 

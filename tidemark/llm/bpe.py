@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._spark import small_batches
-from tidemark.llm._text import lean
+from tidemark.llm._text import give_back, kept, lean
 
-#: Bytes of each of a worker's two caches of encoded words, about (twice as many at most are held), and characters of
-#: the longest word that is kept in one.
-CACHE_BYTES, CACHE_CHARS = 32 << 20, 64
+#: Bytes of a worker's caches of encoded pieces and of parts of pieces, about (twice as many at most are held), and
+#: characters of the longest one that is kept.
+PIECE_BYTES, PART_BYTES, CACHE_CHARS = 24 << 20, 2 << 20, 64
 _ENTRY_BYTES = 220  # of an entry, besides its characters and ids
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _GAP = regex.compile(r"\p{White_Space}+")
 #: Characters that str.split() takes for white space and Unicode does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_MARKS = ".,;:!?"
 
 
 def byte_alphabet() -> list[str]:
@@ -46,20 +47,27 @@ def load_model(path: str) -> dict:
     return {"vocab": model["vocab"], "merges": merges, "end": model.get("end_of_word_suffix") or "", "special": {t["content"]: t["id"] for t in found["added_tokens"]}}
 
 
+def _folded(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class _Recent(dict):
-    """Values by key, made when first asked for. When it is full, what it held is kept aside and moves back if asked for."""
+    """Values by key, made when first asked for. When it is full, what it held is kept aside and moves back if asked for.
 
-    def __init__(self, make):
-        self.make, self.older, self.held = make, {}, 0
+    Words with a mark behind them aren't kept: they are put together from the word and the mark, which are.
+    """
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.older, self.held = make, size, {}, 0
 
     def __missing__(self, key: str):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-        if len(key) > CACHE_CHARS:
-            return found
+            if len(key) > CACHE_CHARS or key[-1] in _MARKS and key[:-1].isalpha():
+                return found
         self.held += _ENTRY_BYTES + 2 * len(key) + len(found)
-        if self.held > CACHE_BYTES:
+        if self.held > self.size:
             self.older, self.held = dict(self), 0
             self.clear()
         self[key] = found
@@ -80,7 +88,7 @@ class WordBpe:
         alphabet = byte_alphabet()
         self.inner = [self.vocab[c] for c in alphabet]
         self.final = [self.vocab[c + self.end] for c in alphabet]
-        self.words, self.pieces = _Recent(self._word), _Recent(self._piece)
+        self.parts, self.pieces = _Recent(self._word, PART_BYTES), _Recent(self._piece, PIECE_BYTES)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -132,13 +140,17 @@ class WordBpe:
         ids[-1] = self.final[raw[-1]]
         return array("I", self.merge(ids)).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Of a folded word of letters; where folding it again leaves it, it is kept as the piece that it is too."""
+        return self.pieces[word] if word.isascii() or _folded(word) == word else self.parts[word]
+
     def _piece(self, piece: str) -> bytes:
-        folded = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        folded = _folded(piece)
         if folded.isalpha():
-            return self.words[folded]
-        if folded[-1] in ".,;:!?" and folded[:-1].isalpha():
-            return self.words[folded[:-1]] + self.words[folded[-1]]
-        return b"".join([self.words[word] for word in _WORD.findall(folded)])
+            return self._word(piece) if folded == piece else self._letters(folded)
+        if folded[-1] in _MARKS and folded[:-1].isalpha():
+            return self._letters(folded[:-1]) + self.parts[folded[-1]]
+        return b"".join([self.parts[word] for word in _WORD.findall(folded)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -147,7 +159,7 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             else:
-                out += map(self.pieces.__getitem__, _GAP.split(part) if _SEPARATORS.search(part) else part.split())
+                out += map(self.pieces.__getitem__, filter(None, _GAP.split(part)) if _SEPARATORS.search(part) else part.split())
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -155,15 +167,9 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[int, WordBpe] = {}
-
-
 def _worker(model) -> WordBpe:
-    """The worker's encoder for a broadcast model; kept over tasks, with its cache."""
-    if model.value["key"] not in _loaded:
-        _loaded.clear()
-        _loaded[model.value["key"]] = WordBpe(model.value)
-    return _loaded[model.value["key"]]
+    """The worker's encoder for a broadcast model; kept over tasks that use it, with its caches."""
+    return kept(("bpe", model.value["key"]), lambda: WordBpe(model.value))
 
 
 def _shipped(df: DataFrame, path: str):
@@ -180,12 +186,14 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     """
     model = _shipped(df, path)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts):
-        import pandas as pd
-
+    @F.arrow_udf("array<int>")
+    def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _worker(model)
-        return pd.Series([np.frombuffer(own.encode(t or ""), "<i4") for t in texts])
+        for texts in columns:
+            ids = [own.encode(text.as_py() or "") for text in texts]
+            off = np.cumsum([0, *[len(x) // 4 for x in ids]])
+            yield pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))]))
+        give_back()
 
     found = df.withColumn(ids_col, ids_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return found.withColumn(count_col, F.size(ids_col).cast("long"))
@@ -195,12 +203,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     """``df`` with the text that the ids stand for; null ids decode to an empty text."""
     model = _shipped(df, path)
 
-    @F.pandas_udf("string")
-    def text_of(ids):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def text_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _worker(model)
-        return pd.Series([own.decode(np.asarray(x if x is not None else [], "<u4").tobytes()) for x in ids])
+        for ids in columns:
+            yield pa.array([own.decode(np.asarray(x.values, "<u4").tobytes()) if x.is_valid else "" for x in ids], pa.string())
+        give_back()
 
     return df.withColumn(text_col, text_of(ids_col))
 
